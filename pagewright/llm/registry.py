@@ -6,7 +6,10 @@ import importlib
 
 #: module -> query function; a module's ``SQL``, if any, is the query's oracle.
 _MODULES = {
+    "packing": "op2_packing",
+    "token_files": "op3_token_files",
     "quality": "op8_quality_rules",
+    "sharding": "op9_sharding",
 }
 
 
