@@ -6,8 +6,10 @@ import importlib
 
 #: module -> query function; a module's ``SQL``, if any, is the query's oracle.
 _MODULES = {
+    "fingerprint": "op1_lz_fingerprint",
     "packing": "op2_packing",
     "token_files": "op3_token_files",
+    "transducer": "op6_bpe_transducer",
     "quality": "op8_quality_rules",
     "sharding": "op9_sharding",
 }
