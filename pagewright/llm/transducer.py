@@ -2,8 +2,8 @@
 
 The method. The encoding of each prefix of a piece ends in one token: the one suffix that is a token and is compatible
 with the token before it (encoding the two together gives the two). So a piece is read byte by byte; what may still
-change is a short tail. A state is the last token emitted and the bytes read since. A step adds a byte, finds the new
-prefix's last token, and emits the tokens on which all live continuations agree: a continuation is live while the bytes
+change is a short tail, the bytes since the last token emitted. A step adds a byte, finds the new prefix's last token,
+and emits the tokens on which all live continuations agree: a continuation is live while the bytes
 from its start are the beginning of some token, so lookahead is bounded by the longest token. States and steps are
 worked out when first met and kept, up to ``MAX_STATES``; then the table is dropped and grows anew, as regular-expression
 engines do. Paths of short pieces are kept as well, in a table with a bound of its own.
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm.common import blocks, table
 from pagewright.llm.vocab import BYTE_LEVEL_SPLIT, WHITE_SPACE, _class, read_ranks
 
-MAX_STATES, MAX_PATHS, LONGEST_PATH = 300_000, 300_000, 48
+MAX_STATES, MAX_PATHS, LONGEST_PATH = 200_000, 300_000, 48
+_NEVER = 1 << 60
 
 
 @lru_cache(maxsize=None)
@@ -42,103 +43,132 @@ def splitter():
 
 
 class Transducer:
-    """``encode(piece)`` for pieces of bytes, by ranks (token -> rank; each single byte must be a token)."""
+    """``encode(piece)`` for pieces of bytes, by ranks (token -> rank; each single byte must be a token).
+
+    A state is (tail, lengths): the bytes since the last emitted token, and the length of the last token of each prefix
+    of them that a live continuation goes through (0 for the others). A step depends on the last emitted token only
+    through one guard: whether the token that would start right after it is compatible with it.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self._fit: dict[tuple[bytes, bytes], bool] = {}
+        self._spine: tuple[dict, dict] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
-        self._number: dict[tuple[bytes, bytes], int] = {}
-        self._steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._tails: list[tuple[bytes, bytes, list[bytes]]] = []  # last emitted token, bytes since, last token of each prefix of them
+        self._fit: dict[tuple[bytes, bytes], bool] = {}
+        self._number: dict[tuple[bytes, tuple[int, ...]], int] = {}
+        self._states: list[tuple[bytes, tuple[int, ...]]] = []
+        self._steps: list[dict[int, list]] = []
         self._ends: list[tuple[int, ...] | None] = []
-        self._state(b"", b"", [])
+        self._state(b"", ())
 
-    def _state(self, last: bytes, tail: bytes, tokens: list[bytes]) -> int:
-        number = self._number.setdefault((last, tail), len(self._steps))
-        if number == len(self._steps):
+    def _state(self, tail: bytes, lengths: tuple[int, ...]) -> int:
+        number = self._number.setdefault((tail, lengths), len(self._states))
+        if number == len(self._states):
+            self._states.append((tail, lengths))
             self._steps.append({})
-            self._tails.append((last, tail, tokens))
             self._ends.append(None)
         return number
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The merges as defined: the pair of least rank first, the left one of equals."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            pairs = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-            least = min(pairs)
-            if least == 1 << 60:
-                break
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def _edge(self, token: bytes, right: bool) -> list[tuple[int, bytes]]:
+        """The parts that hold a token's last (first) byte while it is merged: (rank of the merge into it, part)."""
+        kept = self._spine[right]
+        if token not in kept:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            edge = [(-1, parts[-right])]
+            while len(parts) > 1:
+                pairs = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+                least = min(pairs)
+                if least == _NEVER:
+                    break
+                i = pairs.index(least)  # the pair of least rank first, the left one of equals
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if parts[-right] != edge[-1][1]:
+                    edge.append((max(least, edge[-1][0]), parts[-right]))
+            kept[token] = edge
+        return kept[token]
 
     def _compatible(self, a: bytes, b: bytes) -> bool:
-        found = self._fit.get((a, b))
-        if found is None:
-            if len(self._fit) > MAX_STATES:
-                self._fit.clear()
-            found = self._fit[a, b] = self.merged(a + b) == [a, b]
-        return found
-
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, tail, tokens = self._tails[state]
+        """Whether merging the bytes of both never joins parts across the seam: neither side's next merge may come after
+        the seam's. Of equal ranks the left one is first."""
+        left, right, i, j = self._edge(a, True), self._edge(b, False), 0, 0
+        while True:
+            next_left = left[i + 1][0] if i + 1 < len(left) else _NEVER
+            next_right = right[j + 1][0] if j + 1 < len(right) else _NEVER
+            seam = self.ranks.get(left[i][1] + right[j][1], _NEVER)
+            if seam < next_left and seam <= next_right and seam != _NEVER:
+                return False
+            if next_left == next_right == _NEVER:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, tail: bytes, lengths: tuple[int, ...], byte: int, after_last: bool) -> tuple[int, tuple[int, ...], bytes]:
+        """The next state, what is emitted, and its last token. ``after_last``: the guard, whether a token may be the whole tail."""
         tail += bytes((byte,))
         n = len(tail)
-        for start in range(n):
-            before = tokens[start - 1] if start else last
-            if (new := tail[start:]) in self.ranks and (not before or self._compatible(before, new)):
+        for start in range(not after_last, n):
+            new = tail[start:]
+            if new in self.ranks and (not start or self._compatible(tail[start - lengths[start - 1] : start], new)):
                 break
-        tokens = [*tokens, new]
+        lengths += (n - start,)
         live = [p for p in range(n) if tail[p:] in self.prefixes] + [n]
         chains = []
         for p in live:
             stops = []
             while p > 0:
                 stops.append(p)
-                p -= len(tokens[p - 1])
+                p -= lengths[p - 1]
             chains.append(stops[::-1])
         agreed = 0
         for stops in zip(*chains):
             if any(s != stops[0] for s in stops):
                 break
             agreed = stops[0]
-        emitted, p = [], agreed
-        while p > 0:
-            emitted.append(tokens[p - 1])
-            p -= len(tokens[p - 1])
-        if emitted:
-            last = emitted[0]
-        found = self._state(last, tail[agreed:], tokens[agreed:]), tuple(self.ranks[t] for t in reversed(emitted))
-        self._steps[state][byte] = found
-        return found
+        emitted = [tail[s - lengths[s - 1] : s] for s in chains[-1] if s <= agreed]
+        used = {s for stops in chains for s in stops}
+        rest = tuple(lengths[s - 1] if s in used else 0 for s in range(agreed + 1, n + 1))
+        return self._state(tail[agreed:], rest), tuple(self.ranks[t] for t in emitted), emitted[-1] if emitted else b""
 
     def _end(self, state: int) -> tuple[int, ...]:
-        _, tail, tokens = self._tails[state]
+        tail, lengths = self._states[state]
         out, p = [], len(tail)
         while p > 0:
-            out.append(self.ranks[tokens[p - 1]])
-            p -= len(tokens[p - 1])
+            out.append(self.ranks[tail[p - lengths[p - 1] : p]])
+            p -= lengths[p - 1]
         self._ends[state] = tuple(out[::-1])
         return self._ends[state]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        if len(self._steps) > MAX_STATES:
+        if len(self._states) > MAX_STATES or len(self._fit) > 4 * MAX_STATES:
             self._reset()
-        state, out, steps = 0, (), self._steps
+        state, out, last, steps, fit = 0, (), b"", self._steps, self._fit
         for byte in piece:
-            found = steps[state].get(byte)
+            arc = steps[state].get(byte)
+            if arc is None:
+                tail, _ = self._states[state]
+                whole_tail = tail + bytes((byte,))
+                arc = steps[state][byte] = [whole_tail if tail and whole_tail in self.ranks or not tail else None, None, None]
+            token, taken, refused = arc
+            if token is not None and last:
+                agrees = fit.get((last, token))
+                if agrees is None:
+                    agrees = fit[last, token] = self._compatible(last, token)
+            else:
+                agrees = True
+            found = taken if agrees else refused
             if found is None:
-                found = self._step(state, byte)
-            state, emitted = found
+                found = arc[1 if agrees else 2] = self._step(*self._states[state], byte, agrees)
+            state, emitted, final = found
             if emitted:
                 out += emitted
+                last = final
         return out + (self._ends[state] or self._end(state))
 
 
