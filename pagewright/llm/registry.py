@@ -10,6 +10,7 @@ _MODULES = {
     "packing": "op2_packing",
     "token_files": "op3_token_files",
     "transducer": "op6_bpe_transducer",
+    "minhash": "op7_minhash",
     "quality": "op8_quality_rules",
     "sharding": "op9_sharding",
 }
