@@ -8,7 +8,7 @@ by a one-value minimum hash over their own lines, so exact copies, and near copi
 
 Scale. Each count is a partial aggregate, keyed by (host, line, document sketch), so that a line that a third of all
 documents hold is spread over many keys. At most ``avg lines per document / max_share`` lines of a host pass its
-limit; they meet the lines again in a join that adaptive execution may broadcast by its measured size or split by key.
+limit; they meet the lines again in a join, which broadcasts them only where their count was found small.
 
 Defined results. Null or empty text: no words, rejected by the base rule. Null host: a host of its own. Null or repeated
 ids, and repeated rows: each row is judged by itself and comes out once. Lines without a word don't count. Extra columns
@@ -17,20 +17,34 @@ stay, apart from those that the operator itself adds (its own win).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import table
+from pagewright.llm.common import checkpointed, table
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Production parameters.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 5, 0.1, 0.3
+#: Most frequent lines (about 50 bytes each) that a join broadcasts.
+MAX_BROADCAST = 100_000
+SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _spaced(text: Column) -> Column:
+    """The text with each white-space character as a space: plain replacements, which are quicker than patterns."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", text)
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    return F.filter(F.split(_spaced(text), " "), lambda w: w != "")
+
+
+def _without(text: Column, characters: str) -> Column:
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
 
 
 def lines_with_word(text: Column) -> Column:
@@ -38,38 +52,36 @@ def lines_with_word(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), WORD_GAP, " "))
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more. The windows' hashes are sorted with their places, so
-    equal ones are neighbours; texts whose windows are all distinct, the most, skip the sort."""
-    last = F.size(w) - 3  # of the windows' first places
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+def _repeat_words(hashes: Column) -> Column:
+    """Words that lie in a 3-word window found twice or more, by the windows' hashes. These are sorted with their places,
+    so equal ones are neighbours; texts whose windows are all distinct, the most, skip the sort."""
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def repeated(s: Column) -> Column:
-        return F.filter(s, lambda x, j: F.get(s, j - 1)["h"].eqNullSafe(x["h"]) | F.get(s, j + 1)["h"].eqNullSafe(x["h"]))
-
     def covered(s: Column) -> Column:
-        return F.size(F.array_distinct(F.flatten(F.transform(repeated(s), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+        repeated = F.filter(s, lambda x, j: F.get(s, j - 1)["h"].eqNullSafe(x["h"]) | F.get(s, j + 1)["h"].eqNullSafe(x["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     some = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    sorted_once = F.element_at(F.transform(F.array(placed), covered), 1)  # binds the sorted array to a variable
-    return F.when(last < 1, 0).when(some, sorted_once).otherwise(0)
+    return F.when(some, F.element_at(F.transform(F.array(placed), covered), 1)).otherwise(0)  # binds the sorted array
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The base columns beside the given ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"__w": words(text), "__l": lines_with_word(text)})
+    out = out.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("__h") - 3), lambda i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), F.get("__h", i + 2)))
+    out = out.withColumn("__g", F.when(F.size("__h") > 3, windows).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumns({
         "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, WORD_GAP, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]", "")).cast("long"),
+        "word_chars": F.length(_without(text, " \t\n\x0b\x0c\r")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("__w")).cast("long"),
-    }).drop("__w", "__l")
+        "n_repeat_words": _repeat_words(F.col("__g")).cast("long"),
+    }).drop("__w", "__l", "__h", "__g")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -77,30 +89,39 @@ def _row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("__id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__text")]
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each document, its lines as structs (normalised hash, words) and its sketch."""
-    raw = lines_with_word(F.coalesce(F.col(text_col), F.lit("")))
-    told = F.transform(raw, lambda x: F.struct(F.md5(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("-")).alias("__host")
-    out = docs.select(*_row_key(id_col, text_col), host, told.alias("__lines"))
-    return out.filter(F.size("__lines") > 0).withColumn("__sketch", F.array_min(F.transform("__lines", lambda x: x["line"])))
-
-
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(__host, line): the boilerplate of each host."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    hosts = lines.groupBy("__host").agg(F.count_distinct("__sketch").alias("__docs"))
-    held = lines.select("__host", "__sketch", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["line"]))).alias("line"))
-    held = held.groupBy("__host", "line").agg(F.count_distinct("__sketch").alias("__held")).filter(F.col("__held") > min_docs)
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("-")).alias("__host")
+
+
+def _line_hashes(text_col: str) -> Column:
+    return F.transform(lines_with_word(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.md5(normal_line(x)))
+
+
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(__host, line): the boilerplate of each host. One pass over the lines: an entry without a line counts the host's documents."""
+    docs = docs.select(_host(host_col), F.array_sort(F.array_distinct(_line_hashes(text_col))).alias("__h")).filter(F.size("__h") > 0)
+    ends = [F.get("__h", i).alias(n) for n, i in (("__a", F.lit(0)), ("__b", F.lit(1)), ("__y", F.size("__h") - 2), ("__z", F.size("__h") - 1))]
+    held = docs.select("__host", *ends, F.explode(F.concat("__h", F.array(F.lit("")))).alias("line"))
+    least = F.when(F.col("line") == F.col("__a"), F.col("__b")).otherwise(F.col("__a"))
+    most = F.when(F.col("line") == F.col("__z"), F.col("__y")).otherwise(F.col("__z"))
+    sketch = F.concat(F.substring(F.coalesce(least, F.lit("")), 1, 16), F.substring(F.coalesce(most, F.lit("")), 1, 16))
+    held = held.select("__host", "line", sketch.alias("__sketch"))
+    held = held.groupBy("__host", "line").agg(F.count_distinct("__sketch").alias("__held"))
+    held = checkpointed(held.filter((F.col("__held") > min_docs) | (F.col("line") == "")))
+    hosts = held.filter(F.col("line") == "").select("__host", F.col("__held").alias("__docs"))
     limit = F.greatest(F.lit(float(min_docs)), max_share * F.col("__docs"))
-    return held.join(hosts, "__host").filter(F.col("__held") > limit).select("__host", "line")
+    return held.filter(F.col("line") != "").join(hosts, "__host").filter(F.col("__held") > limit).select("__host", "line")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents with MEASURES, n_removed_words, removed_lines (places of the lines to remove) and kept."""
-    frequent = frequent_lines(docs, id_col, text_col, host_col, min_docs, max_share)
-    placed = _lines(docs, id_col, text_col, host_col).select("__id", "__text", "__host", F.posexplode("__lines").alias("__at", "__line")).select("__id", "__text", "__host", "__at", F.col("__line.line").alias("line"), F.col("__line.n").alias("__n"))
-    hits = placed.join(frequent, ["__host", "line"], "left_semi")
+    frequent = frequent_lines(docs, text_col, host_col, min_docs, max_share)
+    if frequent.count() <= MAX_BROADCAST:  # else by a shuffled join, whose skewed keys adaptive execution splits
+        frequent = F.broadcast(frequent)
+    raw = lines_with_word(F.coalesce(F.col(text_col), F.lit("")))
+    placed = docs.select(*_row_key(id_col, text_col), _host(host_col), F.posexplode(raw).alias("__at", "__line"))
+    placed = placed.withColumn("line", F.md5(normal_line(F.col("__line"))))
+    hits = placed.join(frequent, ["__host", "line"], "left_semi").withColumn("__n", F.size(words(F.col("__line"))))
     hits = hits.groupBy("__id", "__text", "__at").agg(F.max("__n").alias("__n"))  # repeated rows count once
     hits = hits.groupBy("__id", "__text").agg(F.sum("__n").alias("n_removed_words"), F.sort_array(F.collect_list("__at")).alias("removed_lines"))
     own = [c for c in ("n_removed_words", "removed_lines", "kept") if c in docs.columns]
@@ -148,13 +169,16 @@ with d as (
   select doc_id, host, md5(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as line,
          len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) as n
   from (select doc_id, host, unnest(l) as x from w)
+), ls as (
+  select doc_id, host, list_sort(list_distinct(list(line))) as ls from lines group by doc_id, host
 ), sk as (
-  select doc_id, host, min(line) as sketch from lines group by doc_id, host
+  select host, line, coalesce(left(others[1], 16), '') || coalesce(left(others[-1], 16), '') as sketch
+  from (select host, line, list_filter(ls, lambda x: x <> line) as others from (select host, ls, unnest(list_append(ls, '')) as line from ls))
 ), hosts as (
-  select host, count(distinct sketch) as docs from sk group by host
+  select host, count(distinct sketch) as docs from sk where line = '' group by host
 ), frequent as (
-  select lines.host, line from lines join sk using (doc_id) join hosts on hosts.host = lines.host
-  group by lines.host, line, docs having count(distinct sketch) > greatest(5.0::double, 0.1::double * docs)
+  select sk.host, line from sk join hosts on hosts.host = sk.host where line <> ''
+  group by sk.host, line, docs having count(distinct sketch) > greatest(5.0::double, 0.1::double * docs)
 ), hit as (
   select doc_id, sum(n) as removed from lines join frequent using (host, line) group by doc_id
 ), b as (
