@@ -9,6 +9,7 @@ _MODULES = {
     "fingerprint": "op1_lz_fingerprint",
     "packing": "op2_packing",
     "token_files": "op3_token_files",
+    "html_text": "op4_html_text",
     "suffix_dedup": "op5_suffix_dedup",
     "transducer": "op6_bpe_transducer",
     "minhash": "op7_minhash",
