@@ -15,6 +15,7 @@ _MODULES = {
     "minhash": "op7_minhash",
     "quality": "op8_quality_rules",
     "sharding": "op9_sharding",
+    "masked_lm": "op10_masked_lm",
 }
 
 
