@@ -102,7 +102,7 @@ lists as (select query_id, vec_id as key, rank, rank as vr, null::int as br, dis
 m as (select query_id, key, {_FUSE}, min(vr) as vector_rank, min(br) as bm25_rank, min(distance) as distance,
   array_to_string(list_filter([case when min(vr) is not null then 'vector' end, case when min(br) is not null then 'bm25' end], lambda x: x is not null), ',') as sources from lists group by query_id, key),
 o as (select *, row_number() over (partition by query_id order by rrf desc, coalesce(vector_rank, 1000000000), coalesce(bm25_rank, 1000000000), key)::int as rank from m)
-select query_id, key, round(rrf, 9) as rrf_score, vector_rank, bm25_rank, round(distance, 6) as distance, sources, rank from o where rank <= 40"""
+select query_id, key, round(rrf, 9) as rrf_score, vector_rank::double as vector_rank, bm25_rank::double as bm25_rank, round(distance, 6) as distance, sources, rank from o where rank <= 40"""
 SQL["distance_merge"] = f"""
 with {_item_knn('a', 0, _L2)}, {_item_knn('b', 1, _L2)},
 u as (select query_id, vec_id as key, distance, rank, 0 as l from anear union all select query_id, vec_id, distance, rank, 1 from bnear),
@@ -143,7 +143,7 @@ scored as (select query_id, expected_count, coalesce(retrieved_count, 0) as retr
   case when first_relevant_rank is not null then 1.0::double else 0.0::double end as hit_at_k, round(coalesce(relevant_at_1, 0)::double / expected_count, 9) as recall_at_1,
   round(coalesce(relevant_at_k, 0)::double / expected_count, 9) as recall_at_k, round(coalesce(relevant_at_k, 0)::double / 5, 9) as precision_at_k,
   round(coalesce(1.0::double / first_relevant_rank, 0.0::double), 9) as mrr_at_k, first_relevant_rank is null as failure from ec left join f using (query_id))"""
-SQL["score_retrieval"] = f"with {_SCORED} select * from scored"
+SQL["score_retrieval"] = f"with {_SCORED} select * replace (first_relevant_rank::double as first_relevant_rank) from scored"
 SQL["aggregate_metrics"] = f"""
 with {_SCORED} select count(*) as questions, {', '.join(f'round(avg({m}), 6) as {m}' for m in ('hit_at_1', 'hit_at_k', 'recall_at_1', 'recall_at_k', 'precision_at_k', 'mrr_at_k'))},
 sum(false_positives)::bigint as false_positives, count(*) filter (failure) as failures, 0::bigint as errors, round(avg((query_id % 997)::double), 6) as mean_latency_ms,

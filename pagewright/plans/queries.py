@@ -138,7 +138,7 @@ def rrf_hybrid(spark, d):
     dense = vector.nearest(_item_vectors(spark, d), table(spark, d, "embeddings"), 40, "cosine")
     lists = fusion.hits(dense, "vector", 0, "vec_id").unionByName(_lexical_lists(spark, d, 0))
     out = fusion.reciprocal_rank_fusion(lists, limit=40)
-    return out.select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), "vector_rank", "bm25_rank", F.round("distance", 6).alias("distance"), F.array_join("sources", ",").alias("sources"), "rank")
+    return out.select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), F.col("vector_rank").cast("double").alias("vector_rank"), F.col("bm25_rank").cast("double").alias("bm25_rank"), F.round("distance", 6).alias("distance"), F.array_join("sources", ",").alias("sources"), "rank")
 
 
 @query
@@ -232,7 +232,7 @@ def _scored(spark, d) -> DataFrame:
 
 @query
 def score_retrieval(spark, d):
-    return _scored(spark, d)
+    return _scored(spark, d).withColumn("first_relevant_rank", F.col("first_relevant_rank").cast("double"))
 
 
 @query

@@ -99,18 +99,18 @@ class Store:
         self._fs.mkdirs(self._path(self.folder))
 
     def _pointer(self) -> dict:
-        at = self._path(f"{self.folder}/_current")
+        at = self._path(f"{self.folder}/current.json")
         if not self._fs.exists(at):
             return {"tables": {}, "next_id": 1}
-        return json.loads(self.spark.read.text(f"{self.folder}/_current", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.folder}/current.json", wholetext=True).first()[0])
 
     def _commit(self, state: dict) -> None:
-        new = self._path(f"{self.folder}/_next-{uuid.uuid4().hex}")
+        new = self._path(f"{self.folder}/next-{uuid.uuid4().hex}.json")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.folder}/_current"), False)
-        if not self._fs.rename(new, self._path(f"{self.folder}/_current")):
+        self._fs.delete(self._path(f"{self.folder}/current.json"), False)
+        if not self._fs.rename(new, self._path(f"{self.folder}/current.json")):
             raise OSError("the pointer could not be replaced")
 
     def table(self, name: str) -> DataFrame:
