@@ -69,8 +69,10 @@ class Network:
         w = self.weights
         return np.tanh(w["left"][around[:, :WINDOW]].sum(1) + w["right"][around[:, WINDOW:]].sum(1) + w["bias"])
 
-    def log_classes(self, around: np.ndarray) -> np.ndarray:
+    def log_classes(self, around: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Of the classes that have ids; the others have no share."""
         z = self.hidden(around) @ self.weights["out"] + self.weights["shift"]
+        z[:, ~used] = -np.inf
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
@@ -182,8 +184,9 @@ def log_probabilities(net: Network, classes: np.ndarray, shares: np.ndarray, ids
     """Of each word, given its neighbours on both sides."""
     out = shares[ids]
     around = contexts(ids, edges)
+    used = np.bincount(classes, minlength=CLASSES) > 0
     for i in range(0, len(ids), 4 * BATCH):
-        part = net.log_classes(around[i : i + 4 * BATCH])
+        part = net.log_classes(around[i : i + 4 * BATCH], used)
         out[i : i + 4 * BATCH] += part[np.arange(len(part)), classes[ids[i : i + 4 * BATCH]]]
     return out
 
