@@ -75,13 +75,16 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     windows = F.transform(F.sequence(F.lit(0), F.size("__h") - 3), lambda i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), F.get("__h", i + 2)))
     out = out.withColumn("__g", F.when(F.size("__h") > 3, windows).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(_without(text, " \t\n\x0b\x0c\r")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("__g")).cast("long"),
-    }).drop("__w", "__l", "__h", "__g")
+    found = F.struct(
+        F.size("__w").cast("long").alias("n_words"),
+        F.length(_without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("__g")).cast("long").alias("n_repeat_words"),
+    )
+    # a generator: filters on the measures stay above it, instead of being worked out again inside lambdas
+    names = [c for c in docs.columns if c not in MEASURES]
+    out = out.select(*names, F.explode(F.array(found)).alias("__m")).select(*names, "__m.*")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -114,12 +117,13 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The documents with MEASURES, n_removed_words, removed_lines (places of the lines to remove) and kept."""
+    """The documents with MEASURES, n_removed_words, removed_lines (numbers of the lines to remove, from 0) and kept."""
     frequent = frequent_lines(docs, text_col, host_col, min_docs, max_share)
     if frequent.count() <= MAX_BROADCAST:  # else by a shuffled join, whose skewed keys adaptive execution splits
         frequent = F.broadcast(frequent)
-    raw = lines_with_word(F.coalesce(F.col(text_col), F.lit("")))
+    raw = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     placed = docs.select(*_row_key(id_col, text_col), _host(host_col), F.posexplode(raw).alias("__at", "__line"))
+    placed = placed.filter(F.col("__line").rlike(r"[^\x20\x09-\x0D]"))
     placed = placed.withColumn("line", F.md5(normal_line(F.col("__line"))))
     hits = placed.join(frequent, ["__host", "line"], "left_semi").withColumn("__n", F.size(words(F.col("__line"))))
     hits = hits.groupBy("__id", "__text", "__at").agg(F.max("__n").alias("__n"))  # repeated rows count once
@@ -136,12 +140,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that pass, without their boilerplate lines, in the columns that came in."""
     out = judged(docs, id_col, text_col, host_col, **limits).filter("kept")
-    lines = F.split(F.col(text_col), "\n")
-    worded = F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    #: place of a line among those with a word, as removed_lines counts
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.get(worded, i).alias("w"), F.size(F.filter(F.slice(worded, 1, i + 1), lambda b: b)).alias("at")))
-    kept = F.filter(numbered, lambda s: ~(s["w"] & F.array_contains(F.col("removed_lines"), s["at"] - 1)))
-    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
+    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return out.withColumn(text_col, text).select(*docs.columns)
 
 
