@@ -7,12 +7,13 @@ agreements in n, under a uniform prior, the posterior chance that the similarity
 ``P(Binomial(n + 1, t) <= m)``; a pair falls out when that is below ``MISS``. Survivors are verified on their full sets.
 A pair at similarity 0.8 shares no band with a chance of 3e-6.
 
-No bucket emits all its pairs. Each member is first compared with one leader of its bucket. Links then give components,
-and only buckets that still hold several components go on: with other leaders, then (the exact way for the rest) with
-the pairs across components that haven't been compared, which are few because the large groups have become components.
-A link between classes that are in one component by other links isn't looked for: it changes no component.
+No bucket emits all its pairs. Each member is first compared with one leader of its bucket, the one that meets the most
+others in all its bands: near copies of one text agree with that text more than with each other. Links then give components,
+and only buckets that still hold several components go on: with other leaders, then (the exact way for the rest) block
+against block: members are dealt to blocks of about ``BLOCK``, a task compares the signatures of two blocks across
+components as arrays, and only pairs that survive the Bayesian test become rows. A link between classes that are in one component by other links isn't looked for: it changes no component.
 
-Scale. The row of a class moves as its signature (about 500 bytes) and its bands; full sets move for surviving pairs
+Scale. The row of a class moves as its signature (252 bytes) and its bands; full sets move for surviving pairs
 alone. Rows of a hot bucket or leader are split by adaptive execution. Nothing but counts reaches the driver.
 
 Defined results. Null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle: one shingle of
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, mixed, shared_folder, table, words_of
 from pagewright.llm.components import components
 
-BANDS, ROWS, BATCH, MISS, LEADER_ROUNDS = 42, 6, 36, 1e-9, 2
+BANDS, ROWS, BATCH, MISS, LEADER_ROUNDS, BLOCK = 42, 6, 36, 1e-9, 2, 1024
 _NULL_ID = -(1 << 63)
 
 
@@ -67,14 +68,14 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The low 16 bits of the minimum of each hash function over the set."""
+    """The low byte of the minimum of each hash function over the set: unequal minima agree in it once in 256 times."""
     a, b = _family()
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(a), 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
         for i in range(0, len(low), 256):
             least = np.minimum(least, (low[None, i : i + 256] * a[:, None] + b[:, None]).min(1))
-    return (least & np.uint32(0xFFFF)).astype("<u2")
+    return (least & np.uint32(0xFF)).astype(np.uint8)
 
 
 def _features(docs: DataFrame, size: int) -> DataFrame:
@@ -97,7 +98,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             data, _ = flat(b.column("sig"))
-            sig = data.view("<u2").reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
+            sig = data.reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
             h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
             with np.errstate(over="ignore"):
                 for i in range(ROWS):
@@ -131,7 +132,7 @@ def _surviving(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (flat(b.column(c))[0].view("<u2").reshape(b.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+            x, y = (flat(b.column(c))[0].reshape(b.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
             live, agreed = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for i, m in enumerate(least):
                 part = slice(i * BATCH, (i + 1) * BATCH)
@@ -142,6 +143,58 @@ def _surviving(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _across(live: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The surviving pairs (a, b) of different components in each bucket, block against block."""
+    sizes = live.groupBy("band").agg(F.count("*").alias("m"))
+    dealt = live.select("band", "id", "n", "c").join(sizes, "band").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "n", "c").join(classes.select("id", "sig"), "id")
+    percent = round(100 * threshold)
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        least = fewest_agreements(threshold)
+        p, q = group[0][1:3]
+        sig = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
+        own, ids, n, c = (np.array([g[i] for g in group]) for i in (3, 4, 5, 6))
+        for i in range(len(group) - 1):
+            ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+            if p != q:  # pairs within a block are met where the block meets itself
+                ok &= own[i + 1 :] != own[i]
+            left = np.flatnonzero(ok) + i + 1
+            agreed = np.zeros(len(left), np.int64)
+            for k, m in enumerate(least):
+                if not len(left):
+                    break
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                agreed = agreed + (sig[left, part] == sig[i, part]).sum(1)
+                left, agreed = left[agreed >= m], agreed[agreed >= m]
+            for j in left.tolist():
+                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()
+        for b in batches:
+            for row in zip(*(b.column(x).to_pylist() for x in ("band", "p", "q", "own", "id", "n", "c", "sig")), strict=True):
+                if group and row[:3] != group[-1][:3]:
+                    found.update(compare(group))
+                    group = []
+                    if len(found) > 10_000:
+                        yield pairs_of(found)
+                        found = set()
+                group.append(row)
+        if group:
+            found.update(compare(group))
+        yield pairs_of(found)
+
+    def pairs_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "id")
+    return parts.select("band", "p", "q", "own", "id", "n", "c", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose full sets have at least the similarity: 100 * intersection >= 100 * threshold * union."""
     percent = round(100 * threshold)
@@ -177,30 +230,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     classes = spark.read.parquet(f"{folder}/classes")
     texts = rows.join(features.filter("n > 0").select("id", "k1", "k2", "n").join(classes.select("id", "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi").select("id"), "id", "left_semi")
 
-    _bands(classes).write.parquet(f"{folder}/bands")
-    bands = spark.read.parquet(f"{folder}/bands")
-    crowded = bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
-    buckets = checkpointed(bands.join(crowded, "band"))
+    crowded = _bands(classes).groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    _bands(classes).join(crowded, "band").write.parquet(f"{folder}/buckets")
+    buckets = spark.read.parquet(f"{folder}/buckets")
+    met = buckets.groupBy("id").agg(F.sum("m").alias("met"))  # the text that a group's copies were made from meets the most
 
     near = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * round(100 * threshold)
     links = tried = None
     labels = None
     for turn in range(LEADER_ROUNDS + 2):
         if labels is None:
-            live = buckets.withColumn("c", F.col("id"))
+            live = buckets.drop("m").join(met, "id").withColumn("c", F.col("id"))
         else:
-            live = buckets.join(labels.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            live = buckets.drop("m").join(labels.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
             split = live.groupBy("band").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("m > 2 and c0 < c1").select("band")
             live = checkpointed(live.join(split, "band"))
             if live.isEmpty():
                 break
         if turn <= LEADER_ROUNDS:
-            order = F.col("id") if not turn else F.xxhash64(F.col("id"), F.lit(turn))
+            order = -F.col("met") if not turn else F.xxhash64(F.col("id"), F.lit(turn))
             leaders = live.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "n", "c")).alias("l")).select("band", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"))
-        else:  # the exact way for the rest
-            leaders = live.select("band", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("c").alias("lc"))
-        met = live.join(leaders, "band").filter((F.col("id") != F.col("lid")) & (F.col("c") != F.col("lc")) & near) if turn <= LEADER_ROUNDS else live.join(leaders, (live["band"] == leaders["band"]) & (F.col("id") < F.col("lid")) & (F.col("c") != F.col("lc")) & near)
-        pairs = met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+            compared = live.join(leaders, "band").filter((F.col("id") != F.col("lid")) & (F.col("c") != F.col("lc")) & near)
+            pairs = compared.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+        else:
+            pairs = _across(live, classes, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
