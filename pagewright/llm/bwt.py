@@ -4,8 +4,9 @@ A set's suffixes (one empty suffix for each string) are ordered by (text, number
 byte before each. Merging keeps each shard's order and refines an interleave of the shards: ``Z`` says from which shard
 each place's suffix comes. Given the interleave by the first h bytes, reading the shards' transforms along it and sorting
 stably by the bytes read gives the interleave by h + 1 bytes, because a byte's suffixes follow the order of their tails.
-No suffix is compared or sorted again. A place where blocks part at step h has a common prefix of h - 1 bytes with the
-place before, so the blocks that are left after ``depth`` steps are the intervals of suffixes that share ``depth`` bytes.
+No suffix is compared or sorted again. A step reads two bytes at once where their pairs fit 16 bits, so it goes from h to
+h + 2. A place where blocks part at a step has a common prefix of less than the step's depth with the place before, so
+the blocks that are left after ``depth`` bytes are the intervals of suffixes that share ``depth`` bytes.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ def _concatenated(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def suffix_order(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places in the order of (suffix up to its string's end, string): prefix doubling from five symbols on."""
+    """Places in the order of (suffix up to its string's end, string): prefix doubling from seven symbols on."""
     n = len(text)
     place = np.arange(n)
     left = np.flatnonzero(text == 0)
     until_end = left[np.searchsorted(left, place)] - place
-    rank, width = np.zeros(n, np.int64), 5
+    rank, width = np.zeros(n, np.int64), 7
     for i in range(width):
         rank = rank * 257 + np.where(i <= until_end, text[np.minimum(place + i, n - 1)], 0)
     longest = int(until_end.max()) + 1 if n else 0
@@ -52,47 +53,70 @@ class Shard:
     def __init__(self, strings: list[bytes]):
         self.text, self.owner, start = _concatenated(strings)
         self.order = suffix_order(self.text, self.owner)
-        before = self.text[self.order - 1]
-        before[self.order == start[self.owner[self.order]]] = 0
-        self.transform = before.astype(np.uint16)
+        at = self.order - start[self.owner[self.order]]
+        self.one = np.where(at > 0, self.text[self.order - 1], 0)
+        self.two = np.where(at > 1, self.text[self.order - 2], 0)
+        self.at = at  # of each suffix in its string
+        self.last = self.text[start + np.diff(np.append(start, len(self.text))) - 2]  # of each string
         self.offset = np.arange(len(self.text)) - start[self.owner]
         self.strings = len(strings)
 
 
+def _codes(shards: list[Shard], width: int, used: np.ndarray) -> list[np.ndarray]:
+    """What is read along the interleave: the ``width`` bytes before each suffix as one number. The suffixes that have
+    fewer before them stand for those without so many bytes of their own, which nothing leads to: the empty one and, for
+    width 2, the last byte alone."""
+    out = []
+    for s in shards:
+        one = np.searchsorted(used, s.one)
+        if width == 1:
+            out.append(one)
+            continue
+        code = np.searchsorted(used, s.two) * len(used) + one
+        second = s.at == 1
+        code[second] = np.searchsorted(used, s.last[s.owner[s.order[second]]]) * len(used)
+        code[s.at == 0] = 0
+        out.append(code)
+    return out
+
+
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """In merged order by ``depth`` bytes: each suffix's shard, its rank in the shard, and its common prefix with the
-    place before (``depth`` where they share that much)."""
+    """In merged order by ``depth`` bytes: each suffix's shard, its rank in the shard, and whether it shares ``depth`` bytes
+    with the place before. Strings must not be empty."""
     sizes = [len(s.order) for s in shards]
-    used = np.unique(np.concatenate([s.transform for s in shards]))
-    narrow = np.uint8 if len(used) <= 256 else np.uint16
-    transforms = [np.searchsorted(used, s.transform).astype(narrow) for s in shards]  # 0 stays 0
-    counts = np.bincount(np.concatenate(transforms), minlength=len(used))
-    heads = int(counts[0])  # the empty suffixes, which come first and are all different
-    starts = np.cumsum(counts) - counts  # of each byte's suffixes: a step never moves them
-    fixed = np.repeat(np.arange(len(shards)), [s.strings for s in shards]).astype(np.uint8)
+    used = np.unique(np.concatenate([s.text for s in shards]))  # 0 first
+    pairs = len(used) <= 256
     z = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8)
     block = np.zeros(len(z), np.int32)
-    parted = np.zeros(len(z), bool)
-    common = np.full(len(z), depth, np.int32)
-    symbol = np.empty(len(z), narrow)
     parts = np.empty(len(z), bool)
-    for step in range(1, depth + 1):
-        for i, t in enumerate(transforms):  # the shards' transforms, read along the interleave
-            symbol[z == i] = t
-        by_byte = np.argsort(symbol, kind="stable")
-        z, old = z[by_byte], block[by_byte]
-        np.not_equal(old[1:], old[:-1], out=parts[1:])
-        z[:heads], parts[: heads + 1], parts[starts] = fixed, True, True
-        common[parts & ~parted] = step - 1
-        parted[:] = parts
-        np.cumsum(parts, dtype=np.int32, out=block)
-        if int(block[-1]) == len(z):
-            break
-    common[:1] = 0
+    done = 0
+    for width in (2, 1) if pairs else (1,):
+        codes = [c.astype(np.uint16) for c in _codes(shards, width, used)]
+        counts = np.bincount(np.concatenate(codes))
+        starts = (np.cumsum(counts) - counts)[counts > 0]  # of each code's suffixes: a step never moves them
+        # places of the suffixes that nothing leads to, which are all different; their shards, in order, code by code
+        lone = [c[c % len(used) == 0] if width == 2 else c[c == 0] for c in codes]
+        keys = np.concatenate(lone)
+        order = np.argsort(keys, kind="stable")
+        fixed = np.repeat(np.arange(len(shards)), [len(x) for x in lone])[order].astype(np.uint8)
+        keys = keys[order].astype(np.int64)
+        where = (np.cumsum(counts) - counts)[keys] + np.arange(len(keys)) - np.searchsorted(keys, keys)
+        read = np.empty(len(z), np.uint16)
+        while done + width <= depth:
+            for i, c in enumerate(codes):  # the shards' transforms, read along the interleave
+                read[z == i] = c
+            by_code = np.argsort(read, kind="stable")
+            z, old = z[by_code], block[by_code]
+            np.not_equal(old[1:], old[:-1], out=parts[1:])
+            z[where], parts[where], parts[starts] = fixed, True, True
+            np.cumsum(parts, dtype=np.int32, out=block)
+            done += width
+            if int(block[-1]) == len(z):
+                done = depth
     rank = np.empty(len(z), np.int64)
     for i, n in enumerate(sizes):
         rank[z == i] = np.arange(n)
-    return z, rank, common
+    return z, rank, ~parts
 
 
 def repeated(strings: list[bytes], depth: int, shards: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -100,8 +124,8 @@ def repeated(strings: list[bytes], depth: int, shards: int = 2) -> list[tuple[np
     count = min(shards, len(strings))
     parts = [list(range(i, len(strings), count)) for i in range(count)]
     built = [Shard([strings[i] for i in p]) for p in parts]
-    z, rank, common = merged(built, depth)
-    edges = np.flatnonzero(common < depth)
+    z, rank, shares = merged(built, depth)
+    edges = np.flatnonzero(~shares)
     sizes = np.diff(np.concatenate((edges, [len(z)])))
     keep = sizes > 1
     inside = np.repeat(keep, sizes)

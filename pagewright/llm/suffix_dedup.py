@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.bwt import repeated
 from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, shared_folder, table
 
-LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 1024, 4, 1 << 18
+LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
 _NULL_ID = -(1 << 63)
 
 
@@ -173,17 +173,21 @@ def _with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
             begin = at[row] + start
             plain = np.flatnonzero(~crowded.astype(bool))
             out += zip(key[plain].tolist(), d[row[plain]].tolist(), start[plain].tolist(), n[plain].tolist(), own[plain].tolist(), begin[plain].tolist(), strict=True)
-            if len(plain) < len(row):
-                grams = gram_hashes(data)
+            if len(plain) < len(row):  # the crowded segments alone, one after another
+                rest = np.flatnonzero(crowded.astype(bool))
+                size = n[rest] + LENGTH - 1
+                first = np.cumsum(size) - size
+                place = np.arange(int(size.sum())) + np.repeat(begin[rest] - first, size)
+                grams = gram_hashes(data[place])
                 with np.errstate(over="ignore"):
-                    finer = np.zeros(len(data), np.uint64)
+                    finer = np.zeros(len(place), np.uint64)
                     for i in range(EXTRA_HASHES):
                         finer = mixed(finer + sliding_least(mixed(grams + np.uint64(i + 1)), LENGTH - GRAM + 1))
-                    for j in np.flatnonzero(crowded.astype(bool)).tolist():
-                        a, m = int(begin[j]), int(n[j])
-                        fine = mixed(finer[a : a + m] ^ key[j : j + 1].view(np.uint64)).view(np.int64)
-                        cut = np.concatenate(([0], np.flatnonzero(fine[1:] != fine[:-1]) + 1, [m])).tolist()
-                        out += [(int(fine[x]), int(d[row[j]]), int(start[j]) + x, y - x, bool(own[j]), a + x) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                for j, f in zip(rest.tolist(), first.tolist(), strict=True):
+                    a, m = int(begin[j]), int(n[j])
+                    fine = mixed(finer[f : f + m] ^ key[j : j + 1].view(np.uint64)).view(np.int64)
+                    cut = np.concatenate(([0], np.flatnonzero(fine[1:] != fine[:-1]) + 1, [m])).tolist()
+                    out += [(int(fine[x]), int(d[row[j]]), int(start[j]) + x, y - x, bool(own[j]), a + x) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             if out:
                 body = [data[a : a + m + LENGTH - 1].tobytes() for *_, m, _, a in out]
                 k, d_, s, m, o, _ = zip(*out, strict=True)
