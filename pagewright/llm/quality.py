@@ -3,10 +3,10 @@
 The method. A line is normalised (lower case, runs of white space to one space, trimmed) and hashed (MD5). For each
 host, the distinct documents that hold a line are counted, and a line held by more than
 ``max(min_docs, max_share * the host's distinct documents)`` is boilerplate and is removed. A document left with less
-than ``min_left`` of its words is depleted and rejected. Copies must not condemn each other: documents count as distinct
-by a one-value minimum hash over their own lines, so exact copies, and near copies that kept that line, count once.
+than ``min_left`` of its words is depleted and rejected. Copies must not condemn each other: documents with the same set
+of normalised lines count once; documents that differ in a line, as those built on one template do, count one by one.
 
-Scale. Each count is a partial aggregate, keyed by (host, line, document sketch), so that a line that a third of all
+Scale. Each count is a partial aggregate, keyed by (host, line, hash of the document's lines), so that a line that a third of all
 documents hold is spread over many keys. At most ``avg lines per document / max_share`` lines of a host pass its
 limit; they meet the lines again in a join, which broadcasts them only where their count was found small.
 
@@ -103,13 +103,9 @@ def _line_hashes(text_col: str) -> Column:
 def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(__host, line): the boilerplate of each host. One pass over the lines: an entry without a line counts the host's documents."""
     docs = docs.select(_host(host_col), F.array_sort(F.array_distinct(_line_hashes(text_col))).alias("__h")).filter(F.size("__h") > 0)
-    ends = [F.get("__h", i).alias(n) for n, i in (("__a", F.lit(0)), ("__b", F.lit(1)), ("__y", F.size("__h") - 2), ("__z", F.size("__h") - 1))]
-    held = docs.select("__host", *ends, F.explode(F.concat("__h", F.array(F.lit("")))).alias("line"))
-    least = F.when(F.col("line") == F.col("__a"), F.col("__b")).otherwise(F.col("__a"))
-    most = F.when(F.col("line") == F.col("__z"), F.col("__y")).otherwise(F.col("__z"))
-    sketch = F.concat(F.substring(F.coalesce(least, F.lit("")), 1, 16), F.substring(F.coalesce(most, F.lit("")), 1, 16))
-    held = held.select("__host", "line", sketch.alias("__sketch"))
-    held = held.groupBy("__host", "line").agg(F.count_distinct("__sketch").alias("__held"))
+    docs = docs.withColumn("__doc", F.md5(F.concat_ws("", "__h")))
+    held = docs.select("__host", "__doc", F.explode(F.concat("__h", F.array(F.lit("")))).alias("line"))
+    held = held.groupBy("__host", "line").agg(F.count_distinct("__doc").alias("__held"))
     held = checkpointed(held.filter((F.col("__held") > min_docs) | (F.col("line") == "")))
     hosts = held.filter(F.col("line") == "").select("__host", F.col("__held").alias("__docs"))
     limit = F.greatest(F.lit(float(min_docs)), max_share * F.col("__docs"))

@@ -337,6 +337,14 @@ def test_boilerplate_lines(spark):
     assert kept[3] == own(3) and kept[100] == rows[20][1]
 
 
+def test_template_lines(spark):
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    template = [f"template line {k}" for k in range(10)]
+    rows = [(i, "\n".join([*template[:5], own(i), *template[5:]]), "h") for i in range(12)]
+    got = {r.doc_id: r.text for r in quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: own(i) for i in range(12)}  # each own line makes a document of its own
+
+
 # 9 sharding
 
 
