@@ -179,6 +179,15 @@ def test_pages(spark):
     assert html_text.extracted(frame.filter("false")).count() == 0
 
 
+def test_pages_against_copies_and_inside_articles(spark):
+    plain = "<body><div>Menu</div><p>The whole story, told twice</p></body>"
+    story = lambda own: f"<article><p>{own * 9}</p><p>Share this story</p></article>"
+    rows = [(1, "http://a/p?id=1", plain), (2, "http://a/p?id=2", plain), (3, "http://b/1", story("one ")), (4, "http://b/2", story("two "))]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Menu\nThe whole story, told twice"  # copies don't empty each other
+    assert got[3] == ("one " * 9).strip() and got[4] == ("two " * 9).strip()
+
+
 # 5 repeated strings
 
 
