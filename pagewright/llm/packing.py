@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import shared_folder, table
 from pagewright.llm.tokens import tokenized
-from pagewright.llm.vocab import byte_level_encoder
+from pagewright.llm.vocab import library_byte_ids
 
 WINDOW, END_ID, MAX_QUEUES, WIDTH = 1024, 0, 1024, 2
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -94,7 +94,7 @@ def pieces_of(queue: np.ndarray, at: np.ndarray, n: np.ndarray, totals: np.ndarr
     return {k: x[some] for k, x in {"doc": doc, "start": start - at[doc], "length": end - start, "sequence_id": seq, "offset": before + start - a}.items()}
 
 
-def packed(docs: DataFrame, path: str, encoder=byte_level_encoder, end_id: int | None = END_ID, window: int = WINDOW, weights: dict[str, float] | None = None, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def packed(docs: DataFrame, path: str, encoder=library_byte_ids, end_id: int | None = END_ID, window: int = WINDOW, weights: dict[str, float] | None = None, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The pieces of all documents. ``weights``: target shares by source (in proportion; default: each source's tokens)."""
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))

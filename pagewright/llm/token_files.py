@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import parts_for, quantiles, range_of, shared_folder, table
 from pagewright.llm.tokens import tokenized
-from pagewright.llm.vocab import word_encoder
+from pagewright.llm.vocab import library_word_ids
 
 END_ID, WIDTH = 1, 2
 _NULL_ID = -(1 << 63)
@@ -40,7 +40,7 @@ def _file(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
     return fs, f"{path}/{name}"
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, encoder=word_encoder, end_id: int | None = END_ID, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+def write_token_files(docs: DataFrame, folder: str, path: str, encoder=library_word_ids, end_id: int | None = END_ID, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
     """Writes the shards below ``folder`` and returns the manifest: (shard, name, n_docs, n_tokens), ascending."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.col(text_col).alias("text"))
     splitters = quantiles(rows, "k", parts_for(docs))

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from pagewright.llm import bwt, components, fingerprint, html_text, masked_lm, minhash, packing, quality, sharding, suffix_dedup, token_files, transducer
 from pagewright.llm.common import PrefixHash, shared_folder, table, words_of
-from pagewright.llm.vocab import byte_level_encoder, read_ranks, word_encoder
+from pagewright.llm.vocab import byte_level_encoder, library_byte_ids, library_word_ids, read_ranks, word_encoder
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, text_crc32 string"
@@ -143,6 +143,19 @@ def test_encoders_equal_the_library():
             assert ours(t) == tokens.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_library(spark):
+    marked = [*TEXTS, "hello <|endoftext|> world", "<|startoftext|>a<|ENDOFTEXT|>", "it's \u1c89\ua7cb", "Über naïve cafés"]
+    for name, make in (("byte_bpe_50k.json", library_byte_ids), ("word_bpe_49k.json", library_word_ids)):
+        tokens = Tokenizer.from_file(public_tokenizers.path(name))
+        assert [make(public_tokenizers.path(name))(t) for t in marked] == [tokens.encode(t, add_special_tokens=False).ids for t in marked]
+    rows = spark.createDataFrame([(1, "hello <|endoftext|> world", "a")], "doc_id long, text string, source string")
+    (piece,) = packing.packed(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert (piece.doc_tokens, piece.ids_crc32) == (5, zlib.crc32(np.array([31373, 220, 50256, 995, 0], "<u4").tobytes()))
+    folder, path = shared_folder(spark), public_tokenizers.path("word_bpe_49k.json")
+    (row,) = token_files.read_token_files(spark, folder, token_files.write_token_files(rows, folder, path)).collect()
+    assert row.n_tokens == 4
+
+
 # 4 pages
 
 
