@@ -10,7 +10,9 @@ All windows but the last are full: only the last is padded. Documents are cut fr
 
 Scale. Texts are tokenised once, into a table in the shared folder with each document's place in its (part, queue);
 the places' bases are prefix sums over one row for each part and queue; a document finds its pieces by itself. The
-driver holds a total for each queue, at most ``MAX_QUEUES``: more sources than that share queues by hash.
+driver holds a name and a total for each queue. Up to ``MAX_QUEUES`` each task works out the deficits of all queues at
+the windows it meets; beyond, tasks rank the tokens of slices of virtual time once, which gives the first token (virtual
+time, queue) of every window, and the driver and tasks hold those, 16 bytes a window. Both ways give the same rows.
 
 Defined results. Null text: the end id alone. Null source: a queue of its own. Null or repeated ids, and repeated rows:
 a document each. An empty table: no rows. Extra columns don't take part.
@@ -33,6 +35,8 @@ from pagewright.llm.tokens import tokenized
 from pagewright.llm.vocab import library_byte_ids
 
 WINDOW, END_ID, MAX_QUEUES, WIDTH = 1024, 0, 1024, 2
+#: Tokens, or so, of a slice of virtual time.
+SLICE = 1 << 19
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -94,14 +98,52 @@ def pieces_of(queue: np.ndarray, at: np.ndarray, n: np.ndarray, totals: np.ndarr
     return {k: x[some] for k, x in {"doc": doc, "start": start - at[doc], "length": end - start, "sequence_id": seq, "offset": before + start - a}.items()}
 
 
+def _before(t: np.ndarray, totals: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How many tokens of each queue have a virtual time below t."""
+    n = np.clip(np.floor(t * w + 0.5), 0, totals)
+    n -= (n > 0) & ((2 * n - 1) / (2 * w) >= t)  # a rounded threshold
+    n += (n < totals) & ((2 * n + 1) / (2 * w) < t)
+    return n.astype(np.int64)
+
+
+def window_starts(spark: SparkSession, totals: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The first token of each window, as virtual time + queue * 1j: complex numbers are ordered by both in turn."""
+    w, total = weights.astype(np.float64), int(totals.sum())
+    order = np.argsort(totals / w, kind="stable")
+    ends = np.concatenate(([0.0], (totals / w)[order]))  # virtual times at which a queue runs out
+    live = w.sum() - np.concatenate(([0.0], np.cumsum(w[order])[:-1]))
+    served = np.concatenate(([0.0], np.cumsum(np.diff(ends) * live)))
+    slices = -(-total // SLICE)
+    cuts = np.interp(np.arange(1, slices) * float(SLICE), served, ends)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column("id").to_pylist()):
+            lo = _before(cuts[i - 1], totals, w) if i else np.zeros(len(w), np.int64)
+            n = (_before(cuts[i], totals, w) if i + 1 < slices else totals) - lo
+            q = np.repeat(np.arange(len(w)), n)
+            j = np.arange(len(q)) - np.repeat(np.cumsum(n) - n - lo, n)
+            t = (2 * j + 1) / (2 * w[q])
+            firsts = np.lexsort((q, t))[-int(lo.sum()) % window :: window]
+            yield pa.RecordBatch.from_arrays([pa.array(t[firsts]), pa.array(q[firsts])], ["t", "q"])
+
+    found = spark.range(0, slices, 1, max(1, slices)).mapInArrow(rank, "t double, q long").toArrow()
+    return np.sort(found.column("t").to_numpy() + 1j * found.column("q").to_numpy())
+
+
+def _cut_at(starts: np.ndarray, queue: int, at: int, n: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and window of the pieces of one document."""
+    t = (2 * np.arange(at, at + n) + 1) / (2 * weight)
+    seq = np.searchsorted(starts, t + 1j * queue, "right") - 1
+    first = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
+    return first, np.diff(np.append(first, n)), seq[first]
+
+
 def packed(docs: DataFrame, path: str, encoder=library_byte_ids, end_id: int | None = END_ID, window: int = WINDOW, weights: dict[str, float] | None = None, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The pieces of all documents. ``weights``: target shares by source (in proportion; default: each source's tokens)."""
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), name.alias("source"))
-    sources = docs.select(name.alias("source")).distinct().count()
-    queue = F.col("source") if sources <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
-    rows = rows.withColumn("queue", queue)
+    rows = rows.withColumn("queue", F.col("source"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, upto = TaskContext.get().partitionId(), {}
@@ -120,10 +162,13 @@ def packed(docs: DataFrame, path: str, encoder=library_byte_ids, end_id: int | N
 
     sums = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("__n"))
     bases = sums.withColumn("base", F.sum("__n").over(Window.partitionBy("queue").orderBy("part")) - F.col("__n")).select("part", "queue", "base")
-    found = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("__n").alias("n")).collect()}
+    found = dict(zip(*(c.to_pylist() for c in sums.groupBy("queue").agg(F.sum("__n").alias("n")).toArrow().columns), strict=True))
     names = sorted(q for q, n in found.items() if n)
     totals = np.array([found[q] for q in names], np.int64)
     share = totals.astype(np.float64) if weights is None else np.array([weights.get(q[1:], 0) or 1e-9 for q in names])
+    if len(names) > MAX_QUEUES:
+        numbers = spark.createDataFrame(pa.table({"queue": names, "q": np.arange(len(names))}))
+        return _packed_by_starts(tokens.join(bases.join(numbers, "queue"), ["part", "queue"]), window_starts(spark, totals, share, window), share, width, kind)
     number = {q: i for i, q in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,5 +189,28 @@ def packed(docs: DataFrame, path: str, encoder=library_byte_ids, end_id: int | N
     return placed.mapInArrow(cut, PIECES.format(id=kind)).withColumn("source", F.when(F.col("source") != "-", F.expr("substring(source, 2)")))
 
 
+def _packed_by_starts(placed: DataFrame, starts: np.ndarray, share: np.ndarray, width: int, kind: str) -> DataFrame:
+    """The pieces where the windows' first tokens are known; a window's queues, in order, give the offsets."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256).filter(pa.compute.greater(batch.slice(lo, 256).column("n_tokens"), 0))
+                if not b.num_rows:
+                    continue
+                n, q, at = b.column("n_tokens").to_numpy(), b.column("q").to_numpy(), b.column("at").to_numpy() + b.column("base").to_numpy()
+                found = [_cut_at(starts, *x, share[x[0]]) for x in zip(q.tolist(), at.tolist(), n.tolist(), strict=True)]
+                start, length, seq = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+                wide = [memoryview(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
+                crc = [zlib.crc32(wide[d][4 * s : 4 * (s + m)]) for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                of = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(at[doc] + start), b.column("source").take(of), pa.array(q[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "q"])
+
+    pieces = placed.mapInArrow(cut, PIECES.format(id=kind) + ", q long")
+    upto = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("q", "offset")) - F.col("length")  # offset: the place in the queue so far
+    return pieces.withColumn("offset", upto).drop("q").withColumn("source", F.when(F.col("source") != "-", F.expr("substring(source, 2)")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -115,6 +115,20 @@ def test_packing(spark, docs):
     assert set(sizes[:-1]) == {1024}
 
 
+def test_packing_of_many_sources(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.choice((5, 5, 40, 300)))), rng.choice([None, *map(str, range(12))])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
+    weights = {str(i): float(1 + i % 4) for i in range(12)}
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    run = lambda w: sorted(map(tuple, packing.packed(frame, byte, window=64, weights=w).collect()))
+    want = [run(w) for w in (None, weights)]
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    assert [run(w) for w in (None, weights)] == want
+    monkeypatch.setattr(packing, "SLICE", 100)
+    assert [run(w) for w in (None, weights)] == want
+
+
 def test_token_files(spark, docs, odd):
     got = token_files.op3_token_files(spark, SF).toPandas().sort_values("doc_id")
     tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
