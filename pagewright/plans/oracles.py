@@ -156,6 +156,12 @@ _ESC = r"""replace(replace(replace({}, '\', '\\'), '"', '\"'), chr(10), '\n')"""
 SQL["active_dataset_hash"] = f"""
 with {_QP}, g as (select id, question, coalesce(string_agg('["' || document_id || '", ' || page || ']', ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question)
 select id, sha256('{{"id": ' || id || ', "pages": [' || pages || '], "question": "' || {_ESC.format('question')} || '"}}') as item_sha256 from g"""
+SQL["dataset_hash"] = f"""
+with q as (select conv_id * 1000 + turn as id, conv_id, text as question from conversations where role = 'user'),
+p as (select distinct id, conv_id::varchar as document_id, (c.turn + 1)::int as page from q join conversations c using (conv_id) where c.role = 'assistant'),
+g as (select id, question, coalesce(string_agg('["' || document_id || '", ' || page || ']', ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question),
+i as (select id, sha256('{{"id": ' || id || ', "pages": [' || pages || '], "question": "' || {_ESC.format('question')} || '"}}') as item from g)
+select sha256(string_agg(item, '' order by id)) as dataset_hash from i"""
 SQL["unique_name_antijoin"] = """
 with w as (select distinct upper(source) || case when lang = 'en' then ' ' else '-' || lang end as name from documents)
 select name from w where lower(trim(name)) not in (select lower(trim(source)) from documents where lang = 'en')"""

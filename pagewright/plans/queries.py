@@ -263,6 +263,16 @@ def active_dataset_hash(spark, d):
     return store.dataset_items(*_question_table(spark, d))
 
 
+@query
+def dataset_hash(spark, d):
+    """Of the questions of all conversations."""
+    t = table(spark, d, "conversations")
+    q = t.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("text").alias("question"), F.lit(True).alias("active"))
+    answers = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).cast("int").alias("page"))
+    p = q.join(answers, "conv_id").select(F.col("id").alias("question_id"), F.col("conv_id").cast("string").alias("document_id"), "page")
+    return store.dataset_hash(q.drop("conv_id"), p)
+
+
 @query
 def unique_name_antijoin(spark, d):
     taken = table(spark, d, "documents").filter("lang = 'en'").select(F.col("source").alias("name")).distinct()
