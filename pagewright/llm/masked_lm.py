@@ -6,8 +6,8 @@ softmax give the word's class, and the word's share of its class (from corpus co
 probabilities of all ids add up to one. A document's score is the sum of the log-probabilities of all its words, each
 predicted from both sides. Classes are bins of equal corpus frequency.
 
-Training. Each partition starts from the same weights and goes once through all its documents, masking one word in
-``MASK``, with Adagrad; the partitions' networks are averaged by trained words, in a tree whose tasks add up ``FAN_IN``
+Training. Each partition starts from the same weights and goes once through all words of its documents, each masked
+once, in random order within a block, with Adagrad; the partitions' networks are averaged by trained words, in a tree whose tasks add up ``FAN_IN``
 networks or so. Counts and training cover all documents, and what they gather grows with the number of partitions.
 
 Scale. One pass counts, one trains, one scores; no text is shuffled. The driver and each task hold one network (about 2
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import PrefixHash, blocks, flat, shared_folder, table, words_of
 
-BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, MASK, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 3, 24, 128, 6, 0.15, 2048, 8
+BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 3, 24, 128, 0.15, 2048, 8
 _SIZES = {"left": (INPUTS + 1, WIDTH), "right": (INPUTS + 1, WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,)}
 
 
@@ -167,8 +167,7 @@ def trained(docs: DataFrame, classes: np.ndarray, text_col: str = "text") -> Net
         draw = np.random.default_rng(11)
         for b in blocks(batches, text_col):
             ids, edges = word_ids(b.column(text_col))
-            masked = np.flatnonzero(draw.integers(0, MASK, len(ids)) == 0)
-            draw.shuffle(masked)
+            masked = draw.permutation(len(ids))  # each word is a target once
             around = contexts(ids, edges)
             for i in range(0, len(masked), BATCH):
                 m = masked[i : i + BATCH]

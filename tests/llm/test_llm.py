@@ -420,6 +420,22 @@ def test_masked_model(spark, odd):
     assert len(got) == len(ODD) and set(got[got.n_words == 0].log_prob) == {0.0} and masked_lm.scored(odd.filter("false")).count() == 0
 
 
+def test_every_word_is_a_target(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(masked_lm.Network, "train", lambda self, around, wanted, sums: seen.append(len(wanted)))
+    monkeypatch.setattr(masked_lm, "_averaged", lambda models: models)
+
+    class Rows:  # runs the task here
+        def select(self, name):
+            return self
+
+        def mapInArrow(self, task, schema):
+            return list(task(iter([pa.RecordBatch.from_arrays([pa.array(["a b c", "d", None, "e f " * 3000])], ["text"])])))
+
+    (out,) = masked_lm.trained(Rows(), np.zeros(masked_lm.BUCKETS, np.int64))
+    assert sum(seen) == out.column("words")[0].as_py() == 6004
+
+
 # the pipeline
 
 
