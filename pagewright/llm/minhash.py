@@ -7,18 +7,23 @@ agreements in n, under a uniform prior, the posterior chance that the similarity
 ``P(Binomial(n + 1, t) <= m)``; a pair falls out when that is below ``MISS``. Survivors are verified on their full sets.
 A pair at similarity 0.8 shares no band with a chance of 3e-6.
 
-No bucket emits all its pairs. Each member is first compared with one leader of its bucket, the one that meets the most
-others in all its bands: near copies of one text agree with that text more than with each other. Links then give components,
-and only buckets that still hold several components go on: with other leaders, then (the exact way for the rest) block
-against block: members are dealt to blocks of about ``BLOCK``, a task compares the signatures of two blocks across
-components as arrays, and only pairs that survive the Bayesian test become rows. A link between classes that are in one component by other links isn't looked for: it changes no component.
-
-Scale. The row of a class moves as its signature (252 bytes) and its bands; full sets move for surviving pairs
-alone. Rows of a hot bucket or leader are split by adaptive execution. Nothing but counts reaches the driver.
+No bucket emits its pairs. First each member is compared with one leader of its bucket, the one that meets the most
+others in all its bands: near copies of one text agree with that text more than with each other. The links give
+components. Only buckets that still hold several components go on. Their members are put into blocks of about ``BLOCK``
+(members of buckets with the same commonest component share blocks), once each whatever number of buckets they are in;
+the members outside a bucket's commonest component visit the blocks of its members. A task holds a block and streams
+its visitors: signatures first, then the full sets, and only links that join two components become rows, so a block
+emits fewer links than it has components. A link between classes that are in one component by other links isn't looked
+for: it changes no component.
+
+Scale. The row of a class moves as its bands (16 bytes each) and, if it shares a bucket with another, as its signature
+and its set. Texts are read twice and moved once, those of shared buckets alone. Hot buckets and leaders are sides of
+joins that adaptive execution splits; crowded blocks are split by their visitors. Only counts reach the driver.
 
 Defined results. Null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle: one shingle of
-them all. Null id: as an id before all ids, null in the result. Rows that share an id are one vertex, in a row each.
-An empty table: no rows. Extra columns don't take part.
+them all. Very long texts: a row of the set is held by one task. Null id: as an id before all ids, null in the result.
+Rows that share an id are one vertex, in a row each. Ties: the least id stands for a class or component. An empty table:
+no rows. Extra columns don't take part.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, mixed, shared_folder, table, words_of
 from pagewright.llm.components import components
 
-BANDS, ROWS, BATCH, MISS, LEADER_ROUNDS, BLOCK = 42, 6, 36, 1e-9, 2, 1024
+BANDS, ROWS, BATCH, MISS, BLOCK = 42, 6, 36, 1e-9, 256
+#: Most ids (about 50 bytes each) that a join broadcasts; beyond, both sides are shuffled.
+MAX_BROADCAST = 1_000_000
 _NULL_ID = -(1 << 63)
 
 
@@ -91,7 +98,7 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, id, n): a row for each class and band."""
+    """(band, id): a row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,9 +111,9 @@ def _bands(classes: DataFrame) -> DataFrame:
                 for i in range(ROWS):
                     h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
             rows = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), b.column("id").take(rows), b.column("n").take(rows)], ["band", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), b.column("id").take(rows)], ["band", "id"])
 
-    return classes.select("id", "n", "sig").mapInArrow(run, "band long, id long, n long")
+    return classes.select("id", "sig").mapInArrow(run, "band long, id long")
 
 
 @lru_cache(maxsize=8)
@@ -122,154 +129,174 @@ def fewest_agreements(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _surviving(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose signatures leave a chance of similarity."""
-    sig = classes.select("id", "sig")
-    joined = pairs.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
+def _agreeing(sig: np.ndarray, others: np.ndarray, live: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which of the rows ``live`` of ``others`` survive the comparison with ``sig`` (one signature, or one for each row)."""
+    agreed = np.zeros(len(live), np.int64)
+    for i, m in enumerate(least):
+        if not len(live):
+            break
+        part = slice(i * BATCH, (i + 1) * BATCH)
+        agreed = agreed + (others[live, part] == (sig[part] if sig.ndim == 1 else sig[live, part])).sum(1)
+        live, agreed = live[agreed >= m], agreed[agreed >= m]
+    return live
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = fewest_agreements(threshold)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (flat(b.column(c))[0].reshape(b.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
-            live, agreed = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for i, m in enumerate(least):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                agreed[live] += (x[live, part] == y[live, part]).sum(1)
-                live = live[agreed[live] >= m]
-            yield b.select(["a", "b"]).take(pa.array(live))
-
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _across(live: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The surviving pairs (a, b) of different components in each bucket, block against block."""
-    sizes = live.groupBy("band").agg(F.count("*").alias("m"))
-    dealt = live.select("band", "id", "n", "c").join(sizes, "band").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "n", "c").join(classes.select("id", "sig"), "id")
-    percent = round(100 * threshold)
 
-    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        least = fewest_agreements(threshold)
-        p, q = group[0][1:3]
-        sig = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
-        own, ids, n, c = (np.array([g[i] for g in group]) for i in (3, 4, 5, 6))
-        for i in range(len(group) - 1):
-            ok = (c[i + 1 :] != c[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
-            if p != q:  # pairs within a block are met where the block meets itself
-                ok &= own[i + 1 :] != own[i]
-            left = np.flatnonzero(ok) + i + 1
-            agreed = np.zeros(len(left), np.int64)
-            for k, m in enumerate(least):
-                if not len(left):
-                    break
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                agreed = agreed + (sig[left, part] == sig[i, part]).sum(1)
-                left, agreed = left[agreed >= m], agreed[agreed >= m]
-            for j in left.tolist():
-                yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+def _similar(both: int, n: int, m: int, percent: int) -> bool:
+    return 100 * both >= percent * (n + m - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: set[tuple[int, int]] = set()
-        for b in batches:
-            for row in zip(*(b.column(x).to_pylist() for x in ("band", "p", "q", "own", "id", "n", "c", "sig")), strict=True):
-                if group and row[:3] != group[-1][:3]:
-                    found.update(compare(group))
-                    group = []
-                    if len(found) > 10_000:
-                        yield pairs_of(found)
-                        found = set()
-                group.append(row)
-        if group:
-            found.update(compare(group))
-        yield pairs_of(found)
-
-    def pairs_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    parts = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "id")
-    return parts.select("band", "p", "q", "own", "id", "n", "c", "sig").mapInArrow(run, "a long, b long").distinct()
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets have at least the similarity: 100 * intersection >= 100 * threshold * union."""
-    percent = round(100 * threshold)
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, n, sig, set) of the wanted classes, from the texts of their first documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size)], pa.binary())], ["id", "set"])
+            sets = shingle_sets(b.column("text"), size)
+            with np.errstate(over="ignore"):
+                own = np.array([s.sum() for s in sets], np.uint64).view(np.int64) == b.column("k1").to_numpy()  # rows may share an id
+            own &= np.array([len(s) for s in sets], np.int64) == b.column("n").to_numpy()
+            out = pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), b.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sig", "set"])
+            yield out.filter(pa.array(own))
+
+    few = wanted.count() <= MAX_BROADCAST
+    asked = rows.join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi").join(F.broadcast(wanted) if few else wanted, "id")
+    return asked.select("id", "text", "k1", "n", "sig").mapInArrow(run, "id long, n long, sig binary, set binary")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that survive the Bayesian test and whose full sets have at least the similarity."""
+    percent = round(100 * threshold)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = fewest_agreements(threshold)
         for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (flat(b.column(c))[0].reshape(b.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
             keep = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(len(p)) and 100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for i in _agreeing(x, y, np.arange(b.num_rows), least).tolist():
+                p, q = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
+                if _similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), percent):
+                    keep.append(i)
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    named = lambda x: sets.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("set").alias(f"set_{x}"))
+    joined = pairs.join(named("a"), "a").join(named("b"), "b")
+    return joined.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+
+
+class _Block:
+    """The members of a block, with their labels so far; ``links`` compares a visitor with all of them."""
+
+    def __init__(self, rows: pa.Table, threshold: float):
+        self.id, self.c, self.n = (rows.column(x).to_numpy().copy() for x in ("id", "c", "n"))
+        self.sig = flat(rows.column("sig"))[0].reshape(len(self.id), BANDS * ROWS)
+        data, at = flat(rows.column("set"))
+        self.known, self.of = np.unique(np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)
+        self.edge = at // 8
+        self.percent, self.least = round(100 * threshold), fewest_agreements(threshold)
+        self.same: dict[int, int] = {}
+
+    def label(self, c: int) -> int:
+        while c in self.same:
+            c = self.same[c]
+        return c
+
+    def links(self, vid: int, c: int, n: int, sig: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """A link for each component of which a member is similar to the visitor."""
+        c = self.label(c)
+        near = (self.c != c) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n))
+        live = _agreeing(sig, self.sig, np.flatnonzero(near), self.least)
+        if not len(live):
+            return
+        held = np.zeros(len(self.known), bool)
+        where = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        held[where[self.known[where] == hashes]] = True
+        for j in live.tolist():
+            if self.c[j] != c and _similar(int(held[self.of[self.edge[j] : self.edge[j + 1]]].sum()), n, int(self.n[j]), self.percent):
+                yield min(vid, int(self.id[j])), max(vid, int(self.id[j]))
+                old = int(self.c[j])
+                self.same[old] = c
+                self.c[self.c == old] = c
+
+
+def _across(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components ``c`` of the rows (band, id, c) of unsettled buckets: enough to join all that a
+    similar pair of a bucket joins."""
+    commonest = live.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("top"))
+    rows = checkpointed(live.join(commonest, "band"))
+    home = rows.groupBy("id").agg(F.min("c").alias("c"), F.min("top").alias("place"))
+    sizes = home.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    home = checkpointed(home.join(sizes, "place").select("id", "c", "place", F.pmod(F.xxhash64("id"), "parts").alias("part")))
+    blocks_of = rows.join(home.select("id", "place", "part"), "id").select("band", "place", "part").distinct()
+    visits = rows.filter("c <> top").select("band", "id").join(blocks_of, "band").select("id", "place", "part").distinct()
+    visits = checkpointed(visits)
+    crowds = visits.groupBy("place", "part").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
+    visitors = visits.join(crowds, ["place", "part"]).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns")).join(home.select("id", "c"), "id")
+    members = home.join(crowds, ["place", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    keys = ["place", "part", "turn"]
+    both = members.select(*keys, F.lit(0).alias("role"), "id", "c").unionByName(visitors.select(*keys, F.lit(1).alias("role"), "id", "c"))
 
-    full = docs.join(used, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, set binary")
-    joined = pairs.join(full.withColumnsRenamed({"id": "a", "set": "set_a"}), "a").join(full.withColumnsRenamed({"id": "b", "set": "set_b"}), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block, out = None, [], None, []
+        for b in batches:
+            k = list(zip(*(b.column(x).to_pylist() for x in keys), strict=True))
+            role = b.column("role").to_pylist()
+            for i in range(b.num_rows):
+                if k[i] != key:
+                    key, held, block = k[i], [], None
+                if not role[i]:
+                    held.append(b.slice(i, 1))
+                    continue
+                if held:
+                    block, held = _Block(pa.Table.from_batches(held), threshold), []
+                if block is None:
+                    continue
+                sig, hashes = (b.column(x)[i].as_buffer() for x in ("sig", "set"))
+                out += block.links(b.column("id")[i].as_py(), b.column("c")[i].as_py(), b.column("n")[i].as_py(), np.frombuffer(sig, np.uint8), np.frombuffer(hashes, np.uint64))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = both.join(sets, "id").repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+    return dealt.select(*keys, "role", "id", "c", "n", "sig", "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+    """(id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     folder = shared_folder(spark)
-    _features(rows, size).write.parquet(f"{folder}/features")
-    features = spark.read.parquet(f"{folder}/features")
-    grouped = features.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
-    grouped.select("id", "n", "k1", "k2", "sig").write.parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
-    texts = rows.join(features.filter("n > 0").select("id", "k1", "k2", "n").join(classes.select("id", "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi").select("id"), "id", "left_semi")
 
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    features = stored(_features(rows, size), "features")
+    grouped = features.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
+    classes = stored(grouped.select("id", "n", "k1", "k2", "sig"), "classes")
     crowded = _bands(classes).groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-    _bands(classes).join(crowded, "band").write.parquet(f"{folder}/buckets")
-    buckets = spark.read.parquet(f"{folder}/buckets")
+    buckets = stored(_bands(classes).join(crowded, "band"), "buckets")
     met = buckets.groupBy("id").agg(F.sum("m").alias("met"))  # the text that a group's copies were made from meets the most
+    n, distinct = features.agg(F.count("*"), F.count_distinct("id")).first()
+    wanted = classes.join(met.select("id"), "id", "left_semi").select("id", "k1", "n", "sig")
+    sets = stored(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size), "sets")
 
-    near = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * round(100 * threshold)
-    links = tried = None
-    labels = None
-    for turn in range(LEADER_ROUNDS + 2):
-        if labels is None:
-            live = buckets.drop("m").join(met, "id").withColumn("c", F.col("id"))
-        else:
-            live = buckets.drop("m").join(labels.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            split = live.groupBy("band").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("m > 2 and c0 < c1").select("band")
-            live = checkpointed(live.join(split, "band"))
-            if live.isEmpty():
-                break
-        if turn <= LEADER_ROUNDS:
-            order = -F.col("met") if not turn else F.xxhash64(F.col("id"), F.lit(turn))
-            leaders = live.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "n", "c")).alias("l")).select("band", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"))
-            compared = live.join(leaders, "band").filter((F.col("id") != F.col("lid")) & (F.col("c") != F.col("lc")) & near)
-            pairs = compared.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
-        else:
-            pairs = _across(live, classes, threshold)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = checkpointed(_linked(checkpointed(_surviving(pairs, classes, threshold)), texts, size, threshold))
-        links = found if links is None else checkpointed(links.unionByName(found))
-        labels = components(links)
-
-    out = features.join(classes.select(F.col("id").alias("rep"), "k1", "k2", "n"), ["k1", "k2", "n"], "left")
-    if labels is not None:
-        out = out.join(labels.withColumnsRenamed({"v": "rep"}), "rep", "left")
-    else:
-        out = out.withColumn("component", F.col("rep"))
-    component = F.coalesce("component", "rep", "id")
+    percent = round(100 * threshold)
+    weighed = buckets.select("band", "id").join(met, "id").join(classes.select("id", "n"), "id")
+    leaders = weighed.groupBy("band").agg(F.max(F.struct("met", -F.col("id"), "id", "n")).alias("l")).select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
+    beside = weighed.join(leaders, "band").filter((F.col("id") != F.col("lead")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    pairs = checkpointed(beside.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    first = components(stored(_linked(pairs, sets, threshold), "first_links"))
+
+    live = buckets.filter("m > 2").select("band", "id").join(first.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    unsettled = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
+    found = stored(_across(checkpointed(live.join(unsettled, "band", "left_semi")), sets, threshold), "links")
+    label = lambda x: found.select(x).join(first.select(F.col("v").alias(x), F.col("component").alias(f"c{x}")), x, "left").select(x, F.coalesce(f"c{x}", x).alias(f"c{x}")).distinct()
+    joined = found.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    second = components(joined).select(F.col("v").alias("component"), F.col("component").alias("last"))
+
+    out = features.join(classes.select(F.col("id").alias("rep"), "k1", "k2", "n"), ["k1", "k2", "n"], "left").join(first.withColumnsRenamed({"v": "rep"}), "rep", "left")
+    out = out.withColumn("component", F.coalesce("component", "rep")).join(second, "component", "left")
+    component = F.coalesce("last", "component", "id")
     shown = lambda c: F.when(c != F.lit(_NULL_ID), c)
     return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
