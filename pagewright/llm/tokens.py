@@ -15,10 +15,12 @@ def id_bytes(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-def tokenized(docs: DataFrame, encoder: Callable[[str], Callable[[str], list[int]]], path: str, end_id: int | None, width: int = 2, text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, encoder: Callable[[str], Callable[[str], list[int]]], path: str, end_id: int | None, width: int = 2, text_col: str = "text", then: Callable | None = None, then_schema: str | None = None) -> DataFrame:
     """The rows without their text, with ``ids`` (binary, ``width`` bytes an id, ``end_id`` last) and ``n_tokens``.
 
-    ``encoder(path)`` gives a worker its encoder. Null text is empty. Columns named ids or n_tokens give way.
+    ``encoder(path)`` gives a worker its encoder. Null text is empty. Columns named ids or n_tokens give way. ``then``
+    goes on with a task's batches in the same Python worker, to ``then_schema``: a second operator would start workers of
+    its own, and workers that are used again for either would each hold an encoder.
     """
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "n_tokens")]
     kind, end = np.dtype(f"<u{width}"), [] if end_id is None else [end_id]
@@ -34,4 +36,5 @@ def tokenized(docs: DataFrame, encoder: Callable[[str], Callable[[str], list[int
                 columns = [b.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], [*names, "ids", "n_tokens"])
 
-    return docs.select(*names, text_col).mapInArrow(encode, schema)
+    rows = docs.select(*names, text_col)
+    return rows.mapInArrow(lambda batches: then(encode(batches)), then_schema) if then else rows.mapInArrow(encode, schema)
