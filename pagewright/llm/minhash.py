@@ -42,7 +42,7 @@ from pagewright.llm.components import components
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 42, 6, 36, 1e-9, 256
 #: Most ids (about 50 bytes each) that a join broadcasts; beyond, both sides are shuffled.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 500_000
 _NULL_ID = -(1 << 63)
 
 
@@ -154,12 +154,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 own = np.array([s.sum() for s in sets], np.uint64).view(np.int64) == b.column("k1").to_numpy()  # rows may share an id
             own &= np.array([len(s) for s in sets], np.int64) == b.column("n").to_numpy()
-            out = pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), b.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sig", "set"])
-            yield out.filter(pa.array(own))
+            keep = pa.array(np.flatnonzero(own))
+            sets = [sets[i] for i in keep.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(keep), b.column("n").take(keep), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sig", "set"])
 
     few = wanted.count() <= MAX_BROADCAST
-    asked = rows.join(F.broadcast(wanted.select("id")) if few else wanted.select("id"), "id", "left_semi").join(F.broadcast(wanted) if few else wanted, "id")
-    return asked.select("id", "text", "k1", "n", "sig").mapInArrow(run, "id long, n long, sig binary, set binary")
+    asked = rows.join(F.broadcast(wanted) if few else wanted, "id")
+    return asked.select("id", "text", "k1", "n").mapInArrow(run, "id long, n long, sig binary, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     buckets = stored(_bands(classes).join(crowded, "band"), "buckets")
     met = buckets.groupBy("id").agg(F.sum("m").alias("met"))  # the text that a group's copies were made from meets the most
     n, distinct = features.agg(F.count("*"), F.count_distinct("id")).first()
-    wanted = classes.join(met.select("id"), "id", "left_semi").select("id", "k1", "n", "sig")
+    wanted = classes.join(met.select("id"), "id", "left_semi").select("id", "k1", "n")
     sets = stored(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size), "sets")
 
     percent = round(100 * threshold)
