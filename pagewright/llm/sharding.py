@@ -104,11 +104,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     pieces, room = places_of(np.array([-b for b, _, _ in found], np.int64), total, shards)
     order = sorted(range(len(found)), key=lambda i: found[i][1])
     heavy = np.array([found[i][1] for i in order], np.int64)
-    heavy_ranges = [-(-found[i][2] // ROWS_A_RANGE) for i in order]
     light = rows.filter(~F.col("h").isin(heavy.tolist())) if found else rows
 
     rest = total + sum(b for b, _, _ in found)
     ranges = max(parts_for(docs), 2 * shards, -(-n // ROWS_A_RANGE))
+    heavy_ranges = [-(-found[i][2] * ranges // n) for i in order]
     splitters = quantiles_of(_sampled(light, SAMPLES_A_RANGE * ranges, rest, 1), ranges)
     for seed in range(2, 3 + ROUNDS):
         first = len(splitters) + 1 + np.cumsum([0, *heavy_ranges])
