@@ -1,20 +1,29 @@
-"""Document scores by masked pseudo-likelihood: a bidirectional window network, trained in numpy.
+"""Document scores by masked pseudo-likelihood: a bidirectional window network, trained in numpy, over corpus counts.
 
 The method. Words (ASCII letters lower-cased) are hashed to ``BUCKETS`` ids. For a masked word, the network adds up
 embeddings of the ``WINDOW`` words on its left and, from another table, of those on its right; a tanh layer and a
-softmax give the word's class, and the word's share of its class (from corpus counts) gives the word, so the conditional
-probabilities of all ids add up to one. A document's score is the sum of the log-probabilities of all its words, each
-predicted from both sides. Classes are bins of equal corpus frequency.
+softmax give the word's class (a bin of equal corpus frequency), and the word's share of its class the word. That is the
+prior of the word; what the corpus holds between the same two neighbours elsewhere updates it:
+``(c(left, word, right) + PRIOR * p) / (c(left, any, right) + PRIOR)``, both counts without the word itself. The
+conditional probabilities of all ids add up to one. A document's score is the sum of the log-probabilities of all its
+words, each predicted from both sides.
 
 Training. Each partition starts from the same weights and goes once through all words of its documents, each masked
-once, in random order within a block, with Adagrad; the partitions' networks are averaged by trained words, in a tree whose tasks add up ``FAN_IN``
-networks or so. Counts and training cover all documents, and what they gather grows with the number of partitions.
+once, in random order within a block, with Adagrad; the partitions' networks are averaged by trained words, in a tree
+whose tasks add up ``FAN_IN`` networks or so.
 
-Scale. One pass counts, one trains, one scores; no text is shuffled. The driver and each task hold one network (about 2
-MB) and ``BUCKETS`` counts, whatever the size of the corpus.
+Counting. What is counted grows with the corpus: a task packs the words of a block, with their priors (to 1/2048 nat),
+by ranges of the hash of their two neighbours; a range counts its pairs and words in numpy and returns a sum for each
+document. The hash tells 2**32 neighbours of a range and 2**16 words between them apart.
 
-Defined results. Null, empty or blank text: no words, a sum of 0.0, null mean. Null or repeated ids and repeated rows: a
-row each, alike for equal texts. An empty table: no rows. Extra columns don't take part.
+Scale. Three passes over the texts (counts, training, packing); words are shuffled once, as 8 bytes each. A range holds
+about ``RANGE_WORDS`` words. Two neighbours with more than a quarter of that are found by a sample and counted exactly
+while training; their words are dealt by (neighbours, word), and a word that is as frequent between them is scored where
+it is read. The driver and each task hold one network (about 1 MB), ``BUCKETS`` counts and at most ``MAX_HOT`` such counts.
+
+Defined results. Null, empty or blank text: no words, a sum of 0.0, null mean. Very long texts: a block of their own.
+Null or repeated ids and repeated rows: a row each, alike for equal texts. An empty table: no rows. Extra columns don't
+take part.
 """
 
 from __future__ import annotations
@@ -24,25 +33,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import PrefixHash, blocks, flat, shared_folder, table, words_of
+from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, shared_folder, table, words_of
 
-BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 3, 24, 128, 0.15, 2048, 8
-_SIZES = {"left": (INPUTS + 1, WIDTH), "right": (INPUTS + 1, WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,)}
+BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 2, 16, 64, 0.15, 2048, 8
+_SIZES = {"near": (2 * (INPUTS + 1), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,)}
+PRIOR, RANGE_WORDS, MAX_HOT, SAMPLE, STEPS = 1.0, 1 << 21, 1 << 18, 256, 2048
 
 
-def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The id of each word, and the n + 1 places where the texts' words start."""
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word, and the n + 1 places where the texts' words start."""
     data, at = flat(column)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     start, end, row = words_of(data, at)
-    return (PrefixHash(data)(start, end) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(row, np.arange(len(at)))
+    return PrefixHash(data)(start, end), np.searchsorted(row, np.arange(len(at)))
+
+
+def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each word, and the n + 1 places where the texts' words start."""
+    hashes, edges = word_hashes(column)
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), edges
+
+
+def neighbours(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A hash of the two words beside each word; a text's ends count as words of their own."""
+    left, right = np.empty_like(hashes), np.empty_like(hashes)
+    left[1:], right[:-1] = hashes[:-1], hashes[1:]
+    some = np.diff(edges) > 0
+    left[edges[:-1][some]], right[edges[1:][some] - 1] = 1, 2
+    with np.errstate(over="ignore"):
+        return mixed(mixed(left) * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
 def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Input ids of the words around each word: left ones, then right ones; ``INPUTS`` beyond the text."""
+    """Rows of ``near`` for the words around each word: left ones, then right ones (in the second half of the table);
+    ``INPUTS`` beyond the text."""
     n = len(ids)
     place = np.arange(n)
     sizes = np.diff(edges)
@@ -53,6 +81,7 @@ def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
         there = place + step
         ok = (there >= first) & (there < last)
         out[ok, k] = inputs[there[ok]]
+    out[:, WINDOW:] += INPUTS + 1
     return out
 
 
@@ -66,21 +95,27 @@ class Network:
         return cls({k: (draw.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in _SIZES.items()})
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        w = self.weights
-        return np.tanh(w["left"][around[:, :WINDOW]].sum(1) + w["right"][around[:, WINDOW:]].sum(1) + w["bias"])
+        near = self.weights["near"]
+        total = near[around[:, 0]]
+        for k in range(1, 2 * WINDOW):
+            total += near[around[:, k]]
+        total += self.weights["bias"]
+        return np.tanh(total, out=total)
 
     def log_classes(self, around: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Of the classes that have ids; the others have no share."""
         z = self.hidden(around) @ self.weights["out"] + self.weights["shift"]
         z[:, ~used] = -np.inf
         z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return z
 
     def train(self, around: np.ndarray, wanted: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the sums of squares."""
         w, m = self.weights, len(wanted)
         h = self.hidden(around)
-        g = h @ w["out"] + w["shift"]
+        g = h @ w["out"]
+        g += w["shift"]
         g -= g.max(1, keepdims=True)
         np.exp(g, out=g)
         g /= g.sum(1, keepdims=True)
@@ -90,13 +125,14 @@ class Network:
         for k, grad in (("out", h.T @ g), ("shift", g.sum(0)), ("bias", back.sum(0))):
             seen[k] += grad * grad
             w[k] -= RATE * grad / np.sqrt(seen[k] + 1e-8)
-        for k, part in (("left", around[:, :WINDOW]), ("right", around[:, WINDOW:])):
-            used, of = np.unique(part, return_inverse=True)
-            order = np.argsort(of.ravel(), kind="stable")
-            starts = np.searchsorted(of.ravel()[order], np.arange(len(used)))
-            grad = np.add.reduceat(back[order // WINDOW], starts, axis=0)
-            seen[k][used] += grad * grad
-            w[k][used] -= RATE * grad / np.sqrt(seen[k][used] + 1e-8)
+        placed = np.sort((around << 32 | np.arange(m)[:, None]).ravel())  # one sort gives the rows and who reads them
+        of = placed >> 32
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        used = of[starts]
+        grad = np.add.reduceat(back[placed & 0xFFFFFFFF], starts, axis=0)
+        total = seen["near"][used] + grad * grad
+        seen["near"][used] = total
+        w["near"][used] -= RATE * grad / np.sqrt(total + 1e-8)
 
     def pack(self) -> bytes:
         return b"".join(self.weights[k].tobytes() for k in _SIZES)
@@ -111,21 +147,48 @@ class Network:
         return cls(out)
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How many words of all documents have each id."""
+def _counted(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words of all documents have each id; the neighbours, and the (neighbours, word), that a sample of the
+    words finds often."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, draw = np.zeros(BUCKETS, np.int64), np.random.default_rng(TaskContext.get().partitionId())
         for b in blocks(batches, text_col):
-            total += np.bincount(word_ids(b.column(text_col))[0], minlength=BUCKETS)
+            hashes, edges = word_hashes(b.column(text_col))
+            total += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            drawn = np.flatnonzero(draw.integers(0, SAMPLE, len(hashes)) == 0)
+            if len(drawn):
+                around = neighbours(hashes, edges)[drawn]
+                for kind, keys in ((1, around), (2, pair(around, hashes[drawn]))):
+                    key, n = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(used), np.int32)), pa.array(used), pa.array(total[used])], ["kind", "key", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
+    folder = shared_folder(docs.sparkSession)
+    docs.select(text_col).mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
     out = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        out[r["id"]] = r["n"]
-    return out
+    ids = found.filter("kind = 0").toArrow()  # BUCKETS rows at most
+    out[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
+    often = found.filter((F.col("kind") > 0) & (F.col("n") >= hot_limit(int(out.sum())) / SAMPLE / 2)).toArrow()  # 4 * MAX_HOT rows or so at most
+    kind, key = often.column("kind").to_numpy(), often.column("key").to_numpy().view(np.uint64)
+    return out, np.sort(key[kind == 1]), np.sort(key[kind == 2])
+
+
+def hot_limit(words: int) -> float:
+    """More words than so between two neighbours make them hot: these are dealt by the word, too."""
+    return max(RANGE_WORDS / 4, words / MAX_HOT)
+
+
+def pair(around: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(around * np.uint64(0x9E3779B97F4A7C15) + hashes)
+
+
+def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How many words of all documents have each id."""
+    return _counted(docs, text_col)[0]
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,49 +201,80 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.log(smooth / np.bincount(of, smooth, CLASSES)[of])
 
 
-def _averaged(models: DataFrame) -> Network:
-    """One network from all rows (part, words, weights), added up in a tree."""
+def _summed(models: DataFrame) -> tuple[Network, np.ndarray]:
+    """One network, and the sums of the counts, from all rows (part, words, weights, counts), added up in a tree."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = 0, None
+        words, total, counts = 0, None, 0
         for b in batches:
-            for n, data in zip(b.column("words").to_pylist(), b.column("weights"), strict=True):
+            for n, data, c in zip(b.column("words").to_pylist(), b.column("weights"), b.column("counts"), strict=True):
                 x = np.frombuffer(data.as_buffer(), np.float32) * np.float64(n)
                 total, words = x if total is None else total + x, words + n
+                counts = counts + np.frombuffer(c.as_buffer(), np.int64)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([words], pa.int64()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], ["part", "words", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([words], pa.int64()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["part", "words", "weights", "counts"])
 
     spark, folder, turn = models.sparkSession, shared_folder(models.sparkSession), 0
     models.write.parquet(f"{folder}/{turn}")
     while (n := (kept := spark.read.parquet(f"{folder}/{turn}")).count()) > 1:
         turn += 1
-        kept.repartition(-(-n // FAN_IN)).mapInArrow(add, "part int, words long, weights binary").write.parquet(f"{folder}/{turn}")
+        kept.repartition(-(-n // FAN_IN)).mapInArrow(add, "part int, words long, weights binary, counts binary").write.parquet(f"{folder}/{turn}")
     row = kept.first()
-    return Network.unpack(row["weights"]) if row else Network.fresh()
+    return (Network.unpack(row["weights"]), np.frombuffer(row["counts"], np.int64)) if row else (Network.fresh(), np.zeros(0, np.int64))
 
 
-def trained(docs: DataFrame, classes: np.ndarray, text_col: str = "text") -> Network:
+def _averaged(models: DataFrame) -> Network:
+    return _summed(models)[0]
+
+
+def _tally(counts: np.ndarray, wanted: np.ndarray, keys: np.ndarray) -> None:
+    """Adds how often each of the wanted (ascending) is among the keys."""
+    if len(wanted) and len(keys):
+        at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        counts += np.bincount(at[wanted[at] == keys], minlength=len(wanted))
+
+
+def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The keys' counts, 0 for those that aren't known."""
+    wanted, counts = known
+    if not len(wanted) or not len(keys):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    return np.where(wanted[at] == keys, counts[at], 0)
+
+
+def _trained(docs: DataFrame, classes: np.ndarray, text_col: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.fresh()
         seen = {k: np.zeros(s, np.float32) for k, s in _SIZES.items()}
         words = 0
+        counts = [np.zeros(len(x), np.int64) for x in often]
         draw = np.random.default_rng(11)
         for b in blocks(batches, text_col):
-            ids, edges = word_ids(b.column(text_col))
+            hashes, edges = word_hashes(b.column(text_col))
+            ids = (hashes % np.uint64(BUCKETS)).astype(np.int64)
             masked = draw.permutation(len(ids))  # each word is a target once
             around = contexts(ids, edges)
             for i in range(0, len(masked), BATCH):
                 m = masked[i : i + BATCH]
                 net.train(around[m], classes[ids[m]], seen)
             words += len(masked)
+            if len(often[0]):
+                beside = neighbours(hashes, edges)
+                _tally(counts[0], often[0], beside)
+                _tally(counts[1], often[1], pair(beside, hashes))
         if words:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([words], pa.int64()), pa.array([net.pack()], pa.binary())], ["part", "words", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([words], pa.int64()), pa.array([net.pack()], pa.binary()), pa.array([np.concatenate(counts).tobytes()], pa.binary())], ["part", "words", "weights", "counts"])
 
-    return _averaged(docs.select(text_col).mapInArrow(fit, "part int, words long, weights binary"))
+    return docs.select(text_col).mapInArrow(fit, "part int, words long, weights binary, counts binary")
+
+
+def trained(docs: DataFrame, classes: np.ndarray, text_col: str = "text") -> Network:
+    return _averaged(_trained(docs, classes, text_col, (np.zeros(0, np.uint64),) * 2))
 
 
 def log_probabilities(net: Network, classes: np.ndarray, shares: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Of each word, given its neighbours on both sides."""
+    """The network's, of each word, given its neighbours on both sides."""
     out = shares[ids]
     around = contexts(ids, edges)
     used = np.bincount(classes, minlength=CLASSES) > 0
@@ -190,21 +284,142 @@ def log_probabilities(net: Network, classes: np.ndarray, shares: np.ndarray, ids
     return out
 
 
+def updated(steps: np.ndarray, count: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Log-probabilities from priors (in steps of 1/STEPS nat) and the counts, the word itself among them."""
+    return np.log((count - 1 + PRIOR * np.exp(steps / -STEPS)) / (of - 1 + PRIOR))
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_prob, mean_log_prob) of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    classes, shares = classes_of(bucket_counts(docs, text_col))
-    net = trained(docs, classes, text_col)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
-            ids, edges = word_ids(b.column(text_col))
-            upto = np.concatenate(([0.0], np.cumsum(log_probabilities(net, classes, shares, ids, edges))))
-            n = np.diff(edges)
-            sums = np.round(upto[edges[1:]] - upto[edges[:-1]], 6)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)], [id_col, "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")
+    counts, *often = _counted(docs, text_col)
+    words = int(counts.sum())
+    classes, shares = classes_of(counts)
+    net, exact = _summed(_trained(docs, classes, text_col, tuple(often)))
+    limit = hot_limit(words)
+    hot = []  # neighbours, and (neighbours, word), over the limit with their counts
+    for keys, n in zip(often, np.split(exact, [len(often[0])]) if len(exact) else ([], []), strict=True):
+        over = np.asarray(n) > limit if len(keys) else np.zeros(0, bool)
+        hot.append((keys[over], np.asarray(n, np.int64)[over]) if len(keys) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    ranges = max(parts_for(docs), -(-words // RANGE_WORDS))
+    names = ["range", "packet", "n", "doc", "words", "around", "id"]
+    packed_schema = f"range int, packet long, n long, doc binary, words binary, around binary, id {kind}"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range that a block has words of, a row with their documents (place in the block) and (neighbours,
+        word, prior); and a row for each document, with what is scored already."""
+        part, packet = TaskContext.get().partitionId(), 0
+        for batch in blocks(batches, "text"):
+            for first in range(0, batch.num_rows, 1 << 15):
+                b = batch.slice(first, 1 << 15)
+                number, packet = part << 33 | packet, packet + 1
+                hashes, edges = word_hashes(b.column("text"))
+                priors = log_probabilities(net, classes, shares, (hashes % np.uint64(BUCKETS)).astype(np.int64), edges)
+                steps = np.clip(np.round(priors * -STEPS), 0, 65535).astype(np.uint64)
+                doc = np.repeat(np.arange(b.num_rows), np.diff(edges))
+                around = neighbours(hashes, edges)
+                of = _looked_up(hot[0], around)
+                key, known = around.copy(), np.zeros(len(hashes), bool)
+                if of.any():
+                    crowd = np.flatnonzero(of)
+                    key[crowd] = pair(around[crowd], hashes[crowd])
+                    count = np.zeros(len(hashes), np.int64)
+                    count[crowd] = _looked_up(hot[1], key[crowd])
+                    known = count > 0
+                own = np.zeros(b.num_rows)
+                if known.any():
+                    own = np.bincount(doc[known], updated(steps[known].astype(np.float64), count[known], of[known]), b.num_rows)
+                left = np.flatnonzero(~known)
+                where = (key[left] >> np.uint64(40)) % np.uint64(ranges)
+                order = np.argsort(where.astype(np.uint16) if ranges <= 1 << 16 else where, kind="stable")
+                left, where = left[order], where[order]
+                entry = key[left] << np.uint64(32) | (hashes[left] & np.uint64(0xFFFF)) << np.uint64(16) | steps[left]
+                cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(left) else np.zeros(0, np.int64)
+                ends = np.append(cuts[1:], len(left))[: len(cuts)]
+                step, total = doc[left].astype(np.uint16), of[left].astype("<u8")
+                spans = list(zip(cuts.tolist(), ends.tolist(), strict=True))
+                n = len(spans)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((where[cuts].astype(np.int32), np.full(b.num_rows, number % ranges, np.int32)))),
+                    pa.array(np.full(n + b.num_rows, number)),
+                    pa.array(np.concatenate((np.full(n, -1), np.diff(edges)))),
+                    pa.array([np.diff(step[x:y], prepend=np.uint16(0)).tobytes() for x, y in spans] + [i.to_bytes(2, "little") for i in range(b.num_rows)], pa.binary()),
+                    pa.array([entry[x:y].tobytes() for x, y in spans] + [x.tobytes() for x in own], pa.binary()),
+                    pa.array([total[x:y].tobytes() if total[x:y].any() else None for x, y in spans] + [None] * b.num_rows, pa.binary()),
+                    pa.concat_arrays([pa.nulls(n, b.column("id").type), b.column("id")]),
+                ], names)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts a range, and returns a row of sums for each block; documents' rows pass."""
+        now, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            entry = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
+            size = [len(x[2]) // 8 for x in held]
+            known, at, count = np.unique(entry >> np.uint64(16), return_inverse=True, return_counts=True)
+            beside = known >> np.uint64(16)
+            heads = np.flatnonzero(np.concatenate(([True], beside[1:] != beside[:-1])))
+            of = np.repeat(np.add.reduceat(count, heads), np.diff(np.append(heads, len(known))))[at]
+            told = np.concatenate([np.frombuffer(x[3], "<i8") if x[3] else np.zeros(m, np.int64) for x, m in zip(held, size, strict=True)])
+            value = updated((entry & np.uint64(0xFFFF)).astype(np.float64), count[at], np.where(told > 0, told, of))
+            docs_, sums, lo = [], [], 0
+            for x, m in zip(held, size, strict=True):
+                step = np.cumsum(np.frombuffer(x[1], np.uint16), dtype=np.uint16)  # ascending
+                cut = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
+                docs_.append(step[cut].tobytes())
+                sums.append(np.add.reduceat(value[lo : lo + m], cut).tobytes())
+                lo += m
+            n = len(held)
+            return pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int32()), pa.array([x[0] for x in held], pa.int64()), pa.array([-1] * n, pa.int64()), pa.array(docs_, pa.binary()), pa.array(sums, pa.binary()), pa.nulls(n, ids)], told_names)
+
+        ids = None
+        for b in batches:
+            ids = b.column("id").type
+            mask = pa.compute.less(b.column("n"), 0)
+            if (passed := b.filter(pa.compute.invert(mask))).num_rows:
+                yield passed.select(told_names)
+            for row in zip(*(b.filter(mask).column(x).to_pylist() for x in ("range", "packet", "doc", "words", "around")), strict=True):
+                if held and row[0] != now:
+                    yield counted()
+                    held.clear()
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield counted()
+
+    told_names = [x for x in names if x != "around"]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's sums, from all ranges, in order, and then its documents."""
+        now, total, rows = None, np.zeros(0), []
+
+        def out() -> pa.RecordBatch:
+            place, n, own, id_ = zip(*rows, strict=True)
+            n = np.array(n, np.int64)
+            sums = np.round(total[list(place)] + np.array(own), 6) + 0.0
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(id_, ids), pa.array(n), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)], [id_col, "n_words", "log_prob", "mean_log_prob"])
+
+        ids = None
+        for b in batches:
+            ids = b.column("id").type
+            for packet, n, doc, body, id_ in zip(*(b.column(x).to_pylist() for x in ("packet", "n", "doc", "words", "id")), strict=True):
+                if packet != now:
+                    if rows:
+                        yield out()
+                    now, total = packet, np.zeros(1 << 15)
+                if n < 0:
+                    total[np.frombuffer(doc, np.uint16)] += np.frombuffer(body, np.float64)
+                else:
+                    rows.append((int.from_bytes(doc, "little"), n, np.frombuffer(body, np.float64)[0], id_))
+        if rows:
+            yield out()
+
+    told_schema = f"range int, packet long, n long, doc binary, words binary, id {kind}"
+    packed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(pack, packed_schema)
+    told = packed.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "packet").mapInArrow(tell, told_schema)
+    gathered = told.repartition(parts_for(docs), "packet").sortWithinPartitions("packet", "n", "range", "doc")
+    return gathered.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")
 
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -535,6 +535,48 @@ def test_every_word_is_a_target(spark, monkeypatch):
     assert sum(seen) == out.column("words")[0].as_py() == 6004
 
 
+def test_scores_by_force(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice("ab" if i % 3 else "abcdefg") for _ in range(rng.randrange(60))) for i in range(50)]
+    texts += ["the only text of its kind " * 3, "once and again but never more", "once and again but never more", None, "", "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    split = [(t or "").split() for t in texts]
+    around = lambda w, i: (w[i - 1] if i else None, w[i + 1] if i + 1 < len(w) else None)
+    both = collections.Counter((*around(w, i), w[i]) for w in split for i in range(len(w)))
+    beside = collections.Counter(around(w, i) for w in split for i in range(len(w)))
+    counts = masked_lm.bucket_counts(frame)
+    classes, shares = masked_lm.classes_of(counts)
+    net = masked_lm.trained(frame, classes)
+    want = {}
+    for d, (t, w) in enumerate(zip(texts, split)):
+        prior = np.exp(masked_lm.log_probabilities(net, classes, shares, *masked_lm.word_ids(pa.array([t], pa.string()))))
+        p = [(both[*around(w, i), w[i]] - 1 + prior[i]) / (beside[around(w, i)] - 1 + 1) for i in range(len(w))]
+        want[d] = (len(w), float(np.log(p).sum()) if w else 0.0)
+    one = collections.defaultdict(float)  # of all words, given two neighbours
+    for (left, right, w), n in both.items():
+        one[left, right] += n / (beside[left, right] + 1)
+    assert all(one[k] + 1 / (beside[k] + 1) == pytest.approx(1) for k in one)
+    plain = None
+    for range_words, sample in ((masked_lm.RANGE_WORDS, masked_lm.SAMPLE), (1200, 1), (200, 1)):  # none, some and many hot neighbours
+        monkeypatch.setattr(masked_lm, "RANGE_WORDS", range_words)
+        monkeypatch.setattr(masked_lm, "SAMPLE", sample)
+        got = {r.doc_id: (r.n_words, r.log_prob) for r in masked_lm.scored(frame).collect()}
+        assert {d: n for d, (n, _) in got.items()} == {d: n for d, (n, _) in want.items()}
+        assert all(got[d][1] == pytest.approx(want[d][1], abs=1e-3 * (1 + want[d][0])) for d in want)
+        plain = plain or got
+        assert all(got[d][1] == pytest.approx(plain[d][1], abs=1e-5) for d in got)
+    assert got[51][1] == got[52][1]
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(800)]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    mean = {r.doc_id: r.mean_log_prob for r in masked_lm.scored(frame).collect()}
+    assert min(mean[i] for i in (*range(20), *range(200, 220))) > max(mean[i] for i in range(20, 200))
+
+
 # the pipeline
 
 
