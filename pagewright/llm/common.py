@@ -19,23 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the folder that driver and executors share (``spark.checkpoint.dir``); a temporary
-    folder only where that is unset, which is right for a single machine alone."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.gettempdir()
+def _top(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one that the session's checkpoints
+    have; a temporary folder only where neither is set, which is right for a single machine alone."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{top}/checkpoints")
-    return f"{top.rstrip('/')}/pagewright-{uuid.uuid4().hex}"
+    return top
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{_top(spark).rstrip('/')}/pagewright-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark resolves it: a path without a scheme lies on the default one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        shared_folder(df.sparkSession)
+    _top(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """The rows under names by place (u0, u1, ...), which no operator uses for columns of its own."""
+    return docs.toDF(*[f"u{i}" for i in range(len(docs.columns))])
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and its n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -14,8 +14,9 @@ again are equal for equal windows, so only windows that nearly agree stay togeth
 or ``GROUP_BYTES`` of groups.
 
 Defined results. Null or empty text: no bytes, nothing removed. Documents are ordered by id (null first). Rows that share
-an id are different documents, in order of text, the later of equal rows being removed. An empty table: no rows. Extra
-columns stay out of the report; ``deduplicated`` keeps the columns of documents.
+an id are different documents, in order of text, the later of equal rows being removed. Very long texts: a row held by one
+task. Ties: the earlier place stays. An empty table: no rows. Extra columns stay out of the report; ``deduplicated`` keeps
+the columns of documents, whatever their names, and a null text that it got.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bwt import repeated
-from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, shared_folder, table
+from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
 
 LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
 _NULL_ID = -(1 << 63)
@@ -196,16 +197,42 @@ def _with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(asked, "d").select("d", "text", "asked").mapInArrow(run, "key long, d long, start int, n int, own boolean, body binary")
 
 
+def recurring_windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """String, place in it and bytes of the runs of windows whose ``GRAM``-byte substrings all occur in the strings more
+    than once. A window with one that doesn't is no repeat, so it needs no place in a transform."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    size = np.array([len(b) for b in bodies], np.int64)
+    ends = np.cumsum(size)
+    left = np.repeat(ends, size) - np.arange(len(data))
+    grams = gram_hashes(data)
+    order = np.argsort(grams)
+    alike = grams[order[1:]] == grams[order[:-1]]
+    again = np.zeros(len(data), bool)
+    again[order[1:][alike]] = again[order[:-1][alike]] = True
+    lone = np.concatenate(([0], np.cumsum(~again)))
+    last = np.minimum(np.arange(len(data)) + LENGTH - GRAM + 1, len(data))
+    place = np.flatnonzero((left >= LENGTH) & (lone[last] == lone[:-1]))
+    if not len(place):
+        return place, place, []
+    first = np.flatnonzero(np.concatenate(([True], np.diff(place) != 1)))
+    start, n = place[first], np.diff(np.append(first, len(place)))
+    string = np.searchsorted(ends, start, "right")
+    return string, start - (ends - size)[string], [data[a : a + m + LENGTH - 1].tobytes() for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+
+
 def _repeats(bodies: DataFrame) -> DataFrame:
     """(d, start, n): runs of windows that also start earlier, from segments that share a key."""
 
     def found(group: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if not group:
             return
-        d = np.array([g[1] for g in group])
-        start = np.array([g[2] for g in group])
+        of, begin, runs = recurring_windows([g[5] for g in group])
+        if not runs:
+            return
+        d = np.array([g[1] for g in group])[of]
+        start = np.array([g[2] for g in group])[of] + begin
         marks = []
-        for string, offset in repeated([g[5] for g in group], LENGTH):
+        for string, offset in repeated(runs, LENGTH):
             order = np.lexsort((start[string] + offset, d[string]))
             s, o = string[order], offset[order]
             # the first stays, as does the same place in it under another segment
@@ -248,9 +275,10 @@ def _repeats(bodies: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``d``, which orders the documents: the id where ids are unique, else a number by (id, text)."""
+    """The rows, under names by place, with ``text`` in place of theirs, ``null`` (whether it was) and ``d``, which orders
+    the documents: the id where ids are unique, else a number by (id, text)."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
-    rows = docs.withColumns({"d": key, "text": F.coalesce(F.col(text_col), F.lit(""))})
+    rows = docs.withColumns({"d": key, "text": F.coalesce(F.col(text_col), F.lit("")), "null": F.col(text_col).isNull()}).drop(text_col)
     n, distinct = docs.agg(F.count("*"), F.count_distinct(key)).first()
     if n == distinct:
         return rows
@@ -274,9 +302,10 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``__marks``: runs of windows (start, n) that start earlier elsewhere."""
+    """The rows, under names by place, with ``__marks``: runs of windows (start, n) that start earlier elsewhere."""
     folder = shared_folder(docs.sparkSession)
-    rows = _numbered(docs, id_col, text_col)
+    safe = renamed(docs)
+    rows = _numbered(safe, *(f"u{docs.columns.index(c)}" for c in (id_col, text_col)))
     texts = rows.select("d", "text")
     _sorted_out(_segments(texts)).write.parquet(f"{folder}/segments")
     found = docs.sparkSession.read.parquet(f"{folder}/segments")
@@ -318,21 +347,22 @@ def reported(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 data, cuts = text.encode(), spans(marks)
                 rows.append((len(data), sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(without(data, cuts)).hexdigest()))
             size, removed, count, sha = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("u0"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select(id_col, "text", "__marks").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("u0", "text", "__marks").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their repeats, in the columns that came in; characters that a cut splits stay whole. A
     document of which nothing but white space is left goes; one that came with none stays."""
-    names = docs.columns
-    marked = _with_marks(docs, id_col, text_col).select(*names, "__marks")
+    text_at = docs.columns.index(text_col)
+    marked = _with_marks(docs, id_col, text_col)
+    names = [f"u{i}" for i in range(len(docs.columns)) if i != text_at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
+        for b in blocks(batches, "text"):
             texts, keep = [], []
-            for text, marks in zip(b.column(text_col).to_pylist(), b.column("__marks").to_pylist(), strict=True):
+            for text, null, marks in zip(b.column("text").to_pylist(), b.column("null").to_pylist(), b.column("__marks").to_pylist(), strict=True):
                 if marks:
                     data = text.encode()
                     cuts = []
@@ -343,12 +373,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             y -= 1
                         cuts.append((x, y))
                     text = without(data, cuts).decode()
-                texts.append(text)
+                texts.append(None if null else text)
                 keep.append(not marks or bool(text.strip()))
-            columns = [pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+            columns = [b.column(c) for c in names]
+            columns.insert(text_at, pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, safe.names).filter(pa.array(keep, pa.bool_()))
 
-    return marked.mapInArrow(run, docs.schema)
+    safe = renamed(docs).schema
+    return marked.select(*names, "text", "null", "__marks").mapInArrow(run, safe).toDF(*docs.columns)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
