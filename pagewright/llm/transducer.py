@@ -8,7 +8,7 @@ from its start are the beginning of some token, so lookahead is bounded by the l
 worked out when first met and kept, up to ``MAX_STATES``; then the table is dropped and grows anew, as regular-expression
 engines do. Paths of short pieces are kept as well, in a table with a bound of its own.
 
-Defined results. Null text: as an empty one (no ids). Null or repeated ids and repeated rows: a row each. An empty
+Defined results. Null text: as an empty one (no ids). Very long texts and words: time in proportion to their length. Null or repeated ids and repeated rows: a row each. An empty
 table: no rows. Extra columns don't take part. Special-token strings are ordinary text.
 """
 
@@ -148,7 +148,7 @@ class Transducer:
             return (whole,)
         if len(self._states) > MAX_STATES or len(self._fit) > 4 * MAX_STATES:
             self._reset()
-        state, out, last, steps, fit = 0, (), b"", self._steps, self._fit
+        state, out, last, steps, fit = 0, [], b"", self._steps, self._fit
         for byte in piece:
             arc = steps[state].get(byte)
             if arc is None:
@@ -165,11 +165,15 @@ class Transducer:
             found = taken if agrees else refused
             if found is None:
                 found = arc[1 if agrees else 2] = self._step(*self._states[state], byte, agrees)
+                if len(self._states) > 2 * MAX_STATES:  # a very long piece goes on with a new table
+                    at = self._states[found[0]]
+                    self._reset()
+                    found, steps, fit = (self._state(*at), *found[1:]), self._steps, self._fit
             state, emitted, final = found
             if emitted:
                 out += emitted
                 last = final
-        return out + (self._ends[state] or self._end(state))
+        return (*out, *(self._ends[state] or self._end(state)))
 
 
 class Encoder:
