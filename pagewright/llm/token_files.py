@@ -9,8 +9,10 @@ Scale. Documents are range-partitioned by quantiles of their id, tokenised, sort
 files in the shared folder: a task holds one Arrow batch. The driver sees the manifest alone. A file name holds the
 attempt that wrote it and only the attempt that succeeded is in the manifest, so repeated or speculative tasks do no harm.
 
-Defined results. Null text: the end id alone. Null id: read as the least id, -2**63, and given back as null. Repeated
-ids: a document each, in order of text. An empty table: no shards, no rows. Extra columns don't take part.
+Defined results. Null text: the end id alone. Very long texts: a row held by one task. Null id: read as the least id,
+-2**63, and given back as null. Repeated ids: a document each, in order of text. An empty table: no shards, no rows.
+Extra columns don't take part. The folder must be on a file system that the workers' pyarrow opens (local or shared
+disks, HDFS, object stores); a path without scheme lies on Spark's default file system.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import parts_for, quantiles, range_of, shared_folder, table
+from pagewright.llm.common import parts_for, qualified, quantiles, range_of, shared_folder, table
 from pagewright.llm.tokens import tokenized
 from pagewright.llm.vocab import library_word_ids
 
@@ -43,10 +45,8 @@ def _file(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
 def write_token_files(docs: DataFrame, folder: str, path: str, encoder=library_word_ids, end_id: int | None = END_ID, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
     """Writes the shards below ``folder`` and returns the manifest: (shard, name, n_docs, n_tokens), ascending."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.col(text_col).alias("text"))
-    splitters = quantiles(rows, "k", parts_for(docs))
+    splitters, folder = quantiles(rows, "k", parts_for(docs)), qualified(docs.sparkSession, folder)
     rows = rows.withColumn("shard", range_of(F.col("k"), splitters)).repartitionById(len(splitters) + 1, F.col("shard"))
-    ids = tokenized(rows.sortWithinPartitions("shard", "k", "text"), encoder, path, end_id, width)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard, counts = "", None, [0, 0]
         files: list = []
@@ -71,19 +71,33 @@ def write_token_files(docs: DataFrame, folder: str, path: str, encoder=library_w
         if files:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": pa.array([counts[0]], pa.int64()), "n_tokens": pa.array([counts[1]], pa.int64())})
 
-    return sorted(map(tuple, ids.mapInArrow(write, MANIFEST).collect()))
+    written = tokenized(rows.sortWithinPartitions("shard", "k", "text"), encoder, path, end_id, width, then=write, then_schema=MANIFEST)
+    return sorted(map(tuple, written.collect()))
+
+
+class Flat:
+    """A flat file of numbers, memory-mapped on a local disk; elsewhere slices are read as they are asked for."""
 
+    def __init__(self, folder: str, name: str, kind: str):
+        fs, path = _file(folder, name)
+        self.kind, self.mapped = np.dtype(kind), None
+        size = fs.get_file_info(path).size
+        self.n = size // self.kind.itemsize
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.mapped = np.memmap(path, kind, "r") if size else np.zeros(0, kind)
+        else:
+            self.file = fs.open_input_file(path)
 
-def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    fs, path = _file(folder, name)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if fs.get_file_info(path).size else np.zeros(0, kind)
-    return np.frombuffer(fs.open_input_file(path).read(), kind)
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[part]
+        lo, hi, _ = part.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, hi - lo) * self.kind.itemsize, lo * self.kind.itemsize), self.kind)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple], width: int = WIDTH) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    kind = f"<u{width}"
+    kind, folder = f"<u{width}", qualified(spark, folder)
     bases = np.concatenate(([0], np.cumsum([m[3] for m in manifest], dtype=np.int64)))
     shards = spark.createDataFrame([(i, *m, int(bases[i])) for i, m in enumerate(manifest)], f"i int, {MANIFEST}, base long")
     shards = shards.repartitionById(max(1, len(manifest)), F.col("i"))
@@ -91,12 +105,11 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple], wi
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                offsets, keys, ids = (_mapped(folder, f"{row['name']}.{x}", k) for x, k in (("idx", "<i8"), ("doc", "<i8"), ("bin", kind)))
-                for lo in range(0, len(keys), 4096):
-                    hi = min(lo + 4096, len(keys))
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
-                    k = np.array(keys[lo:hi], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == _NULL_ID), pa.array(offsets[lo:hi] + row["base"]), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                offsets, keys, ids = (Flat(folder, f"{row['name']}.{x}", k) for x, k in (("idx", "<i8"), ("doc", "<i8"), ("bin", kind)))
+                for lo in range(0, keys.n, 1024):
+                    k, at = np.array(keys[lo : lo + 1024], np.int64), np.array(offsets[lo : lo + 1025], np.int64)
+                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == _NULL_ID), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
