@@ -11,8 +11,9 @@ documents hold is spread over many keys. At most ``avg lines per document / max_
 limit; they meet the lines again in a join, which broadcasts them only where their count was found small.
 
 Defined results. Null or empty text: no words, rejected by the base rule. Null host: a host of its own. Null or repeated
-ids, and repeated rows: each row is judged by itself and comes out once. Lines without a word don't count. Extra columns
-stay, apart from those that the operator itself adds (its own win).
+ids, and repeated rows: each row is judged by itself and comes out once. Lines without a word don't count. Very long texts:
+arrays of their words and lines in one row. Ties: a line at its limit stays. Extra columns stay, whatever their names, but
+for those that ``judged`` adds (its own win); ``cleaned`` returns every column as it came, but for the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed, table
+from pagewright.llm.common import checkpointed, renamed, table
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Production parameters.
@@ -112,8 +113,8 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     return held.filter(F.col("line") != "").join(hosts, "__host").filter(F.col("__held") > limit).select("__host", "line")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The documents with MEASURES, n_removed_words, removed_lines (numbers of the lines to remove, from 0) and kept."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """Rows under names by place, with MEASURES, n_removed_words, removed_lines and kept."""
     frequent = frequent_lines(docs, text_col, host_col, min_docs, max_share)
     if frequent.count() <= MAX_BROADCAST:  # else by a shuffled join, whose skewed keys adaptive execution splits
         frequent = F.broadcast(frequent)
@@ -124,8 +125,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     hits = placed.join(frequent, ["__host", "line"], "left_semi").withColumn("__n", F.size(words(F.col("__line"))))
     hits = hits.groupBy("__id", "__text", "__at").agg(F.max("__n").alias("__n"))  # repeated rows count once
     hits = hits.groupBy("__id", "__text").agg(F.sum("__n").alias("n_removed_words"), F.sort_array(F.collect_list("__at")).alias("removed_lines"))
-    own = [c for c in ("n_removed_words", "removed_lines", "kept") if c in docs.columns]
-    base = measures(docs.drop(*own), text_col)
+    base = measures(docs, text_col)
     key_id, key_text = _row_key(id_col, text_col)
     out = base.withColumns({"__k": key_id, "__t": key_text}).join(hits.withColumnsRenamed({"__id": "__hid", "__text": "__ht"}), F.col("__k").eqNullSafe(F.col("__hid")) & (F.col("__t") == F.col("__ht")), "left").drop("__k", "__t", "__hid", "__ht")
     removed = F.coalesce("n_removed_words", F.lit(0)).cast("long")
@@ -133,12 +133,26 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return out.withColumns({"n_removed_words": removed, "kept": ~F.col("base_failed") & (left >= min_left * F.col("n_words"))})
 
 
+def _by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    return renamed(docs), [f"u{docs.columns.index(n)}" for n in names]
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents with MEASURES, n_removed_words, removed_lines (numbers of the lines to remove, from 0) and kept.
+    ``limits``: min_docs, max_share, min_left."""
+    safe, names = _by_place(docs, id_col, text_col, host_col)
+    own = [*MEASURES, "n_removed_words", "removed_lines", "kept"]
+    given = [F.col(f"u{i}").alias(c) for i, c in enumerate(docs.columns) if c not in own]
+    return _judged(safe, *names, **limits).select(*given, *own)
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that pass, without their boilerplate lines, in the columns that came in."""
-    out = judged(docs, id_col, text_col, host_col, **limits).filter("kept")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
-    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    safe, names = _by_place(docs, id_col, text_col, host_col)
+    out = _judged(safe, *names, **limits).filter("kept")
+    left = F.filter(F.split(F.col(names[1]), "\n"), lambda x, i: ~F.array_contains("removed_lines", i))
+    text = F.when(F.col("removed_lines").isNull(), F.col(names[1])).otherwise(F.array_join(left, "\n"))
+    return out.withColumn(names[1], text).select(*safe.columns).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,16 +179,13 @@ with d as (
   select doc_id, host, md5(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as line,
          len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) as n
   from (select doc_id, host, unnest(l) as x from w)
-), ls as (
-  select doc_id, host, list_sort(list_distinct(list(line))) as ls from lines group by doc_id, host
-), sk as (
-  select host, line, coalesce(left(others[1], 16), '') || coalesce(left(others[-1], 16), '') as sketch
-  from (select host, line, list_filter(ls, lambda x: x <> line) as others from (select host, ls, unnest(list_append(ls, '')) as line from ls))
+), ds as (
+  select doc_id, host, md5(string_agg(distinct line, '' order by line)) as own from lines group by doc_id, host
 ), hosts as (
-  select host, count(distinct sketch) as docs from sk where line = '' group by host
+  select host, count(distinct own) as docs from ds group by host
 ), frequent as (
-  select sk.host, line from sk join hosts on hosts.host = sk.host where line <> ''
-  group by sk.host, line, docs having count(distinct sketch) > greatest(5.0::double, 0.1::double * docs)
+  select lines.host, line from lines join ds using (doc_id) join hosts on hosts.host = lines.host
+  group by lines.host, line, docs having count(distinct own) > greatest(5.0::double, 0.1::double * docs)
 ), hit as (
   select doc_id, sum(n) as removed from lines join frequent using (host, line) group by doc_id
 ), b as (
