@@ -340,7 +340,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 spans = list(zip(cuts.tolist(), ends.tolist(), strict=True))
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((where[cuts].astype(np.int32), np.full(b.num_rows, number % ranges, np.int32)))),
+                    pa.array(np.concatenate((where[cuts].astype(np.int32), ((number + np.arange(b.num_rows)) % ranges).astype(np.int32)))),
                     pa.array(np.full(n + b.num_rows, number)),
                     pa.array(np.concatenate((np.full(n, -1), np.diff(edges)))),
                     pa.array([np.diff(step[x:y], prepend=np.uint16(0)).tobytes() for x, y in spans] + [i.to_bytes(2, "little") for i in range(b.num_rows)], pa.binary()),
