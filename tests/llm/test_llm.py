@@ -160,7 +160,7 @@ def test_packing_of_many_sources(spark):
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.choice((5, 5, 40, 300)))), rng.choice([None, *map(str, range(40))])) for i in range(150)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
     got = packing.packed(frame, public_tokenizers.path("byte_bpe_50k.json"), window=64, weights={str(i): float(1 + i % 4) for i in range(40)}).toPandas()
-    assert got.source.isna().any() and got.groupby("doc_id").apply(lambda d: d.length.sum() == d.doc_tokens.iloc[0]).all() and got.doc_id.nunique() == 150
+    assert got.source.isna().any() and (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == 150
     for n, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and (s.length.sum() == 64 or n == got.sequence_id.max())
