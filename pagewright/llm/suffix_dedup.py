@@ -7,11 +7,16 @@ elsewhere. Distinct segments under one hash are put together; a task builds the
 them and merges these by interleave refinement (``bwt``), which gives the common prefixes and so the intervals of windows
 that share 100 bytes. All of an interval but its first are repeats. No suffixes are sorted across shards.
 
+Before a merge, windows with a substring that occurs once in the group go (they repeat nothing), and equal strings are
+collapsed once more.
+
 Scale. About one segment in 31 bytes moves, as 30 bytes, whatever its length; texts move once, keyed by document. A
-segment under a hash of its own goes no further. A hash with over ``CROWDED`` distinct segments (a short line that very
-many documents hold, each with text of its own around it) is cut again by the least values of more hash functions, which
-again are equal for equal windows, so only windows that nearly agree stay together. A task holds one group of segments
-or ``GROUP_BYTES`` of groups.
+segment under a hash of its own goes no further. A hash that a sample finds with more than ``HOT`` segments (a line that
+very many documents hold) is dealt to many tasks by document, and what these leave is collapsed by a second, partial
+aggregate. A hash with over ``CROWDED`` distinct segments (each with text of its own around the line) is cut again by the
+least values of more hash functions, which again are equal for equal windows, so only windows that nearly agree stay
+together; equal pieces are collapsed by an aggregate as well. A task holds one group of segments or ``GROUP_BYTES`` of
+groups.
 
 Defined results. Null or empty text: no bytes, nothing removed. Documents are ordered by id (null first). Rows that share
 an id are different documents, in order of text, the later of equal rows being removed. Very long texts: a row held by one
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,8 @@ from pagewright.llm.bwt import repeated
 from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
 
 LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
+#: Segments that make a hash hot; a sample of one document in ``SAMPLE`` tells (at most ``MAX_HOT`` hashes).
+HOT, SAMPLE, MAX_HOT = 8192, 32, 1 << 16
 _NULL_ID = -(1 << 63)
 
 
@@ -61,7 +69,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     out, done = values.copy(), 1
     while done < width:
         step = min(done, width - done)
-        out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])
+        some = max(0, len(out) - step)
+        out[:some] = np.minimum(out[:some], out[step:])
         done += step
     return out
 
@@ -94,9 +103,9 @@ def recurring(grams: np.ndarray, start: np.ndarray, n: np.ndarray, keys: np.ndar
     return out
 
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """(key, same, d, start, n, own): the segments of each document; ``same`` hashes a segment's bytes, ``own`` says
-    whether it may repeat a window of its own."""
+def _segments(rows: DataFrame, hot: np.ndarray, slices: int) -> DataFrame:
+    """(key, slice, same, d, start, n, own): the segments of each document; ``same`` hashes a segment's bytes, ``own`` says
+    whether it may repeat a window of its own; ``slice`` is 0, or from 1 on by the document where the key is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -107,16 +116,29 @@ def _segments(rows: DataFrame) -> DataFrame:
             own = recurring(grams, start, n, keys[start])
             row = np.searchsorted(at, start, "right") - 1
             same = PrefixHash(data)(start, start + n + LENGTH - 1)
-            d = b.column("d").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[start].view(np.int64)), pa.array(same.view(np.int64)), pa.array(d[row]), pa.array((start - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], ["key", "same", "d", "start", "n", "own"])
+            d = b.column("d").to_numpy()[row]
+            key = keys[start].view(np.int64)
+            part = np.zeros(len(key), np.int32)
+            if len(hot):
+                crowd = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key)
+                part[crowd] = 1 + (mixed(d[crowd].view(np.uint64)) % np.uint64(slices)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(same.view(np.int64)), pa.array(d), pa.array((start - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], ["key", "slice", "same", "d", "start", "n", "own"])
+
+    return rows.mapInArrow(run, "key long, slice int, same long, d long, start int, n int, own boolean")
 
-    return rows.mapInArrow(run, "key long, same long, d long, start int, n int, own boolean")
+
+def _hot_keys(rows: DataFrame) -> np.ndarray:
+    """Keys of very many segments, ascending: this decides how they are dealt, and nothing else."""
+    drawn = _segments(rows.filter(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0), np.zeros(0, np.int64), 1)
+    found = drawn.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= max(4, HOT // SAMPLE)).orderBy(F.desc("n"), "key").limit(MAX_HOT)
+    return np.sort(np.array([r["key"] for r in found.collect()], np.int64))
 
 
 def _sorted_out(segments: DataFrame) -> DataFrame:
-    """From segments sorted by (key, same, d, start): repeats of an equal segment (``again``), and the first of each of
-    several distinct segments under a key, and any that may repeat a window of its own. The rows of a key are streamed;
-    the first distinct one is held back."""
+    """From segments sorted by (key, slice, same, d, start): repeats of an equal segment (``again``), and the first of each
+    of several distinct segments under a key, and any that may repeat a window of its own. The rows of a key are streamed;
+    the first distinct one is held back. In a slice of a hot key every distinct segment goes on."""
+    names = ["key", "slice", "same", "d", "start", "n", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the first segment of the last key, while it is the only distinct one
@@ -125,10 +147,10 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, same = b.column("key").to_numpy(), b.column("same").to_numpy()
+            key, part, same = (b.column(c).to_numpy() for c in ("key", "slice", "same"))
             new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
-            new_key[1:] = key[1:] != key[:-1]
-            new_key[0] = key[0] != last_key
+            new_key[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            new_key[0] = (key[0], part[0]) != last_key
             new[1:] = new_key[1:] | (same[1:] != same[:-1])
             new[0] = new_key[0] or same[0] != last_same
             group = np.cumsum(new_key)  # 0: still the last batch's key
@@ -136,7 +158,7 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
             of = group[firsts]
             count = np.bincount(of, minlength=int(group[-1]) + 1)
             out = []
-            alone = b.column("own").to_numpy(zero_copy_only=False)[firsts]
+            alone = b.column("own").to_numpy(zero_copy_only=False)[firsts] | (part[firsts] > 0)
             go_on = (count[of] > 1) | alone
             if count[0]:  # more distinct segments of the key that is carried over
                 if not several and held is not None:
@@ -147,19 +169,29 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
             out.append((b.filter(pa.array(~new)), True))
             for rows, again in out:
                 if rows.num_rows:
-                    yield pa.RecordBatch.from_arrays([*rows.select(["key", "d", "start", "n", "own"]).columns, pa.array([again] * rows.num_rows)], ["key", "d", "start", "n", "own", "again"])
+                    yield pa.RecordBatch.from_arrays([*rows.select(names).columns, pa.array([again] * rows.num_rows)], [*names, "again"])
             if group[-1]:
                 several = bool(count[-1] > 1)
                 first = np.flatnonzero(of == group[-1])[0]
                 held = None if several or alone[first] else b.slice(int(firsts[first]), 1)
-            last_key, last_same = key[-1], same[-1]
+            last_key, last_same = (key[-1], part[-1]), same[-1]
+
+    parts = segments.repartition(parts_for(segments), "key", "slice").sortWithinPartitions("key", "slice", "same", "d", "start")
+    return parts.mapInArrow(run, "key long, slice int, same long, d long, start int, n int, own boolean, again boolean")
+
 
-    parts = segments.repartition(parts_for(segments), "key").sortWithinPartitions("key", "same", "d", "start")
-    return parts.mapInArrow(run, "key long, d long, start int, n int, own boolean, again boolean")
+def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, same, d, start, ...): the first of each (key, same) by document and place, and (d, start, n) of the others.
+    Firsts are a partial aggregate, and the rows meet them in a join, which adaptive execution splits if it is skewed."""
+    first = rows.groupBy("key", "same").agg(F.min(F.struct("d", "start")).alias("__first"))
+    met = rows.join(first, ["key", "same"])
+    is_first = (F.col("d") == F.col("__first.d")) & (F.col("start") == F.col("__first.start"))
+    return met.filter(is_first).drop("__first"), met.filter(~is_first).select("d", "start", "n")
 
 
 def _with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, d, start, n, own, body): the wanted segments with their bytes; those under a crowded key under finer keys."""
+    """(key, same, crowded, d, start, n, own, body): the wanted segments with their bytes, and a hash of these where they are
+    pieces of segments under a crowded key, which come under finer keys."""
     asked = wanted.groupBy("d").agg(F.collect_list(F.struct("key", "start", "n", "own", "crowded")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +205,7 @@ def _with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
             d = b.column("d").to_numpy()
             begin = at[row] + start
             plain = np.flatnonzero(~crowded.astype(bool))
-            out += zip(key[plain].tolist(), d[row[plain]].tolist(), start[plain].tolist(), n[plain].tolist(), own[plain].tolist(), begin[plain].tolist(), strict=True)
+            out += zip(key[plain].tolist(), [False] * len(plain), d[row[plain]].tolist(), start[plain].tolist(), n[plain].tolist(), own[plain].tolist(), begin[plain].tolist(), strict=True)
             if len(plain) < len(row):  # the crowded segments alone, one after another
                 rest = np.flatnonzero(crowded.astype(bool))
                 size = n[rest] + LENGTH - 1
@@ -188,13 +220,14 @@ def _with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                     a, m = int(begin[j]), int(n[j])
                     fine = mixed(finer[f : f + m] ^ key[j : j + 1].view(np.uint64)).view(np.int64)
                     cut = np.concatenate(([0], np.flatnonzero(fine[1:] != fine[:-1]) + 1, [m])).tolist()
-                    out += [(int(fine[x]), int(d[row[j]]), int(start[j]) + x, y - x, bool(own[j]), a + x) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    out += [(int(fine[x]), True, int(d[row[j]]), int(start[j]) + x, y - x, bool(own[j]), a + x) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             if out:
                 body = [data[a : a + m + LENGTH - 1].tobytes() for *_, m, _, a in out]
-                k, d_, s, m, o, _ = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d_, pa.int64()), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(o, pa.bool_()), pa.array(body, pa.binary())], ["key", "d", "start", "n", "own", "body"])
+                k, c, d_, s, m, o, _ = zip(*out, strict=True)
+                same = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) if y else 0 for x, y in zip(body, c, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(same, pa.int64()), pa.array(c, pa.bool_()), pa.array(d_, pa.int64()), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(o, pa.bool_()), pa.array(body, pa.binary())], ["key", "same", "crowded", "d", "start", "n", "own", "body"])
 
-    return rows.join(asked, "d").select("d", "text", "asked").mapInArrow(run, "key long, d long, start int, n int, own boolean, body binary")
+    return rows.join(asked, "d").select("d", "text", "asked").mapInArrow(run, "key long, same long, crowded boolean, d long, start int, n int, own boolean, body binary")
 
 
 def recurring_windows(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -231,8 +264,18 @@ def _repeats(bodies: DataFrame) -> DataFrame:
             return
         d = np.array([g[1] for g in group])[of]
         start = np.array([g[2] for g in group])[of] + begin
-        marks = []
-        for string, offset in repeated(runs, LENGTH):
+        marks, known, distinct = [], set(), []
+        for i in np.lexsort((start, d)).tolist():
+            if runs[i] in known:  # the whole run starts earlier
+                places = start[i] + np.arange(len(runs[i]) - LENGTH + 1)
+                marks.append(np.stack((np.full(len(places), d[i]), places)))
+            else:
+                known.add(runs[i])
+                distinct.append(i)
+        if len(distinct) < len(runs):
+            of, begin, runs = recurring_windows([runs[i] for i in distinct])
+            d, start = d[distinct][of], start[distinct][of] + begin
+        for string, offset in repeated(runs, LENGTH) if runs else ():
             order = np.lexsort((start[string] + offset, d[string]))
             s, o = string[order], offset[order]
             # the first stays, as does the same place in it under another segment
@@ -306,14 +349,29 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     safe = renamed(docs)
     rows = _numbered(safe, *(f"u{docs.columns.index(c)}" for c in (id_col, text_col)))
-    texts = rows.select("d", "text")
-    _sorted_out(_segments(texts)).write.parquet(f"{folder}/segments")
-    found = docs.sparkSession.read.parquet(f"{folder}/segments")
-    wanted = found.filter("not again").select("key", "d", "start", "n", "own")
+    texts, spark = rows.select("d", "text"), docs.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    hot = _hot_keys(texts)
+    found = stored(_sorted_out(_segments(texts, hot, parts_for(docs))), "segments")
+    firsts, again = found.filter("not again"), [found.filter("again").select("d", "start", "n")]
+    wanted = firsts.filter("slice = 0").drop("slice", "again")
+    if len(hot):
+        left, more = _collapsed(firsts.filter("slice > 0").drop("slice", "again"))
+        wanted = wanted.unionByName(left)
+        again.append(more)
+    wanted = wanted.select("key", "d", "start", "n", "own")
     crowded = wanted.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.lit(True).alias("crowded"))
     wanted = wanted.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    _repeats(_with_bytes(wanted, texts)).write.parquet(f"{folder}/repeats")
-    marks = found.filter("again").select("d", "start", "n").unionByName(docs.sparkSession.read.parquet(f"{folder}/repeats"))
+    bodies = stored(_with_bytes(wanted, texts), "bodies")
+    pieces, more = _collapsed(bodies.filter("crowded"))
+    again.append(more)
+    names = ["key", "d", "start", "n", "own", "body"]
+    again.append(stored(_repeats(bodies.filter("not crowded").select(*names).unionByName(pieces.select(*names))), "repeats"))
+    marks = reduce(DataFrame.unionByName, again)
     marks = marks.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("__marks"))
     return rows.join(marks, "d", "left")
 

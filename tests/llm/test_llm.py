@@ -299,6 +299,84 @@ def test_repeated_strings(spark, docs, monkeypatch):
     assert suffix_dedup.reported(frame.filter("false")).count() == 0
 
 
+def test_repeated_strings_of_hot_keys(spark, monkeypatch):
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line, passage = words(19), words(60)
+    rows = [(i, words(12) + " " + line + " " + words(12)) for i in range(60)] + [(100 + i, words(9) + passage + words(9)) for i in range(30)]
+    rows += [(200 + i, passage) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot, crowded in ((4, 10**6), (4, 5), (10**6, 5)):
+        for name, value in (("HOT", hot), ("SAMPLE", 1), ("CROWDED", crowded)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        assert (len(suffix_dedup._hot_keys(frame.select(frame.doc_id.alias("d"), "text"))) > 0) == (hot == 4)
+        assert sorted(map(tuple, suffix_dedup.reported(frame).collect())) == repeats_by_force(rows)
+
+
+def test_recurring_windows():
+    rng = random.Random(18)
+    text = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    shared = text(130)
+    strings = [text(59) + b"w" + shared + b"x" + text(59), text(29) + b"y" + shared + b"z" + text(89), text(300)]
+    of, begin, runs = suffix_dedup.recurring_windows(strings)
+    assert (of.tolist(), begin.tolist(), runs) == ([0, 1], [60, 30], [shared] * 2)
+
+
+CLASHING = ["d", "null", "__marks", "__range", "__w", "__h", "__l", "__g", "kept", "n_words", "removed_lines", "line", "u0", "part", "queue", "id", "h"]
+
+
+def clashing(frame):
+    from pyspark.sql import functions as F
+
+    return frame.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+
+
+def test_columns_with_clashing_names(spark, odd):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + "\nthe same line here", "h") for i in range(12)]
+    frame = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for made in (quality.cleaned(frame), suffix_dedup.deduplicated(frame)):
+        assert made.columns == frame.columns and made.count() == 12
+        assert all(r[c] == f"{c}{r.doc_id}" for r in made.collect() for c in CLASHING)
+    assert {r["part"] for r in quality.judged(frame).collect()} == {f"part{i}" for i in range(12)}
+    pages = clashing(spark.createDataFrame([(1, "http://a/x", "<p>one</p>")], "doc_id long, url string, html string"))
+    assert html_text.extracted(pages, "doc_id").first().text == "one"
+    byte, word = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    folder = shared_folder(spark)
+    for made in (
+        fingerprint.fingerprinted(frame), packing.packed(frame, byte), transducer.encoded(frame, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), minhash.near_duplicates(frame),
+        sharding.sharded(frame, 2), masked_lm.scored(frame), token_files.read_token_files(spark, folder, token_files.write_token_files(frame, folder, word)), suffix_dedup.reported(frame),
+    ):
+        assert {r.doc_id for r in made.collect()} == set(range(12))
+
+
+def test_null_texts_stay_null(spark):
+    frame = spark.createDataFrame([(1, None, 5), (None, "a", 6)], "doc_id long, text string, n long")
+    assert sorted(map(str, suffix_dedup.deduplicated(frame).collect())) == sorted(map(str, frame.collect()))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(19)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150_000)]
+    long = " ".join(words)
+    rows = [(1, long, "a"), (2, " ".join(words[:-5]) + " the end", "b"), (3, "short", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = [len(t) for _, t, _ in rows]
+    assert [r.n_chars for r in fingerprint.fingerprinted(frame).orderBy("doc_id").collect()] == size
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = [len(tokens.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows]
+    pieces = packing.packed(frame, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    assert pieces.groupby("doc_id").length.sum().tolist() == n and pieces.groupby("sequence_id").length.sum().max() == 1024
+    got = {r.doc_id: r for r in suffix_dedup.reported(frame).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed > size[1] - 120 and got[2].n_spans == 1
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame).collect()}
+    assert near == classes_by_force([r[:2] for r in rows], 5)
+    assert {r.doc_id: r.n_words for r in quality.judged(frame).collect()} == {1: 150_000, 2: 149_997, 3: 1}
+    assert {r.doc_id: r.size for r in sharding.sharded(frame, 2).collect()} == {i + 1: x + 1 for i, x in enumerate(size)}
+    assert {r.doc_id: r.n_words for r in masked_lm.scored(frame).collect()} == {1: 150_000, 2: 149_997, 3: 1}
+    page = spark.createDataFrame([(1, "http://a/", f"<article><p>{long}</p></article>")], "page_id long, url string, html string")
+    assert html_text.extracted(page).first().n_chars == size[0]
+
+
 # 6 transducer
 
 
@@ -315,6 +393,20 @@ def test_transducer():
         assert ids == library.encode_ordinary(t) and transducer.decoded(ours.decode(ids)) == t
 
 
+def test_transducer_on_one_long_word(monkeypatch):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    rng = random.Random(20)
+    drawn = "".join(rng.choice(["th", "er", "an", "tion", "in", "st", "é"]) for _ in range(2_000))
+    for text in (drawn * 250, "a" * 1_000_000):  # a word of a million letters
+        assert transducer.encoder(path).encode(text) == library.encode_ordinary(text)
+    random_word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50_000))
+    monkeypatch.setattr(transducer, "MAX_STATES", 1000)  # tables are dropped inside a word
+    assert transducer.encoder(path).encode(random_word) == library.encode_ordinary(random_word)
+
+
 def test_streaming_decoder():
     rng = random.Random(7)
     for data in ["aé語😀".encode() * 3, b"\xff\xc3(\xe8\xaa", b"\xf0\x9f\x98", b"\x80\x80a\xe8"]:
@@ -328,10 +420,15 @@ def test_streaming_decoder():
 
 
 def test_transducer_query(spark, docs, odd):
+    import tiktoken
+
     got = transducer.op6_bpe_transducer(spark, SF).toPandas().set_index("doc_id")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
     for i, t in docs[["doc_id", "text"]].itertuples(index=False):
+        ids = library.encode_ordinary(t)
         assert got.loc[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+        assert (got.loc[i].n_tokens, got.loc[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
     assert transducer.encoded(odd, path).count() == len(ODD) and transducer.encoded(odd.filter("false"), path).count() == 0
 
 
@@ -596,3 +693,22 @@ def test_pipeline(spark, tmp_path):
         frame = kept
     last = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in frame.collect()}
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    text = " ".join(f"w{j}" for j in range(80))
+    rows = [(i, text if i < 3 else f"{text} own{i} " * 2 if i == 3 else " ".join(f"x{i}y{j}" for j in range(70)), "s") for i in range(9)]
+    rows += [(8, rows[8][1], "s"), (None, " ".join(f"n{j}" for j in range(60)), None), (20, None, "s"), (21, "", "s")]
+    frame = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for docs in (frame, clashing(odd), frame.filter("false")):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns
+            kept = spark.createDataFrame(kept.collect(), docs.schema)
+            if docs is frame and name == "near_duplicates":
+                assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 0, 4, 5, 6, 7, 8]
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        assert out.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
