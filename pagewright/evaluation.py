@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import time
 from collections.abc import Callable
 
@@ -10,55 +11,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.config import EvaluationConfig
-from pagewright.operators import metrics
-from pagewright.operators.retrieve import Retrieval, retrieval_queries, retrieve
+from pagewright.operators import assemble, metrics
+from pagewright.operators.retrieve import Retrieval, instructed, retrieval_queries, retrieve
+from pagewright.sources.shared import stored
 from pagewright.sources.store import Store
 
-PROMPT_VERSION = "query-augmentation-v2"
+PROMPT_VERSION = "variants-1"
 
 
-def load_variants(store: Store, questions: list[str], generate: Callable[[str], list[str]] | None) -> dict[str, list[str]]:
-    """Cached variants, generated once for each text that has none; a generator that fails leaves the question alone."""
-    out = {}
-    for q in dict.fromkeys(questions):
-        found = store.variants(q, PROMPT_VERSION)
-        if found is None and generate is not None:
+def load_variants(store: Store, questions: DataFrame, generate: Callable[[str], list[str]] | None) -> DataFrame:
+    """(question, variants): cached ones, generated once for each text that has none and kept by one upsert; a generator
+    that fails leaves the question alone."""
+    asked = questions.select("question").distinct()
+    if generate is not None:
+        new = {}
+        for row in store.known_variants(asked, PROMPT_VERSION).filter("variants is null").toLocalIterator():  # a model call for each
             try:
-                found = generate(q)
+                found = generate(row["question"])
             except Exception:
                 found = None
             if found:
-                store.save_variants(q, PROMPT_VERSION, found)
-        out[q] = found or []
-    return out
+                new[row["question"]] = found
+        if new:
+            store.save_many_variants(new, PROMPT_VERSION)
+    known = store.known_variants(asked, PROMPT_VERSION) if generate is not None else asked.withColumn("variants", F.lit(None).cast("string"))
+    return known.select("question", F.coalesce(F.from_json("variants", "array<string>"), F.array().cast("array<string>")).alias("variants"))
 
 
-def run(store: Store, chunks: DataFrame, config: EvaluationConfig, generate: Callable[[str], list[str]] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> int:
+def run(store: Store, chunks: DataFrame, config: EvaluationConfig, generate: Callable[[str], list[str]] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, batches: int = 1) -> int:
     """The evaluation's id; its row ends as completed with metrics, or as failed with the error, which is raised again.
-    ``chunks``: chunk_index, document_id, page_start, text[, embedding]; ``embed`` adds embeddings to queries."""
+
+    ``chunks``: chunk_index, document_id, page_start, text[, embedding, tag, source, source_path, page_chunk_index];
+    ``embed`` adds embeddings to queries, which carry the configured instruction. The filter by tag and the distance are
+    the configuration's. Questions are answered in ``batches`` jobs; the latency of a question is the time from its job's
+    start to its answers in the store, as its caller would wait for them."""
     questions = store.questions().filter("active")
+    if questions.isEmpty():
+        raise ValueError("the dataset has no active questions")
     key = store.start_evaluation(config.name, dataclasses.asdict(config))
+    how = Retrieval(config.mode, config.top_k, metric=config.distance or "l2", tag=config.tag or "")
     try:
-        spark = chunks.sparkSession
-        texts = [r["question"] for r in questions.select("question").collect()]  # a dataset of questions is small
-        variants = load_variants(store, texts, generate if config.augment else None)
-        told = spark.createDataFrame(list(variants.items()) or [("", [])], "question string, variants array<string>")
-        asked = questions.join(told, "question").select(F.col("id").alias("query_id"), "question", "variants", F.lit(None).cast("string").alias("previous"))
-        queries = retrieval_queries(asked)
-        if embed is not None and config.mode != "bm25":
-            queries = embed(queries)
-        began = time.monotonic()
-        pages = retrieve(queries, chunks, Retrieval(config.mode, config.top_k, metric=config.distance or "l2"), 1 + max(map(len, variants.values()), default=0))
-        found = pages.select("query_id", F.col("page_rank").alias("rank"), "document_id", F.col("page_start").alias("page"))
-        expected = questions.select(F.col("id").alias("query_id"), F.inline("pages"))
-        scored = metrics.score_retrieval(asked, expected, found, config.top_k)
-        rows = scored.join(asked.select("query_id", "question"), "query_id")
-        names = [c for c in scored.columns if c != "query_id"]
-        store.add_results(rows.select(F.col("query_id").alias("id"), F.lit(key).cast("long").alias("evaluation_id"), F.col("query_id").alias("question_id"), "question", F.lit("[]").alias("matches"), F.to_json(F.struct(*names)).alias("metrics"), F.lit(None).cast("double").alias("latency_ms"), F.lit("").alias("error")))
-        each = 1000 * (time.monotonic() - began) / max(1, len(texts))
-        kept = store.table("evaluation_results").filter(F.col("evaluation_id") == key).select(F.from_json("metrics", scored.select(*names).schema).alias("m"), "error").select("m.*", "error")
-        store.end_evaluation(key, metrics.aggregate_metrics(kept.withColumn("latency_ms", F.lit(each))).first().asDict())
+        told = load_variants(store, questions, generate if config.augment else None)
+        asked = stored(questions.join(told, "question").withColumn("__batch", F.pmod(F.xxhash64("id"), F.lit(batches))))
+        scored_schema = None
+        for batch in range(batches):
+            began = time.monotonic()
+            mine = asked.filter(F.col("__batch") == batch).withColumns({"query_id": F.col("id"), "previous": F.lit(None).cast("string")})
+            queries = retrieval_queries(mine)
+            if embed is not None and config.mode != "bm25":
+                queries = instructed(queries, embed, config.instruction)
+            pages = stored(retrieve(queries, chunks, how))
+            found = pages.select("query_id", F.col("page_rank").alias("rank"), "document_id", F.col("page_start").alias("page"))
+            expected = mine.select("query_id", F.inline("pages")).select("query_id", "document_id", "page")
+            scored = metrics.score_retrieval(mine, expected, found, config.top_k)
+            names = [c for c in scored.columns if c != "query_id"]
+            scored_schema = scored.select(*names).schema
+            matches = assemble.gathered_matches(assemble.with_payload(pages, chunks))
+            rows = scored.join(mine, "query_id").join(matches, "query_id", "left")
+            rows = stored(rows.select(F.col("query_id").alias("id"), F.lit(key).cast("long").alias("evaluation_id"), F.col("query_id").alias("question_id"), "question", F.to_json("pages").alias("expected"), F.coalesce("matches", F.lit("[]")).alias("matches"), F.to_json("variants").alias("variants"), F.to_json(F.struct(*names)).alias("metrics"), F.lit("").alias("error")))
+            store.add_results(rows.withColumn("latency_ms", F.lit(1000 * (time.monotonic() - began))))
+        kept = store.results(key).select(F.from_json("metrics", scored_schema).alias("m"), "latency_ms", "error").select("m.*", "latency_ms", "error")
+        total = metrics.aggregate_metrics(kept).first().asDict() | {"top_k": config.top_k}
+        store.end_evaluation(key, total)
     except Exception as e:
         store.end_evaluation(key, error=f"{type(e).__name__}: {e}")
         raise
     return key
+
+
+PAGE = "document_id string, page int, source string, source_path string, reference_text string"
+
+
+def results_file(store: Store, key: int) -> DataFrame:
+    """The rows of an evaluation's results file."""
+    from pagewright.sources.store import csv_rows
+
+    rows = store.results(key)
+    sample = "first_relevant_rank int, recall_at_1 double, recall_at_k double, precision_at_k double, mrr_at_k double, false_positives long, failure boolean"
+    told = rows.select("question_id", "question", F.from_json("expected", f"array<struct<{_struct(PAGE)}>>").alias("expected"), F.from_json("matches", "array<struct<source: string, page: int>>").alias("retrieved"), F.from_json("metrics", sample).alias("metrics"), "latency_ms", "error")
+    return csv_rows(told)
+
+
+def _struct(schema: str) -> str:
+    return ", ".join(": ".join(f.split()) for f in schema.split(", "))
+
+
+def summary(store: Store, key: int) -> dict:
+    """The metrics of a run that has ended."""
+    return json.loads(store.evaluations().filter(F.col("id") == key).first()["metrics"] or "{}")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns that define tokens, white space, lines, page markers and source ids.
+#: Patterns that define tokens, white space, lines, page markers and source ids, and the answer without sources.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 PAGE_MARK = r"(?md)^<!--\s*PAGE\s+(\d+)\s*-->\s*$"
 SOURCE_ID = r"\bS\d+\b"
-REFUSAL = "No answer was found in the indexed documents."
+REFUSAL = "No consta en los documentos recuperados."
 
 
 def _col(c: Column | str) -> Column:
@@ -37,6 +37,14 @@ def bm25_terms(c: Column | str) -> Column:
     return F.transform(found, lambda t: F.lower(t))
 
 
+def run_starts(ordered: str) -> Column:
+    """The places in a sorted array column where another value begins."""
+    t = F.col(ordered)
+    new = lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), new)
+    return F.when(F.size(t) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
 def coverage_tokens(c: Column | str) -> Column:
     return F.filter(bm25_terms(c), lambda t: F.length(t) >= 3)
 
@@ -87,12 +95,19 @@ def question_hash(question: Column | str) -> Column:
     return F.sha2(strip(question), 256)
 
 
+def _listed(text: Column, key: str, pattern: str) -> Column:
+    """The JSON list of strings that a text is, or holds under a key: the whole text, or else its part in brackets."""
+    kind = "array<string>"
+    part = F.regexp_extract(text, pattern, 0)
+    found = [F.from_json(F.get_json_object(x, f"$.{key}"), kind) if whole else F.when(x.startswith("["), F.from_json(x, kind)) for x in (text, part) for whole in (True, False)]
+    return F.coalesce(*found)
+
+
 def source_ids(answer: Column | str) -> Column:
-    """Cited ids in order, once each: a JSON object's or array's list if there is one (even empty), else a pattern's."""
+    """Cited ids in order: those of a JSON list (even an empty one), trimmed and not blank, else what looks like an id, once each."""
     text = strip(answer)
-    kind = "array<string>"
-    listed = F.coalesce(F.from_json(F.get_json_object(text, "$.source_ids"), kind), F.when(text.startswith("["), F.from_json(text, kind)))
-    return F.array_distinct(F.coalesce(listed, F.regexp_extract_all(text, F.lit(SOURCE_ID), F.lit(0))))
+    listed = F.filter(F.transform(_listed(text, "used_source_ids", r"(?s)\{.*\}"), strip), lambda x: x != "")
+    return F.coalesce(listed, F.array_distinct(F.regexp_extract_all(text, F.lit(SOURCE_ID), F.lit(0))))
 
 
 def used_ids(answer: Column | str, allowed: Column | str) -> Column:
@@ -100,13 +115,13 @@ def used_ids(answer: Column | str, allowed: Column | str) -> Column:
 
 
 def query_variants(answer: Column | str, question: Column | str, limit: int = 2) -> Column:
-    """Rewritten questions from a model's answer: a JSON list's or else bullet lines, without the question, unique by case."""
+    """Rewritten questions from a model's answer: a JSON list's or else lines without bullets and quotes, white space
+    collapsed, without the question, unique by case."""
     text = strip(answer)
-    kind = "array<string>"
-    listed = F.coalesce(F.from_json(F.get_json_object(text, "$.queries"), kind), F.when(text.startswith("["), F.from_json(text, kind)))
-    bullets = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))
+    listed = _listed(text, "queries", r"(?s)(?:\{.*\}|\[.*\])")
+    bullets = F.transform(lines(text), lambda x: F.regexp_replace(F.regexp_replace(x, rf"^{SPACE}*(?:[-*]|\d+[.)]){SPACE}*", ""), "^[ \t\"']+|[ \t\"']+$", ""))
     found = F.transform(F.when(F.size(F.coalesce(listed, F.array())) > 0, listed).otherwise(bullets), collapse)
-    found = F.filter(found, lambda x: (x != "") & (F.lower(x) != F.lower(collapse(question))))
+    found = F.filter(found, lambda x: (x != "") & (F.lower(x) != F.lower(strip(question))))
     lowered = F.transform(found, lambda x: F.lower(x))
     return F.slice(F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1), 1, limit)
 
@@ -120,11 +135,13 @@ def response_markdown(raw: Column | str) -> Column:
 
 
 def truncated(c: Column | str, limit: int = 2500) -> Column:
-    return F.when(F.length(_col(c)) > limit, F.concat(F.regexp_replace(F.substring(_col(c), 1, limit), f"{SPACE}+$", ""), F.lit("..."))).otherwise(_col(c))
+    text = strip(F.coalesce(_col(c), F.lit("")))
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), f"{SPACE}+$", ""), F.lit("..."))).otherwise(text)
 
 
 def vector_score(distance: Column | str) -> Column:
-    return F.coalesce(1 / (1 + F.greatest(_col(distance), F.lit(0.0))), F.lit(0.0))
+    """Of a missing distance 0 (the greatest of null and 0 would be 0, and the score 1)."""
+    return F.when(_col(distance).isNotNull(), 1 / (1 + F.greatest(_col(distance), F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
 def instructed(query: Column | str, instruction: str | None) -> Column:

@@ -3,27 +3,53 @@
 Every term's part is at least 0, so joining the queries' terms with their postings and keeping positive sums is the same
 as scoring every row. Scores are rounded before they are ranked: the order of a distributed sum can't break a tie.
 Statistics cover the whole corpus; filters by tag come after the ranking and never change a score.
+
+A text's terms are counted inside its row, so postings are made without a shuffle. A search reads the corpus (or a
+written index) once, for all its queries and lists: it keeps the postings of the asked terms and a row for each chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.shared import stored
 
 K1, B, DIGITS = 1.5, 0.75, 9
+SCHEMA_VERSION = 3
+#: The term of the row that every chunk has, whether it has terms or not; never a term itself.
+CHUNK = ""
 
 
 def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, dl, term, tf); texts without terms have no row here but count in the statistics."""
-    terms = chunks.select(key, T.bm25_terms(text).alias("__terms")).withColumn("dl", F.size("__terms"))
-    return terms.select(key, "dl", F.explode("__terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    """(key, dl, term, tf), with a row of term ``CHUNK`` and tf 0 for each chunk."""
+    rows = chunks.select(key, F.array_sort(T.bm25_terms(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    rows = rows.withColumn("__i", T.run_starts("__t"))
+    counted = F.transform("__i", lambda i, j: F.struct(F.get("__t", i).alias("term"), (F.coalesce(F.get("__i", j + 1), F.col("dl")) - i).cast("long").alias("tf")))
+    return rows.select(key, "dl", F.inline(F.concat(F.array(F.struct(F.lit(CHUNK).alias("term"), F.lit(0).cast("long").alias("tf"))), counted)))
+
+
+def write_index(chunks: DataFrame, folder: str, key: str = "chunk_index", text: str = "text") -> None:
+    """Replaces the index below the folder: postings sorted by term inside each file, so that a search skips row groups."""
+    rows = postings(chunks, key, text).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(folder)
+
+
+def read_index(spark: SparkSession, folder: str, key: str = "chunk_index", kind: str = "long") -> DataFrame:
+    """The postings; none where nothing has been written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{key} {kind}, dl int, term string, tf long")
+    rows = spark.read.parquet(folder)
+    if "schema_version" not in rows.columns or not rows.filter(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).isEmpty():
+        raise RuntimeError("the lexical index has another schema; index the documents again")
+    return rows.drop("schema_version")
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n (all chunks) and avgdl."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.bm25_terms(text))).alias("avgdl"))
+    return index.filter(F.col("term") == CHUNK).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -31,24 +57,36 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def term_stats(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, df, idf)."""
-    df = postings(chunks, key, text).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(corpus_stats(chunks, text).select("n"))).select("term", "df", F.round(idf(F.col("df"), F.col("n")), DIGITS).alias("idf"))  # one row of statistics
+    """(term, df, idf). The row of all chunks gives their number, so the corpus is read once."""
+    df = stored(postings(chunks, key, text).groupBy("term").agg(F.count("*").alias("df")))
+    n = df.filter(F.col("term") == CHUNK).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"))
+    return df.filter(F.col("term") != CHUNK).crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("df"), F.col("n")), DIGITS).alias("idf"))  # one row of statistics
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str = "query_id", key: str = "chunk_index", query: str = "query", text: str = "text", keep: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str | list[str] = "query_id", key: str = "chunk_index", query: str = "query", text: str = "text", keep: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, key, store_rank, rank, score): ``store_rank`` among all hits, ``rank`` among those that pass ``keep``,
-    a condition on the chunks' columns. Ties go to the smaller key; hits score above 0."""
-    asked = queries.select(query_id, F.explode(T.bm25_terms(query)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    terms = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    stats = corpus_stats(chunks, text)
-    weights = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf")).filter("idf > 0")
+    a condition on the chunks' columns. Ties go to the smaller key; hits score above 0. ``query_id`` may be several
+    columns, as for the lists of a question. ``index``: written postings, instead of the chunks' own."""
+    by = [query_id] if isinstance(query_id, str) else list(query_id)
+    asked = queries.select(*by, F.explode(T.bm25_terms(query)).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
+    every = queries.sparkSession.createDataFrame([(CHUNK,)], "term string")
+    wanted = asked.select("term").distinct().unionByName(every)
+    terms = stored((postings(chunks, key, text) if index is None else index).join(wanted, "term", "left_semi"))
+    found = terms.filter(F.col("term") != CHUNK)
+    weights = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(terms))).select("term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf")).filter("idf > 0")  # one row of statistics
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = terms.join(weights, "term").join(asked, "term").groupBy(query_id, key).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    hits = found.join(weights, "term").join(asked, "term").groupBy(*by, key).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
     hits = hits.filter("score > 0").withColumn("score", F.round("score", DIGITS))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if keep is None:
-        return hits.withColumn("store_rank", F.row_number().over(order)).filter(F.col("store_rank") <= k).select(query_id, key, "store_rank", F.col("store_rank").alias("rank"), "score")
-    hits = hits.withColumn("store_rank", F.row_number().over(order))
-    kept = hits.join(chunks.filter(keep).select(key), key, "left_semi")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_id, key, "store_rank", "rank", "score")
+        return top(hits).select(*by, key, F.col("rank").alias("store_rank"), "rank", "score")
+    hits = stored(hits)
+    kept = top(hits.join(chunks.filter(keep).select(key), key, "left_semi"))
+    # the store rank of the k that are kept: hits are counted by how many of these come before them, not ranked
+    place = lambda score, chunk: F.struct((-score).alias("s"), chunk.alias("key"))
+    heads = kept.groupBy(*by).agg(F.array_sort(F.collect_list(place(F.col("score"), F.col(key)))).alias("__kept"))
+    before = F.size(F.filter("__kept", lambda x: x < place(F.col("score"), F.col(key))))
+    counts = hits.join(heads, by).groupBy(*by, (before + 1).alias("rank")).agg(F.count("*").alias("__n"))
+    upto = counts.withColumn("store_rank", F.sum("__n").over(Window.partitionBy(*by).orderBy("rank")).cast("int")).drop("__n")
+    return kept.join(upto, [*by, "rank"]).select(*by, key, "store_rank", "rank", "score")

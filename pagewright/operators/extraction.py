@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.edges import with_retries
 from pagewright.functions import text as T
 from pagewright.operators import quality
-from pagewright.operators.pages import window_around
+from pagewright.operators.pages import context_windows
+from pagewright.sources import files as files_module
+from pagewright.sources.shared import stored
 
 RESULT = "document_id string, page_number int, raw string, stop_reason string, calls int, error string"
 
@@ -22,34 +27,40 @@ def pending_pages(rendered: DataFrame, done: DataFrame, retry_failed: bool = Fal
 
 
 def check_budget(pages: DataFrame, most_pages: int = 200, most_calls: int = 200) -> None:
-    """Raises before any call where a document has more pages, or needs more calls, than allowed."""
-    over = quality.over_budget(pages, "document_id", min(most_pages, most_calls)).limit(5).collect()
-    if over:
-        raise RuntimeError(f"over budget: {[r['document_id'] for r in over]}")
+    """Raises before any call where a document has more pages than allowed, or needs more calls (one a page)."""
+    for limit, what in ((most_pages, "pages"), (most_calls, "calls")):
+        over = quality.over_budget(pages, "document_id", limit).limit(5).collect()
+        if over:
+            raise RuntimeError(f"more than {limit} {what}: {[r['document_id'] for r in over]}")
 
 
 def with_context(pages: DataFrame, size: int = 4) -> DataFrame:
-    """Each page with the images of the pages that it is read with."""
-    gathered = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "image"))).alias("__pages"))
-    placed = gathered.select("document_id", "__pages", F.posexplode("__pages").alias("__at", "__page"))
-    around = window_around(F.col("__pages"), F.col("__at"), size)
-    return placed.select("document_id", F.col("__page.page_number").alias("page_number"), F.col("__page.image").alias("image"), F.transform(around, lambda p: p["image"]).alias("context"))
+    """Each page with the images of the pages that it is read with: a join of page numbers, so no document is gathered."""
+    around = context_windows(pages.select("document_id", "page_number"), "document_id", "page_number", size)
+    wanted = around.select("document_id", "page_number", F.explode("context").alias("__other"))
+    images = pages.select("document_id", F.col("page_number").alias("__other"), F.col("image").alias("__image"))
+    read = wanted.join(images, ["document_id", "__other"]).groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("__other", "__image"))).alias("__c"))
+    context = read.select("document_id", "page_number", F.transform("__c", lambda x: x["__image"]).alias("context"))
+    return pages.select("document_id", "page_number", "image").join(context, ["document_id", "page_number"])
 
 
-def extract(pages: DataFrame, call: Callable[[int, bytes, list[bytes]], tuple[str, str]]) -> DataFrame:
+def extract(pages: DataFrame, call: Callable[[int, bytes, list[bytes]], tuple[str, str]], transient: tuple[type[Exception], ...] = (ConnectionError,), sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random, deadline: float | None = None) -> DataFrame:
     """One row a page: the model's raw answer, why it stopped, the calls made, the error if any. An answer that isn't
-    acceptable is asked for once more, with the page's own image alone."""
+    acceptable is asked for once more, with the page's own image alone; a transient error is tried again after a while.
+    After the deadline (seconds since the epoch) pages are left out: they are neither done nor failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for row in b.to_pylist():
+                if deadline is not None and time.time() >= deadline:
+                    break
                 raw = stop = error = None
                 calls = 0
                 for context in (row["context"], [row["image"]]):
                     calls += 1
                     try:
-                        raw, stop = call(row["page_number"], row["image"], context)
+                        raw, stop = with_retries(lambda: call(row["page_number"], row["image"], context), transient, sleep, jitter)
                         error = None
                     except Exception as e:  # a failed page is recorded, and the others go on
                         raw, stop, error = None, None, f"{type(e).__name__}: {e}"
@@ -74,3 +85,51 @@ def validated(results: DataFrame, rendered: DataFrame) -> DataFrame:
     issue = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("markdown").isNull(), "unusable answer").when(F.col("low"), "low coverage")
     out = out.withColumn("issue", issue).withColumn("status", F.when(F.col("issue").isNull(), "ok").otherwise("failed"))
     return out.select(*key, F.when(F.col("status") == "ok", T.strip("markdown")).otherwise("").alias("markdown"), "status", "issue", "calls")
+
+
+def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes, str]]], call: Callable[[int, bytes, list[bytes]], tuple[str, str]], cache: str, model: str, prompt_version: str, most_pages: int = 200, most_calls: int = 200, context_pages: int = 4, retry_failed: bool = False, refresh: bool = False, timeout: float | None = None, **calls) -> DataFrame:
+    """Documents (those of ``files``: path, content, tag, name, relative_path, document_id, source_sha256) with pages, by
+    cache, budget, calls and checkpoint: pages that the cache has under this model, prompt version and context size are
+    kept; budgets are checked before any call; what a task has extracted is appended to the cache, so a run that is broken
+    off, or passes its deadline, goes on where it stopped. A failed page is empty and counts as done, unless asked for."""
+    spark = files.sparkSession
+    rendered = stored(files_module.rendered(files, render))
+    check_budget(rendered, most_pages, most_calls)
+    named = files.select("document_id", "source_sha256")
+    key = {"parser_model": F.lit(model), "prompt_version": F.lit(prompt_version), "context_pages": F.lit(context_pages)}
+
+    def cached() -> DataFrame:
+        kept = files_module.read_cache(spark, cache)
+        none = spark.createDataFrame([], "document_id string, page_number int, markdown string, status string, issue string")
+        if kept is None:
+            return none
+        mine = kept.filter((F.col("parser_model") == model) & (F.col("prompt_version") == prompt_version) & (F.col("context_pages") == context_pages))
+        return mine.join(named, "source_sha256").select(*none.columns)
+
+    todo = rendered if refresh else pending_pages(rendered, cached(), retry_failed)
+    read = with_context(rendered, context_pages).join(todo.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
+    deadline = None if timeout is None else time.time() + timeout
+    results = stored(extract(read, call, deadline=deadline, **calls))
+    total = rendered.groupBy("document_id").agg(F.count("*").cast("int").alias("total_pages"))
+    done = validated(results, rendered).join(named, "document_id").join(total, "document_id").withColumns(key)
+    files_module.write_cache(done.select("source_sha256", *key, "page_number", "markdown", "status", "issue", "total_pages"), cache)
+    now = cached().join(rendered.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
+    left = pending_pages(rendered, now)
+    if not left.isEmpty():
+        raise TimeoutError(f"{left.count()} pages are left; run again to go on")
+    pages = now.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("markdown", F.lit("")).alias("markdown")))).alias("pages"), F.map_from_entries(F.collect_list(F.when(F.col("status") != "ok", F.struct("page_number", "issue")))).alias("failed_pages"))
+    none = F.array().cast("array<struct<page_number:int,markdown:string>>")
+    return files.drop("content").join(pages, "document_id", "left").withColumns({"pages": F.coalesce("pages", none), "parser_model": F.lit(model), "prompt_version": F.lit(prompt_version)})
+
+
+def previewed(requests: DataFrame, rendered: DataFrame, call: Callable[[int, bytes, list[bytes]], tuple[str, str]]) -> DataFrame:
+    """(document_id, position, page_number, markdown) of requested pages, in order and once each, without the cache; failed
+    pages are left out. A page that the document doesn't have is an error."""
+    from pagewright.operators.pages import requested_pages
+
+    wanted, invalid = requested_pages(requests, rendered.select("document_id", "page_number", "image"), "document_id")
+    if bad := invalid.limit(5).collect():
+        raise ValueError(f"no such pages: {[(r['document_id'], r['page_number']) for r in bad]}")
+    read = with_context(rendered).join(wanted.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
+    done = validated(stored(extract(read, call)), rendered).filter("status = 'ok'")
+    return wanted.select("document_id", "position", "page_number").join(done.select("document_id", "page_number", "markdown"), ["document_id", "page_number"])

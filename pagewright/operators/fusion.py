@@ -5,7 +5,7 @@ A list is (query_id, source 'vector' or 'bm25', list_no, rank, key) with ``dista
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -14,11 +14,11 @@ RRF_K, FAR = 60, 1_000_000_000
 DIGITS = 12
 
 
-def hits(found: DataFrame, source: str, list_no: int, key: str, query_id: str = "query_id") -> DataFrame:
-    """A search's result as a list."""
+def hits(found: DataFrame, source: str, list_no: int | Column, key: str, query_id: str = "query_id") -> DataFrame:
+    """A search's result as a list, or as the lists that a column numbers."""
     distance = F.col("distance") if "distance" in found.columns else F.lit(None).cast("double")
     score = F.col("score") if "score" in found.columns else F.lit(None).cast("double")
-    return found.select(F.col(query_id).alias("query_id"), F.lit(source).alias("source"), F.lit(list_no).alias("list_no"), "rank", F.col(key).alias("key"), distance.alias("distance"), score.alias("score"))
+    return found.select(F.col(query_id).alias("query_id"), F.lit(source).alias("source"), (F.lit(list_no) if isinstance(list_no, int) else list_no).alias("list_no"), "rank", F.col(key).alias("key"), distance.alias("distance"), score.alias("score"))
 
 
 def reciprocal_rank_fusion(lists: DataFrame, rrf_k: int = RRF_K, limit: int | None = None) -> DataFrame:

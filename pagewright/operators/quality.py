@@ -11,13 +11,20 @@ MIN_REFERENCE_TOKENS, MIN_COVERAGE = 40, 0.65
 
 
 def reference_coverage(pages: DataFrame, key: list[str], reference: str, markdown: str) -> DataFrame:
-    """The share of the reference's tokens (as a multiset) that the markdown has; null, and no issue, for short references."""
-    def counted(column: str, name: str) -> DataFrame:
-        return pages.select(*key, F.explode(T.coverage_tokens(column)).alias("t")).groupBy(*key, "t").agg(F.count("*").alias(name))
+    """The share of the reference's tokens (as a multiset) that the markdown has; null, and no issue, for short references.
+    Both sides are in one row, so nothing is shuffled: the n-th of equal tokens is told apart, and arrays are intersected."""
+    rows = pages.withColumns({"__r": F.array_sort(T.coverage_tokens(reference)), "__m": F.array_sort(T.coverage_tokens(markdown))})
+    rows = rows.withColumns({"__ri": T.run_starts("__r"), "__mi": T.run_starts("__m")})
 
-    both = counted(reference, "r").join(counted(markdown, "m"), [*key, "t"], "left")
-    sums = both.groupBy(*key).agg(F.sum("r").alias("tokens"), F.sum(F.least("r", F.coalesce("m", F.lit(0)))).alias("found"))
-    out = pages.select(*key).join(sums, key, "left").na.fill(0, ["tokens", "found"])
+    def told(ordered: str, places: str) -> Column:
+        def each(i: Column, j: Column) -> Column:
+            last = F.coalesce(F.get(places, j + 1), F.size(ordered)) - i - 1
+            return F.transform(F.sequence(F.lit(0), last), lambda n: F.concat(F.get(ordered, i), F.lit(" "), n.cast("string")))
+
+        return F.flatten(F.transform(places, each))
+
+    sums = rows.withColumns({"tokens": F.size("__r").cast("long"), "found": F.size(F.array_intersect(told("__r", "__ri"), told("__m", "__mi"))).cast("long")})
+    out = sums.select(*key, "tokens", "found")
     coverage = F.when(F.col("tokens") >= MIN_REFERENCE_TOKENS, F.round(F.col("found") / F.col("tokens"), 6))
     return out.withColumn("coverage", coverage).withColumn("issue", F.coalesce(coverage < MIN_COVERAGE, F.lit(False)))
 

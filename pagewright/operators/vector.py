@@ -1,8 +1,10 @@
 """Exact nearest neighbours: no index, every vector is compared; the public definitions of the three distances.
 
-The queries are taken in blocks of at most ``QUERY_BLOCK``, whose matrix is small whatever the number of queries; a task
-multiplies each Arrow batch with it and passes on the batch's own top k for each query, which a window then merges. Ties
-go to the smaller id. Filters are on the vectors' side, before distances (a prefilter).
+Queries and vectors are packed into blocks of about ``QUERY_BLOCK`` and ``VECTOR_BLOCK`` rows; a row for each pair of
+blocks is compared as one product of matrices. Query blocks of up to ``MAX_BROADCAST`` bytes are broadcast, so vectors
+aren't moved; larger sets meet the vectors by (block, slice), so that neither side has a hot key. A task passes on its
+own top k of each query, which a window then merges. Ties go to the smaller id. Filters are on the vectors' side, before
+distances (a prefilter).
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "cosine", "dot")
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK, DIGITS, MAX_BROADCAST = 1024, 2048, 9, 1 << 26
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -27,6 +30,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Squared l2, 1 - cosine, or 1 - dot product."""
+    if queries.shape[1] != vectors.shape[1]:
+        raise ValueError("vectors differ in dimension")
     dots = queries @ vectors.T
     if metric == "dot":
         return 1 - dots
@@ -37,40 +42,62 @@ def distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarr
     return np.maximum(0, norms_q[:, None] + norms_v[None] - 2 * dots)
 
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """(part, ids, body, n): rows (id, v) as blocks of one partition's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                b = batch.slice(at, size)
+                ids, body = b.column("id").to_numpy().tobytes(), _matrix(b.column("v")).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([ids], pa.binary()), pa.array([body], pa.binary()), pa.array([b.num_rows])], ["part", "ids", "body", "n"])
+
+    return rows.filter("v is not null").mapInArrow(run, "part long, ids binary, body binary, n long")
+
+
+def _least(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least (distance, id) of each query."""
+    order = np.lexsort((ids, d, q))
+    q, d, ids = q[order], d[order], ids[order]
+    edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(edges, np.diff(np.append(edges, len(q))))
+    top = place < k
+    return q[top], d[top], ids[top]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, metric: str = "l2", query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, vector_id, rank, distance) of the k nearest vectors of each query; null vectors never match."""
     if metric not in METRICS or k < 1:
         raise ValueError(f"metric must be one of {METRICS} and k at least 1")
-    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(column).alias("v")).filter("v is not null").orderBy("q")
-    blocks: list[DataFrame] = []
-    held: list = []
-
-    def block(part: list) -> DataFrame:
-        ids = np.array([r["q"] for r in part], np.int64)
-        matrix = np.array([r["v"] for r in part], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    b = batch.slice(at, 2048)
-                    found = distances(matrix, _matrix(b.column("v")), metric)
-                    v = b.column("id").to_numpy()
-                    order = np.lexsort((np.broadcast_to(v, found.shape), found), axis=1)[:, : min(k, len(v))]
-                    d = np.take_along_axis(found, order, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(v[order].ravel()), pa.array(d.ravel())], ["q", "id", "distance"])
-
-        return vectors.select(F.col(vector_id).cast("long").alias("id"), F.col(column).alias("v")).filter("v is not null").mapInArrow(run, "q long, id long, distance double")
-
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            blocks.append(block(held))
-            held = []
-    if held or not blocks:
-        blocks.append(block(held) if held else vectors.limit(0).select(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("distance")))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    out = out.withColumn("distance", F.round("distance", 9) + F.lit(0.0))  # no negative zero
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(column).alias("v"))
+    n, wide = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    asked = _packed(asked.repartition(blocks), QUERY_BLOCK).withColumnsRenamed({"part": "block", "ids": "q_ids", "body": "q_body", "n": "q_n"})
+    packed = _packed(vectors.select(F.col(vector_id).cast("long").alias("id"), F.col(column).alias("v")), VECTOR_BLOCK)
+    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if 8 * n * wide <= MAX_BROADCAST:
+        met = packed.join(F.broadcast(asked), "block")
+    else:
+        slices = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = packed.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices))).join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))), ["block", "slice"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}  # of each block of queries that the task meets: its top k so far
+        for b in batches:
+            for row in b.to_pylist():
+                matrix = np.frombuffer(row["q_body"]).reshape(row["q_n"], -1)
+                v, ids = np.frombuffer(row["body"]).reshape(row["n"], -1), np.frombuffer(row["ids"], np.int64)
+                parts = [held[row["q_ids"]]] if row["q_ids"] in held else []
+                for at in range(0, len(matrix), 256):
+                    found = np.round(distances(matrix[at : at + 256], v, metric), DIGITS) + 0.0  # no negative zero
+                    ranked = np.where(np.isnan(found), np.inf, found)
+                    most = np.partition(ranked, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                    q, i = np.nonzero(ranked <= most[:, None])
+                    parts.append((q + at, found[q, i], ids[i]))
+                held[row["q_ids"]] = _least(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)
+        for key, (q, d, ids) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[q]), pa.array(ids), pa.array(d)], ["q", "id", "distance"])
+
+    out = met.select("q_ids", "q_body", "q_n", "ids", "body", "n").mapInArrow(run, "q long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("id").alias(vector_id), "rank", "distance")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -21,6 +21,11 @@ def apply_filters(rows: DataFrame, in_lists: dict[str, list], needle: str = "",
     return rows
 
 
+def page_count(rows: DataFrame, size: int) -> int:
+    """How many pages of the viewer the rows fill, one at least."""
+    return max(1, -(-rows.count() // size))
+
+
 def page_of(rows: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
@@ -38,22 +43,55 @@ def document_options(chunks: DataFrame, key: str = "document_id", order: str = "
     return chunks.withColumn("__n", first).filter("__n = 1").select(key, label.alias("label"))
 
 
+def question_table(questions: DataFrame) -> DataFrame:
+    """(id, active, question, category, pages): the pages as ``source p.N``, parted by commas; questions as the store
+    gives them."""
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(p["source"], F.lit(" p."), p["page"].cast("string"))), ", ")
+    return questions.select("id", "active", "question", "category", pages.alias("pages"))
+
+
+def _label(column: Column, **labels: str) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, column), column)
+
+
 def evaluation_table(evaluations: DataFrame) -> DataFrame:
-    """Newest first: shortened hash, mode label, chosen metrics."""
-    labels = F.create_map(*[F.lit(x) for x in ("vector", "Vector", "bm25", "BM25", "hybrid", "Hybrid")])
-    mode = F.coalesce(F.try_element_at(labels, F.col("mode")), F.col("mode"))
-    return evaluations.select("id", "name", mode.alias("mode"), F.substring("dataset_hash", 1, 10).alias("dataset"), F.col("metrics.recall_at_k").alias("recall_at_k"), F.col("metrics.mrr_at_k").alias("mrr_at_k"), "status").orderBy(F.desc("id"))
+    """Evaluations as the store keeps them, newest first: labels, a shortened hash, the settings and chosen metrics."""
+    c = F.from_json("config", "mode string, distance string, instruction string, augment boolean, top_k int")
+    m = F.from_json("metrics", "hit_at_k double, recall_at_k double, mrr_at_k double, failures long")
+    told = evaluations.withColumns({"__c": c, "__m": m})
+    return told.select(
+        "id", "name", _label(F.col("status"), running="Running", completed="Completed", failed="Failed").alias("status"),
+        F.substring("dataset_hash", 1, 10).alias("dataset"), "question_count",
+        _label(F.col("__c.mode"), vector="Vector", bm25="BM25", hybrid="Hybrid").alias("mode"),
+        F.coalesce(_label(F.col("__c.distance"), cosine="Cosine", l2="L2"), F.lit("—")).alias("distance"),
+        (F.coalesce(F.col("__c.instruction"), F.lit("")) != "").alias("instruction"), F.coalesce("__c.augment", F.lit(False)).alias("augment"),
+        F.col("__c.top_k").alias("k"), "__m.hit_at_k", "__m.recall_at_k", "__m.mrr_at_k", "__m.failures",
+    ).orderBy(F.desc("id"))
 
 
 def failures_only(results: DataFrame) -> DataFrame:
     return results.filter(F.col("failure") | (F.coalesce("error", F.lit("")) != ""))
 
 
-def table_rows(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "source", "source_path", "page_start", "tag", T.shorten("text", 220).alias("text"))
+def table_rows(chunks: DataFrame, full_text: bool = False) -> DataFrame:
+    """The viewer's nine columns, with whole or shortened texts."""
+    text = F.col("text") if full_text else T.shorten("text", 220)
+    return chunks.select(F.col("source").alias("document"), "source_type", "tag", F.col("page_start").alias("page"), "page_chunk_index", F.col("token_count").alias("tokens"), F.col("parser_model").alias("model"), "source_path", text.alias("text"))
 
 
 def score_parts(hits: DataFrame) -> DataFrame:
-    """Diagnostics of ranked hits; only scores that are there are shown."""
-    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"{name}=%.4f", F.col(c).cast("double"))) for c, name in (("rrf_score", "rrf"), ("distance", "distance"), ("bm25_score", "bm25")) if c in hits.columns]
+    """Diagnostics of ranked hits; only what is there is shown."""
+    have = set(hits.columns)
+    parts = [("sources", "sources", "%s"), ("rrf_score", "rrf", "%.6f"), ("vector_rank", "vector rank", "%d"), ("distance", "distance", "%.6f"), ("bm25_rank", "bm25 rank", "%d"), ("bm25_score", "bm25", "%.6f")]
+    shown = []
+    for column, name, form in parts:
+        if column in have:
+            value = F.nullif(F.array_join(column, ","), F.lit("")) if column == "sources" else F.col(column).cast("double" if "f" in form else "long")
+            shown.append(F.when(value.isNotNull(), F.format_string(f"{name}={form}", value)))
     return hits.withColumn("scores", F.concat_ws(" · ", *shown))
+
+
+def verdict(checks: DataFrame, *report: str) -> DataFrame:
+    """Whether all required checks (ok, required) of each report are ok."""
+    return checks.groupBy(*report).agg(F.bool_and(F.col("ok") | ~F.col("required")).alias("healthy"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -13,21 +15,95 @@ SCHEMA_VERSION = 3
 PROVENANCE = ("document_id", "source_path", "source_sha256", "parser_model", "prompt_version", "schema_version")
 
 
-def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata of every file below the folder, without reading contents: relative path, tag (first folder), extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
-    relative = F.regexp_replace("path", "^.*?" + folder.rstrip("/").split("://")[-1].replace(".", r"\.") + "/", "")
+#: Fixed value: what is read as a document.
+SUFFIXES = ("pdf", "md")
+
+
+def _named(files: DataFrame, folder: str) -> DataFrame:
+    """With relative path, name, tag (first folder, or none) and extension."""
+    root = folder.rstrip("/").split("://")[-1]
+    relative = F.regexp_replace("path", "^.*?" + re.escape(root) + "/", "")
     parts = F.split(relative, "/")
-    out = files.withColumn("relative_path", relative)
-    return out.withColumns({"name": F.element_at(parts, -1), "tag": F.when(F.size(parts) > 1, parts[0]).otherwise(""), "extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))})
+    return files.withColumns({"relative_path": relative, "name": F.element_at(parts, -1), "tag": F.when(F.size(parts) > 1, parts[0]).otherwise(""), "extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))})
 
 
-def load_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Markdown files as documents with pages: read as UTF-8, line ends normalised, hashed by their bytes."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.lower("path").endswith(".md"))
+def _files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Files below the folder, which must exist; of the suffixes alone, in any case, so that no other is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:
+        any_case = lambda x: "".join(f"[{c.lower()}{c.upper()}]" for c in x)
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(any_case, suffixes)) + "}")
+    return reader.load(folder)
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of every file below the folder, without reading contents: relative path, tag (first folder), extension, a
+    quoted URL path and the time as ISO text."""
+    files = _named(_files(spark, folder).select("path", "length", F.col("modificationTime").alias("modified")), folder)
+    url = F.array_join(F.transform(F.split("relative_path", "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
+    return files.withColumns({"url": F.concat(F.lit("/files/"), url), "modified_iso": iso(F.col("modified"))})
+
+
+def iso(time: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def as_markdown(files: DataFrame) -> DataFrame:
+    """Documents with pages of Markdown files: read as UTF-8, line ends normalised, hashed by their bytes."""
     body = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    meta = listed(spark, folder).select("path", "tag", "name", "relative_path")
-    return raw.select("path", T.document_id("path").alias("document_id"), F.sha2("content", 256).alias("source_sha256"), T.pages_of(body).alias("pages"), F.lit("direct-markdown").alias("parser_model"), F.lit("none").alias("prompt_version")).join(meta, "path")
+    return files.select("path", T.document_id("path").alias("document_id"), F.sha2("content", 256).alias("source_sha256"), T.pages_of(body).alias("pages"), F.lit("direct-markdown").alias("parser_model"), F.lit("none").alias("prompt_version"), "tag", "name", "relative_path")
+
+
+def load_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The Markdown files below the folder as documents."""
+    return as_markdown(_named(_files(spark, folder, ("md",)), folder))
+
+
+def load_directory(spark: SparkSession, folder: str, parse_pdf: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All documents below the folder, by path: Markdown as it is, and PDF by ``parse_pdf``, which gets (path, content, tag,
+    name, relative_path, document_id, source_sha256) and returns the columns that Markdown has."""
+    files = _named(_files(spark, folder, SUFFIXES), folder)
+    out = as_markdown(files.filter("extension = 'md'"))
+    if parse_pdf is not None:
+        pdf = files.filter("extension = 'pdf'").select("path", "content", "tag", "name", "relative_path", T.document_id("path").alias("document_id"), F.sha2("content", 256).alias("source_sha256"))
+        out = out.unionByName(parse_pdf(pdf).select(*out.columns))
+    return out.orderBy("path")
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    """One row: (documents, pages)."""
+    return documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("pages")), F.lit(0)).alias("pages"))
+
+
+def list_tables(spark: SparkSession, folder: str) -> list[str]:
+    """The index tables below a folder, sorted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()) if fs.exists(path) else []
+
+
+def table_exists(spark: SparkSession, folder: str, name: str) -> bool:
+    return name in list_tables(spark, folder)
+
+
+def safe_relative(path: str) -> str:
+    """A relative path of an upload, checked: not absolute, no way up, a suffix that is read."""
+    parts = path.replace("\\", "/").strip().split("/")
+    if not parts[-1] or any(p in ("", ".", "..") for p in parts) or ":" in parts[0] or parts[-1].rsplit(".", 1)[-1].lower() not in SUFFIXES:
+        raise ValueError(f"not a path of a document below the folder: {path!r}")
+    return "/".join(parts)
+
+
+def safe_tag(tag: str | None) -> str:
+    """A tag is one folder name or nothing."""
+    tag = (tag or "").strip()
+    if "/" in tag or "\\" in tag or tag in (".", ".."):
+        raise ValueError(f"not a tag: {tag!r}")
+    return tag
 
 
 def rendered(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes, str]]]) -> DataFrame:
@@ -46,10 +122,22 @@ def rendered(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes,
 
 
 def write_index(chunks: DataFrame, folder: str) -> bool:
-    """Replaces the index; an empty one leaves the old in place. False if so."""
-    if chunks.isEmpty():
+    """Replaces the index; an empty one leaves the old in place. False if so. The chunks are computed once, into a folder
+    beside the index, which then takes its place."""
+    spark = chunks.sparkSession
+    jvm = spark.sparkContext._jvm
+    new, at = (jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}{x}") for x in (f".new-{uuid.uuid4().hex}", ""))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    chunks.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.parquet(new.toString())
+    if spark.read.parquet(new.toString()).isEmpty():
+        fs.delete(new, True)
         return False
-    chunks.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(folder)
+    old = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}.old-{uuid.uuid4().hex}")
+    had = fs.exists(at)
+    if had and not fs.rename(at, old) or not fs.rename(new, at):
+        raise OSError(f"the index could not be replaced; the new one is {new.toString()}")
+    if had:
+        fs.delete(old, True)
     return True
 
 
@@ -62,9 +150,30 @@ def read_index(spark: SparkSession, folder: str, vectors: bool = False) -> DataF
     return rows if vectors else rows.drop("vector")
 
 
+CACHE_KEY = ["source_sha256", "parser_model", "prompt_version", "context_pages", "page_number"]
+
+
 def write_cache(pages: DataFrame, folder: str) -> None:
-    """Appends extracted pages: one row each, keyed by source hash, model, prompt version, context size and page."""
-    pages.write.mode("append").parquet(folder)
+    """Appends extracted pages, one row each under ``CACHE_KEY``, with the time; a later row replaces an earlier one."""
+    pages.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The cached pages, the last written of each key; None where nothing has been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    last = F.row_number().over(Window.partitionBy(*CACHE_KEY).orderBy(F.desc("written_at")))
+    return spark.read.parquet(folder).withColumn("__n", last).filter("__n = 1").drop("__n", "written_at")
+
+
+def manifests(cache: DataFrame) -> DataFrame:
+    """An entry for each source, model, prompt version and context size: page numbers in order, failed pages with their
+    reasons, the total, and whether all are there."""
+    pages = F.array_sort(F.collect_list(F.struct("page_number", "status", "issue")))
+    told = cache.groupBy(*CACHE_KEY[:-1]).agg(pages.alias("__p"), F.max("total_pages").alias("total_pages"))
+    failed = F.map_from_entries(F.transform(F.filter("__p", lambda p: p["status"] != "ok"), lambda p: F.struct(p["page_number"], p["issue"])))
+    return told.select(*CACHE_KEY[:-1], F.transform("__p", lambda p: p["page_number"]).alias("page_numbers"), failed.alias("failed_pages"), "total_pages", (F.size("__p") == F.col("total_pages")).alias("complete"))
 
 
 def ndjson(events: DataFrame, seq: str = "seq") -> DataFrame:

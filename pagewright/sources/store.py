@@ -1,8 +1,10 @@
-"""The evaluation store: tables under a folder, changed by writing a new version and moving a pointer.
+"""The evaluation store: tables under a folder, changed by writing new folders and adding a numbered pointer.
 
 Relational rules (unique names, cascades, upserts) are the pure functions; ``Store`` keeps the tables. The driver is the
-only writer. A change writes whole new tables beside the old ones, then replaces the pointer file by rename, so readers
-see the old or the new state; ids count on and are never used again.
+only writer. A change writes new folders beside the old ones and then renames a new pointer into place under the next
+number; no pointer is replaced, and the one with the highest number is the state. So readers, and a run after a crash at
+any point, see the old or the new state. Appends add a folder to a table; other changes write the table anew. Ids count on
+and are never used again.
 """
 
 from __future__ import annotations
@@ -17,38 +19,58 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 
 TABLES = {
-    "questions": "id long, question string, active boolean, created_at timestamp",
+    "questions": "id long, question string, category string, notes string, active boolean, created_at timestamp, updated_at timestamp",
     "relevant_pages": "question_id long, document_id string, source string, source_path string, page int, reference_text string",
-    "evaluations": "id long, name string, status string, config string, dataset_hash string, metrics string, error string, created_at timestamp",
-    "evaluation_results": "id long, evaluation_id long, question_id long, question string, matches string, metrics string, latency_ms double, error string",
+    "evaluations": "id long, name string, status string, config string, dataset_hash string, question_count long, metrics string, error string, created_at timestamp, completed_at timestamp",
+    "evaluation_results": "id long, evaluation_id long, question_id long, question string, expected string, matches string, variants string, metrics string, latency_ms double, error string",
     "query_variants": "question_sha256 string, prompt_version string, variants string, created_at timestamp",
+    "sessions": "session_id string, created_at timestamp",
     "messages": "session_id string, seq long, role string, content string",
 }
+#: Pointers that are kept, so that a reader that has just listed them still finds the one it chose.
+KEPT_POINTERS = 8
 
 
 def questions_with_pages(questions: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Questions with their pages as an ordered array; those without pages have an empty one."""
-    gathered = F.array_sort(F.collect_set(F.struct(T.strip("document_id").alias("document_id"), "page")))
+    """Questions with their pages (document_id, page, source, source_path, reference_text) as an ordered array; those
+    without pages have an empty one."""
+    rest = [F.col(c) for c in ("source", "source_path", "reference_text")]
+    gathered = F.array_sort(F.collect_set(F.struct(T.strip("document_id").alias("document_id"), "page", *rest)))
     pages = relevant.groupBy(F.col("question_id").alias("id")).agg(gathered.alias("pages"))
     return questions.join(pages, "id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)))
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    """A JSON string: characters stand for themselves, but for quotes, backslashes and those below U+0020."""
+    out = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    rare = out
+    for i in range(32):
+        if chr(i) not in "\n\r\t\b\f":
+            rare = F.replace(rare, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))
 
 
 def dataset_items(questions: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(id, item_sha256) of each active question: the hash of its canonical JSON."""
+    """(id, item) of each active question: its canonical JSON, with sorted keys."""
     rows = questions_with_pages(questions.filter("active"), relevant)
-    pages = F.array_join(F.transform("pages", lambda p: F.concat(F.lit("["), _quoted(p["document_id"]), F.lit(", "), p["page"].cast("string"), F.lit("]"))), ", ")
-    item = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "pages": ['), pages, F.lit('], "question": '), _quoted(F.col("question")), F.lit("}"))
-    return rows.select("id", F.sha2(item, 256).alias("item_sha256"))
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(F.lit('{"document_id": '), _quoted(p["document_id"]), F.lit(', "page": '), p["page"].cast("string"), F.lit("}"))), ", ")
+    item = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "question": '), _quoted(F.col("question")), F.lit(', "relevant_pages": ['), pages, F.lit("]}"))
+    return rows.select("id", item.alias("item"))
 
 
 def dataset_hash(questions: DataFrame, relevant: DataFrame) -> DataFrame:
-    """One row: the hash of the active questions' hashes in order of id."""
-    ordered = F.array_sort(F.collect_list(F.struct("id", "item_sha256")))
-    return dataset_items(questions, relevant).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["item_sha256"]), ""), 256).alias("dataset_hash"))
+    """One row: the hash of the JSON list of the active questions in order of id. The list is one text in one task, as a
+    hash of it must be; a dataset of questions is small."""
+    ordered = F.array_sort(F.collect_list(F.struct("id", "item")))
+    told = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["item"]), ", "), F.lit("]"))
+    return dataset_items(questions, relevant).agg(F.sha2(told, 256).alias("dataset_hash"))
+
+
+def question_counts(questions: DataFrame) -> DataFrame:
+    """One row: (questions, active)."""
+    return questions.agg(F.count("*").alias("questions"), F.count_if("active").alias("active"))
 
 
 def new_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -68,26 +90,38 @@ def without(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str,
     return parents.join(gone, key, "left_anti"), children.join(gone.withColumnRenamed(key, foreign), foreign, "left_anti")
 
 
-def csv_rows(scored: DataFrame, expected: DataFrame) -> DataFrame:
-    """The rows of a results file: expected pages as ``source p.N`` joined by ``; ``."""
-    pages = F.array_sort(F.collect_set(F.struct("document_id", "page")))
-    shown = expected.groupBy("query_id").agg(F.array_join(F.transform(pages, lambda p: F.concat(p["document_id"], F.lit(" p."), p["page"].cast("string"))), "; ").alias("expected_pages"))
-    return scored.join(shown, "query_id", "left").select("query_id", "expected_pages", "hit_at_1", "recall_at_k", "mrr_at_k", "failure")
+#: The columns of a results file, in order.
+CSV_COLUMNS = ["id_pregunta", "pregunta", "páginas_esperadas", "páginas_recuperadas", "posición_primer_relevante", "recall_1", "recall_k", "precisión_k", "mrr_k", "falsos_positivos", "fallo", "latencia_ms", "error"]
+
+
+def csv_rows(results: DataFrame) -> DataFrame:
+    """The rows of a results file, from (question_id, question, expected and retrieved: arrays of (source, page) in order,
+    metrics: a struct, latency_ms, error)."""
+    shown = lambda pages: F.array_join(F.transform(pages, lambda p: F.concat(p["source"], F.lit(" p."), p["page"].cast("string"))), "; ")
+    m = [F.col(f"metrics.{c}") for c in ("first_relevant_rank", "recall_at_1", "recall_at_k", "precision_at_k", "mrr_at_k", "false_positives", "failure")]
+    columns = [F.col("question_id"), F.col("question"), shown("expected"), shown("retrieved"), *m, F.col("latency_ms"), F.coalesce("error", F.lit(""))]
+    return results.select(*[c.alias(name) for c, name in zip(columns, CSV_COLUMNS, strict=True)])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers; the first field name of each starts with a byte-order mark."""
+    """A folder of CSV files with headers, in order of the first column; the first field name of each file starts with a
+    byte-order mark."""
     first, *rest = rows.columns
-    rows.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows.orderBy(first).withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).csv(path)
 
 
-def validated(question: str, pages: list[tuple[str, int]]) -> tuple[str, list[tuple[str, int]]]:
+Page = tuple  # document_id, page[, source, source_path, reference_text]
+
+
+def validated(question: str, pages: list[Page]) -> tuple[str, list[Page]]:
     """The trimmed question and its pages, trimmed before they are made unique; the last of equal ones counts."""
-    text = question.strip()
-    kept = list(dict.fromkeys((d.strip(), p) for d, p in pages))
-    if not text or not kept or any(not d or p < 1 for d, p in kept):
+    text, kept = question.strip(), {}
+    for p in pages:
+        document, number, *rest = p
+        kept[document.strip(), number] = tuple(x.strip() for x in (*rest, "", "", "")[:3])
+    if not text or not kept or any(not d or n < 1 for d, n in kept):
         raise ValueError("a question needs a text and pages with a document and a number from 1")
-    return text, kept
+    return text, [(d, n, *rest) for (d, n), rest in kept.items()]
 
 
 class Store:
@@ -98,31 +132,46 @@ class Store:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
 
-    def _pointer(self) -> dict:
-        at = self._path(f"{self.folder}/current.json")
-        if not self._fs.exists(at):
-            return {"tables": {}, "next_id": 1}
-        return json.loads(self.spark.read.text(f"{self.folder}/current.json", wholetext=True).first()[0])
+    def _pointers(self) -> list[str]:
+        """The names of the pointers, the newest last."""
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))]
+        return sorted(n for n in names if n.startswith("current-") and n.endswith(".json"))
+
+    def _state(self) -> dict:
+        names = self._pointers()
+        if not names:
+            return {"version": 0, "tables": {}, "next_id": 1}
+        return json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0])
 
     def _commit(self, state: dict) -> None:
+        state["version"] += 1
         new = self._path(f"{self.folder}/next-{uuid.uuid4().hex}.json")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.folder}/current.json"), False)
-        if not self._fs.rename(new, self._path(f"{self.folder}/current.json")):
-            raise OSError("the pointer could not be replaced")
+        at = self._path(f"{self.folder}/current-{state['version']:012d}.json")
+        if self._fs.exists(at) or not self._fs.rename(new, at):
+            raise OSError("another writer has changed the store")
+        for name in self._pointers()[:-KEPT_POINTERS]:
+            self._fs.delete(self._path(f"{self.folder}/{name}"), False)
 
     def table(self, name: str) -> DataFrame:
-        at = self._pointer()["tables"].get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
-
-    def _replace(self, new_id: int | None = None, **tables: DataFrame) -> None:
-        state = self._pointer()
-        for name, rows in tables.items():
-            at = f"{name}-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.folder}/{at}")
-            state["tables"][name] = at
+        at = [f"{self.folder}/{x}" for x in self._state()["tables"].get(name, [])]
+        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
+
+    def list_tables(self) -> list[str]:
+        return sorted(self._state()["tables"])
+
+    def table_exists(self, name: str) -> bool:
+        return name in self._state()["tables"]
+
+    def _change(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, new_id: int | None = None) -> None:
+        state = self._state()
+        for rows_of, keep in ((replaced or {}, False), (added or {}, True)):
+            for name, rows in rows_of.items():
+                at = f"{name}-{uuid.uuid4().hex}"
+                rows.select(*[f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]).write.parquet(f"{self.folder}/{at}")
+                state["tables"][name] = [*(state["tables"].get(name, []) if keep else []), at]
         if new_id is not None:
             state["next_id"] = new_id + 1
         self._commit(state)
@@ -130,68 +179,138 @@ class Store:
     def _rows(self, name: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, TABLES[name])
 
-    def save_question(self, question: str, pages: list[tuple[str, int]], question_id: int | None = None, active: bool = True) -> int:
+    def save_question(self, question: str, pages: list[Page], question_id: int | None = None, active: bool = True, category: str = "", notes: str = "") -> int:
+        """Pages: (document_id, page[, source, source_path, reference_text]). An update must name a question that exists,
+        and replaces its pages."""
         text, kept = validated(question, pages)
-        questions, relevant = self.table("questions"), self.table("relevant_pages")
-        key = self._pointer()["next_id"] if question_id is None else question_id
-        if question_id is not None and questions.filter(F.col("id") == key).isEmpty():
+        questions, now = self.table("questions"), dt.datetime.now(dt.timezone.utc)
+        key = self._state()["next_id"] if question_id is None else question_id
+        old = None if question_id is None else questions.filter(F.col("id") == key).first()
+        if question_id is not None and old is None:
             raise KeyError(question_id)
-        new = self._rows("questions", [(key, text, active, dt.datetime.now())])
-        new_pages = self._rows("relevant_pages", [(key, d, "", "", p, "") for d, p in kept])
-        self._replace(key if question_id is None else None, questions=questions.filter(F.col("id") != key).unionByName(new), relevant_pages=relevant.filter(F.col("question_id") != key).unionByName(new_pages))
+        new = self._rows("questions", [(key, text, category.strip(), notes.strip(), active, old["created_at"] if old else now, now)])
+        new_pages = self._rows("relevant_pages", [(key, d, source, path, n, reference) for d, n, source, path, reference in kept])
+        if old is None:
+            self._change(added={"questions": new, "relevant_pages": new_pages}, new_id=key)
+        else:
+            self._change({"questions": questions.filter(F.col("id") != key).unionByName(new), "relevant_pages": self.table("relevant_pages").filter(F.col("question_id") != key).unionByName(new_pages)})
         return key
 
-    def delete_question(self, key: int) -> None:
-        """Its pages go with it; results of past evaluations stay."""
-        gone = self.spark.createDataFrame([(key,)], "id long")
-        questions, relevant = without(self.table("questions"), self.table("relevant_pages"), gone, "id", "question_id")
-        self._replace(questions=questions, relevant_pages=relevant)
+    def delete_question(self, key: int) -> bool:
+        """Whether there was one. Its pages go with it; results of past evaluations stay."""
+        known = not self.table("questions").filter(F.col("id") == key).isEmpty()
+        if known:
+            gone = self.spark.createDataFrame([(key,)], "id long")
+            questions, relevant = without(self.table("questions"), self.table("relevant_pages"), gone, "id", "question_id")
+            self._change({"questions": questions, "relevant_pages": relevant})
+        return known
 
     def questions(self) -> DataFrame:
         return questions_with_pages(self.table("questions"), self.table("relevant_pages")).orderBy("id")
 
+    def question(self, key: int) -> dict:
+        row = self.questions().filter(F.col("id") == key).first()
+        if row is None:
+            raise KeyError(key)
+        return row.asDict(recursive=True)
+
     def start_evaluation(self, name: str, config: dict) -> int:
+        if not name.strip():
+            raise ValueError("an evaluation needs a name")
         if new_names(self.spark.createDataFrame([(name,)], "name string"), self.table("evaluations").select("name")).isEmpty():
             raise ValueError(f"an evaluation is called {name!r} already")
-        digest = dataset_hash(self.table("questions"), self.table("relevant_pages")).first()[0]
-        key = self._pointer()["next_id"]
-        row = self._rows("evaluations", [(key, name.strip(), "running", json.dumps(config, sort_keys=True), digest, None, None, dt.datetime.now())])
-        self._replace(key, evaluations=self.table("evaluations").unionByName(row))
+        questions = self.table("questions")
+        digest = dataset_hash(questions, self.table("relevant_pages")).first()[0]
+        count = question_counts(questions).first()["active"]
+        key = self._state()["next_id"]
+        row = self._rows("evaluations", [(key, name.strip(), "running", json.dumps(config, sort_keys=True), digest, count, None, None, dt.datetime.now(dt.timezone.utc), None)])
+        self._change(added={"evaluations": row}, new_id=key)
         return key
 
     def add_results(self, rows: DataFrame) -> None:
-        self._replace(evaluation_results=self.table("evaluation_results").unionByName(rows))
+        self._change(added={"evaluation_results": rows})
 
     def end_evaluation(self, key: int, metrics: dict | None = None, error: str | None = None) -> None:
         """Completed with metrics, or failed with an error."""
-        mine = F.col("id") == key
+        mine, text = F.col("id") == key, json.dumps(metrics, sort_keys=True) if metrics else None
         done = self.table("evaluations").withColumns({
             "status": F.when(mine, F.lit("failed" if error else "completed")).otherwise(F.col("status")),
-            "metrics": F.when(mine, F.lit(json.dumps(metrics, sort_keys=True) if metrics else None)).otherwise(F.col("metrics")),
+            "metrics": F.when(mine, F.lit(text)).otherwise(F.col("metrics")),
             "error": F.when(mine, F.lit(error)).otherwise(F.col("error")),
+            "completed_at": F.when(mine, F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")).otherwise(F.col("completed_at")),
         })
-        self._replace(evaluations=done)
+        self._change({"evaluations": done})
 
-    def delete_evaluation(self, key: int) -> None:
-        gone = self.spark.createDataFrame([(key,)], "id long")
-        evaluations, results = without(self.table("evaluations"), self.table("evaluation_results"), gone, "id", "evaluation_id")
-        self._replace(evaluations=evaluations, evaluation_results=results)
+    def delete_evaluation(self, key: int) -> bool:
+        """Whether there was one; its results go with it."""
+        known = not self.table("evaluations").filter(F.col("id") == key).isEmpty()
+        if known:
+            gone = self.spark.createDataFrame([(key,)], "id long")
+            evaluations, results = without(self.table("evaluations"), self.table("evaluation_results"), gone, "id", "evaluation_id")
+            self._change({"evaluations": evaluations, "evaluation_results": results})
+        return known
 
     def evaluations(self) -> DataFrame:
         return self.table("evaluations").orderBy(F.desc("id"))
 
+    def results(self, key: int) -> DataFrame:
+        return self.table("evaluation_results").filter(F.col("evaluation_id") == key).orderBy("id")
+
+    def evaluation(self, key: int) -> dict:
+        """One evaluation with its results, JSON decoded."""
+        row = self.table("evaluations").filter(F.col("id") == key).first()
+        if row is None:
+            raise KeyError(key)
+        told = lambda r, names: {k: json.loads(v) if k in names and v else ({} if k in names else v) for k, v in r.asDict().items()}
+        return told(row, ("config", "metrics")) | {"results": [told(r, ("expected", "matches", "variants", "metrics")) for r in self.results(key).collect()]}
+
     def save_variants(self, question: str, prompt_version: str, variants: list[str]) -> None:
-        row = self._rows("query_variants", [("", prompt_version, json.dumps(variants), dt.datetime.now())]).withColumn("question_sha256", T.question_hash(F.lit(question)))
-        self._replace(query_variants=latest(self.table("query_variants").unionByName(row), ["question_sha256", "prompt_version"], "created_at"))
+        self.save_many_variants({question: variants}, prompt_version)
+
+    def save_many_variants(self, found: dict[str, list[str]], prompt_version: str) -> None:
+        """One upsert for all questions."""
+        told = self.spark.createDataFrame([(q, json.dumps(v, ensure_ascii=False)) for q, v in found.items()], "question string, variants string")
+        new = told.select(T.question_hash("question").alias("question_sha256"), F.lit(prompt_version).alias("prompt_version"), "variants", F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp").alias("created_at"))
+        self._change({"query_variants": latest(self.table("query_variants").unionByName(new), ["question_sha256", "prompt_version"], "created_at")})
+
+    def known_variants(self, questions: DataFrame, prompt_version: str) -> DataFrame:
+        """The questions with ``variants`` (JSON), null where none are kept."""
+        kept = self.table("query_variants").filter(F.col("prompt_version") == prompt_version).select("question_sha256", "variants")
+        return questions.withColumn("question_sha256", T.question_hash("question")).join(kept, "question_sha256", "left").drop("question_sha256")
 
     def variants(self, question: str, prompt_version: str) -> list[str] | None:
-        found = self.table("query_variants").filter((F.col("question_sha256") == T.question_hash(F.lit(question))) & (F.col("prompt_version") == prompt_version)).first()
-        return json.loads(found["variants"]) if found else None
+        found = self.known_variants(self.spark.createDataFrame([(question,)], "question string"), prompt_version).first()
+        return json.loads(found["variants"]) if found["variants"] is not None else None
+
+    def create_session(self) -> str:
+        key = uuid.uuid4().hex
+        self._change(added={"sessions": self._rows("sessions", [(key, dt.datetime.now(dt.timezone.utc))])})
+        return key
+
+    def resolve_session(self, session: str | None) -> str:
+        """The session, or a new one where none is named; an unknown one is an error."""
+        if session is None:
+            return self.create_session()
+        if self.table("sessions").filter(F.col("session_id") == session).isEmpty():
+            raise KeyError(session)
+        return session
 
     def append_messages(self, session: str, messages: list[tuple[str, str]]) -> None:
-        old = self.table("messages")
-        n = old.filter(F.col("session_id") == session).count()
-        self._replace(messages=old.unionByName(self._rows("messages", [(session, n + i, r, c) for i, (r, c) in enumerate(messages)])))
+        """To a session, which is made if there is none."""
+        if not messages:
+            return
+        n = self.table("messages").filter(F.col("session_id") == session).count()
+        added = {"messages": self._rows("messages", [(session, n + i, r, c) for i, (r, c) in enumerate(messages)])}
+        if self.table("sessions").filter(F.col("session_id") == session).isEmpty():
+            added["sessions"] = self._rows("sessions", [(session, dt.datetime.now(dt.timezone.utc))])
+        self._change(added=added)
 
     def messages(self, session: str) -> DataFrame:
         return self.table("messages").filter(F.col("session_id") == session).orderBy("seq")
+
+    def delete_session(self, session: str) -> bool:
+        """Whether there was one; its messages go with it."""
+        known = not self.table("sessions").filter(F.col("session_id") == session).isEmpty()
+        if known:
+            self._change({"sessions": self.table("sessions").filter(F.col("session_id") != session), "messages": self.table("messages").filter(F.col("session_id") != session)})
+        return known
