@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagewright.operators.assemble import SYSTEM
+
 SQL: dict[str, str] = {}
 
 _SP = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -149,19 +151,17 @@ with {_SCORED} select count(*) as questions, {', '.join(f'round(avg({m}), 6) as
 sum(false_positives)::bigint as false_positives, count(*) filter (failure) as failures, 0::bigint as errors, round(avg((query_id % 997)::double), 6) as mean_latency_ms,
 quantile_disc((query_id % 997)::double, 0.95) as p95_latency_ms from scored"""
 SQL["latency_percentiles"] = "select event_type, count(*) as n, round(avg(value), 6) as mean_value, quantile_disc(value, 0.95) as p95_value from events group by event_type"
-_QP = f"""q as (select query_id as id, query as question from ({_EQ})), p as (select distinct query_id as id, document_id, page from ({_EXP}))"""
+_QP = """
+q as (select conv_id * 1000 + turn as id, conv_id, text as question from conversations where role = 'user'),
+p as (select distinct id, conv_id::varchar as document_id, (c.turn + 1)::int as page from q join conversations c using (conv_id) where c.role = 'assistant')"""
 SQL["questions_with_pages"] = f"""
-with {_QP} select id, question, coalesce(string_agg(document_id || ':' || page, ',' order by document_id, page), '') as pages from q left join p using (id) group by id, question"""
-_ESC = r"""replace(replace(replace({}, '\', '\\'), '"', '\"'), chr(10), '\n')"""
-SQL["active_dataset_hash"] = f"""
-with {_QP}, g as (select id, question, coalesce(string_agg('["' || document_id || '", ' || page || ']', ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question)
-select id, sha256('{{"id": ' || id || ', "pages": [' || pages || '], "question": "' || {_ESC.format('question')} || '"}}') as item_sha256 from g"""
-SQL["dataset_hash"] = f"""
-with q as (select conv_id * 1000 + turn as id, conv_id, text as question from conversations where role = 'user'),
-p as (select distinct id, conv_id::varchar as document_id, (c.turn + 1)::int as page from q join conversations c using (conv_id) where c.role = 'assistant'),
-g as (select id, question, coalesce(string_agg('["' || document_id || '", ' || page || ']', ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question),
-i as (select id, sha256('{{"id": ' || id || ', "pages": [' || pages || '], "question": "' || {_ESC.format('question')} || '"}}') as item from g)
-select sha256(string_agg(item, '' order by id)) as dataset_hash from i"""
+with {_QP} select id, question, coalesce(string_agg(document_id || ':' || page || ':/c' || document_id, ',' order by document_id, page), '') as pages from q left join p using (id) group by id, question"""
+_ESC = r"""replace(replace(replace(replace(replace({}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+_ITEMS = f"""
+{_QP}, g as (select id, question, coalesce(string_agg('{{"document_id": "' || document_id || '", "page": ' || page || '}}', ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question),
+i as (select id, '{{"id": ' || id || ', "question": "' || {_ESC.format('question')} || '", "relevant_pages": [' || pages || ']}}' as item from g)"""
+SQL["active_dataset_hash"] = f"with {_ITEMS} select id, sha256(item) as item_sha256 from i"
+SQL["dataset_hash"] = f"with {_ITEMS} select sha256('[' || string_agg(item, ', ' order by id) || ']') as dataset_hash from i"
 SQL["unique_name_antijoin"] = """
 with w as (select distinct upper(source) || case when lang = 'en' then ' ' else '-' || lang end as name from documents)
 select name from w where lower(trim(name)) not in (select lower(trim(source)) from documents where lang = 'en')"""
@@ -170,8 +170,12 @@ select question_sha256, prompt_version, variants, created_at from (
   select sha256(role) as question_sha256, turn::varchar as prompt_version, text as variants, conv_id as created_at, row_number() over (partition by role, turn order by conv_id desc) as n from conversations) where n = 1"""
 SQL["delete_cascade"] = "select l_orderkey as evaluation_id, count(*) as results from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by l_orderkey"
 SQL["results_csv_rows"] = f"""
-with {_SCORED}, shown as (select query_id, string_agg(document_id || ' p.' || page, '; ' order by document_id, page) as expected_pages from e group by query_id)
-select query_id, expected_pages, hit_at_1, recall_at_k, mrr_at_k, failure from scored join shown using (query_id)"""
+with {_SCORED}, shown as (select query_id, string_agg('c' || document_id || ' p.' || page, '; ' order by page) as e from e group by query_id),
+got as (select query_id, string_agg('c' || document_id || ' p.' || page, '; ' order by rank) as r from h group by query_id)
+select query_id as id_pregunta, query as pregunta, e as "páginas_esperadas", coalesce(r, '') as "páginas_recuperadas", first_relevant_rank::double as "posición_primer_relevante",
+  recall_at_1 as recall_1, recall_at_k as recall_k, precision_at_k as "precisión_k", mrr_at_k as mrr_k, false_positives as falsos_positivos, failure as fallo,
+  (query_id % 997)::double as latencia_ms, '' as error
+from scored join shown using (query_id) left join got using (query_id) join ({_EQ}) using (query_id)"""
 _NM = f"select conv_id, turn, {_strip('role')} as role, {_strip('text')} as text from conversations where {_strip('role')} <> '' and {_strip('text')} <> ''"
 SQL["query_build_contextual"] = f"""
 with u as (select *, lag(text) over (partition by conv_id order by turn) as previous from ({_NM}) where role = 'user')
@@ -186,12 +190,13 @@ with {_bm25('', _QUESTIONS, _CHUNKS, 8)} select query_id, 'S' || rank as source_
 SQL["grounded_answer"] = f"""
 with a as (select conv_id, turn, case when turn % 3 = 0 then text || ' [S' || turn || ']' else text end as t from conversations)
 select conv_id, turn, case when {_strip('t')} <> '' and len(list_intersect(regexp_extract_all(t, '\\bS\\d+\\b'), ['S1', 'S2', 'S3'])) > 0 then {_strip('t')}
-  else 'No answer was found in the indexed documents.' end as answer from a""".replace("\\\\", "\\")
+  else 'No consta en los documentos recuperados.' end as answer from a""".replace("\\\\", "\\")
 SQL["parse_source_ids"] = """
-select conv_id, turn, case when turn % 2 = 0 then case when turn = 2 then 'S2' else 'S' || turn || ',S2' end else case when turn = 9 then 'S9' else 'S' || turn || ',S9' end end as ids from conversations"""
+select conv_id, turn, case when turn % 2 = 0 then 'S' || turn || ',S2,S2' else case when turn = 9 then 'S9' else 'S' || turn || ',S9' end end as ids from conversations"""
+_LOSSY = "array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 3 <> 0), chr(10))"
 SQL["reference_coverage"] = f"""
 with r as (select doc_id, t, count(*) as r from (select doc_id, unnest(list_filter({_terms('text')}, lambda w: length(w) >= 3)) as t from documents) group by all),
-m as (select doc_id, t, count(*) as m from (select doc_id, unnest(list_filter({_terms('left(text, 1500)')}, lambda w: length(w) >= 3)) as t from documents) group by all),
+m as (select doc_id, t, count(*) as m from (select doc_id, unnest(list_filter({_terms(_LOSSY)}, lambda w: length(w) >= 3)) as t from documents) group by all),
 s as (select doc_id, sum(r)::bigint as tokens, sum(least(r, coalesce(m, 0)))::bigint as found from r left join m using (doc_id, t) group by doc_id),
 c as (select doc_id, coalesce(tokens, 0) as tokens, coalesce(found, 0) as found from documents left join s using (doc_id))
 select doc_id, tokens, found, case when tokens >= 40 then round(found::double / tokens, 6) end as coverage,
@@ -208,3 +213,160 @@ select conv_id::varchar as document_id, case when role <> '' then '[' || role ||
 from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n = 1"""
 SQL["expected_chunks"] = """
 select conv_id::varchar as document_id, (turn // 2 + 1)::int as page_start, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as text_sha256 from conversations group by conv_id, turn // 2"""
+
+SQL["bm25_index_topk"] = SQL["bm25_topk"]
+
+
+def _retrieved(where: str) -> str:
+    """Both lists of a question have its vector, so each vector hit counts once for each list."""
+    first8 = f"array_to_string(list_slice({_WORDS}, 1, 8), ' ')"
+    asked = f"select item_id as query_id, n as list_no, q as query from (select item_id, {_strip('text')} as a, {_strip(first8)} as b from benchmark join embeddings on vec_id = item_id), lateral (select 0 as n, a as q union all select 1, b where a <> b)"
+    chunks = "select doc_id as chunk_index, text, lang as tag from documents"
+    lists = f"select query_id * 64 + list_no as query_id, query from ({asked})"
+    return f"""
+with {_bm25('', lists, chunks, 40, where)},
+v as (select vec_id, embedding::double[] as e from embeddings join ({chunks}) c on chunk_index = vec_id where {where}),
+q as (select vec_id as query_id, embedding::double[] as e from embeddings join benchmark on vec_id = item_id),
+d as (select query_id, vec_id, round({_L2}, 9) as distance from q, v),
+near as (select * from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d) where rank <= 40),
+lists as (select query_id, vec_id as key, rank, rank as vr, null::bigint as br from near join (select query_id, list_no from ({asked})) using (query_id)
+  union all select query_id // 64, chunk_index, rank, null, rank from hits),
+m as (select query_id, key, {_FUSE}, min(vr) as vector_rank, min(br) as bm25_rank from lists group by query_id, key),
+o as (select *, row_number() over (partition by query_id order by rrf desc, coalesce(vector_rank, 1000000000), coalesce(bm25_rank, 1000000000), key)::int as page_rank from m)
+select query_id, key::varchar as document_id, 1 as page_start, page_rank, round(rrf, 9) as rrf_score from o where page_rank <= 8"""
+
+
+SQL["retrieve_hybrid"], SQL["retrieve_tagged"] = _retrieved("true"), _retrieved("tag = 'de'")
+SQL["retrieval_query_list"] = f"""
+with u as (select conv_id * 1000 + turn as query_id, text as t, lag(text) over (partition by conv_id order by turn) as p from conversations where role = 'user'),
+l as (select query_id, unnest([0, 1, 2, 3, 4]) as i, unnest([{_strip('t')}, {_strip("'x ' || t")}, {_strip("' ' || t")}, {_strip('lower(t)')},
+  case when p is not null then {_strip("'Previous user question: ' || p || chr(10) || 'Latest follow-up question: ' || " + _strip('t'))} end]) as query from u),
+f as (select query_id, query, min(i) as i from l where query is not null and query <> '' group by query_id, query)
+select query_id, (row_number() over (partition by query_id order by i) - 1)::int as list_no, query from f"""
+SQL["instructed_queries"] = "select item_id as query_id, 'Instruct: Find the page that answers' || chr(10) || 'Query: ' || text as query, text as plain from benchmark"
+_EIGHT = f"""
+{_bm25('', _QUESTIONS, _TURNS, 40)}, g as ({_PAGES}),
+f as (select *, row_number() over (partition by query_id, document_id, page_start order by rank) as n from hits join g using (chunk_index)),
+eight as (select * from (select *, row_number() over (partition by query_id order by rank)::int as page_rank from f where n = 1) where page_rank <= 8)"""
+SQL["serialized_matches"] = f"""
+with {_EIGHT} select query_id, page_rank as rank, document_id, 'c' || document_id as source, '' as source_path, page_start as page, 0 as page_chunk_index, '' as tag, 't' || chunk_index as text,
+  null::double as distance, null::double as vector_score, round(score, 6) as bm25_score, null::double as rrf_score, 'bm25' as retrieval_sources from eight"""
+SQL["source_options"] = f"""
+with {_EIGHT} select query_id, 'S' || page_rank as source_id, document_id, 'c' || document_id as source, page_start, page_start as page_end, chunk_index, null::varchar as tag, 't' || chunk_index as text from eight"""
+SQL["used_source_ids"] = """
+select conv_id, turn, case when turn in (1, 4) then 'S' || turn || ',S2' else 'S2' end as ids from conversations"""
+_TEXT = _strip("text")
+SQL["truncated_text"] = rf"select doc_id, case when length({_TEXT}) > 2500 then regexp_replace(left({_TEXT}, 2500), '{_SP}+$', '') || '...' else {_TEXT} end as text from documents"
+SQL["response_markdown"] = """
+select doc_id, case when doc_id % 4 >= 2 then '"' || source || '" **' end as markdown, case when doc_id % 4 >= 2 and doc_id % 7 <> 0 then '"' || source || '"' end as accepted from documents"""
+SQL["tag_choice"] = "select doc_id, case when doc_id % 3 = 0 then source else lang end as tag from documents"
+SQL["vector_scores"] = "select vec_id, case when label = 9 then 0::double else round(1 / (1 + greatest(label - 3, 0)::double), 9) end as score from embeddings"
+SQL["viewer_rows"] = f"""
+with c as (select *, {_collapse('text')} as t, {SQL["token_count"].split(" as tokens")[0].removeprefix("select doc_id, ")} as n from documents)
+select source as document, 'md' as source_type, lang as tag, 1 as page, 0 as page_chunk_index, n as tokens, 'direct-markdown' as model, '/' || doc_id as source_path,
+  case when length(t) > 220 then left(t, 220) || '...' else t end as text from c"""
+SQL["hit_diagnostics"] = f"""
+with {_EIGHT} select query_id, page_rank, 'sources=bm25 · bm25 rank=' || rank || printf(' · bm25=%.6f', case when rank % 2 = 0 then 0 else round(score, 6) end) as scores from eight"""
+SQL["question_rows"] = f"""
+with {_QP} select id, true as active, question, '' as category, coalesce(string_agg('c' || document_id || ' p.' || page, ', ' order by document_id, page), '') as pages from q left join p using (id) group by id, question"""
+SQL["question_counts"] = "select count(*) as questions, count(*) filter ((conv_id * 1000 + turn) % 3 <> 0) as active from conversations where role = 'user'"
+SQL["failed_questions"] = f"with {_SCORED} select query_id, failure, case when query_id % 7 = 0 then 'x' else '' end as error from scored where failure or query_id % 7 = 0"
+SQL["doctor_verdict"] = "select doc_id % 50 as report, bool_and(quality = 1 or toxic <> 1) as healthy from labels group by doc_id % 50"
+SQL["event_lines"] = """
+with a as (select 's' || (conv_id * 1000 + turn) as session_id, text, turn % 2 = 0 as f from conversations where role = 'assistant'),
+l as (select session_id, unnest(list_concat([json_object('type', 'session', 'session_id', session_id)::varchar], list_concat(case when f then [json_object('type', 'fallback', 'reason', 'the model gave no answer')::varchar] else [] end,
+  [json_object('type', 'answer', 'delta', text)::varchar, '{"type":"citations","citations":["S1","S2"]}', '{"type":"matches","matches":[{"rank":1}]}', '{"type":"done"}']))) as event,
+  unnest(range(0, case when f then 6 else 5 end)) as seq from a)
+select session_id, seq::int as seq, event from l"""
+SQL["cache_manifests"] = """
+select sha256(conv_id::varchar) as source_sha256, string_agg((turn + 1)::varchar, ',' order by turn) as page_numbers,
+  coalesce(string_agg((turn + 1) || ':' || role, ',' order by (turn + 1)::varchar) filter (turn % 3 = 2), '') as failed, (4 + conv_id % 3)::int as total_pages, count(*) = 4 + conv_id % 3 as complete
+from conversations group by conv_id"""
+SQL["document_totals"] = "select count(distinct conv_id) as documents, count(*) as pages from conversations"
+SQL["preview_requests"] = """
+with n as (select conv_id, max(turn + 1) as n from conversations group by conv_id),
+r as (select conv_id, n, unnest([n, 1, n, 99, 2]) as page_number, unnest([0, 1, 2, 3, 4]) as i from n),
+f as (select conv_id, n, page_number, min(i) as i from r group by all),
+o as (select *, (row_number() over (partition by conv_id order by i) - 1)::int as position from f)
+select o.conv_id, position, page_number::int as page_number, exists (select 1 from conversations c where c.conv_id = o.conv_id and c.turn + 1 = o.page_number) as valid from o"""
+SQL["iso_times"] = "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as iso from events"
+SQL["answer_prompts"] = f"""
+with t as (select conv_id, turn, {_strip('role')} as role, {_strip('text')} as content, text, max(turn) over (partition by conv_id) as last from conversations),
+h as (select *, turn = last and role = 'user' as said from t where role <> '' and content <> ''),
+g as (select conv_id, count(*) filter (not said) + 2 as messages, coalesce(string_agg(role || ':' || content, '|' order by turn) filter (not said), '') as past from h group by conv_id)
+select g.conv_id, messages, sha256('system:' || '{SYSTEM["answer"].replace("'", "''")}' || '|' || case when past = '' then '' else past || '|' end || 'user:Context:' || chr(10) || '[S1] a p.1' || chr(10) || chr(10) || 'Question:' || chr(10) || t.text) as prompt_sha256
+from g join t on t.conv_id = g.conv_id and t.turn = t.last"""
+
+
+def _bm25_pages() -> str:
+    first8 = f"array_to_string(list_slice({_WORDS}, 1, 8), ' ')"
+    asked = f"select item_id as query_id, n as list_no, q as query from (select item_id, {_strip('text')} as a, {_strip(first8)} as b from benchmark), lateral (select 0 as n, a as q union all select 1, b where a <> b)"
+    return f"""
+asked as ({asked}), {_bm25('', 'select query_id * 64 + list_no as query_id, query from asked', _CHUNKS, 40)},
+m as (select query_id // 64 as query_id, chunk_index as key, {_FUSE}, min(rank) as br from hits group by query_id // 64, chunk_index),
+o as (select *, row_number() over (partition by query_id order by rrf desc, br, key) as r from m),
+pages as (select o.*, source, text from o join documents on doc_id = key where r <= 8),
+blocks as (select query_id, string_agg('[S' || r || '] ' || source || ' p.1' || chr(10) || text, chr(10) || chr(10) order by r) as context, string_agg(key::varchar, ',' order by r) as documents from pages group by query_id)"""
+
+
+SQL["generation_inputs"] = f"""
+with {_bm25_pages()}, n as (select query_id, count(*) as queries from asked group by query_id)
+select query_id, queries, sha256(coalesce(context, '')) as context_sha256, coalesce(documents, '') as documents from n left join blocks using (query_id)"""
+SQL["asked"] = f"""
+with {_bm25_pages()}, prompts as (select item_id as query_id, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question:' || chr(10) || text as prompt, documents from benchmark left join blocks on query_id = item_id),
+cites as (select prompts.query_id, string_agg('S' || r || '=' || key, ',' order by r) as cited from prompts join pages using (query_id) where length(prompt) % 2 = 1 and r in (1, 3) group by prompts.query_id)
+select query_id, case when cited is not null then 'yes' else 'No consta en los documentos recuperados.' end as answer, coalesce(cited, '') as citations from prompts left join cites using (query_id)"""
+_BULLET = r"regexp_replace(regexp_replace(x, '^" + _SP + r"*(?:[-*]|\d+[.)])" + _SP + r"*', ''), '^[ \t\"'']+|[ \t\"'']+$', '', 'g')"
+SQL["parse_variants"] = f"""
+with q as (select item_id as query_id, text as query, array_to_string(list_slice({_WORDS}, 1, 8), ' ') as a, array_to_string(list_slice({_WORDS}, greatest(len({_WORDS}) - 7, 1), len({_WORDS})), ' ') as b from benchmark),
+l as (select query_id, query, regexp_split_to_array('- ' || query || chr(10) || '1. ' || a || chr(10) || '* ' || upper(a) || chr(10) || '- ' || b, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]') as l from q),
+x as (select query_id, query, unnest(l) as x, unnest(range(len(l))) as i from l),
+c as (select query_id, i, {_collapse(_BULLET)} as v, lower({_strip('query')}) as asked from x),
+f as (select *, row_number() over (partition by query_id, lower(v) order by i) as n from c where v <> '' and lower(v) <> asked),
+o as (select *, row_number() over (partition by query_id order by i) as r from f where n = 1)
+select item_id as query_id, coalesce(string_agg(v, '|' order by r) filter (r <= 2), '') as variants from benchmark left join o on query_id = item_id group by item_id"""
+_TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+#: The chunking fold: a state for each page (lines i of n, held lines from s on, their tokens, new ones, chunks so far).
+SQL["chunk_pages"] = rf"""
+with recursive d as (
+  select doc_id::varchar as document_id, sha256(text) as sha, regexp_split_to_array(regexp_replace(text, '(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85])$', ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85]') as l from documents where text <> ''
+), t as (
+  select document_id, sha, l, list_transform(l, lambda x: {_TOKENS.format('x')}) as n, list_transform(l, lambda x: {_strip('x')} = '') as blank, list_transform(l, lambda x: starts_with({_strip('x')}, '#')) as head from d
+), c as (
+  select *, list_prepend(0, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::bigint)) as upto from t
+), f as (
+  select document_id, 0::bigint as i, 1::bigint as s, 0::bigint as fresh, 0::bigint as done, []::struct(a bigint, b bigint, big boolean)[] as out from c
+  union all
+  select document_id, i, s, fresh, done + len(out), out from (
+    select document_id, i, big, blank,
+      case when big then i + 1 when closes_after then t3 else s2 end as s, case when big or closes_after then 0 else fresh2 + 1 end as fresh, done,
+      list_filter([case when big and i > s0 and not b0 and (fresh0 > 0 or done = 0) then struct_pack(a := s0, b := i - 1, big := false) end,
+        case when closes1 and not b0 and (fresh0 > 0 or done = 0) then struct_pack(a := s0, b := i - 1, big := false) end,
+        case when closes2 and not b1 and (fresh1 > 0 or done + (closes1 and not b0 and (fresh0 > 0 or done = 0))::int = 0) then struct_pack(a := s1, b := i - 1, big := false) end,
+        case when big then struct_pack(a := i, b := i, big := true) end,
+        case when closes_after and not b2 then struct_pack(a := s2, b := i, big := false) end], lambda x: x is not null) as out
+    from (
+      select *, not big and blank and upto[i + 1] - upto[s2] >= 700 as closes_after, list_bool_and(blanks[s2:i]) as b2,
+        coalesce(list_filter(range(s2, i + 1), lambda x: upto[i + 1] - upto[x] <= 100)[1], i + 1) as t3
+      from (
+        select *, case when closes2 then case when upto[i + 1] - upto[t2] > 900 then i else t2 end else s1 end as s2, case when closes2 then 0 else fresh1 end as fresh2
+        from (
+          select *, not big and i > s1 and upto[i + 1] - upto[s1] > 900 as closes2, i = s1 or list_bool_and(blanks[s1:i - 1]) as b1,
+            coalesce(list_filter(range(s1, i), lambda x: upto[i] - upto[x] <= 100)[1], i) as t2
+          from (
+            select *, case when closes1 then t1 else s0 end as s1, case when closes1 then 0 else fresh0 end as fresh1
+            from (
+              select c.document_id, f.i + 1 as i, f.s as s0, f.fresh as fresh0, f.done, c.upto, c.blank as blanks, c.blank[f.i + 1] as blank, c.n[f.i + 1] > 900 as big,
+                c.n[f.i + 1] <= 900 and f.i + 1 > f.s and c.head[f.i + 1] and c.upto[f.i + 1] - c.upto[f.s] >= 700 as closes1, f.i + 1 = f.s or list_bool_and(c.blank[f.s:f.i]) as b0,
+                coalesce(list_filter(range(f.s, f.i + 1), lambda x: c.upto[f.i + 1] - c.upto[x] <= 100)[1], f.i + 1) as t1
+              from f join c using (document_id) where f.i < len(c.l)))))))
+), e as (
+  select document_id, i, unnest(out) as o, unnest(range(len(out))) as k from f
+  union all select f.document_id, f.i + 1, struct_pack(a := f.s, b := f.i, big := false), 0 from f join c using (document_id)
+  where f.i = len(c.l) and f.s <= f.i and not list_bool_and(c.blank[f.s:f.i]) and (f.fresh > 0 or f.done = 0)
+), r as (
+  select e.document_id, sha, (row_number() over (partition by e.document_id order by e.i, k) - 1)::int as page_chunk_index, {_strip("array_to_string(l[o.a:o.b], chr(10))")} as text, (upto[o.b + 1] - upto[o.a])::int as token_count, o.big as oversize
+  from e join c using (document_id)
+)
+select sha256('{{"document_id": "' || document_id || '", "page": 1, "page_chunk_index": ' || page_chunk_index || ', "schema_version": 3, "source_sha256": "' || sha || '", "text": "' || {_ESC.format('text')} || '"}}') as chunk_id,
+  document_id, 1 as page_start, page_chunk_index, text, token_count, oversize from r"""

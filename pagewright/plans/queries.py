@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import assemble, bm25, chunking, fusion, metrics, pages, quality, retrieve, vector, viewer
+from pagewright.operators import ask, assemble, bm25, chunking, fusion, metrics, pages, quality, retrieve, vector, viewer
 from pagewright.operators.numbering import numbered
-from pagewright.sources import store
+from pagewright.sources import files, store
+from pagewright.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,14 +117,14 @@ def bm25_tag_postfilter(spark, d):
     return out.select("query_id", "chunk_index", "store_rank", "rank", F.round("score", 6).alias("score"))
 
 
-def _lexical_lists(spark, d, n: int, k: int = 40) -> DataFrame:
-    found = bm25.search(_questions(spark, d).withColumn("query", _variant(n)), _chunks(spark, d), k)
-    return fusion.hits(found, "bm25", n, "chunk_index")
+def _lexical_list(spark, d) -> DataFrame:
+    return fusion.hits(bm25.search(_questions(spark, d), _chunks(spark, d), 40), "bm25", 0, "chunk_index")
 
 
 @query
 def rrf_multi_query(spark, d):
-    lists = _lexical_lists(spark, d, 0).unionByName(_lexical_lists(spark, d, 1)).unionByName(_lexical_lists(spark, d, 2))
+    asked = _questions(spark, d).select("query_id", F.posexplode(F.array(*[_variant(n) for n in range(3)])).alias("list_no", "query"))
+    lists = fusion.hits(bm25.search(asked, _chunks(spark, d), 40, ["query_id", "list_no"]), "bm25", F.col("list_no"), "chunk_index")
     out = fusion.reciprocal_rank_fusion(lists, limit=20)
     return out.select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), "rank")
 
@@ -136,7 +137,7 @@ def _item_vectors(spark, d, shift: int = 0) -> DataFrame:
 @query
 def rrf_hybrid(spark, d):
     dense = vector.nearest(_item_vectors(spark, d), table(spark, d, "embeddings"), 40, "cosine")
-    lists = fusion.hits(dense, "vector", 0, "vec_id").unionByName(_lexical_lists(spark, d, 0))
+    lists = fusion.hits(dense, "vector", 0, "vec_id").unionByName(_lexical_list(spark, d))
     out = fusion.reciprocal_rank_fusion(lists, limit=40)
     return out.select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), F.col("vector_rank").cast("double").alias("vector_rank"), F.col("bm25_rank").cast("double").alias("bm25_rank"), F.round("distance", 6).alias("distance"), F.array_join("sources", ",").alias("sources"), "rank")
 
@@ -170,15 +171,19 @@ def candidate_limit(spark, d):
     return out.groupBy("query_id").agg(F.count("*").alias("pages"), F.max("rank").alias("last_rank"))
 
 
-@query
-def retrieve_hybrid(spark, d):
+def _retrieved(spark, d, how: retrieve.Retrieval) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_index"), "embedding")
     chunks = _chunks(spark, d).join(vectors, "chunk_index", "left")
     queries = retrieve.retrieval_queries(_questions(spark, d).select("query_id", F.col("query").alias("question"), F.array(_variant(1)).alias("variants"), F.lit(None).cast("string").alias("previous")))
-    out = retrieve.retrieve(queries.join(_item_vectors(spark, d).select("query_id", "embedding"), "query_id"), chunks, retrieve.Retrieval(k=8), variants=2)
+    out = retrieve.retrieve(queries.join(_item_vectors(spark, d).select("query_id", "embedding"), "query_id"), chunks, how)
     return out.select("query_id", "document_id", "page_start", "page_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
+@query
+def retrieve_hybrid(spark, d):
+    return _retrieved(spark, d, retrieve.Retrieval(k=8))
+
+
 def _conversation_pages(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("markdown"))
 
@@ -247,30 +252,30 @@ def latency_percentiles(spark, d):
 
 
 def _question_table(spark, d) -> tuple[DataFrame, DataFrame]:
-    q = _eval_questions(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("question"), F.lit(True).alias("active"))
-    p = _expected(spark, d).select(F.col("query_id").alias("question_id"), "document_id", "page")
-    return q, p
+    """The user turns of all conversations as questions, and the assistant's turns of the same one as their pages."""
+    t = table(spark, d, "conversations")
+    q = t.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("text").alias("question"), F.lit(True).alias("active"))
+    answers = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).cast("int").alias("page"))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    p = q.join(answers, "conv_id").select(F.col("id").alias("question_id"), F.col("conv_id").cast("string").alias("document_id"), name.alias("source"), F.concat(F.lit("/"), name).alias("source_path"), "page", F.lit("").alias("reference_text"))
+    return q.drop("conv_id"), p
 
 
 @query
 def questions_with_pages(spark, d):
     out = store.questions_with_pages(*_question_table(spark, d))
-    return out.select("id", "question", F.array_join(F.transform("pages", lambda x: F.concat(x["document_id"], F.lit(":"), x["page"].cast("string"))), ",").alias("pages"))
+    return out.select("id", "question", F.array_join(F.transform("pages", lambda x: F.concat(x["document_id"], F.lit(":"), x["page"].cast("string"), F.lit(":"), x["source_path"])), ",").alias("pages"))
 
 
 @query
 def active_dataset_hash(spark, d):
-    return store.dataset_items(*_question_table(spark, d))
+    items = store.dataset_items(*_question_table(spark, d))
+    return items.select("id", F.sha2("item", 256).alias("item_sha256"))
 
 
 @query
 def dataset_hash(spark, d):
-    """Of the questions of all conversations."""
-    t = table(spark, d, "conversations")
-    q = t.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("text").alias("question"), F.lit(True).alias("active"))
-    answers = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).cast("int").alias("page"))
-    p = q.join(answers, "conv_id").select(F.col("id").alias("question_id"), F.col("conv_id").cast("string").alias("document_id"), "page")
-    return store.dataset_hash(q.drop("conv_id"), p)
+    return store.dataset_hash(*_question_table(spark, d))
 
 
 @query
@@ -298,7 +303,15 @@ def delete_cascade(spark, d):
 
 @query
 def results_csv_rows(spark, d):
-    return store.csv_rows(_scored(spark, d), _expected(spark, d))
+    found = bm25.search(_eval_questions(spark, d), _turns(spark, d), 5).join(_turns(spark, d).select("chunk_index", "document_id", (F.col("turn") + 1).cast("int").alias("page")), "chunk_index")
+    page = lambda n: F.struct(F.concat(F.lit("c"), F.col("document_id")).alias("source"), "page", F.col(n).alias("n"))
+    listed = lambda rows, n, name: rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(n, page(n).alias("p")))).alias(name)).select("query_id", F.transform(name, lambda x: x["p"]).alias(name))
+    scored = _scored(spark, d)
+    metric = F.struct(*[c for c in scored.columns if c != "query_id"]).alias("metrics")
+    rows = scored.select("query_id", metric).join(listed(_expected(spark, d).distinct(), "page", "expected"), "query_id").join(listed(found, "rank", "retrieved"), "query_id", "left").join(_eval_questions(spark, d).select("query_id", F.col("query").alias("question")), "query_id")
+    rows = rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast(rows.schema["retrieved"].dataType)))
+    out = store.csv_rows(rows.select(F.col("query_id").alias("question_id"), "question", "expected", "retrieved", "metrics", (F.col("query_id") % 997).cast("double").alias("latency_ms"), F.lit(None).cast("string").alias("error")))
+    return out.withColumn("posición_primer_relevante", F.col("posición_primer_relevante").cast("double"))
 
 
 @query
@@ -337,7 +350,7 @@ def grounded_answer(spark, d):
 
 @query
 def parse_source_ids(spark, d):
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"source_ids": ["S'), F.col("turn").cast("string"), F.lit('", "S2", "S2"]}'))).otherwise(F.concat(F.lit("see S"), F.col("turn").cast("string"), F.lit(", S9 and S9: "), F.col("role")))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('Sure: {"used_source_ids": ["S'), F.col("turn").cast("string"), F.lit('", " S2 ", "S2"]}'))).otherwise(F.concat(F.lit("see S"), F.col("turn").cast("string"), F.lit(", S9 and S9: "), F.col("role")))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.source_ids(text), ",").alias("ids"))
 
 
@@ -349,8 +362,9 @@ def parse_variants(spark, d):
 
 @query
 def reference_coverage(spark, d):
-    """A page against its own first 1,500 characters, as an extraction that breaks off would be."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("reference"), F.substring("text", 1, 1500).alias("markdown"))
+    """A page against itself without every third line, as an extraction that loses lines would be."""
+    kept = F.filter(F.split("text", "\n"), lambda x, i: i % 3 != 2)
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("reference"), F.array_join(kept, "\n").alias("markdown"))
     return quality.reference_coverage(rows, ["doc_id"], "reference", "markdown").select("doc_id", "tokens", "found", "coverage", "issue")
 
 
@@ -402,6 +416,189 @@ def expected_chunks(spark, d):
     return out.select("document_id", "page_start", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 256).alias("text_sha256"))
 
 
+@query
+def bm25_index_topk(spark, d):
+    """The same search over an index that was written and read back."""
+    folder = shared_folder(spark)
+    bm25.write_index(_chunks(spark, d), folder)
+    out = bm25.search(_questions(spark, d), _chunks(spark, d), 40, index=bm25.read_index(spark, folder))
+    return out.select("query_id", "chunk_index", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def retrieve_tagged(spark, d):
+    """Hybrid retrieval inside one tag: vectors are filtered before their distances, lexical hits after their ranking."""
+    return _retrieved(spark, d, retrieve.Retrieval(k=8, tag=" de "))
+
+
+@query
+def retrieval_query_list(spark, d):
+    users = table(spark, d, "conversations").filter("role = 'user'")
+    previous = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), F.array(F.concat(F.lit("x "), F.col("text")), F.concat(F.lit(" "), F.col("text"))).alias("variants"), previous.alias("previous"), F.lower("text").alias("rewritten"))
+    return retrieve.retrieval_queries(asked)
+
+
+@query
+def instructed_queries(spark, d):
+    return _questions(spark, d).select("query_id", T.instructed("query", " Find the page that answers ").alias("query"), T.instructed("query", " ").alias("plain"))
+
+
+def _pages_with_scores(spark, d) -> DataFrame:
+    """Eight pages for each question, every other one with a fused lexical score of 0."""
+    found = fusion.collapse_to_pages(_turn_hits(spark, d, 40), 8)
+    raw = F.round("score", 6)
+    return found.select("query_id", "page_rank", "rank", "chunk_index", "document_id", "page_start", raw.alias("bm25_raw_score"), F.when(F.col("rank") % 2 == 0, 0.0).otherwise(raw).alias("bm25_score"), F.array(F.lit("bm25")).alias("sources"), F.concat(F.lit("c"), F.col("document_id")).alias("source"), F.lit("").alias("tag"), F.concat(F.lit("t"), F.col("chunk_index")).alias("text"))
+
+
+@query
+def serialized_matches(spark, d):
+    return assemble.serialized(_pages_with_scores(spark, d)).withColumn("retrieval_sources", F.array_join("retrieval_sources", ","))
+
+
+@query
+def matches_json(spark, d):
+    return assemble.gathered_matches(_pages_with_scores(spark, d))
+
+
+@query
+def source_options(spark, d):
+    return assemble.source_options(_pages_with_scores(spark, d))
+
+
+@query
+def used_source_ids(spark, d):
+    text = F.concat(F.lit('{"used_source_ids": ["S9", "S'), F.col("turn").cast("string"), F.lit('", "S2", "S2"]}'))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.used_ids(text, F.array(F.lit("S1"), F.lit("S2"), F.lit("S4"))), ",").alias("ids"))
+
+
+@query
+def truncated_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.truncated("text").alias("text"))
+
+
+@query
+def response_markdown(spark, d):
+    value = F.when(F.col("doc_id") % 4 == 0, F.lit("5")).when(F.col("doc_id") % 4 == 1, F.lit('"  "')).otherwise(F.concat(F.lit('" &quot;'), F.col("source"), F.lit('&quot; ** "')))
+    raw = F.concat(F.lit('Here: {"markdown": '), value, F.lit("} done"))
+    stop = F.when(F.col("doc_id") % 7 == 0, "max_tokens").otherwise("end_turn")
+    return table(spark, d, "documents").select("doc_id", T.response_markdown(raw).alias("markdown"), quality.accepted(F.replace(raw, F.lit(" **"), F.lit("")), stop).alias("accepted"))
+
+
+@query
+def tag_choice(spark, d):
+    tag = F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", T.tag_filter(tag, F.array(F.lit(" "), F.concat(F.lit(" "), F.col("source")))).alias("tag"))
+
+
+@query
+def vector_scores(spark, d):
+    distance = F.when(F.col("label") != 9, (F.col("label") - 3).cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(T.vector_score(distance), 9).alias("score"))
+
+
+@query
+def viewer_rows(spark, d):
+    rows = _chunks(spark, d).select("source", F.lit("md").alias("source_type"), "tag", "page_start", F.lit(0).alias("page_chunk_index"), T.token_count("text").cast("long").alias("token_count"), F.lit("direct-markdown").alias("parser_model"), F.concat(F.lit("/"), F.col("document_id")).alias("source_path"), "text")
+    return viewer.table_rows(rows)
+
+
+@query
+def hit_diagnostics(spark, d):
+    out = viewer.score_parts(_pages_with_scores(spark, d).withColumn("bm25_rank", F.col("rank")))
+    return out.select("query_id", "page_rank", "scores")
+
+
+@query
+def question_rows(spark, d):
+    q, p = _question_table(spark, d)
+    return viewer.question_table(store.questions_with_pages(q.withColumn("category", F.lit("")), p))
+
+
+@query
+def question_counts(spark, d):
+    q, _ = _question_table(spark, d)
+    return store.question_counts(q.withColumn("active", F.col("id") % 3 != 0))
+
+
+@query
+def failed_questions(spark, d):
+    rows = _scored(spark, d).withColumn("error", F.when(F.col("query_id") % 7 == 0, "x"))
+    return viewer.failures_only(rows).select("query_id", "failure", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query
+def doctor_verdict(spark, d):
+    checks = table(spark, d, "labels").select((F.col("doc_id") % 50).alias("report"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") == 1).alias("required"))
+    return viewer.verdict(checks, "report")
+
+
+@query
+def event_lines(spark, d):
+    turns = table(spark, d, "conversations").filter("role = 'assistant'")
+    answers = turns.select(F.concat(F.lit("s"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("session_id"), F.col("text").alias("answer"), (F.col("turn") % 2 == 0).alias("fallback"), F.array(F.lit("S1"), F.lit("S2")).alias("citations"), F.lit('[{"rank":1}]').alias("matches"))
+    return ask.events(answers)
+
+
+@query
+def cache_manifests(spark, d):
+    t = table(spark, d, "conversations")
+    rows = t.select(F.sha2(F.col("conv_id").cast("string"), 256).alias("source_sha256"), F.lit("m").alias("parser_model"), F.lit("v1").alias("prompt_version"), F.lit(4).alias("context_pages"), (F.col("turn") + 1).cast("int").alias("page_number"), F.when(F.col("turn") % 3 == 2, "failed").otherwise("ok").alias("status"), F.col("role").alias("issue"), (F.lit(4) + F.col("conv_id") % 3).cast("int").alias("total_pages"))
+    out = files.manifests(rows)
+    failed = F.array_sort(F.transform(F.map_entries("failed_pages"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"])))
+    return out.select("source_sha256", F.array_join("page_numbers", ",").alias("page_numbers"), F.array_join(failed, ",").alias("failed"), "total_pages", "complete")
+
+
+@query
+def document_totals(spark, d):
+    return files.totals(pages.join_pages(_conversation_pages(spark, d), "conv_id").select(T.pages_of("markdown").alias("pages")))
+
+
+@query
+def preview_requests(spark, d):
+    have = _conversation_pages(spark, d)
+    last = have.groupBy("conv_id").agg(F.max("page_number").alias("n"))
+    requests = last.select("conv_id", F.array(F.col("n"), F.lit(1), F.col("n"), F.lit(99), F.lit(2)).alias("pages"))
+    valid, invalid = pages.requested_pages(requests, have, "conv_id")
+    kept = valid.select("conv_id", "position", "page_number", F.lit(True).alias("valid"))
+    return kept.unionByName(invalid.select("conv_id", "position", "page_number", F.lit(False).alias("valid")))
+
+
+@query
+def iso_times(spark, d):
+    return table(spark, d, "events").select("event_id", files.iso(F.col("ts").cast("timestamp")).alias("iso"))
+
+
+@query
+def answer_prompts(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    rows = turns.select("conv_id", F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("history"), F.element_at("h", -1)["content"].alias("question"), F.lit("[S1] a p.1").alias("context"))
+    told = rows.select("conv_id", assemble.answer_prompt("question", "context", "history").alias("m"))
+    return told.select("conv_id", F.size("m").cast("long").alias("messages"), F.sha2(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|"), 256).alias("prompt_sha256"))
+
+
+def _inputs(spark, d) -> DataFrame:
+    asked = _questions(spark, d).select("query_id", F.col("query").alias("question"), F.array(_variant(1)).alias("variants"), F.lit(None).cast("string").alias("previous"))
+    return ask.generation_inputs(asked, _chunks(spark, d), retrieve.Retrieval("bm25", 8))
+
+
+@query
+def generation_inputs(spark, d):
+    return _inputs(spark, d).select("query_id", F.size("queries").cast("long").alias("queries"), F.sha2("context", 256).alias("context_sha256"), F.array_join(F.transform("options", lambda o: o["document_id"]), ",").alias("documents"))
+
+
+@query
+def asked(spark, d):
+    """Answers by a model that says yes or nothing, and an audit that names a source which isn't there, too."""
+    def answer(messages: list[dict[str, str]]) -> str:
+        return " yes " if len(messages[-1]["content"]) % 2 else ""
+
+    def audit(messages: list[dict[str, str]]) -> str:
+        return '{"used_source_ids": ["S3", "S1", "S99"]}'
+
+    return ask.ask(_inputs(spark, d), answer, audit).select("query_id", "answer", F.array_join(F.transform("citations", lambda c: F.concat(c["source_id"], F.lit("="), c["document_id"])), ",").alias("citations"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """For each question, the top eight pages by BM25."""
     found = bm25.search(_questions(spark, d), _chunks(spark, d), 40).join(_chunks(spark, d).select("chunk_index", "document_id", "page_start"), "chunk_index")

@@ -3,10 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright import evaluation
+from pagewright import edges, evaluation
 from pagewright.config import EvaluationConfig, Settings
-from pagewright.operators import extraction
-from pagewright.sources.store import Store
+from pagewright.functions import text as T
+from pagewright.operators import ask, extraction, viewer
+from pagewright.operators.retrieve import Retrieval, retrieval_queries, retrieve
+from pagewright.sources import files
+from pagewright.sources.store import CSV_COLUMNS, Store, write_csv
 
 
 def test_evaluation_run(spark, tmp_path):
@@ -31,6 +34,129 @@ def test_evaluation_run(spark, tmp_path):
     assert store.evaluations().first().status == "failed"
 
 
+def chunk_rows(spark):
+    rows = [(i, f"d{i % 3}", 1 + i // 3, f"alpha {'beta' if i % 2 else 'gamma'} word{i}", "x" if i % 2 else "y", f"s{i % 3}", f"/p/{i % 3}", 0) for i in range(12)]
+    return spark.createDataFrame(rows, "chunk_index long, document_id string, page_start int, text string, tag string, source string, source_path string, page_chunk_index int")
+
+
+def test_a_run_filters_by_tag_and_keeps_its_matches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.save_question("beta word3", [("d0", 2, "s0", "/p/0", "ref")])
+    store.save_question("gamma word4", [("d1", 2, "s1", "/p/1", "ref")])
+    chunks, seen = chunk_rows(spark), []
+    embed = edges.hash_embedder(32)
+
+    def embedded(queries):
+        seen.extend(r["query"] for r in queries.select("query").collect())
+        return edges.embedded(queries, embed, "query")
+
+    vectors = edges.embedded(chunks, embed)
+    key = evaluation.run(store, vectors, EvaluationConfig("tagged", "hybrid", 2, instruction="find", tag=" x "), embed=embedded, batches=2)
+    assert all(q.startswith("Instruct: find") for q in seen) and len(seen) == 2
+    told = store.evaluation(key)
+    by = {r["question"]: r for r in told["results"]}
+    assert told["config"]["tag"] == " x " and set(by) == {"beta word3", "gamma word4"} and all(r["latency_ms"] > 0 for r in told["results"])
+    for r in told["results"]:
+        assert [m["rank"] for m in r["matches"]] == [1, 2] and {m["tag"] for m in r["matches"]} == {"x"}
+        assert set(r["matches"][0]) == {"rank", "document_id", "source", "source_path", "page", "page_chunk_index", "tag", "text", "distance", "vector_score", "bm25_score", "rrf_score", "retrieval_sources"}
+    first = by["beta word3"]
+    assert (first["matches"][0]["document_id"], first["matches"][0]["page"]) == ("d0", 2) and first["metrics"]["hit_at_1"] == 1.0
+    assert by["gamma word4"]["metrics"]["failure"]  # its page has the other tag
+    assert first["expected"] == [{"document_id": "d0", "page": 2, "source": "s0", "source_path": "/p/0", "reference_text": "ref"}]
+    rows = evaluation.results_file(store, key).orderBy("id_pregunta").collect()
+    assert rows[0].asDict().keys() == dict.fromkeys(CSV_COLUMNS).keys() and rows[0]["páginas_esperadas"] == "s0 p.2" and rows[0]["páginas_recuperadas"].startswith("s0 p.2; ")
+    write_csv(evaluation.results_file(store, key), f"file://{tmp_path}/csv")
+    text = "".join(p.read_text("utf-8") for p in sorted((tmp_path / "csv").glob("*.csv")))
+    assert text.startswith("\ufeffid_pregunta,pregunta,") and "beta word3" in text
+    assert [r.dataset for r in viewer.evaluation_table(store.evaluations()).collect()] == [told["dataset_hash"][:10]]
+    with pytest.raises(ValueError):
+        evaluation.run(Store(spark, f"file://{tmp_path}/empty"), chunks, EvaluationConfig("none", "bm25"))
+
+
+def test_retrieval_inside_a_tag_or_document(spark):
+    chunks = edges.embedded(chunk_rows(spark), edges.hash_embedder(32))
+    asked = spark.createDataFrame([(1, "alpha beta word5", [], None), (2, "alpha gamma word4", ["word8"], "before")], "query_id long, question string, variants array<string>, previous string")
+    queries = edges.embedded(retrieval_queries(asked), edges.hash_embedder(32), "query")
+    for how, ok in ((Retrieval(k=4, tag="x"), lambda r: r.chunk_index % 2 == 1), (Retrieval("bm25", 4, document_id="d1"), lambda r: r.document_id == "d1"), (Retrieval("vector", 4, tag="y", document_id="d2"), lambda r: r.document_id == "d2" and r.chunk_index % 2 == 0)):
+        got = retrieve(queries, chunks, how).withColumnRenamed("key", "chunk_index").collect()
+        assert got and all(ok(r) for r in got)
+
+
+def test_ask(spark):
+    chunks = chunk_rows(spark).withColumns({"chunk_id": F.lit("c"), "source_type": F.lit("md"), "page_end": F.col("page_start")})
+    asked = spark.createDataFrame([(1, "beta word3"), (2, "beta word5"), (3, "unknown"), (4, "gamma word4")], "query_id long, question string")
+
+    def model(messages):
+        text = messages[-1]["content"]
+        if "Rewrite" in messages[0]["content"]:
+            return '{"queries": ["word7", "word9"]}' if "word3" in text else "only one"
+        if "word5" in text.rsplit("Question", 1)[1]:
+            raise ConnectionError
+        return " It says so [S1]. "
+
+    questions = ask.with_variants(asked, model).withColumn("previous", F.lit(None).cast("string"))
+    assert {r.query_id: r.variants for r in questions.collect()} == {1: ["word7", "word9"], 2: [], 3: [], 4: []}
+    inputs = ask.generation_inputs(questions, chunks, Retrieval("bm25", 2))
+    told = {r.query_id: r for r in inputs.collect()}
+    assert told[1].queries == ["beta word3", "word7", "word9"] and told[1].context.startswith("[S1] s0 p.2\n") and told[3].context == "" and told[3].options == []
+    audits = []
+
+    def audit(messages):
+        audits.append(messages)
+        return '{"used_source_ids": ["S1", "S7", "S1"]}' if "word3" in messages[-1]["content"] else "[]"
+
+    out = ask.ask(inputs, model, audit)
+    got = {r.query_id: r for r in out.collect()}
+    assert got[1].answer == "It says so [S1]." and [c.source_id for c in got[1].citations] == ["S1"] and "text" not in got[1].citations[0]
+    assert got[2].answer == got[3].answer == got[4].answer == T.REFUSAL and not got[4].citations
+    lines = [json.loads(r.event) for r in ask.events(out.withColumn("session_id", F.lit("s"))).filter("session_id = 's'").orderBy("seq").collect()]
+    assert {x["type"] for x in lines} == {"session", "answer", "citations", "matches", "done"}
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    pdf = spark.createDataFrame([(f"/x/{n}.pdf", bytearray(range(1, n + 1)), "t", f"{n}.pdf", f"t/{n}.pdf", f"doc{n}", f"sha{n}") for n in (3, 6)], "path string, content binary, tag string, name string, relative_path string, document_id string, source_sha256 string")
+    render = lambda content: [(i, bytes([b]), "") for i, b in enumerate(content, 1)]
+    folder = f"file://{tmp_path}/cache"
+    tried = tmp_path / "tried"
+    tried.mkdir()
+
+    def call(page, image, context):
+        with open(tried / f"{page}", "a") as f:
+            f.write("x")
+        if page == 2 and len((tried / "2").read_text()) < 3:
+            raise ConnectionError("once more")
+        if page == 5:
+            raise ValueError("broken")
+        return json.dumps({"markdown": f"page {page} with {len(context)}"}), "end_turn"
+
+    parse = lambda **more: extraction.parse_documents(pdf, render, call, folder, "m", "v1", sleep=lambda s: None, **more)
+    with pytest.raises(RuntimeError, match="pages"):
+        parse(most_pages=5)
+    with pytest.raises(RuntimeError, match="calls"):
+        parse(most_calls=5)
+    assert not list(tried.iterdir())
+    with pytest.raises(TimeoutError):
+        parse(timeout=-1)
+    assert not list(tried.iterdir())
+    got = {r.document_id: r for r in parse().collect()}
+    assert [p.markdown for p in got["doc3"].pages] == ["page 1 with 3", "page 2 with 3", "page 3 with 3"] and got["doc3"].failed_pages == {}
+    assert [p.page_number for p in got["doc6"].pages] == [1, 2, 3, 4, 5, 6] and got["doc6"].pages[4].markdown == "" and "ValueError" in got["doc6"].failed_pages[5]
+    assert got["doc6"].pages[0].markdown == "page 1 with 4" and (got["doc6"].tag, got["doc6"].parser_model) == ("t", "m")
+    before = {p.name: len(p.read_text()) for p in tried.iterdir()}
+    assert {r.document_id: r.pages for r in parse().collect()} == {k: r.pages for k, r in got.items()}
+    assert {p.name: len(p.read_text()) for p in tried.iterdir()} == before  # all from the cache, a failed page as well
+    parse(retry_failed=True)
+    assert len((tried / "5").read_text()) > before["5"] and len((tried / "1").read_text()) == before["1"]
+    told = {r.source_sha256: r for r in files.manifests(files.read_cache(spark, folder)).collect()}
+    assert told["sha6"].complete and told["sha6"].page_numbers == [1, 2, 3, 4, 5, 6] and list(told["sha6"].failed_pages) == [5]
+    rendered = files.rendered(pdf, render)
+    ask_for = lambda pages: spark.createDataFrame([("doc6", pages)], "document_id string, pages array<int>")
+    shown = extraction.previewed(ask_for([4, 1, 4, 5]), rendered, call).orderBy("position").collect()
+    assert [(r.page_number, r.markdown) for r in shown] == [(4, "page 4 with 4"), (1, "page 1 with 4")]
+    with pytest.raises(ValueError):
+        extraction.previewed(ask_for([9]), rendered, call)
+
+
 def test_extraction(spark):
     rows = [("d", n, bytes([n]), "words " * 60 if n == 2 else "short") for n in range(1, 7)]
     rendered = spark.createDataFrame(rows, "document_id string, page_number int, image binary, reference string")
