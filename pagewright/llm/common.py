@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, for several readers: computed once and held on the executors' disks, without files of its own. Lineage
+    stays, so a lost executor's partitions are computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def renamed(docs: DataFrame) -> DataFrame:
     """The rows under names by place (u0, u1, ...), which no operator uses for columns of its own."""
     return docs.toDF(*[f"u{i}" for i in range(len(docs.columns))])

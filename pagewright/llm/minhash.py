@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, mixed, shared_folder, table, words_of
+from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, kept, mixed, table, words_of
 from pagewright.llm.components import components
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 42, 6, 36, 1e-9, 256
@@ -263,34 +263,27 @@ def _across(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    folder = shared_folder(spark)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    features = stored(_features(rows, size), "features")
+    features = kept(_features(rows, size))
     grouped = features.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
-    classes = stored(grouped.select("id", "n", "k1", "k2", "sig"), "classes")
+    classes = kept(grouped.select("id", "n", "k1", "k2", "sig"))
     crowded = _bands(classes).groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = stored(_bands(classes).join(crowded, "band"), "buckets")
+    buckets = kept(_bands(classes).join(crowded, "band"))
     met = buckets.groupBy("id").agg(F.sum("m").alias("met"))  # the text that a group's copies were made from meets the most
     n, distinct = features.agg(F.count("*"), F.count_distinct("id")).first()
     wanted = classes.join(met.select("id"), "id", "left_semi").select("id", "k1", "n")
-    sets = stored(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size), "sets")
+    sets = kept(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size))
 
     percent = round(100 * threshold)
     weighed = buckets.select("band", "id").join(met, "id").join(classes.select("id", "n"), "id")
     leaders = weighed.groupBy("band").agg(F.max(F.struct("met", -F.col("id"), "id", "n")).alias("l")).select("band", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
     beside = weighed.join(leaders, "band").filter((F.col("id") != F.col("lead")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     pairs = checkpointed(beside.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-    first = components(stored(_linked(pairs, sets, threshold), "first_links"))
+    first = components(_linked(pairs, sets, threshold))
 
     live = buckets.filter("m > 2").select("band", "id").join(first.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
     unsettled = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
-    found = stored(_across(checkpointed(live.join(unsettled, "band", "left_semi")), sets, threshold), "links")
+    found = checkpointed(_across(checkpointed(live.join(unsettled, "band", "left_semi")), sets, threshold))
     label = lambda x: found.select(x).join(first.select(F.col("v").alias(x), F.col("component").alias(f"c{x}")), x, "left").select(x, F.coalesce(f"c{x}", x).alias(f"c{x}")).distinct()
     joined = found.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = components(joined).select(F.col("v").alias("component"), F.col("component").alias("last"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bwt import repeated
-from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
+from pagewright.llm.common import PrefixHash, blocks, flat, kept, mixed, parts_for, quantiles, range_of, renamed, table
 
 LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
 #: Segments that make a hash hot; a sample of one document in ``SAMPLE`` tells (at most ``MAX_HOT`` hashes).
@@ -346,17 +346,11 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows, under names by place, with ``__marks``: runs of windows (start, n) that start earlier elsewhere."""
-    folder = shared_folder(docs.sparkSession)
     safe = renamed(docs)
     rows = _numbered(safe, *(f"u{docs.columns.index(c)}" for c in (id_col, text_col)))
-    texts, spark = rows.select("d", "text"), docs.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
+    texts = rows.select("d", "text")
     hot = _hot_keys(texts)
-    found = stored(_sorted_out(_segments(texts, hot, parts_for(docs))), "segments")
+    found = kept(_sorted_out(_segments(texts, hot, parts_for(docs))))
     firsts, again = found.filter("not again"), [found.filter("again").select("d", "start", "n")]
     wanted = firsts.filter("slice = 0").drop("slice", "again")
     if len(hot):
@@ -366,11 +360,11 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = wanted.select("key", "d", "start", "n", "own")
     crowded = wanted.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.lit(True).alias("crowded"))
     wanted = wanted.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    bodies = stored(_with_bytes(wanted, texts), "bodies")
+    bodies = kept(_with_bytes(wanted, texts))
     pieces, more = _collapsed(bodies.filter("crowded"))
     again.append(more)
     names = ["key", "d", "start", "n", "own", "body"]
-    again.append(stored(_repeats(bodies.filter("not crowded").select(*names).unionByName(pieces.select(*names))), "repeats"))
+    again.append(_repeats(bodies.filter("not crowded").select(*names).unionByName(pieces.select(*names))))
     marks = reduce(DataFrame.unionByName, again)
     marks = marks.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("__marks"))
     return rows.join(marks, "d", "left")
