@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bwt import repeated
-from pagewright.llm.common import PrefixHash, blocks, flat, kept, mixed, parts_for, quantiles, range_of, renamed, table
+from pagewright.llm.common import PrefixHash, blocks, flat, kept, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
 
 LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
 #: Segments that make a hash hot; a sample of one document in ``SAMPLE`` tells (at most ``MAX_HOT`` hashes).
@@ -349,8 +349,9 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     safe = renamed(docs)
     rows = _numbered(safe, *(f"u{docs.columns.index(c)}" for c in (id_col, text_col)))
     texts = rows.select("d", "text")
-    hot = _hot_keys(texts)
-    found = kept(_sorted_out(_segments(texts, hot, parts_for(docs))))
+    hot, folder = _hot_keys(texts), f"{shared_folder(docs.sparkSession)}/segments"
+    _sorted_out(_segments(texts, hot, parts_for(docs))).write.parquet(folder)  # lets go of the shuffled segments
+    found = docs.sparkSession.read.parquet(folder)
     firsts, again = found.filter("not again"), [found.filter("again").select("d", "start", "n")]
     wanted = firsts.filter("slice = 0").drop("slice", "again")
     if len(hot):
