@@ -211,34 +211,52 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Of each lead byte, how many bytes follow and the range of the first of them (well-formed UTF-8).
+_LEADS = {**{b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}, **{b: (2, 0x80, 0xBF) for b in range(0xE1, 0xF0)}, 0xE0: (2, 0xA0, 0xBF), 0xED: (2, 0x80, 0x9F), **{b: (3, 0x80, 0xBF) for b in (0xF1, 0xF2, 0xF3)}, 0xF0: (3, 0x90, 0xBF), 0xF4: (3, 0x80, 0x8F)}
+
+
 class Utf8Stream:
     """Incremental decoding: ``feed`` returns the characters that are complete, ``close`` what an unfinished one becomes.
 
-    The state is the bytes of an unfinished character, three at most: the lead byte says how many are to follow.
+    The state is how many bytes are still due, the range of the next, and the bytes of the unfinished character, three at
+    most. A byte outside the range ends the character as one U+FFFD and is read anew. Spans that the library finds
+    well-formed don't go byte by byte: they leave the machine in its first state.
     """
 
     def __init__(self):
-        self.rest = b""
+        self.due, self.low, self.high, self.held = 0, 0, 0, bytearray()
 
     def feed(self, data: bytes) -> str:
-        data = self.rest + data
-        cut = len(data)
-        for back in range(1, min(3, cut) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:  # a lead byte: two, three or four bytes long
-                if back < 2 + (byte >= 0xE0) + (byte >= 0xF0):
-                    cut -= back
-                break
+        out = []
+        if not self.due:
+            try:
+                return data.decode()
+            except UnicodeDecodeError as e:  # what is before it is well-formed
+                out.append(data[: e.start].decode())
+                data = data[e.start :]
+        for byte in data:
+            if self.due:
+                if self.low <= byte <= self.high:
+                    self.held.append(byte)
+                    self.due, self.low, self.high = self.due - 1, 0x80, 0xBF
+                    if not self.due:
+                        out.append(self.held.decode())
+                        self.held.clear()
+                    continue
+                out.append(self.close())
             if byte < 0x80:
-                break
-        if cut < len(data) and data[cut:].decode("utf-8", "ignore") == "" and data[cut:].decode("utf-8", "replace") != "�":
-            cut = len(data)  # it can't become a character any more
-        self.rest = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+                out.append(chr(byte))
+            elif byte in _LEADS:
+                self.due, self.low, self.high = _LEADS[byte]
+                self.held.append(byte)
+            else:
+                out.append("\ufffd")
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.rest = self.rest, b""
-        return rest.decode("utf-8", "replace")
+        unfinished, self.due = bool(self.due), 0
+        self.held.clear()
+        return "\ufffd" if unfinished else ""
 
 
 #: Token bytes that the streaming decoder gets at a time.
