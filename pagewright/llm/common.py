@@ -47,10 +47,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame, for several readers: computed once and held on the executors' disks, without files of its own. Lineage
-    stays, so a lost executor's partitions are computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    stays, so a lost executor's partitions are computed again. It is held until ``released`` or the session's end."""
+    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def released() -> None:
+    """Lets go of all frames that operators hold: for when their results have been written."""
+    while _HELD:
+        _HELD.pop().unpersist()
 
 
 def renamed(docs: DataFrame) -> DataFrame:

@@ -243,13 +243,36 @@ def test_pages(spark):
     assert html_text.extracted(frame.filter("false")).count() == 0
 
 
-def test_pages_against_copies_and_inside_articles(spark):
+def test_pages_against_copies_and_articles(spark):
     plain = "<body><div>Menu</div><p>The whole story, told twice</p></body>"
     story = lambda own: f"<article><p>{own * 9}</p><p>Share this story</p></article>"
     rows = [(1, "http://a/p?id=1", plain), (2, "http://a/p?id=2", plain), (3, "http://b/1", story("one ")), (4, "http://b/2", story("two "))]
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == got[2] == "Menu\nThe whole story, told twice"  # copies don't empty each other
-    assert got[3] == ("one " * 9).strip() and got[4] == ("two " * 9).strip()
+    for page, own in ((3, "one "), (4, "two ")):  # an article keeps what others hold as well
+        assert got[page] == (own * 9).strip() + "\nShare this story"
+
+
+def test_pairing_of_pages_by_force(spark):
+    """Neighbours, agreements and copies, page by page; ties (two rows of one url and id, equal agreements) included."""
+    rng = random.Random(21)
+    pool = [f"<div>Line {i}</div>" for i in range(6)]
+    rows = []
+    for i in range(160):
+        body = "".join(rng.sample(pool, 3)) + "".join(f"<p>own text {i if rng.random() < 0.8 else 7} {j}</p>" for j in range(rng.randrange(4)))
+        path = "/".join(rng.choice(["a", "ab", "b", "news", "x"]) for _ in range(rng.randrange(4)))
+        rows.append((i, rng.choice([f"http://h{rng.randrange(3)}/{path}", f"http://h1/{path}?id={i}", None, "http://["]), body))
+    rows += [(200, "http://h0/same", pool[0] + "<p>twice</p>"), (200, "http://h0/same", pool[0] + "<p>twice</p>")]
+    parsed = sorted(((html_text._key(u, i), [t for t, _ in html_text.page_blocks(h)], i, html_text.page_blocks(h)) for i, u, h in rows), key=lambda r: r[:2])
+    want = []
+    for at, (key, _, i, blocks) in enumerate(parsed):
+        beside = [(html_text._agreement(key, parsed[n][0]), n < at, parsed[n][3]) for n in (at + 1, at - 1) if 0 <= n < len(parsed)]
+        beside = sorted((x for x in beside if x[0] >= 0), key=lambda x: (-x[0], x[1]))  # the next one first, of equals
+        want.append((i, html_text.main_text(blocks, [x[2] for x in beside])))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = sorted((r.page_id, r.text) for r in html_text.extracted(frame).collect())
+    assert got == sorted(want)
+    assert any(t and "Line" not in t for _, t in got) and any("Line" in t for _, t in got)
 
 
 # 5 repeated strings
@@ -409,7 +432,8 @@ def test_transducer_on_one_long_word(monkeypatch):
 
 def test_streaming_decoder():
     rng = random.Random(7)
-    for data in ["aé語😀".encode() * 3, b"\xff\xc3(\xe8\xaa", b"\xf0\x9f\x98", b"\x80\x80a\xe8"]:
+    drawn = [bytes(rng.choice([0x41, 0x80, 0xBF, 0xC0, 0xC3, 0xE0, 0xA0, 0xED, 0x9F, 0xE8, 0xF0, 0x90, 0xF4, 0x8F, 0xF5, 0xFF]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    for data in ["aé語😀".encode() * 3, b"\xff\xc3(\xe8\xaa", b"\xf0\x9f\x98", b"\x80\x80a\xe8", *drawn]:
         for _ in range(20):
             stream, out, i = transducer.Utf8Stream(), "", 0
             while i < len(data):
