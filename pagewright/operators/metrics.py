@@ -39,11 +39,25 @@ def score_retrieval(questions: DataFrame, expected: DataFrame, retrieved: DataFr
     )
 
 
+def discrete_percentile(rows: DataFrame, by: list[str], value: str, share: float, accuracy: int = 10_000) -> DataFrame:
+    """(by, n, percentile): the nearest-rank percentile of the values that aren't null, exact, without holding a group's
+    values: an approximate percentile brackets the rank (its error is below 1 / accuracy of the rows), and only values
+    inside the bracket are counted one by one; those below it are one number."""
+    told = rows.filter(F.col(value).isNotNull())
+    low, high = max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)
+    marks = told.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), accuracy).alias("__b"))
+    inside = told.join(marks, by).filter(F.col(value) <= F.col("__b")[1])
+    counts = inside.groupBy(*by, "n", F.when(F.col(value) >= F.col("__b")[0], F.col(value)).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("__v")))
+    return counts.withColumn("__upto", upto).filter((F.col("__upto") >= F.ceil(F.lit(share) * F.col("n"))) & F.col("__v").isNotNull()).groupBy(*by, "n").agg(F.min("__v").alias("percentile"))
+
+
 MEANS = ["hit_at_1", "hit_at_k", "recall_at_1", "recall_at_k", "precision_at_k", "mrr_at_k"]
 
 
 def aggregate_metrics(results: DataFrame, latency: str = "latency_ms", error: str = "error") -> DataFrame:
-    """One row for the run: macro means, sums, and the mean and nearest-rank 95th percentile of latency."""
+    """One row for the run: macro means, sums, and the mean and nearest-rank 95th percentile of latency (a run's questions
+    are few: the percentile holds their distinct latencies; ``discrete_percentile`` doesn't)."""
     return results.agg(
         F.count("*").alias("questions"),
         *[F.round(F.avg(m), 6).alias(m) for m in MEANS],

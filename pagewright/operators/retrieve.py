@@ -54,12 +54,13 @@ def instructed(queries: DataFrame, embed: Callable[[DataFrame], DataFrame], inst
     return told.withColumn("query", F.col("__plain")).drop("__plain")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, how: Retrieval = Retrieval(), index: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, how: Retrieval = Retrieval(), index: DataFrame | None = None, variants: int | None = None) -> DataFrame:
     """Pages for queries (query_id, list_no, query[, embedding]); chunks (chunk_index, document_id, page_start, text[,
     embedding, tag]). All lists of all questions are one search of either kind. Contextual queries stay out of the
     lexical search. The filter by tag and document is applied to vectors before their distances, and to lexical hits
-    after their ranking. ``index``: written postings of the chunks."""
+    after their ranking. ``index``: written postings of the chunks. ``variants``: only so many lists of a question."""
     keep, lists = how.keep(), []
+    queries = queries if variants is None else queries.filter(F.col("list_no") < variants)
     if how.mode != "bm25":
         asked = queries.withColumn("__list", F.col("query_id") * LISTS + F.col("list_no"))
         found = vector.nearest(asked, chunks if keep is None else chunks.filter(keep), how.vector_candidates, how.metric, "__list", "chunk_index")

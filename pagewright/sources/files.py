@@ -90,6 +90,28 @@ def table_exists(spark: SparkSession, folder: str, name: str) -> bool:
     return name in list_tables(spark, folder)
 
 
+def model_files(spark: SparkSession, folder: str, patterns: dict[str, str]) -> dict[str, str | None]:
+    """Of each named pattern, the first file below the folder, by path, that is a model: 16 bytes at least, the first four
+    being ``GGUF``; None where there is none. Only heads are read."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def is_model(status) -> bool:
+        if not status.isFile() or status.getLen() < 16:
+            return False
+        stream = fs.open(status.getPath())
+        try:
+            return bytes(stream.read() for _ in range(4)) == b"GGUF"
+        finally:
+            stream.close()
+
+    out: dict[str, str | None] = {}
+    for name, pattern in patterns.items():
+        found = sorted(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")) or [], key=lambda x: x.getPath().toString())
+        out[name] = next((x.getPath().toString() for x in found if is_model(x)), None)
+    return out
+
+
 def safe_relative(path: str) -> str:
     """A relative path of an upload, checked: not absolute, no way up, a suffix that is read."""
     parts = path.replace("\\", "/").strip().split("/")

@@ -130,3 +130,18 @@ def test_messages(spark):
     rows = spark.createDataFrame([(1, 0, " user", "a "), (1, 1, "assistant", "b"), (1, 2, "user", " c"), (1, 3, "user", "  ")], "s long, seq int, role string, content string")
     assert assemble.normal_messages(rows).count() == 3
     assert assemble.contextual_queries(rows, "s", "seq").first().query == "Previous user question: a\nLatest follow-up question: c"
+
+
+def test_discrete_percentile(spark):
+    import random
+
+    from pagewright.operators import metrics
+
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(5 if g == "few" else 10**6))) for g, n in (("few", 300), ("many", 4000), ("one", 1)) for _ in range(n)] + [("few", None)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.5, 0.95, 1.0):
+        want = frame.filter("v is not null").groupBy("g").agg(F.count("*"), F.expr(f"percentile_disc({share}) within group (order by v)"))
+        for accuracy in (10_000, 50):
+            got = metrics.discrete_percentile(frame, ["g"], "v", share, accuracy)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

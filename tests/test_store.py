@@ -177,6 +177,13 @@ def test_stream(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["uno dos"]
 
 
+def test_model_files(spark, tmp_path):
+    for name, body in (("a-q4.gguf", b"GGUF"), ("b-q4.gguf", b"GGUF" + b"x" * 20), ("c-q4.gguf", b"GGUF" + b"y" * 20), ("d.gguf", b"HTML" + b"z" * 20)):
+        (tmp_path / name).write_bytes(body)
+    got = files.model_files(spark, f"file://{tmp_path}", {"chat": "*-q4.gguf", "other": "d*.gguf", "none": "x*"})
+    assert got["chat"].endswith("/b-q4.gguf") and got["other"] is None and got["none"] is None
+
+
 def test_lexical_index(spark, tmp_path):
     chunks = spark.createDataFrame([(i, t, "a" if i < 3 else "b") for i, t in enumerate(["uno dos", "dos tres tres", "", None, "tres", "cuatro", "cinco"])], "chunk_index long, text string, tag string")
     folder = f"file://{tmp_path}/bm25"
