@@ -251,6 +251,10 @@ eight as (select * from (select *, row_number() over (partition by query_id orde
 SQL["serialized_matches"] = f"""
 with {_EIGHT} select query_id, page_rank as rank, document_id, 'c' || document_id as source, '' as source_path, page_start as page, 0 as page_chunk_index, '' as tag, 't' || chunk_index as text,
   null::double as distance, null::double as vector_score, round(score, 6) as bm25_score, null::double as rrf_score, 'bm25' as retrieval_sources from eight"""
+SQL["matches_json"] = f"""
+with {_EIGHT}, m as (select query_id, page_rank, struct_pack(rank := page_rank, document_id := document_id, source := 'c' || document_id, source_path := '', page := page_start, page_chunk_index := 0, tag := '', text := 't' || chunk_index,
+  distance := null::double, vector_score := null::double, bm25_score := round(score, 6), rrf_score := null::double, retrieval_sources := ['bm25']) as m from eight)
+select query_id, to_json(list(m order by page_rank))::varchar as matches from m group by query_id"""
 SQL["source_options"] = f"""
 with {_EIGHT} select query_id, 'S' || page_rank as source_id, document_id, 'c' || document_id as source, page_start, page_start as page_end, chunk_index, null::varchar as tag, 't' || chunk_index as text from eight"""
 SQL["used_source_ids"] = """
