@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, kept, mixed, table, words_of
+from pagewright.llm.common import PrefixHash, blocks, checkpointed, flat, mixed, shared_folder, table, words_of
 from pagewright.llm.components import components
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 42, 6, 36, 1e-9, 256
@@ -264,15 +264,21 @@ def _across(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    features = kept(_features(rows, size))
+    folder = shared_folder(docs.sparkSession)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")  # which lets go of what was shuffled for it
+        return docs.sparkSession.read.parquet(f"{folder}/{name}")
+
+    features = stored(_features(rows, size), "features")
     grouped = features.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"))
-    classes = kept(grouped.select("id", "n", "k1", "k2", "sig"))
+    classes = stored(grouped.select("id", "n", "k1", "k2", "sig"), "classes")
     crowded = _bands(classes).groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = kept(_bands(classes).join(crowded, "band"))
+    buckets = stored(_bands(classes).join(crowded, "band"), "buckets")
     met = buckets.groupBy("id").agg(F.sum("m").alias("met"))  # the text that a group's copies were made from meets the most
     n, distinct = features.agg(F.count("*"), F.count_distinct("id")).first()
     wanted = classes.join(met.select("id"), "id", "left_semi").select("id", "k1", "n")
-    sets = kept(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size))
+    sets = stored(_sets(rows if n == distinct else rows.dropDuplicates(["id", "text"]), wanted, size), "sets")
 
     percent = round(100 * threshold)
     weighed = buckets.select("band", "id").join(met, "id").join(classes.select("id", "n"), "id")
