@@ -41,6 +41,8 @@ from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, sh
 
 BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 2, 16, 64, 0.15, 2048, 8
 _SIZES = {"near": (2 * (INPUTS + 1), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,)}
+#: Greatest size of a logit that goes to ``exp`` as it is.
+_SAFE = 60.0
 PRIOR, RANGE_WORDS, MAX_HOT, SAMPLE, STEPS = 1.0, 1 << 21, 1 << 18, 256, 2048
 
 
@@ -96,9 +98,9 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         near = self.weights["near"]
-        total = near[around[:, 0]]
+        total = near.take(around[:, 0], 0)
         for k in range(1, 2 * WINDOW):
-            total += near[around[:, k]]
+            total += near.take(around[:, k], 0)
         total += self.weights["bias"]
         return np.tanh(total, out=total)
 
@@ -110,15 +112,29 @@ class Network:
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
 
+    def logits(self, around: np.ndarray) -> np.ndarray:
+        """Of all classes, within what ``exp`` can take: where some aren't, each row's greatest is set to 0."""
+        z = self.hidden(around) @ self.weights["out"]
+        z += self.weights["shift"]
+        if z.size and (z.max() > _SAFE or z.min() < -_SAFE):
+            z -= z.max(1, keepdims=True)
+        return z
+
+    def log_wanted(self, around: np.ndarray, wanted: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """``log_classes`` of the wanted class of each row alone."""
+        z = self.logits(around)
+        return z[np.arange(len(z)), wanted] - np.log(np.exp(z) @ used.astype(np.float32))
+
     def train(self, around: np.ndarray, wanted: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the sums of squares."""
         w, m = self.weights, len(wanted)
         h = self.hidden(around)
         g = h @ w["out"]
         g += w["shift"]
-        g -= g.max(1, keepdims=True)
+        if g.max() > _SAFE or g.min() < -_SAFE:
+            g -= g.max(1, keepdims=True)
         np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
+        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
         g[np.arange(m), wanted] -= 1
         g /= m
         back = (g @ w["out"].T) * (1 - h * h)
@@ -129,7 +145,8 @@ class Network:
         of = placed >> 32
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
         used = of[starts]
-        grad = np.add.reduceat(back[placed & 0xFFFFFFFF], starts, axis=0)
+        readers = back.view(np.complex64).take(placed & 0xFFFFFFFF, 0)  # pairs of numbers: the same sums, four times as quick
+        grad = np.add.reduceat(readers, starts, axis=0).view(np.float32)
         total = seen["near"][used] + grad * grad
         seen["near"][used] = total
         w["near"][used] -= RATE * grad / np.sqrt(total + 1e-8)
@@ -279,8 +296,7 @@ def log_probabilities(net: Network, classes: np.ndarray, shares: np.ndarray, ids
     around = contexts(ids, edges)
     used = np.bincount(classes, minlength=CLASSES) > 0
     for i in range(0, len(ids), 4 * BATCH):
-        part = net.log_classes(around[i : i + 4 * BATCH], used)
-        out[i : i + 4 * BATCH] += part[np.arange(len(part)), classes[ids[i : i + 4 * BATCH]]]
+        out[i : i + 4 * BATCH] += net.log_wanted(around[i : i + 4 * BATCH], classes[ids[i : i + 4 * BATCH]], used)
     return out
 
 
