@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,22 +47,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_HELD: list[DataFrame] = []
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The frame, for several readers: computed once and held on the executors' disks, without files of its own. Lineage
-    stays, so a lost executor's partitions are computed again. It is held until ``released`` or the session's end."""
-    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
-    return df
-
-
-def released() -> None:
-    """Lets go of all frames that operators hold: for when their results have been written."""
-    while _HELD:
-        _HELD.pop().unpersist()
-
-
 def renamed(docs: DataFrame) -> DataFrame:
     """The rows under names by place (u0, u1, ...), which no operator uses for columns of its own."""
     return docs.toDF(*[f"u{i}" for i in range(len(docs.columns))])
@@ -101,19 +85,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of an odd base and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, b, np.uint64))), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+
+
 class PrefixHash:
     """Hashes of any slices of a byte array in constant time each: an odd-base polynomial modulo 2**64, scrambled.
 
-    Equal slices have equal hashes wherever they lie. Two bases make 128 bits where one isn't enough.
+    Equal slices have equal hashes wherever they lie. Two bases make 128 bits where one isn't enough. Powers are kept from
+    block to block; those for a longer text than ``BLOCK_BYTES`` go with it.
     """
 
     def __init__(self, data: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         n = len(data)
         with np.errstate(over="ignore"):
-            self._power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))), dtype=np.uint64)
+            self._power, self._back = _powers(base, BLOCK_BYTES) if n <= BLOCK_BYTES else _powers.__wrapped__(base, n)
             self._sum = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._power[:n], dtype=np.uint64)))
-            inverse = pow(base, -1, 1 << 64)
-            self._back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, inverse, np.uint64))), dtype=np.uint64)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

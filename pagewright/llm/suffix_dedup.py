@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bwt import repeated
-from pagewright.llm.common import PrefixHash, blocks, flat, kept, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
+from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, quantiles, range_of, renamed, shared_folder, table
 
 LENGTH, GRAM, LONGEST_RUN, CROWDED, EXTRA_HASHES, GROUP_BYTES = 100, 40, 64, 4096, 4, 1 << 18
+#: Bytes of text whose hashes a core's cache holds.
+SMALL_BLOCK = 1 << 16
 #: Segments that make a hash hot; a sample of one document in ``SAMPLE`` tells (at most ``MAX_HOT`` hashes).
 HOT, SAMPLE, MAX_HOT = 8192, 32, 1 << 16
 _NULL_ID = -(1 << 63)
@@ -108,7 +110,7 @@ def _segments(rows: DataFrame, hot: np.ndarray, slices: int) -> DataFrame:
     whether it may repeat a window of its own; ``slice`` is 0, or from 1 on by the document where the key is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", SMALL_BLOCK):
             data, at = flat(b.column("text"))
             grams = gram_hashes(data)
             keys = sliding_least(grams, LENGTH - GRAM + 1)
@@ -349,9 +351,13 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     safe = renamed(docs)
     rows = _numbered(safe, *(f"u{docs.columns.index(c)}" for c in (id_col, text_col)))
     texts = rows.select("d", "text")
-    hot, folder = _hot_keys(texts), f"{shared_folder(docs.sparkSession)}/segments"
-    _sorted_out(_segments(texts, hot, parts_for(docs))).write.parquet(folder)  # lets go of the shuffled segments
-    found = docs.sparkSession.read.parquet(folder)
+    hot, folder = _hot_keys(texts), shared_folder(docs.sparkSession)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")  # which lets go of what was shuffled for it
+        return docs.sparkSession.read.parquet(f"{folder}/{name}")
+
+    found = stored(_sorted_out(_segments(texts, hot, parts_for(docs))), "segments")
     firsts, again = found.filter("not again"), [found.filter("again").select("d", "start", "n")]
     wanted = firsts.filter("slice = 0").drop("slice", "again")
     if len(hot):
@@ -361,7 +367,7 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = wanted.select("key", "d", "start", "n", "own")
     crowded = wanted.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.lit(True).alias("crowded"))
     wanted = wanted.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    bodies = kept(_with_bytes(wanted, texts))
+    bodies = stored(_with_bytes(wanted, texts), "bodies")
     pieces, more = _collapsed(bodies.filter("crowded"))
     again.append(more)
     names = ["key", "d", "start", "n", "own", "body"]
