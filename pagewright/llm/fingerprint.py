@@ -10,8 +10,9 @@ Scale. Documents are range-partitioned by quantiles of their id, and the first d
 range before it as well; so each text moves once, and a task meets each document's successor by holding one row back.
 
 Defined results. Null text: as an empty one, whose signature is the empty string; two empty signatures are alike (1.0),
-an empty and another one aren't (0.0). Very long texts: a row and its phrases, held by one task. Null id: before all ids. Repeated ids: in order of text. One document alone is
-its own successor. An empty table: no rows. Extra columns don't take part.
+an empty and another one aren't (0.0). Very long texts: a row and its phrases, held by one task. Null id: before all ids.
+Repeated ids: in order of text. One document alone is its own successor. An empty table: no rows. Extra columns don't
+take part.
 """
 
 from __future__ import annotations
