@@ -303,3 +303,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+SQL = r"""with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
+), u as (
+  select doc_id, len(s) as n, unnest(s) as x from s
+), p as (
+  select a.doc_id as a, b.doc_id as b from u a join u b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l as (
+  select a, b from p union all select b, a from p
+), r as (
+  select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b
+), c as (
+  select a as doc_id, min(b) as component_id from r group by a
+)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)
+"""

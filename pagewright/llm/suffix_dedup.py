@@ -444,3 +444,25 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reported(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""with d as (
+  select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents
+), w as (
+  select doc_id, i, hash(substr(h, 2 * i + 1, 200)) as a, md5(substr(h, 2 * i + 1, 200)) as b from (select doc_id, h, unnest(range(len(h) // 2 - 99)) as i from d where len(h) >= 200)
+), again as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by a, b order by doc_id, i) as n from w) where n > 1
+), opens as (
+  select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) as new from again
+), runs as (
+  select doc_id, min(i) as x, max(i) + 100 as y from (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as k from opens) group by doc_id, k
+), gaps as (
+  select doc_id, y as x, coalesce(lead(x) over (partition by doc_id order by x, y), len(h) // 2) as y from (select * from runs union all select doc_id, 0, 0 from d) join d using (doc_id)
+), kept as (
+  select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as h from gaps join d using (doc_id) group by doc_id
+), sums as (
+  select doc_id, sum(y - x)::bigint as n_removed, count(*) as n_spans from runs group by doc_id
+)
+select doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept using (doc_id) left join sums using (doc_id)
+"""

@@ -698,6 +698,18 @@ def test_texts_that_occur_twice_score_apart(spark):
     assert min(mean[i] for i in (*range(20), *range(200, 220))) > max(mean[i] for i in range(20, 200))
 
 
+@pytest.mark.parametrize("module, name", [(suffix_dedup, "op5_suffix_dedup"), (minhash, "op7_minhash")])
+def test_queries_equal_their_sql(spark, module, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = getattr(module, name)(spark, SF)
+    columns = sorted(got.columns)
+    want = con.execute(f"select {', '.join(columns)} from ({module.SQL})").fetchall()
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
 # the pipeline
 
 
