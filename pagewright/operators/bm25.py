@@ -24,7 +24,7 @@ CHUNK = ""
 
 def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, dl, term, tf), with a row of term ``CHUNK`` and tf 0 for each chunk."""
-    rows = chunks.select(key, F.array_sort(T.bm25_terms(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    rows = chunks.select(key, F.sort_array(T.bm25_terms(text)).alias("__t")).withColumn("dl", F.size("__t"))
     rows = rows.withColumn("__i", T.run_starts("__t"))
     counted = F.transform("__i", lambda i, j: F.struct(F.get("__t", i).alias("term"), (F.coalesce(F.get("__i", j + 1), F.col("dl")) - i).cast("long").alias("tf")))
     return rows.select(key, "dl", F.inline(F.concat(F.array(F.struct(F.lit(CHUNK).alias("term"), F.lit(0).cast("long").alias("tf"))), counted)))

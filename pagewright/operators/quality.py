@@ -13,7 +13,7 @@ MIN_REFERENCE_TOKENS, MIN_COVERAGE = 40, 0.65
 def reference_coverage(pages: DataFrame, key: list[str], reference: str, markdown: str) -> DataFrame:
     """The share of the reference's tokens (as a multiset) that the markdown has; null, and no issue, for short references.
     Both sides are in one row, so nothing is shuffled: the n-th of equal tokens is told apart, and arrays are intersected."""
-    rows = pages.withColumns({"__r": F.array_sort(T.coverage_tokens(reference)), "__m": F.array_sort(T.coverage_tokens(markdown))})
+    rows = pages.withColumns({"__r": F.sort_array(T.coverage_tokens(reference)), "__m": F.sort_array(T.coverage_tokens(markdown))})
     rows = rows.withColumns({"__ri": T.run_starts("__r"), "__mi": T.run_starts("__m")})
 
     def told(ordered: str, places: str) -> Column:
