@@ -8,11 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def top_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the folder of the session's checkpoints. Where neither is set, a temporary folder of a
+    session that has one machine alone; on a cluster, where executors don't see each other's folders, an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.gettempdir()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new name below ``spark.checkpoint.dir``, else below the session's checkpoints; a temporary folder only where
-    neither is set, which is right for a single machine alone."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{top.rstrip('/')}/pagewright-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder."""
+    return f"{top_folder(spark)}/pagewright-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables that no frame in use reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(rows: DataFrame) -> DataFrame:
