@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.sources.shared import removed, shared_folder, top_folder  # noqa: F401
+
 #: Bytes of text that an operator holds as numpy arrays at once (a longer single text is a block of its own).
 BLOCK_BYTES = 1 << 21
 
@@ -20,18 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _top(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one that the session's checkpoints
-    have; a temporary folder only where neither is set, which is right for a single machine alone."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
+def _checkpoints(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder, if it has none, below the shared one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{top}/checkpoints")
-    return top
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the shared folder."""
-    return f"{_top(spark).rstrip('/')}/pagewright-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(f"{top_folder(spark)}/checkpoints")
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -43,7 +35,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    _top(df.sparkSession)
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -16,6 +16,9 @@ _MODULES = {
     "quality": "op8_quality_rules",
     "sharding": "op9_sharding",
     "masked_lm": "op10_masked_lm",
+    "url_rules": "op11_url_rules",
+    "centroids": "op12_hamerly",
+    "filter_audit": "op13_filter_audit",
 }
 
 
