@@ -171,3 +171,15 @@ def tag_filter(tag: Column | str, tags: Column | str) -> Column:
 
 def context_block(source_id: Column, source: Column | str, page: Column | str, text: Column | str) -> Column:
     return F.concat(F.lit("["), source_id, F.lit("] "), _col(source), F.lit(" p."), _col(page).cast("string"), F.lit("\n"), _col(text))
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string: characters stand for themselves, but for quotes, backslashes and those below U+0020."""
+    out = text
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    rare = out
+    for i in range(32):
+        if chr(i) not in "\n\r\t\b\f":
+            rare = F.replace(rare, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))

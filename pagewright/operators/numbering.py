@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Splitters of a group: a value is looked up among the groups' heads, then inside one group.
+GROUP = 128
+
+
+def constant(values: list, kind: str) -> Column:
+    """An array of a Spark type as one literal, whatever its length: its text is parsed once, when the plan is made."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def range_of(column: Column, splitters: list, kind: str = "long") -> Column:
+    """The number of ascending splitters at or below the value; null is 0. Two passes over arrays of a size near the square
+    root of the splitters' number, in one expression of a fixed size, so that thousands of splitters cost the planner nothing."""
+    if not splitters:
+        return F.lit(0)
+    width = max(GROUP, int(len(splitters) ** 0.5))
+    groups = [splitters[i : i + width] for i in range(0, len(splitters), width)]
+    below = lambda values: F.size(F.filter(values, lambda s: s <= column))
+    if len(groups) == 1:
+        found = below(constant(splitters, kind))
+    else:
+        group = below(constant([g[0] for g in groups], kind))
+        found = F.when(group == 0, 0).otherwise((group - 1) * width + below(F.get(constant(groups, f"array<{kind}>"), group - 1)))
+    return F.when(column.isNull(), 0).otherwise(found).cast("int")
+
 
 def numbered(rows: DataFrame, key: str, *order: str, name: str = "chunk_index") -> DataFrame:
     """``name``: the rows' places, from 0, in the order of an integer ``key`` and then ``order``."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
     splitters = sorted({int(x) for x in found})
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) >= splitters[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    placed = rows.withColumn("__range", search(0, len(splitters)))
+    placed = rows.withColumn("__range", range_of(F.col(key), splitters))
     counts = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}  # a row for each range
     base, bases = 0, []
     for i in range(len(splitters) + 1):
-        bases.append(F.lit(base).cast("long"))
+        bases.append(base)
         base += counts.get(i, 0)
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(key, *order))
-    return placed.withColumn(name, F.get(F.array(*bases), F.col("__range")) + inside - 1).drop("__range")
+    return placed.withColumn(name, F.get(constant(bases, "long"), F.col("__range")) + inside - 1).drop("__range")

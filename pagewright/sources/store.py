@@ -40,23 +40,11 @@ def questions_with_pages(questions: DataFrame, relevant: DataFrame) -> DataFrame
     return questions.join(pages, "id", "left").withColumn("pages", F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)))
 
 
-def _quoted(text: Column) -> Column:
-    """A JSON string: characters stand for themselves, but for quotes, backslashes and those below U+0020."""
-    out = text
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        out = F.replace(out, F.lit(plain), F.lit(escaped))
-    rare = out
-    for i in range(32):
-        if chr(i) not in "\n\r\t\b\f":
-            rare = F.replace(rare, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
-    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))
-
-
 def dataset_items(questions: DataFrame, relevant: DataFrame) -> DataFrame:
     """(id, item) of each active question: its canonical JSON, with sorted keys."""
     rows = questions_with_pages(questions.filter("active"), relevant)
-    pages = F.array_join(F.transform("pages", lambda p: F.concat(F.lit('{"document_id": '), _quoted(p["document_id"]), F.lit(', "page": '), p["page"].cast("string"), F.lit("}"))), ", ")
-    item = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "question": '), _quoted(F.col("question")), F.lit(', "relevant_pages": ['), pages, F.lit("]}"))
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(F.lit('{"document_id": '), T.json_string(p["document_id"]), F.lit(', "page": '), p["page"].cast("string"), F.lit("}"))), ", ")
+    item = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "question": '), T.json_string(F.col("question")), F.lit(', "relevant_pages": ['), pages, F.lit("]}"))
     return rows.select("id", item.alias("item"))
 
 

@@ -1,11 +1,15 @@
+import bisect
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import assemble, bm25, chunking, fusion, metrics, quality, retrieve, vector
+from pagewright.operators.numbering import range_of
 
 
 def chunk_frame(spark, texts):
@@ -98,15 +102,63 @@ def test_metrics(spark):
     assert (run.failures, run.hit_at_1, run.p95_latency_ms) == (1, 0.5, 2.0)
 
 
-def test_chunking():
+def parts(spark, texts, limits=chunking.ChunkLimits()):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    return [[tuple(c) for c in r.c] for r in rows.select("i", chunking.page_chunks("text", limits).alias("c")).orderBy("i").collect()]
+
+
+def test_chunking(spark):
     L = chunking.ChunkLimits
-    assert chunking.page_parts("uno dos tres\n", L(3, 20, 2)) == [("uno dos tres", 3, False)]
+    one = lambda text, limits=L(): parts(spark, [text], limits)[0]
+    assert one("uno dos tres\n", L(3, 20, 2)) == [("uno dos tres", 3, False)]
     line = " ".join("abcdefghijkl")
-    assert chunking.page_parts(line, L(3, 5, 1)) == [(line, 12, True)]
-    parts = chunking.page_parts("uno dos tres\ncuatro\n\n# seis\nsiete ocho", L(4, 6, 2))
-    assert [p[0] for p in parts] == ["uno dos tres\ncuatro", "cuatro\n\n# seis\nsiete ocho"]
-    assert chunking.page_parts(None) == [] and chunking.page_parts(" \n ") == []
-    assert all(n <= 900 or big for _, n, big in chunking.page_parts("\n".join("w " * 30 for _ in range(200))))
+    assert one(line, L(3, 5, 1)) == [(line, 12, True)]
+    found = one("uno dos tres\ncuatro\n\n# seis\nsiete ocho", L(4, 6, 2))
+    assert [p[0] for p in found] == ["uno dos tres\ncuatro", "cuatro\n\n# seis\nsiete ocho"]
+    assert parts(spark, [None, " \n ", ""]) == [[], [], []]
+    assert all(n <= 900 or big for _, n, big in one("\n".join("w " * 30 for _ in range(200))))
+
+
+def slow_parts(text, limits):
+    """The definition, over line numbers."""
+    lines = text.splitlines()
+    n = [len(re.findall(r"\w+|[^\w\s]", line)) for line in lines]
+    total = lambda a, b: sum(n[a:b])
+    out, s, new = [], 0, 0
+
+    def emit(end):
+        body = "\n".join(lines[s:end]).strip()
+        if body and (end > new or not out):
+            out.append((body, total(s, end), False))
+
+    carried = lambda end: next(x for x in range(s, end + 1) if total(x, end) <= limits.carried)
+    for i, line in enumerate(lines):
+        if n[i] > limits.most:
+            emit(i)
+            out.append((line.strip(), n[i], True))
+            s = new = i + 1
+            continue
+        if i > s and (total(s, i + 1) > limits.most or line.strip().startswith("#") and total(s, i) >= limits.target):
+            emit(i)
+            kept = carried(i)
+            s, new = (i if total(kept, i + 1) > limits.most else kept), i
+        if not line.strip() and total(s, i + 1) >= limits.target:
+            emit(i + 1)
+            s, new = carried(i + 1), i + 1
+    emit(len(lines))
+    return out
+
+
+def test_chunks_equal_the_definition(spark):
+    rng = random.Random(9)
+    kinds = ["", "  ", "# head", "  ## h", "uno", "uno dos tres", "a b c d e f g h", "x, y!", "\u2028z", "\u00a0", "é\x0bñ ß", "***"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(40))) for _ in range(150)]
+    texts += ["\n".join(["w " * rng.randrange(12) for _ in range(5000)]), "x" * 50_000, "\n" * 3000 + "end"]
+    for limits in (chunking.ChunkLimits(4, 7, 3), chunking.ChunkLimits(1, 1, 0), chunking.ChunkLimits(5, 30, 40), chunking.ChunkLimits()):
+        assert parts(spark, texts, limits) == [slow_parts(t, limits) for t in texts]
+    frame = spark.createDataFrame([("d", "s", 1, texts[0])], "document_id string, source_sha256 string, page_number int, markdown string")
+    plan = chunking.chunk_pages(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def test_chunk_ids_are_stable_and_pages_stay_apart(spark):
@@ -145,3 +197,18 @@ def test_discrete_percentile(spark):
         for accuracy in (10_000, 50):
             got = metrics.discrete_percentile(frame, ["g"], "v", share, accuracy)
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ranges_of_many_splitters(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 5, 128, 129, 1000, 20_000):
+        splitters = sorted(rng.sample(range(-(10**6), 10**6), n))
+        values = [None, -(10**7), 10**7, *splitters[:50], *(rng.randrange(-(10**6), 10**6) for _ in range(50))]
+        began = time.monotonic()
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", range_of(F.col("v"), splitters).alias("r"))
+        got._jdf.queryExecution().executedPlan()
+        assert time.monotonic() - began < 5
+        assert [r.r for r in got.collect()] == [0 if v is None else bisect.bisect_right(splitters, v) for v in values]
+    words = sorted({"".join(rng.choice("ab\0\u00e9\U0001f600") for _ in range(4)) for _ in range(400)})
+    got = spark.createDataFrame([(w,) for w in [*words, "", "zz"]], "v string").select(range_of(F.col("v"), words, "string").alias("r"))
+    assert [r.r for r in got.collect()] == [*range(1, len(words) + 1), 0, bisect.bisect_right(words, "zz")]
