@@ -29,8 +29,7 @@ def _named(files: DataFrame, folder: str) -> DataFrame:
 
 def _files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Files below the folder, which must exist; of the suffixes alone, in any case, so that no other is opened."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         raise FileNotFoundError(folder)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if suffixes:
@@ -39,6 +38,11 @@ def _files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ()) ->
     return reader.load(folder)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata of every file below the folder, without reading contents: relative path, tag (first folder), extension, a
     quoted URL path and the time as ISO text."""
@@ -120,6 +124,37 @@ def safe_relative(path: str) -> str:
     return "/".join(parts)
 
 
+def upload(spark: SparkSession, source: str, folder: str, relative: str, tag: str = "", overwrite: bool = False) -> str:
+    """Copies a file to its place below the folder, and returns that; one that exists is an error unless ``overwrite``. The
+    copy is streamed by the file systems to a hidden name, and then renamed, so readers see the old file or the whole new one;
+    of two uploads that race for a new name, one gets the error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = "/".join(x for x in (safe_tag(tag), safe_relative(relative)) if x)
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    at, read = path(f"{folder.rstrip('/')}/{place}"), path(source)
+    fs, from_fs = at.getFileSystem(conf), read.getFileSystem(conf)
+    if fs.exists(at) and not overwrite:
+        raise FileExistsError(place)
+    fs.mkdirs(at.getParent())
+    hidden = path(f"{at.getParent()}/.{at.getName()}.{uuid.uuid4().hex}")
+    try:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, read, fs, hidden, False, True, conf)
+        if overwrite:
+            old = path(f"{at.getParent()}/.{at.getName()}.old-{uuid.uuid4().hex}")
+            had = fs.exists(at) and fs.rename(at, old)
+            if not fs.rename(hidden, at):
+                if had:
+                    fs.rename(old, at)
+                raise OSError(f"{place} could not be replaced")
+            if had:
+                fs.delete(old, False)
+        elif fs.exists(at) or not fs.rename(hidden, at):
+            raise FileExistsError(place)
+    finally:
+        fs.delete(hidden, False)
+    return place
+
+
 def safe_tag(tag: str | None) -> str:
     """A tag is one folder name or nothing."""
     tag = (tag or "").strip()
@@ -182,8 +217,7 @@ def write_cache(pages: DataFrame, folder: str) -> None:
 
 def read_cache(spark: SparkSession, folder: str) -> DataFrame | None:
     """The cached pages, the last written of each key; None where nothing has been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return None
     last = F.row_number().over(Window.partitionBy(*CACHE_KEY).orderBy(F.desc("written_at")))
     return spark.read.parquet(folder).withColumn("__n", last).filter("__n = 1").drop("__n", "written_at")

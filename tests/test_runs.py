@@ -1,4 +1,7 @@
+import glob
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pagewright.functions import text as T
 from pagewright.operators import ask, extraction, viewer
 from pagewright.operators.retrieve import Retrieval, retrieval_queries, retrieve
 from pagewright.sources import files
+from pagewright.sources.shared import stored
 from pagewright.sources.store import CSV_COLUMNS, Store, write_csv
 
 
@@ -129,7 +133,7 @@ def test_documents_are_parsed_once(spark, tmp_path):
             raise ValueError("broken")
         return json.dumps({"markdown": f"page {page} with {len(context)}"}), "end_turn"
 
-    parse = lambda **more: extraction.parse_documents(pdf, render, call, folder, "m", "v1", sleep=lambda s: None, **more)
+    parse = lambda **more: extraction.parse_documents(pdf, render, call, folder, "m", "v1", sleep=lambda s: None, record_errors=True, **more)
     with pytest.raises(RuntimeError, match="pages"):
         parse(most_pages=5)
     with pytest.raises(RuntimeError, match="calls"):
@@ -157,29 +161,121 @@ def test_documents_are_parsed_once(spark, tmp_path):
         extraction.previewed(ask_for([9]), rendered, call)
 
 
-def test_extraction(spark):
-    rows = [("d", n, bytes([n]), "words " * 60 if n == 2 else "short") for n in range(1, 7)]
-    rendered = spark.createDataFrame(rows, "document_id string, page_number int, image binary, reference string")
+def pages_of_a_document(spark, n=6, reference=lambda i: ""):
+    return spark.createDataFrame([("d", i, bytes([i]), reference(i)) for i in range(1, n + 1)], "document_id string, page_number int, image binary, reference string")
+
+
+def test_extraction(spark, tmp_path):
+    rendered = pages_of_a_document(spark, 6, lambda n: "words " * 60 if n == 2 else "short")
     extraction.check_budget(rendered)
     with pytest.raises(RuntimeError):
         extraction.check_budget(rendered, most_pages=5)
     done = spark.createDataFrame([("d", 1, "ok"), ("d", 6, "failed")], "document_id string, page_number int, status string")
     assert extraction.pending_pages(rendered, done).count() == 4 and extraction.pending_pages(rendered, done, True).count() == 5
+    tried = str(tmp_path)
 
     def call(page, image, context):
+        with open(f"{tried}/{page}", "a") as f:
+            f.write("x")
         if page == 3:
-            raise TimeoutError("slow")
+            raise PermissionError("no access")
         if page == 4 and len(context) > 1:
             return "no json", "end_turn"
         return json.dumps({"markdown": f"page {page} of {len(context)}" + (" **" if page == 5 else "")}), "end_turn"
 
-    got = {r.page_number: r for r in extraction.validated(extraction.extract(extraction.with_context(rendered), call), rendered).collect()}
+    answers = extraction.in_rounds(extraction.with_context(rendered), rendered, lambda pages, n: stored(extraction.extract(pages, call, alone=n == 2)))
+    got = {r.page_number: r for r in extraction.validated(answers, rendered).collect()}
     assert (got[1].markdown, got[1].status) == ("page 1 of 4", "ok")
-    assert got[2].issue == "low coverage" and got[3].issue.startswith("TimeoutError") and got[3].markdown == ""
+    assert got[2].issue == "low coverage" and got[3].issue.startswith("PermissionError") and got[3].markdown == ""
     assert (got[4].markdown, got[4].calls) == ("page 4 of 1", 2) and got[5].issue == "unusable answer"
+    # what the gates reject is asked for once more; a permanent error, and what they accept, isn't
+    assert [len((tmp_path / str(n)).read_text()) for n in range(1, 7)] == [1, 2, 1, 2, 2, 1]
     assert rendered.select(F.max("page_number")).first()[0] == 6
 
 
+def one_file(spark, n=5):
+    return spark.createDataFrame([("/x/a.pdf", bytearray(range(1, n + 1)), "t", "a.pdf", "t/a.pdf", "doc", "sha")], "path string, content binary, tag string, name string, relative_path string, document_id string, source_sha256 string")
+
+
+def test_a_run_that_is_broken_off_pays_for_no_page_twice(spark, tmp_path):
+    """Pages 1 to 3 are answered; then the worker dies, as in a crash, and with it the run."""
+    tried, cache = tmp_path / "tried", f"{tmp_path}/cache"
+    tried.mkdir()
+    render = lambda content: [(i, bytes([b]), "") for i, b in enumerate(content, 1)]
+
+    def call(page, image, context):
+        with open(f"{tried}/{page}", "a") as f:
+            f.write("x")
+        if page > 3 and not os.path.exists(f"{tried}/again"):
+            limit = time.time() + 60
+            while time.time() < limit and len(glob.glob(f"{cache}-answers/run=*/attempt=1/part-*")) < 3:
+                time.sleep(0.05)
+            os._exit(1)
+        if page == 2 and len(context) > 1:
+            return json.dumps({"markdown": "cut **"}), "end_turn"
+        return json.dumps({"markdown": f"page {page} with {len(context)}"}), "end_turn"
+
+    parse = lambda **more: extraction.parse_documents(one_file(spark), render, call, f"file://{cache}", "m", "v1", sleep=lambda s: None, **more)
+    with pytest.raises(Exception):
+        parse()
+    assert files.read_cache(spark, f"file://{cache}") is None
+    first = {p.name: len(p.read_text()) for p in tried.iterdir()}
+    assert first["1"] == first["2"] == first["3"] == 1
+    (tried / "again").write_text("")
+    [doc] = parse().collect()
+    assert [p.markdown for p in doc.pages] == ["page 1 with 4", "page 2 with 1", "page 3 with 4", "page 4 with 4", "page 5 with 4"] and doc.failed_pages == {}
+    counts = {n: len((tried / str(n)).read_text()) for n in range(1, 6)}
+    assert counts[1] == counts[3] == 1 and counts[2] == 2 and counts[4] == first.get("4", 0) + 1 and counts[5] == first.get("5", 0) + 1
+    parse().collect()
+    assert {n: len((tried / str(n)).read_text()) for n in range(1, 6)} == counts  # all from the cache
+
+
+def test_errors_leave_the_other_pages_done(spark, tmp_path):
+    tried, cache = tmp_path / "tried", f"file://{tmp_path}/cache"
+    tried.mkdir()
+    render = lambda content: [(i, bytes([b]), "") for i, b in enumerate(content, 1)]
+
+    def call(page, image, context):
+        with open(f"{tried}/{page}", "a") as f:
+            f.write("x")
+        if page == 2 and not os.path.exists(f"{tried}/again"):
+            raise PermissionError("second page failure")
+        if page == 3 and not os.path.exists(f"{tried}/again"):
+            raise ConnectionError("busy")
+        return json.dumps({"markdown": f"page {page}"}), "end_turn"
+
+    parse = lambda **more: extraction.parse_documents(one_file(spark), render, call, cache, "m", "v1", sleep=lambda s: None, **more)
+    with pytest.raises(RuntimeError, match="second page failure"):
+        parse()
+    count = lambda: [len((tried / str(n)).read_text()) for n in range(1, 6)]
+    assert count() == [1, 1, 6, 1, 1]  # the busy one five times more
+    told = files.manifests(files.read_cache(spark, cache)).first()
+    assert told.page_numbers == [1, 4, 5] and not told.complete
+    (tried / "again").write_text("")
+    assert [p.markdown for p in parse().first().pages] == [f"page {n}" for n in range(1, 6)] and count() == [1, 2, 7, 1, 1]
+    assert [p.markdown for p in parse(refresh=True).first().pages] == [f"page {n}" for n in range(1, 6)] and count() == [2, 3, 8, 2, 2]
+
+
+def test_upload(spark, tmp_path):
+    (tmp_path / "new.md").write_text("one")
+    (tmp_path / "other.md").write_text("two")
+    docs = f"file://{tmp_path}/docs"
+    put = lambda name, *more, **how: files.upload(spark, f"file://{tmp_path}/{name}", docs, *more, **how)
+    assert put("new.md", "a/b.md", "tag") == "tag/a/b.md"
+    with pytest.raises(FileExistsError):
+        put("other.md", "a/b.md", "tag")
+    assert (tmp_path / "docs/tag/a/b.md").read_text() == "one"
+    assert put("other.md", "a/b.md", "tag", overwrite=True) and (tmp_path / "docs/tag/a/b.md").read_text() == "two"
+    assert put("other.md", "c.md", overwrite=True) == "c.md"
+    for bad in ("../c.md", "/c.md", "c.txt", "a//c.md"):
+        with pytest.raises(ValueError):
+            put("new.md", bad)
+    with pytest.raises(Exception):
+        put("none.md", "d.md")
+    assert sorted(p.name for p in (tmp_path / "docs").rglob("*") if p.is_file() and p.suffix != ".crc") == ["b.md", "c.md"]
+    assert [r.relative_path for r in files.load_directory(spark, docs).orderBy("relative_path").collect()] == ["c.md", "tag/a/b.md"]
+
+
 def test_settings():
     assert Settings(retrieval_top_k=3).effective_top_k == 3 and Settings().effective_top_k == 8
     assert EvaluationConfig("x", "bm25").distance is None
