@@ -7,9 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators.numbering import constant, range_of  # noqa: F401
 from pagewright.sources.shared import removed, shared_folder, top_folder  # noqa: F401
 
 #: Bytes of text that an operator holds as numpy arrays at once (a longer single text is a block of its own).
@@ -123,18 +124,6 @@ def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def range_of(column: Column, splitters: list[int]) -> Column:
-    """The number of splitters at or below the value, by a binary search that is unrolled into an expression; null is 0."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column >= F.lit(splitters[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(splitters)).cast("int")
-
-
 def parts_for(df: DataFrame) -> int:
     """Shuffle partitions of the session: what range-partitioned operators use as well."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

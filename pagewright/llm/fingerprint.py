@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import PrefixHash, parts_for, quantiles, range_of, table
+from pagewright.llm.common import PrefixHash, constant, parts_for, quantiles, range_of, table
 
 K = 64
 _NULL_ID = -(1 << 63)
@@ -108,7 +108,7 @@ def _successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("range", range_of(F.col("k"), splitters))
 
     def look_up(values: list) -> F.Column:
-        return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range"))
+        return F.get(constant(values, "long"), F.col("range"))
 
     own = F.struct(F.col("range").alias("r"), F.lit(False).alias("tail"))
     copy = F.struct(look_up(before).cast("int").alias("r"), F.lit(True).alias("tail"))

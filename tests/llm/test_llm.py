@@ -225,6 +225,17 @@ def test_longest_common_subsequence():
         assert len(html_text.shared_lines(a, b)) == length(a, b)
 
 
+def test_articles_keep_what_their_words_name():
+    page = """<body><div class="top-banner">Ad</div><h2 id="related-work">Above</h2><div id="comments"><p>First!</p></div><article class="with-comments"><h1>T</h1>
+    <h2 id="comments-on-the-treaty">On the treaty</h2><p>Body</p><h2 id="related-work">Related</h2><p class="notice">A notice of 1848</p>
+    <section id="advertising"><p>Advertising grew.</p></section><div class="related-ideas"><p>Ideas</p></div><ul class="menu"><li>Soup</ul><p id="ad">Anno</p>
+    <div class="box ad">Buy</div><div class="comments"><p>Me too</p></div><aside>Aside</aside><div role="navigation">Next</div><nav>Nav</nav></article></body>"""
+    told = html_text.page_blocks(page)
+    kept = [t for t, kind in told if kind == html_text.KEPT]
+    assert kept == ["T", "On the treaty", "Body", "Related", "A notice of 1848", "Advertising grew.", "Ideas", "Soup", "Anno"]
+    assert [t for t, kind in told if kind == html_text.OPEN] == ["Above"]
+
+
 def test_pages(spark):
     rows = [
         (1, "http://a/x/1", "<body><div>Site menu</div><p>Own one</p><div class='comments'>c</div><p>All rights</p></body>"),
