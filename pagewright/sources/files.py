@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.pointers import GRACE, Pointers
 
 SCHEMA_VERSION = 3
 PROVENANCE = ("document_id", "source_path", "source_sha256", "parser_model", "prompt_version", "schema_version")
@@ -178,32 +179,51 @@ def rendered(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes,
     return files.select("document_id", "content").mapInArrow(run, "document_id string, page_number int, image binary, reference string")
 
 
-def write_index(chunks: DataFrame, folder: str) -> bool:
-    """Replaces the index; an empty one leaves the old in place. False if so. The chunks are computed once, into a folder
-    beside the index, which then takes its place."""
-    spark = chunks.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, at = (jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}{x}") for x in (f".new-{uuid.uuid4().hex}", ""))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    chunks.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.parquet(new.toString())
-    if spark.read.parquet(new.toString()).isEmpty():
-        fs.delete(new, True)
+#: The columns that chunks of an index are clustered by, as far as they have them.
+CLUSTERED = ("tag", "document_id", "page_start", "chunk_index")
+
+
+def _plain(name: str) -> Column:
+    return T.strip(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
+def write_index(chunks: DataFrame, folder: str, grace: float = GRACE) -> bool:
+    """Replaces the index; an empty one leaves the old in place. False if so. Chunks are written in the order of tag and
+    document, into a folder of their own, with a row for each file: the least and the greatest tag and document in it. A
+    pointer then names the folder (``sources.pointers``), so there is no moment without an index."""
+    spark, at = chunks.sparkSession, Pointers(chunks.sparkSession, folder)
+    name = f"v-{uuid.uuid4().hex}"
+    order = [c for c in CLUSTERED if c in chunks.columns]
+    chunks.withColumn("schema_version", F.lit(SCHEMA_VERSION)).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{at.folder}/{name}/chunks")
+    rows = spark.read.parquet(f"{at.folder}/{name}/chunks")
+    if rows.isEmpty():
+        at.fs.delete(at.path(name), True)
         return False
-    old = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}.old-{uuid.uuid4().hex}")
-    had = fs.exists(at)
-    if had and not fs.rename(at, old) or not fs.rename(new, at):
-        raise OSError(f"the index could not be replaced; the new one is {new.toString()}")
-    if had:
-        fs.delete(old, True)
+    ends = [f(_plain(c)).alias(f"{c}_{e}") for c in ("tag", "document_id") if c in rows.columns for f, e in ((F.min, "least"), (F.max, "most"))]
+    rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(*ends, F.count("*").alias("n")).write.parquet(f"{at.folder}/{name}/files")
+    at.commit({"version": (at.latest() or {"version": 0})["version"], "at": name, "schema_version": SCHEMA_VERSION, "columns": rows.columns})
+    at.collect(lambda state: [state["at"]], grace)
     return True
 
 
-def read_index(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
-    """The chunks, after a check of their columns and version."""
-    rows = spark.read.parquet(folder)
+def read_index(spark: SparkSession, folder: str, vectors: bool = False, tag: str = "", document_id: str = "") -> DataFrame:
+    """The chunks, of one tag or document where given, after a check of their columns and version. Only the files that may
+    hold the tag and the document are opened, and of these the row groups."""
+    state = Pointers(spark, folder).latest()
+    rows = spark.read.parquet(folder if state is None else f"{folder.rstrip('/')}/{state['at']}/chunks")
     missing = set(PROVENANCE) - set(rows.columns)
-    if missing or not rows.filter(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).isEmpty():
+    stale = state["schema_version"] != SCHEMA_VERSION if state else not missing and not rows.filter(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).isEmpty()
+    if missing or stale:
         raise RuntimeError(f"the index has another schema (missing: {sorted(missing)}); index the documents again")
+    wanted = [(c, v.strip()) for c, v in (("tag", tag), ("document_id", document_id)) if v.strip()]
+    if wanted and state:
+        files = spark.read.parquet(f"{folder.rstrip('/')}/{state['at']}/files")
+        for c, v in wanted:
+            files = files.filter((F.col(f"{c}_least") <= v) & (F.col(f"{c}_most") >= v))
+        paths = sorted(r["path"] for r in files.select("path").collect())  # as many as files hold the tag
+        rows = spark.read.schema(rows.schema).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)
+    for c, v in wanted:
+        rows = rows.filter(_plain(c) == v)
     return rows if vectors else rows.drop("vector")
 
 

@@ -1,10 +1,9 @@
 """The evaluation store: tables under a folder, changed by writing new folders and adding a numbered pointer.
 
 Relational rules (unique names, cascades, upserts) are the pure functions; ``Store`` keeps the tables. The driver is the
-only writer. A change writes new folders beside the old ones and then renames a new pointer into place under the next
-number; no pointer is replaced, and the one with the highest number is the state. So readers, and a run after a crash at
-any point, see the old or the new state. Appends add a folder to a table; other changes write the table anew. Ids count on
-and are never used again.
+only writer. A change writes new folders and then commits a pointer (``sources.pointers``). Appends add a folder to a table,
+and merge folders by tiers, so that n appends leave about ``FAN * log(n)`` of them; other changes write the table anew.
+Folders that no kept pointer names are deleted after a grace, so readers under way keep theirs. Ids count on and are never used again.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.pointers import GRACE, KEPT, Pointers
 
 TABLES = {
     "questions": "id long, question string, category string, notes string, active boolean, created_at timestamp, updated_at timestamp",
@@ -27,8 +27,8 @@ TABLES = {
     "sessions": "session_id string, created_at timestamp",
     "messages": "session_id string, seq long, role string, content string",
 }
-#: Pointers that are kept, so that a reader that has just listed them still finds the one it chose.
-KEPT_POINTERS = 8
+#: Folders of one tier that are merged into one of the next.
+FAN = 16
 
 
 def questions_with_pages(questions: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -113,39 +113,29 @@ def validated(question: str, pages: list[Page]) -> tuple[str, list[Page]]:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
-
-    def _pointers(self) -> list[str]:
-        """The names of the pointers, the newest last."""
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))]
-        return sorted(n for n in names if n.startswith("current-") and n.endswith(".json"))
+    def __init__(self, spark: SparkSession, folder: str, grace: float = GRACE):
+        self.spark, self.folder, self.grace = spark, folder.rstrip("/"), grace
+        self._at = Pointers(spark, self.folder)
+        self._at.fs.mkdirs(self._at.path())
 
     def _state(self) -> dict:
-        names = self._pointers()
-        if not names:
-            return {"version": 0, "tables": {}, "next_id": 1}
-        return json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}", wholetext=True).first()[0])
+        return self._at.latest() or {"version": 0, "tables": {}, "next_id": 1}
 
     def _commit(self, state: dict) -> None:
-        state["version"] += 1
-        new = self._path(f"{self.folder}/next-{uuid.uuid4().hex}.json")
-        out = self._fs.create(new)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        at = self._path(f"{self.folder}/current-{state['version']:012d}.json")
-        if self._fs.exists(at) or not self._fs.rename(new, at):
-            raise OSError("another writer has changed the store")
-        for name in self._pointers()[:-KEPT_POINTERS]:
-            self._fs.delete(self._path(f"{self.folder}/{name}"), False)
+        self._at.commit(state)
+        if state["version"] % KEPT == 0:
+            self.collect()
+
+    def collect(self) -> list[str]:
+        """Deletes folders that no kept pointer names."""
+        return self._at.collect(lambda state: [x for folders in state["tables"].values() for x in folders], self.grace)
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.folder}/{x}" for x in folders])
 
     def table(self, name: str) -> DataFrame:
-        at = [f"{self.folder}/{x}" for x in self._state()["tables"].get(name, [])]
-        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
+        at = self._state()["tables"].get(name, [])
+        return self._read(name, at) if at else self.spark.createDataFrame([], TABLES[name])
 
     def list_tables(self) -> list[str]:
         return sorted(self._state()["tables"])
@@ -153,13 +143,30 @@ class Store:
     def table_exists(self, name: str) -> bool:
         return name in self._state()["tables"]
 
+    def _written(self, name: str, rows: DataFrame, tier: int = 0) -> str:
+        at = f"{name}-{tier}-{uuid.uuid4().hex}"
+        rows.select(*[f.split()[0] for f in TABLES[name].split(", ")]).write.parquet(f"{self.folder}/{at}")
+        return at
+
+    def _compacted(self, name: str, folders: list[str]) -> list[str]:
+        """The folders, where ``FAN`` of one tier are merged into one of the next: a table of n appends has at most
+        ``FAN`` folders a tier, and a row is written again once a tier."""
+        tier = lambda x: int(x.split("-")[1]) if x.count("-") > 1 else 0
+        for t in range(64):
+            same = [x for x in folders if tier(x) == t]
+            if len(same) >= FAN:
+                merged = self._written(name, self._read(name, same).coalesce(max(1, len(same) // FAN)), t + 1)
+                folders = [x for x in folders if x not in same] + [merged]
+            elif all(tier(x) <= t for x in folders):
+                break
+        return folders
+
     def _change(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, new_id: int | None = None) -> None:
         state = self._state()
-        for rows_of, keep in ((replaced or {}, False), (added or {}, True)):
-            for name, rows in rows_of.items():
-                at = f"{name}-{uuid.uuid4().hex}"
-                rows.select(*[f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]).write.parquet(f"{self.folder}/{at}")
-                state["tables"][name] = [*(state["tables"].get(name, []) if keep else []), at]
+        for name, rows in (replaced or {}).items():
+            state["tables"][name] = [self._written(name, rows)]
+        for name, rows in (added or {}).items():
+            state["tables"][name] = self._compacted(name, [*state["tables"].get(name, []), self._written(name, rows)])
         if new_id is not None:
             state["next_id"] = new_id + 1
         self._commit(state)

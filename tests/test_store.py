@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright import edges
 from pagewright.operators import bm25, vector
-from pagewright.sources import files
+from pagewright.sources import files, pointers
 from pagewright.sources.store import Store, latest
 from pagewright.streaming.ingest import chunk_stream
 
@@ -64,7 +64,7 @@ def test_a_crash_leaves_the_old_or_the_new_state(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/store"
     s = Store(spark, folder)
     s.save_question("first", [("d", 1)])
-    real = s._fs
+    real = s._at.fs
 
     class Stops:  # ends the program at one of the file system's changes
         def __init__(self, at):
@@ -81,18 +81,18 @@ def test_a_crash_leaves_the_old_or_the_new_state(spark, tmp_path, monkeypatch):
             return call
 
     for at in range(3):
-        s._fs = Stops(at)
+        s._at.fs = Stops(at)
         try:
             s.save_question(f"again {at}", [("d", 1)])
         except Crash:
             pass
         found = [r.question for r in Store(spark, folder).questions().collect()]
         assert found == ["first", *([] if at < 2 else ["again 2"])]
-    s._fs = real
+    s._at.fs = real
     assert s.save_question("next", [("d", 1)]) == 3
     for i in range(10):
         s.append_messages("x", [("user", str(i))])
-    assert len(s._pointers()) <= 8 and s.messages("x").count() == 10
+    assert len(s._at.names()) <= 8 and s.messages("x").count() == 10
 
 
 def test_sessions(spark, tmp_path):
@@ -194,7 +194,7 @@ def test_lexical_index(spark, tmp_path):
     want = sorted(map(tuple, bm25.search(queries, chunks, query_id=both).collect()))
     assert want and sorted(map(tuple, bm25.search(queries, chunks, query_id=both, index=bm25.read_index(spark, folder)).collect())) == want
     assert [(r.chunk_index, r.store_rank, r["rank"]) for r in bm25.search(queries, chunks, query_id=both, keep=F.col("tag") == "b").orderBy("list_no", "rank").collect()] == [(4, 2, 1), (5, 1, 1)]
-    spark.read.parquet(folder).withColumn("schema_version", F.lit(2)).write.parquet(f"{folder}-old")
+    pointers.Pointers(spark, f"{folder}-old").commit({"version": 0, "schema_version": 2})
     with pytest.raises(RuntimeError):
         bm25.read_index(spark, f"{folder}-old")
 
