@@ -10,41 +10,119 @@ written index) once, for all its queries and lists: it keeps the postings of the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.pointers import GRACE, Pointers
 from pagewright.sources.shared import stored
 
 K1, B, DIGITS = 1.5, 0.75, 9
 SCHEMA_VERSION = 3
+#: Chunks of a block of the written index.
+BLOCK = 1 << 7
 #: The term of the row that every chunk has, whether it has terms or not; never a term itself.
 CHUNK = ""
 
 
-def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, dl, term, tf), with a row of term ``CHUNK`` and tf 0 for each chunk."""
-    rows = chunks.select(key, F.sort_array(T.bm25_terms(text)).alias("__t")).withColumn("dl", F.size("__t"))
+def postings(chunks: DataFrame, key: str, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, dl, term, tf) and the columns ``also``, with a row of term ``CHUNK`` and tf 0 for each chunk."""
+    rows = chunks.select(key, *also, F.sort_array(T.bm25_terms(text)).alias("__t")).withColumn("dl", F.size("__t"))
     rows = rows.withColumn("__i", T.run_starts("__t"))
     counted = F.transform("__i", lambda i, j: F.struct(F.get("__t", i).alias("term"), (F.coalesce(F.get("__i", j + 1), F.col("dl")) - i).cast("long").alias("tf")))
-    return rows.select(key, "dl", F.inline(F.concat(F.array(F.struct(F.lit(CHUNK).alias("term"), F.lit(0).cast("long").alias("tf"))), counted)))
-
-
-def write_index(chunks: DataFrame, folder: str, key: str = "chunk_index", text: str = "text") -> None:
-    """Replaces the index below the folder: postings sorted by term inside each file, so that a search skips row groups."""
-    rows = postings(chunks, key, text).withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(folder)
+    return rows.select(key, *also, "dl", F.inline(F.concat(F.array(F.struct(F.lit(CHUNK).alias("term"), F.lit(0).cast("long").alias("tf"))), counted)))
+
+
+def impact(avgdl: Column) -> Column:
+    """A posting's part of a score, but for the weight of its term."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+
+
+def write_index(chunks: DataFrame, folder: str, key: str = "chunk_index", text: str = "text", grace: float = GRACE) -> None:
+    """Replaces the index below the folder, by a pointer to a new one (``sources.pointers``): readers under way keep theirs.
+
+    Chunks are put into blocks of ``BLOCK`` in the order of their keys. ``blocks`` has a row for each term and block, sorted by
+    term: the postings, how many there are, and the greatest impact of them. ``terms`` has document frequencies, ``chunks`` the
+    chunks' lengths and blocks, and the pointer the number of chunks and their mean length."""
+    spark, at = chunks.sparkSession, Pointers(chunks.sparkSession, folder)
+    name = f"v-{uuid.uuid4().hex}"
+    laid = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    rows = stored(postings(laid.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 7)), "key", also=("block",)))
+    lengths = rows.filter(F.col("term") == CHUNK)
+    lengths.select("key", "dl", "block").write.parquet(f"{at.folder}/{name}/chunks")
+    n, avgdl = spark.read.parquet(f"{at.folder}/{name}/chunks").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    found = rows.filter(F.col("term") != CHUNK).withColumn("impact", impact(F.lit(avgdl)))
+    blocks = found.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.sort_array(F.collect_list(F.struct("key", "dl", "tf"))).alias("postings"))
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at.folder}/{name}/blocks")
+    spark.read.parquet(f"{at.folder}/{name}/blocks").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at.folder}/{name}/terms")
+    at.commit({"version": (at.latest() or {"version": 0})["version"], "at": name, "schema_version": SCHEMA_VERSION, "n": n, "avgdl": avgdl, "key": key})
+    at.collect(lambda state: [state["at"]], grace)
+
+
+def _current(spark: SparkSession, folder: str) -> tuple[dict, str] | None:
+    """The index's state and folder; None where nothing has been written yet."""
+    state = Pointers(spark, folder).latest()
+    if state is None:
+        return None
+    if state.get("schema_version") != SCHEMA_VERSION:
+        raise RuntimeError("the lexical index has another schema; index the documents again")
+    return state, f"{folder.rstrip('/')}/{state['at']}"
 
 
 def read_index(spark: SparkSession, folder: str, key: str = "chunk_index", kind: str = "long") -> DataFrame:
-    """The postings; none where nothing has been written yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    """The postings, a row for each; none where nothing has been written yet."""
+    found = _current(spark, folder)
+    if found is None:
         return spark.createDataFrame([], f"{key} {kind}, dl int, term string, tf long")
-    rows = spark.read.parquet(folder)
-    if "schema_version" not in rows.columns or not rows.filter(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).isEmpty():
-        raise RuntimeError("the lexical index has another schema; index the documents again")
-    return rows.drop("schema_version")
+    _, at = found
+    every = spark.read.parquet(f"{at}/chunks").select("key", "dl", F.lit(CHUNK).alias("term"), F.lit(0).cast("long").alias("tf"))
+    rows = spark.read.parquet(f"{at}/blocks").select("term", F.inline("postings")).select("key", "dl", "term", "tf")
+    return rows.unionByName(every).withColumnRenamed("key", key)
+
+
+def top_k(queries: DataFrame, folder: str, k: int = 40, query_id: str | list[str] = "query_id", key: str = "chunk_index", query: str = "query") -> tuple[DataFrame, DataFrame]:
+    """(query_id, key, store_rank, rank, score), as ``search`` gives them, and (query_id, blocks, read): how many blocks hold a
+    term of the query, and of how many the postings were read.
+
+    A block's chunks score at most the sum of the weights of the query's terms times the block's greatest impacts, which the
+    columns beside the postings tell. First the blocks with the highest bounds are scored, as many as hold k hits for sure;
+    their k-th score is reached by k chunks, so blocks with a bound below it hold none of the top k and are never read. All
+    others are scored in a second pass. Bounds are widened by more than rounding can move a score."""
+    spark = queries.sparkSession
+    by = [query_id] if isinstance(query_id, str) else list(query_id)
+    found = _current(spark, folder)
+    if found is None:
+        none = queries.select(*by).filter("false")
+        return none.withColumns({key: F.lit(None).cast("long"), "store_rank": F.lit(None).cast("int"), "rank": F.lit(None).cast("int"), "score": F.lit(None).cast("double")}), none.withColumns({"blocks": F.lit(0), "read": F.lit(0)})
+    state, at = found
+    avgdl, n = F.lit(float(state["avgdl"])), F.lit(state["n"])
+    asked = queries.select(*by, F.explode(T.bm25_terms(query)).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("qtf"))
+    weight = F.col("qtf") * idf(F.col("df"), n)
+    weights = stored(spark.read.parquet(f"{at}/terms").join(asked, "term").select(*by, "term", weight.alias("w")).filter("w > 0"))
+    blocks = spark.read.parquet(f"{at}/blocks")
+    bounds = blocks.select("term", "block", "n", "top").join(weights, "term").groupBy(*by, "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"), F.max("n").alias("hits"))
+    bounds = stored(bounds)
+    best = Window.partitionBy(*by).orderBy(F.desc("bound"), "block")
+    heads = bounds.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k)  # each holds a hit at least
+    heads = heads.withColumn("__before", F.coalesce(F.sum("hits").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = stored(heads.filter(F.col("__before") < k).select(*by, "block"))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        parts = blocks.join(chosen.join(weights, by), ["term", "block"]).select(*by, "w", F.inline("postings"))
+        return parts.groupBy(*by, "key").agg(F.round(F.sum(F.col("w") * impact(avgdl)), DIGITS).alias("score")).filter("score > 0")
+
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "key")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    early = stored(top(scored(first)))
+    kth = early.filter(F.col("rank") == k).select(*by, F.col("score").alias("kth"))
+    rest = bounds.join(first, [*by, "block"], "left_anti").join(kth, by, "left").filter(F.col("kth").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-8 >= F.col("kth")))
+    rest = stored(rest.select(*by, "block"))
+    hits = top(early.drop("rank").unionByName(scored(rest)))
+    read = first.unionByName(rest).groupBy(*by).agg(F.count("*").cast("int").alias("read"))
+    counts = bounds.groupBy(*by).agg(F.count("*").cast("int").alias("blocks")).join(read, by)
+    return hits.select(*by, F.col("key").alias(key), F.col("rank").alias("store_rank"), "rank", "score"), counts
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
@@ -74,8 +152,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 40, query_id: str | l
     terms = stored((postings(chunks, key, text) if index is None else index).join(wanted, "term", "left_semi"))
     found = terms.filter(F.col("term") != CHUNK)
     weights = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(terms))).select("term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf")).filter("idf > 0")  # one row of statistics
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = found.join(weights, "term").join(asked, "term").groupBy(*by, key).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    hits = found.join(weights, "term").join(asked, "term").groupBy(*by, key).agg(F.sum(F.col("qtf") * F.col("idf") * impact(F.col("avgdl"))).alias("score"))
     hits = hits.filter("score > 0").withColumn("score", F.round("score", DIGITS))
     order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

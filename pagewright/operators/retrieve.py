@@ -34,10 +34,6 @@ class Retrieval:
         return reduce(lambda a, b: a & b, wanted) if wanted else None
 
 
-#: Lists of one question at most: a list's id is the question's times this, plus its number.
-LISTS = 64
-
-
 def retrieval_queries(questions: DataFrame) -> DataFrame:
     """(query_id, list_no, query) from (query_id, question, variants, previous[, rewritten]): question, variants, the
     rewritten question and the contextual query, trimmed, not blank, once each."""
@@ -62,9 +58,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, how: Retrieval = Retrieval()
     keep, lists = how.keep(), []
     queries = queries if variants is None else queries.filter(F.col("list_no") < variants)
     if how.mode != "bm25":
-        asked = queries.withColumn("__list", F.col("query_id") * LISTS + F.col("list_no"))
-        found = vector.nearest(asked, chunks if keep is None else chunks.filter(keep), how.vector_candidates, how.metric, "__list", "chunk_index")
-        found = found.withColumns({"query_id": F.floor(F.col("__list") / LISTS), "list_no": F.pmod("__list", F.lit(LISTS)).cast("int")})
+        found = vector.nearest(queries, chunks if keep is None else chunks.filter(keep), how.vector_candidates, how.metric, ["query_id", "list_no"], "chunk_index")
         lists.append(fusion.hits(found, "vector", F.col("list_no"), "chunk_index"))
     if how.mode != "vector":
         found = bm25.search(queries.filter(~T.is_contextual("query")), chunks, how.bm25_candidates, ["query_id", "list_no"], keep=keep, index=index)

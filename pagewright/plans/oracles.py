@@ -35,6 +35,7 @@ _COS = "1 - list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))
 _DOT = "1 - list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))"
 
 SQL["knn_l2"], SQL["knn_cosine"], SQL["knn_dot"] = _knn(_L2), _knn(_COS), _knn(_DOT)
+SQL["knn_pivots"] = SQL["knn_l2"]
 SQL["knn_tag_filter"] = _knn(_COS, "label = 3")
 
 _CHUNKS = "select doc_id as chunk_index, text, lang as tag from documents"

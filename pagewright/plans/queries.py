@@ -74,6 +74,15 @@ def knn_tag_filter(spark, d):
     return out.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
+@query
+def knn_pivots(spark, d):
+    """The nearest vectors of knn_l2, over a written index of cells that are skipped where they can't hold one."""
+    folder = shared_folder(spark)
+    vector.write_cells(table(spark, d, "embeddings"), folder, "l2")
+    out, _ = vector.nearest_in_cells(_vector_queries(spark, d), folder, 40)
+    return out.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
 @query
 def token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_count("text").cast("long").alias("tokens"))
@@ -421,10 +430,10 @@ def expected_chunks(spark, d):
 
 @query
 def bm25_index_topk(spark, d):
-    """The same search over an index that was written and read back."""
+    """The same search over a written index, whose blocks are skipped where they can't reach the top."""
     folder = shared_folder(spark)
     bm25.write_index(_chunks(spark, d), folder)
-    out = bm25.search(_questions(spark, d), _chunks(spark, d), 40, index=bm25.read_index(spark, folder))
+    out, _ = bm25.top_k(_questions(spark, d), folder, 40)
     return out.select("query_id", "chunk_index", "rank", F.round("score", 6).alias("score"))
 
 
