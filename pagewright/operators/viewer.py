@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.pointers import GRACE, Pointers
 
 
 def apply_filters(rows: DataFrame, in_lists: dict[str, list], needle: str = "", searched: list[str] | None = None) -> DataFrame:
@@ -21,6 +24,65 @@ def apply_filters(rows: DataFrame, in_lists: dict[str, list], needle: str = "",
     return rows
 
 
+#: Characters of a gram: shorter needles are looked for in every row.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _plain(column: str) -> Column:
+    return F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def write_grams(rows: DataFrame, folder: str, key: str, searched: list[str], grace: float = GRACE) -> None:
+    """Replaces the search index below the folder, by a pointer to a new one: the rows in the order of their key, in blocks of
+    64, and for each searched column, gram and block the rows that hold it, as the bits of one number."""
+    spark, at = rows.sparkSession, Pointers(rows.sparkSession, folder)
+    name = f"v-{uuid.uuid4().hex}"
+    place = F.monotonically_increasing_id()
+    laid = rows.repartitionByRange(key).sortWithinPartitions(key).withColumns({"__block": F.shiftright(place, 6), "__place": place.bitwiseAND(63).cast("int")})
+    laid.write.parquet(f"{at.folder}/{name}/rows")
+    kept = spark.read.parquet(f"{at.folder}/{name}/rows")
+    held = F.concat(*[_tagged(n, c) for n, c in enumerate(searched)])
+    bits = kept.select("__block", "__place", F.inline(held)).groupBy("c", "gram", "__block").agg(F.bit_or(F.expr("shiftleft(1L, __place)")).alias("bits"))
+    bits.repartitionByRange("c", "gram", "__block").sortWithinPartitions("c", "gram", "__block").write.parquet(f"{at.folder}/{name}/grams")
+    at.commit({"version": (at.latest() or {"version": 0})["version"], "at": name, "searched": searched})
+    at.collect(lambda state: [state["at"]], grace)
+
+
+def _tagged(number: int, column: str) -> Column:
+    """The grams of a searched column, with its number."""
+    return F.transform(grams(_plain(column)), lambda g: F.struct(F.lit(number).alias("c"), g.alias("gram")))
+
+
+def candidates(spark: SparkSession, folder: str, needle: str, searched: list[str] | None = None) -> DataFrame | None:
+    """(__block, bits): the rows with every gram of the needle in one searched column; None where it is too short to tell."""
+    at = Pointers(spark, folder)
+    state, wanted = at.latest(), needle.strip().lower()
+    if len(wanted) < GRAM:
+        return None
+    columns = [state["searched"].index(c) for c in searched or state["searched"]]
+    asked = spark.createDataFrame([(wanted,)], "needle string").select(F.explode(grams(F.col("needle"))).alias("gram"))
+    n = len({wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)})
+    found = spark.read.parquet(f"{at.folder}/{state['at']}/grams").filter(F.col("c").isin(columns)).join(F.broadcast(asked), "gram")  # as long as the needle
+    both = found.groupBy("c", "__block").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).filter((F.col("n") == n) & (F.col("bits") != 0))
+    return both.groupBy("__block").agg(F.bit_or("bits").alias("bits"))
+
+
+def found_rows(spark: SparkSession, folder: str, in_lists: dict[str, list], needle: str = "", searched: list[str] | None = None) -> DataFrame:
+    """The rows that ``apply_filters`` gives, of an index: those that may hold the needle are tested, and no others read whole."""
+    at = Pointers(spark, folder)
+    state = at.latest()
+    rows = spark.read.parquet(f"{at.folder}/{state['at']}/rows")
+    few = candidates(spark, folder, needle, searched)
+    if few is not None:
+        rows = rows.join(few, "__block").filter(F.expr("(shiftright(bits, __place) & 1L) = 1L")).drop("bits")
+    return apply_filters(rows.drop("__block", "__place"), in_lists, needle, searched or state["searched"])
+
+
 def page_count(rows: DataFrame, size: int) -> int:
     """How many pages of the viewer the rows fill, one at least."""
     return max(1, -(-rows.count() // size))

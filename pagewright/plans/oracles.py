@@ -207,6 +207,7 @@ SQL["cache_prefix_resume"] = """
 with g as (select conv_id, count(*) as n, list(turn + 1 order by turn) as p from conversations group by conv_id)
 select conv_id, n + 1 as next_page from g where conv_id % 3 = 0 and p = range(1, n + 1)"""
 SQL["viewer_filter"] = "select doc_id as chunk_index, lang as tag from documents where lang in ('en', 'de') and (contains(lower(text), 'the and') or contains(lower(source), 'the and'))"
+SQL["viewer_search"] = SQL["viewer_filter"]
 SQL["viewer_page"] = "select doc_id as chunk_index, lang as tag, source from documents order by doc_id limit 25 offset 50"
 SQL["facets"] = "select distinct 'source' as facet, source as value from documents where source <> '' union all select distinct 'tag', lang from documents where lang <> ''"
 SQL["document_options"] = """

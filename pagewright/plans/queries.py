@@ -403,6 +403,14 @@ def viewer_filter(spark, d):
     return rows.select("chunk_index", "tag")
 
 
+@query
+def viewer_search(spark, d):
+    """The rows of viewer_filter, by an index of grams."""
+    folder = shared_folder(spark)
+    viewer.write_grams(_chunks(spark, d), folder, "chunk_index", ["text", "source"])
+    return viewer.found_rows(spark, folder, {"tag": ["en", "de"], "source": []}, "  THE and ").select("chunk_index", "tag")
+
+
 @query
 def viewer_page(spark, d):
     return viewer.page_of(_chunks(spark, d).select("chunk_index", "tag", "source"), 3, 25, "chunk_index")
