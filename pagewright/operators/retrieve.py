@@ -50,6 +50,12 @@ def instructed(queries: DataFrame, embed: Callable[[DataFrame], DataFrame], inst
     return told.withColumn("query", F.col("__plain")).drop("__plain")
 
 
+def merged_at() -> Column:
+    """The time at which a task hands on a row, in microseconds: a column for rows that come out of ``retrieve``, which makes
+    the pages of one question after those of another. Its clock is that of the task's machine."""
+    return F.unix_micros(F.expr("reflect('java.time.Instant', 'now')").cast("timestamp"))
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, how: Retrieval = Retrieval(), index: DataFrame | None = None, variants: int | None = None) -> DataFrame:
     """Pages for queries (query_id, list_no, query[, embedding]); chunks (chunk_index, document_id, page_start, text[,
     embedding, tag]). All lists of all questions are one search of either kind. Contextual queries stay out of the

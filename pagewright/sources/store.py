@@ -98,6 +98,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.orderBy(first).withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _json_list(column: str) -> Column:
+    """An array of texts as JSON, with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(column, T.json_string), ", "), F.lit("]"))
+
+
 Page = tuple  # document_id, page[, source, source_path, reference_text]
 
 
@@ -264,8 +269,12 @@ class Store:
 
     def save_many_variants(self, found: dict[str, list[str]], prompt_version: str) -> None:
         """One upsert for all questions."""
-        told = self.spark.createDataFrame([(q, json.dumps(v, ensure_ascii=False)) for q, v in found.items()], "question string, variants string")
-        new = told.select(T.question_hash("question").alias("question_sha256"), F.lit(prompt_version).alias("prompt_version"), "variants", F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp").alias("created_at"))
+        self.add_variants(self.spark.createDataFrame(list(found.items()), "question string, found array<string>"), prompt_version)
+
+    def add_variants(self, found: DataFrame, prompt_version: str) -> None:
+        """One upsert of (question, found: the variants); of questions that are equal when trimmed, one row counts."""
+        hashed = found.select(T.question_hash("question").alias("question_sha256"), F.lit(prompt_version).alias("prompt_version"), _json_list("found").alias("variants"), F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp").alias("created_at"))
+        new = hashed.dropDuplicates(["question_sha256"])
         self._change({"query_variants": latest(self.table("query_variants").unionByName(new), ["question_sha256", "prompt_version"], "created_at")})
 
     def known_variants(self, questions: DataFrame, prompt_version: str) -> DataFrame:

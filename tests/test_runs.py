@@ -21,18 +21,28 @@ def test_evaluation_run(spark, tmp_path):
     store.save_question("alpha", [("d", 1)])
     store.save_question("missing word", [("d", 3)])
     chunks = spark.createDataFrame([(i, "d", i + 1, t) for i, t in enumerate(["alpha beta", "gamma", "delta", "epsilon"])], "chunk_index long, document_id string, page_start int, text string")
-    calls = []
+    asked = f"{tmp_path}/asked"
 
     def generate(q):
-        calls.append(q)
+        with open(asked, "a") as f:
+            f.write(q + "\n")
+        if q == "broken":
+            raise ValueError
         return [q + " beta"]
 
     key = evaluation.run(store, chunks, EvaluationConfig("run", "bm25", 2, augment=True), generate)
     row = store.evaluations().first()
     assert (row.id, row.status) == (key, "completed") and json.loads(row.metrics)["hit_at_k"] == 0.5
-    assert store.table("evaluation_results").count() == 2 and len(calls) == 2
+    calls = lambda: sorted(open(asked).read().split("\n")[:-1])
+    assert store.table("evaluation_results").count() == 2 and calls() == ["alpha", "missing word"]
+    took = [r.latency_ms for r in store.results(key).collect()]
+    assert len(set(took)) == 2 and all(0 < t < 600_000 for t in took) and json.loads(row.metrics)["p95_latency_ms"] == max(took)
     evaluation.run(store, chunks, EvaluationConfig("again", "bm25", 2, augment=True), generate)
-    assert len(calls) == 2  # cached
+    assert len(calls()) == 2  # cached
+    store.save_question("broken", [("d", 1)])
+    for n in (3, 4):  # what failed is asked for again, and leaves the question alone
+        told = {r.question: r.variants for r in evaluation.load_variants(store, store.questions(), generate).collect()}
+        assert told == {"alpha": ["alpha beta"], "missing word": ["missing word beta"], "broken": []} and len(calls()) == n
     with pytest.raises(Exception):
         evaluation.run(store, chunks.drop("text"), EvaluationConfig("broken", "bm25", 2))
     assert store.evaluations().first().status == "failed"
