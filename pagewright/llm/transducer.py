@@ -6,7 +6,8 @@ change is a short tail, the bytes since the last token emitted. A step adds a by
 and emits the tokens on which all live continuations agree: a continuation is live while the bytes
 from its start are the beginning of some token, so lookahead is bounded by the longest token. States and steps are
 worked out when first met and kept, up to ``MAX_STATES``; then the table is dropped and grows anew, as regular-expression
-engines do. Paths of short pieces are kept as well, in a table with a bound of its own.
+engines do. Paths of short pieces are kept as well, in a table with a bound of its own. Decoding runs an incremental UTF-8
+state machine over the tokens as they come, whose steps by whole tokens are worked out lazily too (``Decoder``).
 
 Defined results. Null text: as an empty one (no ids). Very long texts and words: time in proportion to their length. Null or repeated ids and repeated rows: a row each. An empty
 table: no rows. Extra columns don't take part. Special-token strings are ordinary text.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm.common import blocks, table
 from pagewright.llm.vocab import BYTE_LEVEL_SPLIT, WHITE_SPACE, _class, read_ranks
 
-MAX_STATES, MAX_PATHS, LONGEST_PATH = 200_000, 300_000, 48
+MAX_STATES, MAX_PATHS, MAX_ARCS, LONGEST_PATH = 200_000, 300_000, 300_000, 48
 _NEVER = 1 << 60
 
 
@@ -183,6 +184,7 @@ class Encoder:
         ranks = read_ranks(path)
         self.transducer, self.split = Transducer(ranks), splitter()
         self.token = {i: t for t, i in ranks.items()}
+        self.decoder = Decoder(self.token)
         self._paths: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def paths(self, text: str) -> list[tuple[tuple[int, ...], str]]:
@@ -219,21 +221,17 @@ class Utf8Stream:
     """Incremental decoding: ``feed`` returns the characters that are complete, ``close`` what an unfinished one becomes.
 
     The state is how many bytes are still due, the range of the next, and the bytes of the unfinished character, three at
-    most. A byte outside the range ends the character as one U+FFFD and is read anew. Spans that the library finds
-    well-formed don't go byte by byte: they leave the machine in its first state.
+    most. A byte outside the range ends the character as one U+FFFD and is read anew.
     """
 
-    def __init__(self):
-        self.due, self.low, self.high, self.held = 0, 0, 0, bytearray()
+    def __init__(self, due: int = 0, low: int = 0, high: int = 0, held: bytes = b""):
+        self.due, self.low, self.high, self.held = due, low, high, bytearray(held)
+
+    def state(self) -> tuple[int, int, int, bytes]:
+        return (self.due, self.low, self.high, bytes(self.held)) if self.due else (0, 0, 0, b"")
 
     def feed(self, data: bytes) -> str:
         out = []
-        if not self.due:
-            try:
-                return data.decode()
-            except UnicodeDecodeError as e:  # what is before it is well-formed
-                out.append(data[: e.start].decode())
-                data = data[e.start :]
         for byte in data:
             if self.due:
                 if self.low <= byte <= self.high:
@@ -259,13 +257,52 @@ class Utf8Stream:
         return "\ufffd" if unfinished else ""
 
 
-#: Token bytes that the streaming decoder gets at a time.
-_CHUNK = 1 << 16
-
-
-def decoded(tokens: bytes) -> str:
+class Decoder:
+    """The UTF-8 machine over tokens: from each of its states an arc for each token, with the characters that the token's
+    bytes complete. Arcs are worked out byte by byte when first met, and kept up to ``MAX_ARCS``. So a stream of tokens is
+    decoded as they come; what is held between two tokens is one unfinished character."""
+
+    def __init__(self, token: Mapping[int, bytes]):
+        self.token = token
+        self.rows: dict[tuple, dict] = {}
+        self.arcs = 0
+
+    def _row(self, state: tuple) -> dict:
+        """The arcs of a state, which is kept among them."""
+        return self.rows.setdefault(state, {_STATE: state})
+
+    def _learn(self, row: dict, token: int) -> tuple[str, dict]:
+        machine = Utf8Stream(*row[_STATE])
+        text = machine.feed(self.token[token])
+        if self.arcs >= MAX_ARCS:
+            self.rows, self.arcs = {}, 0
+        self.arcs += 1
+        row[token] = arc = text, self._row(machine.state())
+        return arc
+
+    def pieces(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text of a stream of tokens, a piece for each ``_PIECE`` of them and one for its end."""
+        row, out = self._row(Utf8Stream().state()), []
+        for i in ids:
+            arc = row.get(i) or self._learn(row, i)
+            out.append(arc[0])
+            row = arc[1]
+            if len(out) == _PIECE:
+                yield "".join(out)
+                out = []
+        yield "".join(out) + Utf8Stream(*row[_STATE]).close()
+
+
+#: Under what a state lies among its arcs: no token's id.
+_STATE = -1
+#: Tokens of a piece of decoded text.
+_PIECE = 4096
+
+
+def decoded(data: bytes) -> str:
+    """The text of bytes, by the machine alone."""
     stream = Utf8Stream()
-    return "".join(stream.feed(tokens[i : i + _CHUNK]) for i in range(0, len(tokens), _CHUNK)) + stream.close()
+    return stream.feed(data) + stream.close()
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +318,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ids = list(chain.from_iterable([p[0] for p in paths]))
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([p[1] for p in paths]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded(e.decode(ids)).encode()).hexdigest())
+                text = hashlib.sha256()
+                for piece in e.decoder.pieces(ids):
+                    text.update(piece.encode())
+                text_sha.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -424,7 +424,7 @@ def test_transducer():
     texts = TEXTS + ["".join(rng.choice(["th", "er", "an", " ", "é", "tion", "1", "語"]) for _ in range(200)) for _ in range(50)]
     for t in texts:
         ids = ours.encode(t)
-        assert ids == library.encode_ordinary(t) and transducer.decoded(ours.decode(ids)) == t
+        assert ids == library.encode_ordinary(t) and transducer.decoded(ours.decode(ids)) == "".join(ours.decoder.pieces(ids)) == t
 
 
 def test_transducer_on_one_long_word(monkeypatch):
@@ -454,6 +454,22 @@ def test_streaming_decoder():
             assert out + stream.close() == data.decode("utf-8", "replace")
 
 
+def test_decoder_of_any_tokens(monkeypatch):
+    """Streams of tokens that cut characters, or are no text, with arcs that are dropped now and then."""
+    rng = random.Random(12)
+    whole = "a é 漢 😀 \u0000 ﷽".encode()
+    token = {i: bytes(rng.choice([whole[j : j + rng.randrange(1, 5)] for j in range(len(whole))] + [b"\xff", b"\xed\xa0", b"\xf4\x90", b"\xc3"])) for i in range(60)}
+    for arcs, piece in ((10**6, 7), (40, 1), (1, 4096)):
+        monkeypatch.setattr(transducer, "MAX_ARCS", arcs)
+        monkeypatch.setattr(transducer, "_PIECE", piece)
+        decoder = transducer.Decoder(token)
+        for n in (0, 1, 7, 14, 300):
+            for _ in range(30):
+                ids = [rng.randrange(60) for _ in range(n)]
+                data = b"".join(token[i] for i in ids)
+                assert "".join(decoder.pieces(iter(ids))) == data.decode("utf-8", "replace")
+
+
 def test_transducer_query(spark, docs, odd):
     import tiktoken
 
