@@ -118,15 +118,15 @@ def _dealt(rows: DataFrame, n: int, tasks: int) -> DataFrame:
 
 class Answers:
     """Raw answers beside a page cache: each is visible as soon as its task ends, so that a run which is broken off pays for
-    no page twice. There are as many tasks as pages, up to ``MOST_TASKS``; a task writes files under its attempt's name, which
+    no page twice. A task has one page, or ``pages_a_task``; there are ``MOST_TASKS`` at most. A task writes files under its attempt's name, which
     the second algorithm of Hadoop's committer moves into place when the task ends. Of files that an attempt left when it
     failed in between, one answer a page is taken. Runs write to folders of their own, since a folder has one job's
     uncommitted files at a time. Answers are kept by source, so documents of equal content are asked for once."""
 
     MOST_TASKS = 10_000
 
-    def __init__(self, spark: SparkSession, cache: str, key: dict[str, object], fresh: bool):
-        self.spark, self.top, self.key, self.fresh = spark, f"{cache.rstrip('/')}-answers", key, fresh
+    def __init__(self, spark: SparkSession, cache: str, key: dict[str, object], fresh: bool, pages_a_task: int = 1):
+        self.spark, self.top, self.key, self.fresh, self.pages = spark, f"{cache.rstrip('/')}-answers", key, fresh, pages_a_task
         self.run = uuid.uuid4().hex
 
     def known(self, attempt: int) -> DataFrame:
@@ -148,7 +148,7 @@ class Answers:
         folder = f"{self.top}/run={self.run}/attempt={attempt}"
         told = self.known(attempt)
         if n:
-            rows = extracted(_dealt(todo, n, min(n, self.MOST_TASKS))).withColumnRenamed("document_id", "source_sha256")
+            rows = extracted(_dealt(todo, n, min(-(-n // self.pages), self.MOST_TASKS))).withColumnRenamed("document_id", "source_sha256")
             rows.withColumns({k: F.lit(v) for k, v in self.key.items()}).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
             told = self.known(attempt).unionByName(self.spark.read.schema(_BY_SOURCE).parquet(folder).filter("kind <> 'answer'"))
         return stored(told.join(named, "source_sha256").join(pages.select(*PAGE), PAGE, "left_semi").select(*[x.split()[0] for x in RESULT.split(", ")]))
@@ -158,7 +158,7 @@ class Answers:
         removed(self.spark, f"{self.top}/run={self.run}")
 
 
-def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes, str]]], call: Call, cache: str, model: str, prompt_version: str, most_pages: int = 200, most_calls: int = 200, context_pages: int = 4, retry_failed: bool = False, refresh: bool = False, timeout: float | None = None, record_errors: bool = False, **calls) -> DataFrame:
+def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int, bytes, str]]], call: Call, cache: str, model: str, prompt_version: str, most_pages: int = 200, most_calls: int = 200, context_pages: int = 4, retry_failed: bool = False, refresh: bool = False, timeout: float | None = None, record_errors: bool = False, pages_a_task: int = 1, **calls) -> DataFrame:
     """Documents (those of ``files``: path, content, tag, name, relative_path, document_id, source_sha256) with pages, by
     cache, budget, calls and checkpoint. Pages that the cache has under this model, prompt version and context size are
     kept; budgets are checked before any call. The others are asked for in two rounds: all of them, then those whose answers
@@ -184,7 +184,7 @@ def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int,
     todo = rendered if refresh else pending_pages(rendered, cached(), retry_failed)
     read = stored(with_context(rendered, context_pages).join(todo.select(*PAGE), PAGE, "left_semi"))
     deadline = None if timeout is None else time.time() + timeout
-    answers = Answers(spark, cache, key, refresh or retry_failed)
+    answers = Answers(spark, cache, key, refresh or retry_failed, pages_a_task)
     results = in_rounds(read, rendered, lambda pages, attempt: answers.asked(pages, named, attempt, lambda x: extract(x, call, deadline=deadline, alone=attempt == 2, **calls)))
     told = stored(validated(results, rendered))
     # without a second answer, a page that was rejected once is neither done nor failed

@@ -376,3 +376,22 @@ with recursive d as (
 )
 select sha256('{{"document_id": "' || document_id || '", "page": 1, "page_chunk_index": ' || page_chunk_index || ', "schema_version": 3, "source_sha256": "' || sha || '", "text": "' || {_ESC.format('text')} || '"}}') as chunk_id,
   document_id, 1 as page_start, page_chunk_index, text, token_count, oversize from r"""
+
+SQL["index_of_a_tag"] = "select doc_id as chunk_index, doc_id::varchar as document_id, lang as tag, sha256(text) as source_sha256, 3 as schema_version from documents where lang = 'de'"
+
+SQL["streamed_terms"] = f"""
+select term, count(*) as df from (
+  select distinct doc_id, unnest({_terms("case when lang = 'de' then source || chr(10) || text else text end")}) as term from documents where lang <> 'fr'
+) group by term"""
+
+SQL["extraction_rounds"] = f"""
+with t as (select conv_id::varchar as document_id, (row_number() over (partition by conv_id order by turn))::int as page_number, text, count(*) over (partition by conv_id) as n from conversations)
+select document_id, page_number, length(text) % 7 = 0 as failed, sha256(case when length(text) % 7 = 0 then '' else {_strip('text')} end) as markdown_sha256 from t"""
+
+SQL["contextual_flags"] = f"""
+select conv_id, turn, contains(text, 'Previous user question:') or contains(text, 'Latest follow-up question:') as plain, true as with_previous from conversations
+where (conv_id, turn) in (select (conv_id, turn) from ({SQL["query_build_contextual"]}))"""
+
+SQL["embedded_chunks"] = "select doc_id as chunk_index, length(text)::double as characters, (length(text) - length(replace(text, ' ', '')))::double as blanks from documents"
+
+SQL["over_budget_documents"] = "select conv_id::varchar as document_id, count(*) as pages from conversations group by conv_id having count(*) > 5"

@@ -8,16 +8,19 @@ whose id is divisible by 20 as questions and the assistant turns of the same con
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright import edges
 from pagewright.functions import text as T
-from pagewright.operators import ask, assemble, bm25, chunking, fusion, metrics, pages, quality, retrieve, vector, viewer
+from pagewright.operators import ask, assemble, bm25, chunking, extraction, fusion, metrics, pages, quality, retrieve, vector, viewer
 from pagewright.operators.numbering import numbered
 from pagewright.sources import files, store
-from pagewright.sources.shared import shared_folder
+from pagewright.sources.shared import shared_folder, stored
+from pagewright.streaming.live import LiveIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,3 +628,69 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return fusion.collapse_to_pages(found, 8).select("query_id", "document_id", "page_start", F.round("score", 6).alias("score"), "page_rank")
 
 
+
+
+def _provenance(chunks: DataFrame) -> DataFrame:
+    """Chunks with the columns that an index must have."""
+    return chunks.withColumns({"source_path": F.concat(F.lit("/docs/"), "document_id"), "source_sha256": F.sha2("text", 256), "parser_model": F.lit("direct-markdown"), "prompt_version": F.lit("none")})
+
+
+@query
+def index_of_a_tag(spark, d):
+    """The chunks of one tag, from the files of a written index that may hold it."""
+    folder = shared_folder(spark)
+    files.write_index(_provenance(_chunks(spark, d)), folder)
+    return files.read_index(spark, folder, tag=" de ").select("chunk_index", "document_id", "tag", "source_sha256", "schema_version")
+
+
+@query
+def streamed_terms(spark, d):
+    """Document frequencies of an index that follows changes: all documents, then those of one language with their source in
+    front, then those of another withdrawn. A document is one chunk."""
+    index = LiveIndex(spark, shared_folder(spark), chunking.ChunkLimits(1 << 30, 1 << 30, 0))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("markdown"), "lang", "source")
+    batches = [docs, docs.filter("lang = 'de'").withColumn("markdown", F.concat("source", F.lit("\n"), "markdown")), docs.filter("lang = 'fr'").withColumn("markdown", F.lit(None).cast("string"))]
+    for number, batch in enumerate(batches):
+        index.apply(batch.select("document_id", "markdown"), number)
+    return index.terms()
+
+
+def _read_aloud(page: int, image: bytes, context: list[bytes]) -> tuple[str, str]:
+    """A model's stand-in: it gives the page's text, cut off where its length divides by three and others are in view, and always where by seven."""
+    text = image.decode()
+    cut = len(text) % 7 == 0 or len(text) % 3 == 0 and len(context) > 1
+    return json.dumps({"markdown": text + (" **" if cut else "")}), "end_turn"
+
+
+@query
+def extraction_rounds(spark, d):
+    """Conversations as rendered documents, a page for each turn: pages whose answers the gates reject are asked for again, alone."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    content = F.encode(F.array_join(F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))), "\f"), "UTF-8")
+    name = F.col("conv_id").cast("string")
+    rows = turns.select(F.concat(F.lit("/x/"), name).alias("path"), content.alias("content"), F.lit("").alias("tag"), name.alias("name"), name.alias("relative_path"), name.alias("document_id"), F.sha2(F.concat(name, F.lit("\f"), content.cast("string")), 256).alias("source_sha256"))
+    render = lambda body: [(i, page.encode(), page) for i, page in enumerate(body.decode().split("\f"), 1)]
+    docs = extraction.parse_documents(stored(rows), render, _read_aloud, shared_folder(spark), "stand-in", "v1", pages_a_task=64)
+    return docs.select("document_id", F.explode("pages").alias("p"), "failed_pages").select("document_id", "p.page_number", F.sha2("p.markdown", 256).alias("markdown_sha256"), F.map_contains_key("failed_pages", F.col("p.page_number")).alias("failed"))
+
+
+@query
+def contextual_flags(spark, d):
+    """Of all questions of conversations, as asked and with the one before them, whether the lexical search leaves them out."""
+    asked = assemble.contextual_queries(table(spark, d, "conversations"), "conv_id", "turn", content="text").select("conv_id", "turn", F.col("query").alias("contextual"))
+    rows = table(spark, d, "conversations").join(asked, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", T.is_contextual("text").alias("plain"), T.is_contextual("contextual").alias("with_previous"))
+
+
+@query
+def embedded_chunks(spark, d):
+    """Chunks with the vectors that an embedder gives for batches of their texts: here their characters and their blanks."""
+    embed = lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+    return edges.embedded(_chunks(spark, d).select("chunk_index", "text"), embed).select("chunk_index", F.get("embedding", F.lit(0)).cast("double").alias("characters"), F.get("embedding", F.lit(1)).cast("double").alias("blanks"))
+
+
+@query
+def over_budget_documents(spark, d):
+    """Documents with more pages than allowed."""
+    pages = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), "turn")
+    return quality.over_budget(pages, "document_id", 5)
