@@ -1,12 +1,13 @@
 """Document scores by masked pseudo-likelihood: a bidirectional window network, trained in numpy, over corpus counts.
 
 The method. Words (ASCII letters lower-cased) are hashed to ``BUCKETS`` ids. For a masked word, the network adds up
-embeddings of the ``WINDOW`` words on its left and, from another table, of those on its right; a tanh layer and a
-softmax give the word's class (a bin of equal corpus frequency), and the word's share of its class the word. That is the
-prior of the word; what the corpus holds between the same two neighbours elsewhere updates it:
-``(c(left, word, right) + PRIOR * p) / (c(left, any, right) + PRIOR)``, both counts without the word itself. The
-conditional probabilities of all ids add up to one. A document's score is the sum of the log-probabilities of all its
-words, each predicted from both sides.
+embeddings of the ``WINDOW`` words on its left and, from another table, of those on its right; from a tanh layer a
+softmax gives the word's class (a bin of equal corpus frequency), and a Huffman tree of each class the word: at every node
+on the way a logistic unit over the layer's first ``INNER`` numbers, whose bias starts at the counts of both sides, turns
+left or right. So context decides among all ids, whose probabilities add up to one. That is the network's pseudo-likelihood
+(``network_log_prob``), and the prior of the word; what the corpus holds between the same two neighbours elsewhere updates it:
+``(c(left, word, right) + PRIOR * p) / (c(left, any, right) + PRIOR)``, both counts without the word itself. A document's score
+is the sum of the log-probabilities of all its words, each predicted from both sides.
 
 Training. Each partition starts from the same weights and goes once through all words of its documents, each masked
 once, in random order within a block, with Adagrad; the partitions' networks are averaged by trained words, in a tree
@@ -19,7 +20,7 @@ document. The hash tells 2**32 neighbours of a range and 2**16 words between the
 Scale. Three passes over the texts (counts, training, packing); words are shuffled once, as 8 bytes each. A range holds
 about ``RANGE_WORDS`` words. Two neighbours with more than a quarter of that are found by a sample and counted exactly
 while training; their words are dealt by (neighbours, word), and a word that is as frequent between them is scored where
-it is read. The driver and each task hold one network (about 1 MB), ``BUCKETS`` counts and at most ``MAX_HOT`` such counts.
+it is read. The driver and each task hold one network (about 4 MB) with its trees, ``BUCKETS`` counts and at most ``MAX_HOT`` such counts.
 
 Defined results. Null, empty or blank text: no words, a sum of 0.0, null mean. Very long texts: a block of their own.
 Null or repeated ids and repeated rows: a row each, alike for equal texts. An empty table: no rows. Extra columns don't
@@ -28,6 +29,7 @@ take part.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, shared_folder, table, words_of
 
-BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 2, 16, 64, 0.15, 2048, 8
-_SIZES = {"near": (2 * (INPUTS + 1), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,)}
+BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, INNER, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 2, 16, 64, 8, 0.15, 2048, 8
+_SIZES = {"near": (2 * (INPUTS + 1), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,), "turns": (BUCKETS, INNER), "odds": (BUCKETS,)}
 #: Greatest size of a logit that goes to ``exp`` as it is.
 _SAFE = 60.0
 PRIOR, RANGE_WORDS, MAX_HOT, SAMPLE, STEPS = 1.0, 1 << 21, 1 << 18, 256, 2048
@@ -87,14 +89,69 @@ def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Each id's class, and its way through the class's tree: ``node`` and ``right`` from ``start[id]`` to ``start[id + 1]``."""
+
+    classes: np.ndarray
+    start: np.ndarray
+    node: np.ndarray
+    right: np.ndarray
+    odds: np.ndarray
+
+    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, node, right) of all turns of the ids, row by row."""
+        n = self.start[ids + 1] - self.start[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(np.arange(len(ids)), n), self.node[at], self.right[at]
+
+
+def vocabulary(counts: np.ndarray) -> Vocabulary:
+    """Classes of about equal mass, in order of frequency, and a Huffman tree of each by the ids' counts plus one."""
+    order = np.argsort(-counts, kind="stable")
+    smooth = counts + 1
+    middle = np.cumsum(smooth[order]) - smooth[order] / 2
+    of = np.empty(len(counts), np.int64)
+    of[order] = np.minimum(CLASSES - 1, (middle * CLASSES / smooth.sum()).astype(np.int64))
+    odds = np.zeros(len(counts), np.float32)
+    above = np.full(2 * len(counts), -1, np.int64)  # ids, then inner nodes; of each the node above it
+    side = np.zeros(2 * len(counts), bool)
+    inner = 0
+    for members in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        heap = [(int(smooth[i]), int(i)) for i in members[::-1]]  # ascending, so it is a heap
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            here = len(counts) + inner
+            above[x] = above[y] = here
+            side[y] = True
+            odds[inner] = np.log(b / a)
+            heapq.heappush(heap, (a + b, here))
+            inner += 1
+    ids = now = np.arange(len(counts))
+    steps = []
+    while (some := above[now] >= 0).any():  # a level of all trees at a time
+        ids, now = ids[some], now[some]
+        steps.append((ids, above[now] - len(counts), side[now]))
+        now = above[now]
+    ids, node, right = (np.concatenate([x[k] for x in steps] or [np.zeros(0, np.int64)]) for k in range(3))
+    sorted_ = np.argsort(ids, kind="stable")
+    return Vocabulary(of, np.searchsorted(ids[sorted_], np.arange(len(counts) + 1)), node[sorted_].astype(np.int32), right[sorted_].astype(np.float32), odds)
+
+
 @dataclass
 class Network:
     weights: dict[str, np.ndarray]
 
     @classmethod
-    def fresh(cls) -> Network:
+    def fresh(cls, odds: np.ndarray | None = None) -> Network:
+        """With the same weights each time, and biases of the trees' turns."""
         draw = np.random.default_rng(7)
-        return cls({k: (draw.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in _SIZES.items()})
+        weights = {k: (draw.normal(0, 0.1, s) if k in ("near", "out") else np.zeros(s)).astype(np.float32) for k, s in _SIZES.items()}
+        if odds is not None:
+            weights["odds"] = odds.copy()
+        return cls(weights)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         near = self.weights["near"]
@@ -112,22 +169,25 @@ class Network:
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
 
-    def logits(self, around: np.ndarray) -> np.ndarray:
-        """Of all classes, within what ``exp`` can take: where some aren't, each row's greatest is set to 0."""
-        z = self.hidden(around) @ self.weights["out"]
+    def log_turns(self, h: np.ndarray, ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+        """The log-probability of each id within its class."""
+        row, node, right = vocab.ways(ids)
+        z = np.einsum("ij,ij->i", h[:, :INNER].take(row, 0), self.weights["turns"].take(node, 0)) + self.weights["odds"].take(node)
+        return np.bincount(row, -np.logaddexp(0, np.where(right > 0, -z, z)), len(ids))
+
+    def log_wanted(self, around: np.ndarray, ids: np.ndarray, vocab: Vocabulary, used: np.ndarray) -> np.ndarray:
+        """The log-probability of the wanted id of each row; classes without ids have no share."""
+        h = self.hidden(around)
+        z = h @ self.weights["out"]
         z += self.weights["shift"]
-        if z.size and (z.max() > _SAFE or z.min() < -_SAFE):
+        if z.size and (z.max() > _SAFE or z.min() < -_SAFE):  # beyond what ``exp`` can take
             z -= z.max(1, keepdims=True)
-        return z
-
-    def log_wanted(self, around: np.ndarray, wanted: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """``log_classes`` of the wanted class of each row alone."""
-        z = self.logits(around)
-        return z[np.arange(len(z)), wanted] - np.log(np.exp(z) @ used.astype(np.float32))
+        own = z[np.arange(len(z)), vocab.classes[ids]] - np.log(np.exp(z) @ used.astype(np.float32))
+        return own + self.log_turns(h, ids, vocab)
 
-    def train(self, around: np.ndarray, wanted: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+    def train(self, around: np.ndarray, ids: np.ndarray, vocab: Vocabulary, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the sums of squares."""
-        w, m = self.weights, len(wanted)
+        w, m = self.weights, len(ids)
         h = self.hidden(around)
         g = h @ w["out"]
         g += w["shift"]
@@ -135,21 +195,36 @@ class Network:
             g -= g.max(1, keepdims=True)
         np.exp(g, out=g)
         g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g[np.arange(m), wanted] -= 1
+        g[np.arange(m), vocab.classes[ids]] -= 1
         g /= m
-        back = (g @ w["out"].T) * (1 - h * h)
+        back = g @ w["out"].T
+        row, node, right = vocab.ways(ids)
+        if len(row):
+            part, turns = h[:, :INNER].take(row, 0), w["turns"].take(node, 0)
+            with np.errstate(over="ignore"):
+                t = (1 / (1 + np.exp(-np.einsum("ij,ij->i", part, turns) - w["odds"].take(node))) - right).astype(np.float32) / np.float32(m)
+            heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            back[row[heads], :INNER] += np.add.reduceat((turns * t[:, None]).view(np.complex64), heads, axis=0).view(np.float32)
+            placed = np.sort(node.astype(np.int64) << 32 | np.arange(len(node)))
+            of, order = placed >> 32, placed & 0xFFFFFFFF
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            for k, grad in (("turns", np.add.reduceat((part * t[:, None]).view(np.complex64).take(order, 0), starts, axis=0).view(np.float32)), ("odds", np.add.reduceat(t.take(order), starts))):
+                self._step(k, of[starts], grad, seen)
+        back *= 1 - h * h
         for k, grad in (("out", h.T @ g), ("shift", g.sum(0)), ("bias", back.sum(0))):
             seen[k] += grad * grad
             w[k] -= RATE * grad / np.sqrt(seen[k] + 1e-8)
         placed = np.sort((around << 32 | np.arange(m)[:, None]).ravel())  # one sort gives the rows and who reads them
         of = placed >> 32
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        used = of[starts]
         readers = back.view(np.complex64).take(placed & 0xFFFFFFFF, 0)  # pairs of numbers: the same sums, four times as quick
-        grad = np.add.reduceat(readers, starts, axis=0).view(np.float32)
-        total = seen["near"][used] + grad * grad
-        seen["near"][used] = total
-        w["near"][used] -= RATE * grad / np.sqrt(total + 1e-8)
+        self._step("near", of[starts], np.add.reduceat(readers, starts, axis=0).view(np.float32), seen)
+
+    def _step(self, k: str, used: np.ndarray, grad: np.ndarray, seen: dict[str, np.ndarray]) -> None:
+        """An Adagrad step of the rows ``used``."""
+        total = seen[k][used] + grad * grad
+        seen[k][used] = total
+        self.weights[k][used] -= RATE * grad / np.sqrt(total + 1e-8)
 
     def pack(self) -> bytes:
         return b"".join(self.weights[k].tobytes() for k in _SIZES)
@@ -208,16 +283,6 @@ def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return _counted(docs, text_col)[0]
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each id's class, and its log share of the class."""
-    order = np.argsort(-counts, kind="stable")
-    smooth = counts + 1
-    middle = np.cumsum(smooth[order]) - smooth[order] / 2
-    of = np.empty(len(counts), np.int64)
-    of[order] = np.minimum(CLASSES - 1, (middle * CLASSES / smooth.sum()).astype(np.int64))
-    return of, np.log(smooth / np.bincount(of, smooth, CLASSES)[of])
-
-
 def _summed(models: DataFrame) -> tuple[Network, np.ndarray]:
     """One network, and the sums of the counts, from all rows (part, words, weights, counts), added up in a tree."""
 
@@ -260,9 +325,9 @@ def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.nda
     return np.where(wanted[at] == keys, counts[at], 0)
 
 
-def _trained(docs: DataFrame, classes: np.ndarray, text_col: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _trained(docs: DataFrame, vocab: Vocabulary, text_col: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.fresh()
+        net = Network.fresh(vocab.odds)
         seen = {k: np.zeros(s, np.float32) for k, s in _SIZES.items()}
         words = 0
         counts = [np.zeros(len(x), np.int64) for x in often]
@@ -274,7 +339,7 @@ def _trained(docs: DataFrame, classes: np.ndarray, text_col: str, often: tuple[n
             around = contexts(ids, edges)
             for i in range(0, len(masked), BATCH):
                 m = masked[i : i + BATCH]
-                net.train(around[m], classes[ids[m]], seen)
+                net.train(around[m], ids[m], vocab, seen)
             words += len(masked)
             if len(often[0]):
                 beside = neighbours(hashes, edges)
@@ -286,17 +351,17 @@ def _trained(docs: DataFrame, classes: np.ndarray, text_col: str, often: tuple[n
     return docs.select(text_col).mapInArrow(fit, "part int, words long, weights binary, counts binary")
 
 
-def trained(docs: DataFrame, classes: np.ndarray, text_col: str = "text") -> Network:
-    return _averaged(_trained(docs, classes, text_col, (np.zeros(0, np.uint64),) * 2))
+def trained(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> Network:
+    return _averaged(_trained(docs, vocab, text_col, (np.zeros(0, np.uint64),) * 2))
 
 
-def log_probabilities(net: Network, classes: np.ndarray, shares: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def log_probabilities(net: Network, vocab: Vocabulary, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The network's, of each word, given its neighbours on both sides."""
-    out = shares[ids]
+    out = np.zeros(len(ids))
     around = contexts(ids, edges)
-    used = np.bincount(classes, minlength=CLASSES) > 0
+    used = np.bincount(vocab.classes, minlength=CLASSES) > 0
     for i in range(0, len(ids), 4 * BATCH):
-        out[i : i + 4 * BATCH] += net.log_wanted(around[i : i + 4 * BATCH], classes[ids[i : i + 4 * BATCH]], used)
+        out[i : i + 4 * BATCH] = net.log_wanted(around[i : i + 4 * BATCH], ids[i : i + 4 * BATCH], vocab, used)
     return out
 
 
@@ -306,12 +371,12 @@ def updated(steps: np.ndarray, count: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_prob, mean_log_prob) of every document."""
+    """(id, n_words, log_prob, mean_log_prob, network_log_prob) of every document; the last is the sum by the network alone."""
     kind = docs.schema[id_col].dataType.simpleString()
     counts, *often = _counted(docs, text_col)
     words = int(counts.sum())
-    classes, shares = classes_of(counts)
-    net, exact = _summed(_trained(docs, classes, text_col, tuple(often)))
+    vocab = vocabulary(counts)
+    net, exact = _summed(_trained(docs, vocab, text_col, tuple(often)))
     limit = hot_limit(words)
     hot = []  # neighbours, and (neighbours, word), over the limit with their counts
     for keys, n in zip(often, np.split(exact, [len(often[0])]) if len(exact) else ([], []), strict=True):
@@ -330,7 +395,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 b = batch.slice(first, 1 << 15)
                 number, packet = part << 33 | packet, packet + 1
                 hashes, edges = word_hashes(b.column("text"))
-                priors = log_probabilities(net, classes, shares, (hashes % np.uint64(BUCKETS)).astype(np.int64), edges)
+                priors = log_probabilities(net, vocab, (hashes % np.uint64(BUCKETS)).astype(np.int64), edges)
                 steps = np.clip(np.round(priors * -STEPS), 0, 65535).astype(np.uint64)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(edges))
                 around = neighbours(hashes, edges)
@@ -342,9 +407,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     count = np.zeros(len(hashes), np.int64)
                     count[crowd] = _looked_up(hot[1], key[crowd])
                     known = count > 0
-                own = np.zeros(b.num_rows)
+                own = np.zeros((b.num_rows, 2))  # what is known already, and the network's sum
+                own[:, 1] = np.bincount(doc, priors, b.num_rows)
                 if known.any():
-                    own = np.bincount(doc[known], updated(steps[known].astype(np.float64), count[known], of[known]), b.num_rows)
+                    own[:, 0] = np.bincount(doc[known], updated(steps[known].astype(np.float64), count[known], of[known]), b.num_rows)
                 left = np.flatnonzero(~known)
                 where = (key[left] >> np.uint64(40)) % np.uint64(ranges)
                 order = np.argsort(where.astype(np.uint16) if ranges <= 1 << 16 else where, kind="stable")
@@ -412,9 +478,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         def out() -> pa.RecordBatch:
             place, n, own, id_ = zip(*rows, strict=True)
             n = np.array(n, np.int64)
-            sums = np.round(total[list(place)] + np.array(own), 6) + 0.0
+            known = np.array(own)
+            sums = np.round(total[list(place)] + known[:, 0], 6) + 0.0
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(id_, ids), pa.array(n), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)], [id_col, "n_words", "log_prob", "mean_log_prob"])
+            return pa.RecordBatch.from_arrays([pa.array(id_, ids), pa.array(n), pa.array(sums), pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0), pa.array(np.round(known[:, 1], 6) + 0.0)], [id_col, "n_words", "log_prob", "mean_log_prob", "network_log_prob"])
 
         ids = None
         for b in batches:
@@ -427,7 +494,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if n < 0:
                     total[np.frombuffer(doc, np.uint16)] += np.frombuffer(body, np.float64)
                 else:
-                    rows.append((int.from_bytes(doc, "little"), n, np.frombuffer(body, np.float64)[0], id_))
+                    rows.append((int.from_bytes(doc, "little"), n, np.frombuffer(body, np.float64), id_))
         if rows:
             yield out()
 
@@ -435,7 +502,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     packed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(pack, packed_schema)
     told = packed.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "packet").mapInArrow(tell, told_schema)
     gathered = told.repartition(parts_for(docs), "packet").sortWithinPartitions("packet", "n", "range", "doc")
-    return gathered.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double")
+    return gathered.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, log_prob double, mean_log_prob double, network_log_prob double")
 
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -652,24 +652,52 @@ def test_masked_model(spark, odd):
     text = lambda: " ".join(rng.choice(["a b c d", "e f g h", "i j k l"]) for _ in range(80))
     frame = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
     counts = masked_lm.bucket_counts(frame)
-    classes, shares = masked_lm.classes_of(counts)
+    vocab = masked_lm.vocabulary(counts)
     assert counts.sum() == 60 * 320
-    net = masked_lm.trained(frame, classes)
+    net, fresh = masked_lm.trained(frame, vocab), masked_lm.Network.fresh(vocab.odds)
     held = pa.array([text()])
     shuffled = held[0].as_py().split()
     rng.shuffle(shuffled)
-    mean = lambda n, t: masked_lm.log_probabilities(n, classes, shares, *masked_lm.word_ids(t)).mean()
-    assert mean(net, held) > mean(masked_lm.Network.fresh(), held) + 0.1 and mean(net, held) > mean(net, pa.array([" ".join(shuffled)]))
+    mean = lambda n, t: masked_lm.log_probabilities(n, vocab, *masked_lm.word_ids(t)).mean()
+    assert mean(net, held) > mean(fresh, held) + 0.1 and mean(net, held) > mean(net, pa.array([" ".join(shuffled)]))
     ids, edges = masked_lm.word_ids(held)
-    row = net.log_classes(masked_lm.contexts(ids, edges)[3:4], np.bincount(classes, minlength=masked_lm.CLASSES) > 0)[0]
-    assert np.exp(row[classes] + shares).sum() == pytest.approx(1, abs=1e-3)
+    every, used = np.arange(masked_lm.BUCKETS), np.bincount(vocab.classes, minlength=masked_lm.CLASSES) > 0
+    for n in (net, fresh):  # the probabilities of all words between two neighbours
+        around = np.repeat(masked_lm.contexts(ids, edges)[3:4], len(every), 0)
+        assert np.exp(n.log_wanted(around, every, vocab, used)).sum() == pytest.approx(1, abs=1e-3)
     got = masked_lm.scored(odd).toPandas()
     assert len(got) == len(ODD) and set(got[got.n_words == 0].log_prob) == {0.0} and masked_lm.scored(odd.filter("false")).count() == 0
 
 
+def test_trees_give_each_id_its_share():
+    counts = np.zeros(masked_lm.BUCKETS, np.int64)
+    counts[:2000] = np.arange(2000) ** 2
+    vocab = masked_lm.vocabulary(counts)
+    ids = np.array([0, 1, 5, 1999, 1500, 3000])
+    row, node, right = vocab.ways(ids)
+    turn = -np.logaddexp(0, np.where(right > 0, -1, 1) * vocab.odds[node])
+    share = np.log((counts + 1) / np.bincount(vocab.classes, counts + 1)[vocab.classes])
+    assert np.bincount(row, turn, len(ids)) == pytest.approx(share[ids], abs=1e-4)
+    net = masked_lm.Network.fresh(vocab.odds)
+    assert net.log_turns(np.ones((len(ids), masked_lm.WIDTH), np.float32), ids, vocab) == pytest.approx(share[ids], abs=1e-4)
+
+
+def test_words_of_one_class_are_told_apart_by_context(spark):
+    """Words of equal frequency, each after a word of its own: only the trees can tell them apart."""
+    rng = random.Random(10)
+    text = lambda: " ".join(f"a{k} b{k}" for k in rng.choices(range(40), k=100))
+    frame = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    vocab = masked_lm.vocabulary(masked_lm.bucket_counts(frame))
+    net, fresh = masked_lm.trained(frame, vocab), masked_lm.Network.fresh(vocab.odds)
+    ids, edges = masked_lm.word_ids(pa.array([text()]))
+    around, used = masked_lm.contexts(ids, edges), np.bincount(vocab.classes, minlength=masked_lm.CLASSES) > 0
+    inside = lambda n: n.log_turns(n.hidden(around), ids, vocab).mean()
+    assert inside(net) > inside(fresh) + 0.1 and net.log_wanted(around, ids, vocab, used).mean() > fresh.log_wanted(around, ids, vocab, used).mean() + 0.5
+
+
 def test_every_word_is_a_target(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(masked_lm.Network, "train", lambda self, around, wanted, sums: seen.append(len(wanted)))
+    monkeypatch.setattr(masked_lm.Network, "train", lambda self, around, ids, vocab, sums: seen.append(len(ids)))
     monkeypatch.setattr(masked_lm, "_averaged", lambda models: models)
 
     class Rows:  # runs the task here
@@ -679,7 +707,7 @@ def test_every_word_is_a_target(spark, monkeypatch):
         def mapInArrow(self, task, schema):
             return list(task(iter([pa.RecordBatch.from_arrays([pa.array(["a b c", "d", None, "e f " * 3000])], ["text"])])))
 
-    (out,) = masked_lm.trained(Rows(), np.zeros(masked_lm.BUCKETS, np.int64))
+    (out,) = masked_lm.trained(Rows(), masked_lm.vocabulary(np.zeros(masked_lm.BUCKETS, np.int64)))
     assert sum(seen) == out.column("words")[0].as_py() == 6004
 
 
@@ -693,11 +721,11 @@ def test_scores_by_force(spark, monkeypatch):
     both = collections.Counter((*around(w, i), w[i]) for w in split for i in range(len(w)))
     beside = collections.Counter(around(w, i) for w in split for i in range(len(w)))
     counts = masked_lm.bucket_counts(frame)
-    classes, shares = masked_lm.classes_of(counts)
-    net = masked_lm.trained(frame, classes)
+    vocab = masked_lm.vocabulary(counts)
+    net = masked_lm.trained(frame, vocab)
     want = {}
     for d, (t, w) in enumerate(zip(texts, split)):
-        prior = np.exp(masked_lm.log_probabilities(net, classes, shares, *masked_lm.word_ids(pa.array([t], pa.string()))))
+        prior = np.exp(masked_lm.log_probabilities(net, vocab, *masked_lm.word_ids(pa.array([t], pa.string()))))
         p = [(both[*around(w, i), w[i]] - 1 + prior[i]) / (beside[around(w, i)] - 1 + 1) for i in range(len(w))]
         want[d] = (len(w), float(np.log(p).sum()) if w else 0.0)
     one = collections.defaultdict(float)  # of all words, given two neighbours
