@@ -5,6 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: The searches that each mode of retrieval runs, and the settings that only one of them reads.
+SEARCHES = {"hybrid": {"vector", "bm25"}, "vector": {"vector"}, "bm25": {"bm25"}}
+READ_BY = {"distance": "vector", "instruction": "vector"}
+
+
 @dataclass(frozen=True)
 class Settings:
     mode: str = "hybrid"
@@ -22,7 +27,7 @@ class Settings:
     max_calls: int = 200
 
     def __post_init__(self) -> None:
-        if self.mode not in ("hybrid", "vector", "bm25") or self.context_pages != 4 or min(self.top_k, self.rrf_k, self.chunk_target, self.chunk_max) < 1:
+        if self.mode not in SEARCHES or self.context_pages != 4 or min(self.top_k, self.rrf_k, self.chunk_target, self.chunk_max) < 1:
             raise ValueError("bad settings")
 
     @property
@@ -41,8 +46,9 @@ class EvaluationConfig:
     tag: str = ""
 
     def __post_init__(self) -> None:
-        if not self.name.strip() or not 1 <= self.top_k <= 20 or self.mode not in ("hybrid", "vector", "bm25") or self.distance not in ("l2", "cosine", None):
-            raise ValueError("bad evaluation settings")
-        if self.mode == "bm25":
-            object.__setattr__(self, "distance", None)
-            object.__setattr__(self, "instruction", None)
+        checks = {"name": bool(self.name.strip()), "mode": self.mode in SEARCHES, "top_k": self.top_k in range(1, 21), "distance": self.distance in (None, "l2", "cosine")}
+        if wrong := [field for field, fits in checks.items() if not fits]:
+            raise ValueError(f"bad evaluation settings: {wrong}")
+        for field, search in READ_BY.items():  # what no search of the mode reads is not set, so equal runs have equal settings
+            if search not in SEARCHES[self.mode]:
+                object.__setattr__(self, field, None)
