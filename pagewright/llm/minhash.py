@@ -12,15 +12,17 @@ others in all its bands: near copies of one text agree with that text more than
 components. Only classes of buckets that still hold several components go on. Of these, similar sets must share one of
 their rarest shingles (about an eighth of the smaller set's, a fifth of the larger's; ``prefix_sizes``), in any one order:
 here by how many sets hold a shingle. So texts of one template, which agree in most bands and are similar to none, part by
-what is their own, and make no candidates; this filter loses no pair. Classes that share such a shingle meet in blocks, where signatures are compared; survivors
-are verified on their full sets, which only then are moved: of two components the pair that agrees most, then the pairs
-of those that are still apart. A link between classes that are in one component by other links isn't looked for: it
-changes no component.
+what is their own, and make no candidates; this filter loses no pair. Classes that share such a shingle are put into
+blocks of about ``BLOCK`` (those of shingles with the same commonest component share blocks), once each whatever number of
+shingles they have; the members outside a shingle's commonest component visit the blocks of its members. A task holds a block and
+streams its visitors: signatures first, then the full sets, and only links that join two components become rows, so a
+block emits fewer links than it has components. A link between classes that are in one component by other links isn't
+looked for: it changes no component.
 
 Scale. The row of a class moves as its bands (16 bytes each) and, if it shares a bucket with another, as its signature
 and its set. Texts are read twice and moved once, those of shared buckets alone. Classes of unsettled buckets become a narrow
-row for each rare shingle. Hot buckets and leaders are sides of joins that adaptive execution splits; crowded groups are
-split into blocks, and their visitors take turns. Counts and the ``SKETCH`` counters reach the driver.
+row for each rare shingle; a visit carries a set, and takes place only between classes that share one. Hot buckets and leaders
+are sides of joins that adaptive execution splits; crowded blocks are split by their visitors. Counts and the ``SKETCH`` counters reach the driver.
 
 Defined results. Null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle: one shingle of
 them all. Very long texts: a row of the set is held by one task. Null id: as an id before all ids, null in the result.
@@ -241,84 +243,87 @@ def _prefixes(members: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame
     return members.select("id", "c", "n", "set").mapInArrow(run, "token long, id long, c long, n long, short boolean")
 
 
+def _meeting(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(token, id, c): the classes (id, c) by the rare shingles in which they may meet a similar class of another component."""
+    rows = checkpointed(_prefixes(sets.join(live, "id"), _rarity(sets), round(100 * threshold)))
+    shared = rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("short").alias("short")).filter("c0 < c1 and short").select("token")
+    return checkpointed(rows.join(shared, "token").select("token", "id", "c"))
+
+
 class _Block:
-    """The members of a block; ``near`` gives those that a visitor, of another component, may be similar to."""
+    """The members of a block, with their labels so far; ``links`` compares a visitor with all of them."""
 
     def __init__(self, rows: pa.Table, threshold: float):
-        self.id, self.c, self.n, self.short = (rows.column(x).to_numpy(zero_copy_only=False) if x == "short" else rows.column(x).to_numpy() for x in ("id", "c", "n", "short"))
+        self.id, self.c, self.n = (rows.column(x).to_numpy().copy() for x in ("id", "c", "n"))
         self.sig = flat(rows.column("sig"))[0].reshape(len(self.id), BANDS * ROWS)
+        data, at = flat(rows.column("set"))
+        self.known, self.of = np.unique(np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)
+        self.edge = at // 8
         self.percent, self.least = round(100 * threshold), fewest_agreements(threshold)
-
-    def near(self, c: int, n: int, short: bool, sig: np.ndarray) -> np.ndarray:
-        meets = np.where(self.n < n, self.short, (self.n > n) & short | (self.n == n) & (self.short | short))
-        wanted = meets & (self.c != c) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n))
-        return _agreeing(sig, self.sig, np.flatnonzero(wanted), self.least)
+        self.same: dict[int, int] = {}
+
+    def label(self, c: int) -> int:
+        while c in self.same:
+            c = self.same[c]
+        return c
+
+    def links(self, vid: int, c: int, n: int, sig: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """A link for each component of which a member is similar to the visitor."""
+        c = self.label(c)
+        near = (self.c != c) & (100 * np.minimum(self.n, n) >= self.percent * np.maximum(self.n, n))
+        live = _agreeing(sig, self.sig, np.flatnonzero(near), self.least)
+        if not len(live):
+            return
+        held = np.zeros(len(self.known), bool)
+        where = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        held[where[self.known[where] == hashes]] = True
+        for j in live.tolist():
+            if self.c[j] != c and _similar(int(held[self.of[self.edge[j] : self.edge[j + 1]]].sum()), n, int(self.n[j]), self.percent):
+                yield min(vid, int(self.id[j])), max(vid, int(self.id[j]))
+                old = int(self.c[j])
+                self.same[old] = c
+                self.c[self.c == old] = c
 
 
-def _survivors(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ca, cb, agreed): pairs of the classes of unsettled buckets (id, c), of different components, that share a rare
-    shingle as similar ones must, and survive the Bayesian test."""
-    percent = round(100 * threshold)
-    rows = checkpointed(_prefixes(sets.join(live, "id"), _rarity(sets), percent))
-    by_component = rows.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("short").alias("short"))
-    groups = by_component.groupBy("token").agg(F.sum("k").alias("m"), F.count("*").alias("components"), F.max("short").alias("short"), F.max(F.struct("k", "c"))["c"].alias("top"))
-    groups = checkpointed(groups.filter("components > 1 and short").select("token", "top", F.ceil(F.col("m") / BLOCK).alias("parts")))
-    met = checkpointed(rows.join(groups, "token"))
-    # visitors: all but the commonest component, which come to every block of the group; crowds of them take turns
-    turns = met.groupBy("token").agg(F.ceil(F.count_if(F.col("c") != F.col("top")) / BLOCK).alias("turns"))
-    met = met.join(turns, "token")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    members = met.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("turn", F.explode(upto(F.col("turns")))).withColumn("role", F.lit(0))
-    visitors = met.filter("c <> top").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns")).withColumn("part", F.explode(upto(F.col("parts")))).withColumn("role", F.lit(1))
-    keys = ["token", "part", "turn"]
-    names = [*keys, "role", "id", "c", "n", "short"]
+def _across(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components ``c`` of the rows (token, id, c): enough to join all that a similar pair with a token in
+    common joins."""
+    commonest = live.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("top"))
+    rows = checkpointed(live.join(commonest, "token"))
+    home = rows.groupBy("id").agg(F.min("c").alias("c"), F.min("top").alias("place"))
+    sizes = home.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    home = checkpointed(home.join(sizes, "place").select("id", "c", "place", F.pmod(F.xxhash64("id"), "parts").alias("part")))
+    blocks_of = rows.join(home.select("id", "place", "part"), "id").select("token", "place", "part").distinct()
+    visits = rows.filter("c <> top").select("token", "id").join(blocks_of, "token").select("id", "place", "part").distinct()
+    visits = checkpointed(visits)
+    crowds = visits.groupBy("place", "part").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
+    visitors = visits.join(crowds, ["place", "part"]).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns")).join(home.select("id", "c"), "id")
+    members = home.join(crowds, ["place", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    keys = ["place", "part", "turn"]
+    both = members.select(*keys, F.lit(0).alias("role"), "id", "c").unionByName(visitors.select(*keys, F.lit(1).alias("role"), "id", "c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block, out = None, [], None, []
         for b in batches:
             k = list(zip(*(b.column(x).to_pylist() for x in keys), strict=True))
-            told = [b.column(x).to_pylist() for x in ("role", "id", "c", "n", "short")]
-            sigs = flat(b.column("sig"))[0].reshape(b.num_rows, BANDS * ROWS)
+            role = b.column("role").to_pylist()
             for i in range(b.num_rows):
                 if k[i] != key:
                     key, held, block = k[i], [], None
-                role, vid, c, n, short = (x[i] for x in told)
-                if not role:
+                if not role[i]:
                     held.append(b.slice(i, 1))
                     continue
                 if held:
                     block, held = _Block(pa.Table.from_batches(held), threshold), []
                 if block is None:
                     continue
-                for j in block.near(c, n, short, sigs[i]).tolist():
-                    other = int(block.id[j])
-                    pair = (vid, other, c, int(block.c[j])) if vid < other else (other, vid, int(block.c[j]), c)
-                    out.append((*pair, int((block.sig[j] == sigs[i]).sum())))
-            if len(out) > 4096:
-                yield batch(out)
-                out = []
-        yield batch(out)
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 5)], ["a", "b", "ca", "cb", "agreed"])
-
-    both = members.select(*names).unionByName(visitors.select(*names)).join(sets.select("id", "sig"), "id")
-    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "role", "id")
-    return dealt.select(*names, "sig").mapInArrow(run, "a long, b long, ca long, cb long, agreed long").distinct()
+                sig, hashes = (b.column(x)[i].as_buffer() for x in ("sig", "set"))
+                out += block.links(b.column("id")[i].as_py(), b.column("c")[i].as_py(), b.column("n")[i].as_py(), np.frombuffer(sig, np.uint8), np.frombuffer(hashes, np.uint64))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-
-def _across(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components of the classes of unsettled buckets (id, c): enough to join all that similar pairs
-    join. Of two components the pair that agrees most is verified first; then all pairs of those that are still apart."""
-    pairs = checkpointed(_survivors(live, sets, threshold))
-    best = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("agreed", -F.col("a"), -F.col("b"), "a", "b", "ca", "cb")).alias("p"))
-    first = _linked(best.select("p.a", "p.b"), sets, threshold).join(pairs, ["a", "b"])
-    first = checkpointed(first.select("a", "b", "ca", "cb"))
-    joined = components(first.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    to = lambda x: joined.select(F.col("v").alias(x), F.col("component").alias(f"{x}2"))
-    left = pairs.join(to("ca"), "ca", "left").join(to("cb"), "cb", "left").filter(F.coalesce("ca2", "ca") != F.coalesce("cb2", "cb"))
-    left = left.join(best.select("p.a", "p.b"), ["a", "b"], "left_anti")
-    return first.select("a", "b").unionByName(_linked(checkpointed(left.select("a", "b")), sets, threshold))
+    dealt = both.join(sets, "id").repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+    return dealt.select(*keys, "role", "id", "c", "n", "sig", "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,7 +354,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
 
     live = buckets.filter("m > 2").select("band", "id").join(first.withColumnsRenamed({"v": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
     unsettled = live.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
-    found = checkpointed(_across(checkpointed(live.join(unsettled, "band", "left_semi").select("id", "c").distinct()), sets, threshold))
+    apart = checkpointed(live.join(unsettled, "band", "left_semi").select("id", "c").distinct())
+    found = checkpointed(_across(_meeting(apart, sets, threshold), sets, threshold))
     label = lambda x: found.select(x).join(first.select(F.col("v").alias(x), F.col("component").alias(f"c{x}")), x, "left").select(x, F.coalesce(f"c{x}", x).alias(f"c{x}")).distinct()
     joined = found.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = components(joined).select(F.col("v").alias("component"), F.col("component").alias("last"))

@@ -33,9 +33,11 @@ def test_prefixes_lose_no_similar_pair(spark):
     sets, live = frames(spark, texts)
     plain = [set(s.tolist()) for s in minhash.shingle_sets(pa.array(texts), 2)]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if plain[i] and plain[j] and 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])}
-    got = {(r.a, r.b) for r in minhash._survivors(live, sets, 0.8).collect()}
-    assert want and want <= got
-    links = {(r.a, r.b) for r in minhash._across(live, sets, 0.8).collect()}
+    of = {}
+    for r in minhash._meeting(live, sets, 0.8).collect():
+        of.setdefault(r.id, set()).add(r.token)
+    assert want and all(of[a] & of[b] for a, b in want)
+    links = {(r.a, r.b) for r in minhash._across(minhash._meeting(live, sets, 0.8), sets, 0.8).collect()}
     assert links <= want
     root = list(range(len(texts)))
 
@@ -61,7 +63,7 @@ def test_texts_of_a_template_make_no_candidates(spark):
         sets, live = frames(spark, family(rng, m))
         rarity = minhash._rarity(sets)
         counts[m] = minhash._prefixes(sets.join(live, "id"), rarity, 80).count()
-        assert minhash._survivors(live, sets, 0.8).count() == 0
+        assert minhash._meeting(live, sets, 0.8).count() == 0
     assert counts[400] <= 4.1 * counts[100]
 
 
