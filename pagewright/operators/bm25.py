@@ -21,8 +21,8 @@ from pagewright.sources.shared import stored
 
 K1, B, DIGITS = 1.5, 0.75, 9
 SCHEMA_VERSION = 3
-#: Chunks of a block of the written index.
-BLOCK = 1 << 7
+#: A block of the written index has ``2 ** BITS`` chunks: the fewer, the nearer its bound is to what its chunks score.
+BITS = 5
 #: The term of the row that every chunk has, whether it has terms or not; never a term itself.
 CHUNK = ""
 
@@ -43,13 +43,13 @@ def impact(avgdl: Column) -> Column:
 def write_index(chunks: DataFrame, folder: str, key: str = "chunk_index", text: str = "text", grace: float = GRACE) -> None:
     """Replaces the index below the folder, by a pointer to a new one (``sources.pointers``): readers under way keep theirs.
 
-    Chunks are put into blocks of ``BLOCK`` in the order of their keys. ``blocks`` has a row for each term and block, sorted by
+    Chunks are put into blocks of ``2 ** BITS`` in the order of their keys. ``blocks`` has a row for each term and block, sorted by
     term: the postings, how many there are, and the greatest impact of them. ``terms`` has document frequencies, ``chunks`` the
     chunks' lengths and blocks, and the pointer the number of chunks and their mean length."""
     spark, at = chunks.sparkSession, Pointers(chunks.sparkSession, folder)
     name = f"v-{uuid.uuid4().hex}"
     laid = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
-    rows = stored(postings(laid.withColumn("block", F.shiftright(F.monotonically_increasing_id(), 7)), "key", also=("block",)))
+    rows = stored(postings(laid.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BITS)), "key", also=("block",)))
     lengths = rows.filter(F.col("term") == CHUNK)
     lengths.select("key", "dl", "block").write.parquet(f"{at.folder}/{name}/chunks")
     n, avgdl = spark.read.parquet(f"{at.folder}/{name}/chunks").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
