@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.edges import with_retries
 from pagewright.functions import text as T
 from pagewright.operators import quality
-from pagewright.operators.numbering import constant
+from pagewright.operators.numbering import places
 from pagewright.operators.pages import context_windows
 from pagewright.sources import files as files_module
 from pagewright.sources.shared import removed, stored
@@ -108,12 +108,8 @@ def validated(results: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, n: int, tasks: int) -> DataFrame:
     """The n rows of a stored table, dealt evenly: as many rows a task as another, or one more."""
-    at = F.monotonically_increasing_id()  # the partition's number and the row's place in it
-    placed = rows.withColumns({"__part": F.shiftright(at, 33), "__row": at.bitwiseAND((1 << 33) - 1)})
-    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}  # a row for each partition
-    bases = [sum(c for p, c in counts.items() if p < i) for i in range(max(counts) + 1)]
-    place = F.get(constant(bases, "long"), F.col("__part").cast("int")) + F.col("__row")
-    return placed.withColumn("__task", F.floor(place * tasks / n).cast("int")).repartitionById(tasks, F.col("__task")).drop("__part", "__row", "__task")
+    placed = places(rows, "__place").withColumn("__task", F.floor(F.col("__place") * tasks / n).cast("int"))
+    return placed.repartitionById(tasks, F.col("__task")).drop("__place", "__task")
 
 
 class Answers:

@@ -45,3 +45,15 @@ def numbered(rows: DataFrame, key: str, *order: str, name: str = "chunk_index")
         base += counts.get(i, 0)
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(key, *order))
     return placed.withColumn(name, F.get(constant(bases, "long"), F.col("__range")) + inside - 1).drop("__range")
+
+
+def places(rows: DataFrame, name: str) -> DataFrame:
+    """``name``: the rows' places, from 0, in the order in which a stored table is read. The driver gets a row for each partition."""
+    at = F.monotonically_increasing_id()  # the partition's number and the row's place in it
+    placed = rows.withColumns({"__part": F.shiftright(at, 33).cast("int"), "__row": at.bitwiseAND((1 << 33) - 1)})
+    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+    base, bases = 0, []
+    for i in range(max(counts, default=0) + 1):
+        bases.append(base)
+        base += counts.get(i, 0)
+    return placed.withColumn(name, F.get(constant(bases, "long"), F.col("__part")) + F.col("__row")).drop("__part", "__row")

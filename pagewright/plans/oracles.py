@@ -395,3 +395,9 @@ where (conv_id, turn) in (select (conv_id, turn) from ({SQL["query_build_context
 SQL["embedded_chunks"] = "select doc_id as chunk_index, length(text)::double as characters, (length(text) - length(replace(text, ' ', '')))::double as blanks from documents"
 
 SQL["over_budget_documents"] = "select conv_id::varchar as document_id, count(*) as pages from conversations group by conv_id having count(*) > 5"
+
+SQL["imported_questions"] = f"""
+with {_QP} select id as query_id, {_strip('question')} as question, true as active, string_agg(document_id || ':' || page, ',' order by document_id, page) as pages
+from q join p using (id) group by id, question"""
+
+SQL["evaluation_run"] = SQL["score_retrieval"]

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright import edges
+from pagewright import edges, evaluation
+from pagewright.config import EvaluationConfig
 from pagewright.functions import text as T
 from pagewright.operators import ask, assemble, bm25, chunking, extraction, fusion, metrics, pages, quality, retrieve, vector, viewer
 from pagewright.operators.numbering import numbered
@@ -694,3 +695,35 @@ def over_budget_documents(spark, d):
     """Documents with more pages than allowed."""
     pages = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), "turn")
     return quality.over_budget(pages, "document_id", 5)
+
+
+def _conversation_questions(asked: DataFrame, turns: DataFrame) -> DataFrame:
+    """Questions (query_id, conv_id, query) with the assistant's turns of their conversation as pages, some of them told twice."""
+    page = F.struct(F.concat(F.lit(" "), F.col("conv_id").cast("string")).alias("document_id"), (F.col("turn") + 1).cast("int").alias("page"), F.lit("s").alias("source"), F.lit("p").alias("source_path"), F.lit("").alias("reference_text"))
+    pages = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    return asked.join(pages, "conv_id").select(F.concat(F.lit(" "), "query", F.lit(" ")).alias("question"), F.col("query_id").cast("string").alias("category"), F.concat("pages", "pages").alias("pages"))
+
+
+@query
+def imported_questions(spark, d):
+    """All user turns, imported to a store as questions in one change, as the store lists them."""
+    turns = table(spark, d, "conversations")
+    asked = turns.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", F.col("text").alias("query"))
+    kept = store.Store(spark, shared_folder(spark))
+    kept.import_questions(_conversation_questions(asked, turns))
+    pages = F.array_join(F.transform("pages", lambda p: F.concat(p["document_id"], F.lit(":"), p["page"].cast("string"))), ",")
+    return kept.questions().select(F.col("category").cast("long").alias("query_id"), "question", "active", pages.alias("pages"))
+
+
+@query
+def evaluation_run(spark, d):
+    """A run of the evaluation from end to end: questions imported, retrieved in batches, scored, and read from the store."""
+    turns = table(spark, d, "conversations")
+    kept = store.Store(spark, shared_folder(spark))
+    kept.import_questions(_conversation_questions(_eval_questions(spark, d), turns))
+    chunks = _turns(spark, d).select("chunk_index", "document_id", (F.col("turn") + 1).cast("int").alias("page_start"), "text")
+    key = evaluation.run(kept, chunks, EvaluationConfig("run", "bm25", 5), batches=2)
+    told = "expected_count long, retrieved_count long, relevant_at_1 long, relevant_at_k long, first_relevant_rank double, false_positives long, hit_at_1 double, hit_at_k double, recall_at_1 double, recall_at_k double, precision_at_k double, mrr_at_k double, failure boolean"
+    asked = kept.table("questions").select(F.col("id").alias("question_id"), F.col("category").cast("long").alias("query_id"))
+    return kept.results(key).select("question_id", F.from_json("metrics", told).alias("m")).join(asked, "question_id").select("query_id", "m.*")
+

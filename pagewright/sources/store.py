@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.numbering import places
 from pagewright.sources.pointers import GRACE, KEPT, Pointers
+from pagewright.sources.shared import stored
 
 TABLES = {
     "questions": "id long, question string, category string, notes string, active boolean, created_at timestamp, updated_at timestamp",
@@ -117,6 +119,24 @@ def validated(question: str, pages: list[Page]) -> tuple[str, list[Page]]:
     return text, [(d, n, *rest) for (d, n), rest in kept.items()]
 
 
+PAGES = "array<struct<document_id:string,page:int,source:string,source_path:string,reference_text:string>>"
+
+
+def checked_questions(rows: DataFrame) -> DataFrame:
+    """(question, category, notes, pages, valid) from (question, pages[, category, notes]): what ``validated`` makes of each
+    row. A question is valid if it has a text and pages, and these a document and a number from 1."""
+    have = set(rows.columns)
+    plain = lambda name: T.strip(F.coalesce(F.col(name), F.lit(""))) if name in have else F.lit("")
+    text = lambda p, name: T.strip(F.coalesce(p[name], F.lit("")))
+    fields = ("source", "source_path", "reference_text")
+    trimmed = F.transform(F.col("pages").cast(PAGES), lambda p: F.struct(text(p, "document_id").alias("document_id"), p["page"].alias("page"), *[text(p, f).alias(f) for f in fields]))
+    key = lambda p: F.struct(p["document_id"].alias("d"), F.coalesce(p["page"], F.lit(0)).alias("n"))
+    out = rows.select(plain("question").alias("question"), plain("category").alias("category"), plain("notes").alias("notes"), F.coalesce(trimmed, F.array().cast(PAGES)).alias("pages"))
+    last = F.filter("pages", lambda p, i: ~F.exists(F.slice(F.col("pages"), i + 2, F.greatest(F.size("pages"), F.lit(1))), lambda q: key(q) == key(p)))
+    fits = (F.col("question") != "") & (F.size("pages") > 0) & F.forall("pages", lambda p: (p["document_id"] != "") & (F.coalesce(p["page"], F.lit(0)) >= 1))
+    return out.withColumn("pages", last).withColumn("valid", fits)
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str, grace: float = GRACE):
         self.spark, self.folder, self.grace = spark, folder.rstrip("/"), grace
@@ -196,6 +216,20 @@ class Store:
             self._change({"questions": questions.filter(F.col("id") != key).unionByName(new), "relevant_pages": self.table("relevant_pages").filter(F.col("question_id") != key).unionByName(new_pages)})
         return key
 
+    def import_questions(self, rows: DataFrame) -> int:
+        """Adds all questions (question, pages: an array of (document_id, page, source, source_path, reference_text)[, category,
+        notes]) in one change, under the next ids, and returns their number; nothing where one of them is not valid."""
+        checked = stored(checked_questions(rows))
+        if bad := checked.filter("not valid").limit(5).collect():
+            raise ValueError(f"a question needs a text and pages with a document and a number from 1: {[r['question'] for r in bad]}")
+        n, first = checked.count(), self._state()["next_id"]
+        if n:
+            now = F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
+            new = stored(places(checked, "__place").withColumn("id", F.col("__place") + first))
+            pages = new.select(F.col("id").alias("question_id"), F.inline("pages"))
+            self._change(added={"questions": new.withColumns({"active": F.lit(True), "created_at": now, "updated_at": now}), "relevant_pages": pages}, new_id=first + n - 1)
+        return n
+
     def delete_question(self, key: int) -> bool:
         """Whether there was one. Its pages go with it; results of past evaluations stay."""
         known = not self.table("questions").filter(F.col("id") == key).isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright import edges
 from pagewright.operators import bm25, vector
-from pagewright.sources import files, pointers
+from pagewright.sources import files, pointers, store
 from pagewright.sources.store import Store, latest
 from pagewright.streaming.ingest import chunk_stream
 
@@ -218,3 +218,21 @@ def test_vectors_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, vector.nearest(asked, frame, 5, "cosine").collect())) == want
     assert vector.nearest(asked.filter("false"), frame).count() == 0 and vector.nearest(asked, frame.filter("false")).count() == 0
+
+
+def test_questions_are_imported_in_one_change(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    first = s.save_question("before", [("d", 1)])
+    schema = f"question string, category string, pages {store.PAGES}"
+    page = lambda d, n, ref="": (d, n, " s ", None, ref)
+    rows = spark.createDataFrame([(" one ", " c ", [page(" d ", 2, "old"), page("d", 1), page("d", 2, " new ")]), ("two", None, [page("e", 3)])], schema).repartition(2)
+    version = s._state()["version"]
+    assert s.import_questions(rows) == 2 and s._state()["version"] == version + 1
+    told = {r.question: r for r in s.questions().collect()}
+    assert sorted(r.id for r in told.values()) == [first, first + 1, first + 2] and all(r.active for r in told.values())
+    assert told["one"].category == "c" and [tuple(p) for p in told["one"].pages] == [("d", 1, "s", "", ""), ("d", 2, "s", "", "new")] and told["two"].category == ""
+    for bad in ((" ", "", [page("d", 1)]), ("q", "", []), ("q", "", None), (None, "", [page("d", 1)]), ("q", "", [page(" ", 1)]), ("q", "", [page("d", 0)]), ("q", "", [page("d", None)])):
+        with pytest.raises(ValueError):
+            s.import_questions(rows.unionByName(spark.createDataFrame([bad], schema)))
+    assert s.import_questions(rows.filter("false")) == 0 and s.table("questions").count() == 3
+    assert s.save_question("after", [("d", 1)]) == first + 3
