@@ -19,9 +19,24 @@ def top_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir()
 
 
+#: Folders of intermediate tables that this program has named.
+_named: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the shared folder."""
-    return f"{top_folder(spark)}/pagewright-{uuid.uuid4().hex}"
+    _named.append(f"{top_folder(spark)}/pagewright-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this program has written so far, and returns how many there were. For a program
+    that has written its results: frames that the operators returned before read these tables, and can't be used any more."""
+    gone = 0
+    while _named:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def removed(spark: SparkSession, folder: str) -> None:

@@ -61,3 +61,34 @@ def test_model_answers(spark):
 @given(st.text(alphabet=st.sampled_from(list("ab \n\t.,é_1")), max_size=40))
 def test_collapse_is_pythons(spark, t):
     assert one(spark, t, T.collapse("t"))[0] == " ".join(t.split())
+
+
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    from pagewright.sources import shared
+
+    kept = shared._named[:]
+    shared._named.clear()
+    try:
+        rows = shared.stored(spark.range(5))
+        folder = shared._named[-1].removeprefix("file://")
+        assert rows.count() == 5 and os.path.isdir(folder)
+        shared.shared_folder(spark)  # named, never written
+        assert shared.release(spark) == 1 and not os.path.exists(folder) and shared.release(spark) == 0
+    finally:
+        shared._named[:] = kept
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pagewright.sources import shared
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared.top_folder(session("local[4]")).startswith("file:///") and shared.top_folder(session("local")).startswith("file:///")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            shared.top_folder(session(master))
