@@ -212,3 +212,23 @@ def test_ranges_of_many_splitters(spark):
     words = sorted({"".join(rng.choice("ab\0\u00e9\U0001f600") for _ in range(4)) for _ in range(400)})
     got = spark.createDataFrame([(w,) for w in [*words, "", "zz"]], "v string").select(range_of(F.col("v"), words, "string").alias("r"))
     assert [r.r for r in got.collect()] == [*range(1, len(words) + 1), 0, bisect.bisect_right(words, "zz")]
+
+
+def test_a_search_moves_tops_and_never_hits(spark):
+    texts = [f"w{i % 7} w{i % 11} w{i % 13} common{i % 3}" for i in range(300)]
+    chunks = chunk_frame(spark, texts).repartition(3)
+    queries = spark.createDataFrame([(q, f"w{q % 7} w{q} W{q} common1 missing") for q in range(13)], "query_id long, query string")
+    out = bm25.search(queries, chunks, 4)
+    plan = out._jdf.queryExecution().toString()
+    assert "hashpartitioning(query_id" not in plan and "MapInArrow" in plan
+    rows = [t.split() for t in texts]
+    df = {w: sum(w in r for r in rows) for r in rows for w in r}
+    for q in range(13):
+        asked = [f"w{q % 7}", f"w{q}", f"w{q}", "common1"]
+        told = []
+        for i, r in enumerate(rows):
+            part = [max(0.0, math.log(len(rows) - df[w] + 0.5) - math.log(df[w] + 0.5)) * 2.5 * r.count(w) / (r.count(w) + 1.5) for w in asked if w in r]
+            told.append((-round(sum(part), 9), i))
+        want = [(i, -s) for s, i in sorted(told) if s < 0][:4]
+        got = [(r["chunk_index"], r["score"]) for r in out.filter(out.query_id == q).orderBy("rank").collect()] if q in (0, 5, 12) else None
+        assert got is None or [(i, pytest.approx(s)) for i, s in want] == got
