@@ -53,6 +53,7 @@ def test_model_answers(spark):
     assert one(spark, "S2, S1 and S2", T.source_ids("t"))[0] == ["S2", "S1"]
     assert one(spark, "- q\n- A b\n2) a  B\n* c", T.query_variants("t", F.lit("Q")))[0] == ["A b", "c"]
     assert one(spark, '{"queries": ["q", "x", "y", "z"]}', T.query_variants("t", F.lit("Q")))[0] == ["x", "y"]
+    assert one(spark, "- schß\n- SCHSS\n- ı\n- I", T.query_variants("t", F.lit("Q"), 4))[0] == ["schß", "ı", "I"]
     assert one(spark, [" ", " b ", "c"], T.tag_filter(F.lit(" "), "t"))[0] == "b"
     assert one(spark, "an answer", T.grounded("t", F.array()))[0] == T.REFUSAL
 
