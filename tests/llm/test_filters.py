@@ -114,6 +114,12 @@ def test_rules_need_labels(spark):
     assert url_rules.mined(long) == []  # no token tells good from bad, and many frequent ones don't explode
 
 
+def test_rules_are_mined_from_the_ends_of_long_urls(spark):
+    rows = [(f"http://h.com/{'/'.join(f'u{i}x{j}' for j in range(80))}/{'win' if i % 2 else 'day'}", i % 2 == 1) for i in range(120)]
+    got = url_rules.mined(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert ((("p:win",), 1.0, 60)) in got and not any("p:day" in items for items, _, _ in got)
+
+
 def test_url_query_covers_all_pages(spark):
     got = {r["page_id"]: r for r in url_rules.op11_url_rules(spark, SF).collect()}
     pages = table(spark, SF, "pages").select("page_id", "url").collect()
