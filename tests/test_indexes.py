@@ -149,3 +149,12 @@ def test_appends_leave_few_folders(spark, tmp_path, monkeypatch):
     assert {n for n in os.listdir(tmp_path / "store") if not n.startswith((".", "current-"))} == named and len(named) < 24
     (tmp_path / "store/messages-left-by-a-crash").mkdir()
     assert s.collect() == ["messages-left-by-a-crash"] and s.messages("x").count() == 24
+
+
+def test_a_written_block_is_one_row(spark, tmp_path):
+    rng = random.Random(5)
+    folder = f"file://{tmp_path}/index"
+    bm25.write_index(spark.createDataFrame(passages(rng, 200), "chunk_index long, text string"), folder)
+    at = next(n for n in os.listdir(tmp_path / "index") if n.startswith("v-"))
+    blocks = spark.read.parquet(f"{folder}/{at}/blocks")
+    assert 200 / 2**bm25.BITS <= blocks.count() <= 200 / 2**bm25.BITS + 8 and blocks.agg(F.sum("n")).first()[0] == 200
