@@ -91,7 +91,7 @@ class LiveIndex:
         self._write(name, chunks=chunk_pages(pages, self.limits).select("*", seq))
         new = self.spark.read.schema(CHUNKS).parquet(f"{self.folder}/{name}/chunks")
         counted = lambda chunks: bm25.postings(chunks, "chunk_id", also=("document_id", "seq"))
-        self._write(name, postings=counted(new).sort("term"))
+        self._write(name, postings=counted(new))
         added = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/{name}/postings")
         gone = counted(self._live("chunks", state).join(rows.select("document_id"), "document_id", "left_semi"))
         signed = added.select("term", "dl", F.lit(1).cast("long").alias("by")).unionByName(gone.select("term", "dl", F.lit(-1).cast("long").alias("by")))
@@ -109,7 +109,7 @@ class LiveIndex:
         chunks = self._live("chunks", state)
         docs = chunks.select(*KEY).distinct()  # those that are gone need no mark: there is nothing older
         terms = self._read("terms", state).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        self._write(name, docs=docs, chunks=chunks, postings=self._live("postings", state).sort("term"), terms=terms)
+        self._write(name, docs=docs, chunks=chunks, postings=self._live("postings", state), terms=terms)
         return name
 
     def follow(self, source: str, checkpoint: str, schema: str = "document_id string, markdown string"):
