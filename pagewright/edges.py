@@ -37,14 +37,21 @@ def hash_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
+#: Rows whose texts and vectors a task holds as Python objects at once.
+ROWS = 256
+
+
 def embedded(rows: DataFrame, embed: Embedder, text: str = "text", batch: int = 4) -> DataFrame:
     """The rows with ``embedding``, by batches in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            found = [v for i in range(0, len(texts), batch) for v in embed(texts[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.float32()))], [*b.schema.names, "embedding"])
+        step = -(-ROWS // batch) * batch  # the embedder is given the same batches, wherever a slice ends
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                texts = [t or "" for t in b.column(text).to_pylist()]
+                found = [v for i in range(0, len(texts), batch) for v in embed(texts[i : i + batch])]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.float32()))], [*b.schema.names, "embedding"])
 
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
