@@ -106,6 +106,19 @@ class Vocabulary:
         at = np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         return np.repeat(np.arange(len(ids)), n), self.node[at], self.right[at]
 
+    def levels(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """(order, levels, node, right) of all turns of the ids: the rows in ``order``, longest way first, so that the k-th
+        turns, which lie from ``levels[k][0]`` to ``levels[k][1]``, are those of its first rows."""
+        first = self.start.take(ids)
+        n = self.start.take(ids + 1) - first
+        order = np.argsort((len(self.start) - n).astype(np.uint32), kind="stable")
+        first = first.take(order)
+        sizes = len(ids) - np.cumsum(np.bincount(n))[:-1]  # rows with more than k turns
+        ends = np.cumsum(sizes)
+        levels = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+        at = np.concatenate([first[: hi - lo] + k for k, (lo, hi) in enumerate(levels)] or [first[:0]])
+        return order, levels, self.node.take(at), self.right.take(at)
+
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
     """Classes of about equal mass, in order of frequency, and a Huffman tree of each by the ids' counts plus one."""
@@ -140,6 +153,28 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     return Vocabulary(of, np.searchsorted(ids[sorted_], np.arange(len(counts) + 1)), node[sorted_].astype(np.int32), right[sorted_].astype(np.float32), odds)
 
 
+def _taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of a table, each moved as one item: numbers that are moved one by one take twice the time or more."""
+    if table.ndim == 1:
+        return table.take(rows)
+    return table.view(f"V{table.itemsize * table.shape[1]}")[:, 0].take(rows).view(table.dtype).reshape(len(rows), table.shape[1])
+
+
+def _repeated(h: np.ndarray, order: np.ndarray, levels: list[tuple[int, int]]) -> np.ndarray:
+    """What a tree reads of the hidden layer, for each turn of ``Vocabulary.levels``."""
+    rows = _taken(np.ascontiguousarray(h[:, :INNER]), order)
+    return np.concatenate([rows[: hi - lo] for lo, hi in levels] or [rows[:0]])
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Replaces rows of a table, as ``_taken`` reads them."""
+    if table.ndim == 1:
+        table[rows] = values
+    else:
+        item = f"V{table.itemsize * table.shape[1]}"
+        table.view(item)[:, 0][rows] = values.view(item)[:, 0]
+
+
 @dataclass
 class Network:
     weights: dict[str, np.ndarray]
@@ -155,9 +190,9 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         near = self.weights["near"]
-        total = near.take(around[:, 0], 0)
+        total = _taken(near, around[:, 0])
         for k in range(1, 2 * WINDOW):
-            total += near.take(around[:, k], 0)
+            total += _taken(near, around[:, k])
         total += self.weights["bias"]
         return np.tanh(total, out=total)
 
@@ -171,9 +206,18 @@ class Network:
 
     def log_turns(self, h: np.ndarray, ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
         """The log-probability of each id within its class."""
-        row, node, right = vocab.ways(ids)
-        z = np.einsum("ij,ij->i", h[:, :INNER].take(row, 0), self.weights["turns"].take(node, 0)) + self.weights["odds"].take(node)
-        return np.bincount(row, -np.logaddexp(0, np.where(right > 0, -z, z)), len(ids))
+        order, levels, node, right = vocab.levels(ids)
+        z = np.einsum("ij,ij->i", _repeated(h, order, levels), _taken(self.weights["turns"], node)) + self.weights["odds"].take(node)
+        z = np.where(right > 0, -z, z)
+        told = np.exp(-np.abs(z))
+        told += 1
+        np.log(told, out=told)
+        told += np.maximum(z, 0)
+        sums, out = np.zeros(len(ids)), np.empty(len(ids))
+        for lo, hi in levels:
+            sums[: hi - lo] -= told[lo:hi]
+        out[order] = sums
+        return out
 
     def log_wanted(self, around: np.ndarray, ids: np.ndarray, vocab: Vocabulary, used: np.ndarray) -> np.ndarray:
         """The log-probability of the wanted id of each row; classes without ids have no share."""
@@ -198,17 +242,22 @@ class Network:
         g[np.arange(m), vocab.classes[ids]] -= 1
         g /= m
         back = g @ w["out"].T
-        row, node, right = vocab.ways(ids)
-        if len(row):
-            part, turns = h[:, :INNER].take(row, 0), w["turns"].take(node, 0)
+        order, levels, node, right = vocab.levels(ids)
+        if levels:
+            part, turns = _repeated(h, order, levels), _taken(w["turns"], node)
             with np.errstate(over="ignore"):
                 t = (1 / (1 + np.exp(-np.einsum("ij,ij->i", part, turns) - w["odds"].take(node))) - right).astype(np.float32) / np.float32(m)
-            heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            back[row[heads], :INNER] += np.add.reduceat((turns * t[:, None]).view(np.complex64), heads, axis=0).view(np.float32)
+            turns *= t[:, None]
+            sums, own = np.zeros((m, INNER), np.float32), np.empty((m, INNER), np.float32)
+            for lo, hi in levels:
+                sums[: hi - lo] += turns[lo:hi]
+            _put(own, order, sums)
+            back[:, :INNER] += own
+            part *= t[:, None]
             placed = np.sort(node.astype(np.int64) << 32 | np.arange(len(node)))
-            of, order = placed >> 32, placed & 0xFFFFFFFF
+            of, readers = placed >> 32, placed & 0xFFFFFFFF
             starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            for k, grad in (("turns", np.add.reduceat((part * t[:, None]).view(np.complex64).take(order, 0), starts, axis=0).view(np.float32)), ("odds", np.add.reduceat(t.take(order), starts))):
+            for k, grad in (("turns", np.add.reduceat(_taken(part, readers).view(np.complex64), starts, axis=0).view(np.float32)), ("odds", np.add.reduceat(t.take(readers), starts))):
                 self._step(k, of[starts], grad, seen)
         back *= 1 - h * h
         for k, grad in (("out", h.T @ g), ("shift", g.sum(0)), ("bias", back.sum(0))):
@@ -217,14 +266,20 @@ class Network:
         placed = np.sort((around << 32 | np.arange(m)[:, None]).ravel())  # one sort gives the rows and who reads them
         of = placed >> 32
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        readers = back.view(np.complex64).take(placed & 0xFFFFFFFF, 0)  # pairs of numbers: the same sums, four times as quick
+        readers = _taken(back, placed & 0xFFFFFFFF).view(np.complex64)  # pairs of numbers: the same sums, four times as quick
         self._step("near", of[starts], np.add.reduceat(readers, starts, axis=0).view(np.float32), seen)
 
     def _step(self, k: str, used: np.ndarray, grad: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """An Adagrad step of the rows ``used``."""
-        total = seen[k][used] + grad * grad
-        seen[k][used] = total
-        self.weights[k][used] -= RATE * grad / np.sqrt(total + 1e-8)
+        total = _taken(seen[k], used)
+        total += grad * grad
+        _put(seen[k], used, total)
+        total += np.float32(1e-8)
+        np.sqrt(total, out=total)
+        np.divide(RATE * grad, total, out=total)
+        weights = _taken(self.weights[k], used)
+        weights -= total
+        _put(self.weights[k], used, weights)
 
     def pack(self) -> bytes:
         return b"".join(self.weights[k].tobytes() for k in _SIZES)

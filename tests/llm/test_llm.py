@@ -682,6 +682,21 @@ def test_trees_give_each_id_its_share():
     assert net.log_turns(np.ones((len(ids), masked_lm.WIDTH), np.float32), ids, vocab) == pytest.approx(share[ids], abs=1e-4)
 
 
+def test_ways_by_level_are_the_ways_of_the_rows():
+    vocab = masked_lm.vocabulary(np.random.default_rng(3).zipf(1.3, masked_lm.BUCKETS).clip(0, 10**6))
+    ids = np.random.default_rng(4).integers(0, masked_lm.BUCKETS, 500)
+    row, node, right = vocab.ways(ids)
+    order, levels, nodes, rights = vocab.levels(ids)
+    told = [[] for _ in ids]
+    for lo, hi in levels:
+        for k in range(lo, hi):
+            told[order[k - lo]].append((int(nodes[k]), float(rights[k])))
+    assert told == [[(int(n), float(r)) for n, r in zip(node[row == i], right[row == i])] for i in range(len(ids))]
+    assert vocab.levels(ids[:0])[1] == []
+    table, rows = np.random.default_rng(5).normal(size=(50, 8)).astype(np.float32), np.array([3, 3, 49, 0])
+    assert np.array_equal(masked_lm._taken(table, rows), table[rows])
+
+
 def test_words_of_one_class_are_told_apart_by_context(spark):
     """Words of equal frequency, each after a word of its own: only the trees can tell them apart."""
     rng = random.Random(10)
