@@ -93,14 +93,21 @@ def in_rounds(read: DataFrame, rendered: DataFrame, ask: Callable[[DataFrame, in
     return first.join(second.select(*PAGE), PAGE, "left_anti").unionByName(second)
 
 
+def judged(read: DataFrame, rendered: DataFrame, ask: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """What ``validated`` says of the last answers that ``in_rounds`` gives; each answer goes through the gates once."""
+    first = stored(validated(ask(read, 1), rendered))
+    again = first.filter("status <> 'ok' and error is null").select(*PAGE)
+    second = stored(validated(ask(read.join(again, PAGE, "left_semi"), 2).withColumn("calls", F.lit(2)), rendered))
+    return first.join(second.select(*PAGE), PAGE, "left_anti").unionByName(second)
+
+
 def validated(results: DataFrame, rendered: DataFrame) -> DataFrame:
     """(document_id, page_number, markdown, status, issue, calls, error): markdown that ended by itself, parses, is complete and covers
     the page's own text; a failed page is empty."""
     rows = results.withColumn("markdown", quality.accepted(F.col("raw"), F.col("stop_reason")))
     key = ["document_id", "page_number"]
     covered = rows.join(rendered.select(*key, "reference"), key, "left")
-    low = quality.reference_coverage(covered.withColumn("markdown", F.coalesce("markdown", F.lit(""))), key, "reference", "markdown").select(*key, F.col("issue").alias("low"))
-    out = rows.join(low, key, "left")
+    out = quality.reference_coverage(covered.withColumn("__told", F.coalesce("markdown", F.lit(""))), rows.columns, "reference", "__told").withColumn("low", F.col("issue"))
     issue = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("markdown").isNull(), "unusable answer").when(F.col("low"), "low coverage")
     out = out.withColumn("issue", issue).withColumn("status", F.when(F.col("issue").isNull(), "ok").otherwise("failed"))
     return out.select(*key, F.when(F.col("status") == "ok", T.strip("markdown")).otherwise("").alias("markdown"), "status", "issue", "calls", "error")
@@ -181,8 +188,7 @@ def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int,
     read = stored(with_context(rendered, context_pages).join(todo.select(*PAGE), PAGE, "left_semi"))
     deadline = None if timeout is None else time.time() + timeout
     answers = Answers(spark, cache, key, refresh or retry_failed, pages_a_task)
-    results = in_rounds(read, rendered, lambda pages, attempt: answers.asked(pages, named, attempt, lambda x: extract(x, call, deadline=deadline, alone=attempt == 2, **calls)))
-    told = stored(validated(results, rendered))
+    told = stored(judged(read, rendered, lambda pages, attempt: answers.asked(pages, named, attempt, lambda x: extract(x, call, deadline=deadline, alone=attempt == 2, **calls))))
     # without a second answer, a page that was rejected once is neither done nor failed
     finished = told.filter((F.col("status") == "ok") | (F.lit(record_errors) & F.col("error").isNotNull()) | (F.col("error").isNull() & (F.col("calls") > 1)))
     total = rendered.groupBy("document_id").agg(F.count("*").cast("int").alias("total_pages"))
@@ -191,6 +197,7 @@ def parse_documents(files: DataFrame, render: Callable[[bytes], list[tuple[int,
     now = cached().join(rendered.select(*PAGE), PAGE, "left_semi")
     if refresh or retry_failed:  # what was asked for again and didn't come is missing, whatever the cache had before
         now = now.join(todo.join(finished.select(*PAGE), PAGE, "left_anti").select(*PAGE), PAGE, "left_anti")
+    now = stored(now)
     left = pending_pages(rendered, now)
     if not record_errors and (broken := told.filter("error is not null").orderBy(*PAGE).limit(5).collect()):
         raise RuntimeError(f"calls ended in errors; what is done is kept, run again to go on: {[(r['document_id'], r['page_number'], r['error']) for r in broken]}")

@@ -203,6 +203,30 @@ def test_extraction(spark, tmp_path):
     assert rendered.select(F.max("page_number")).first()[0] == 6
 
 
+def test_each_answer_goes_through_the_gates_once(spark, monkeypatch):
+    words = " ".join(f"word{i}" for i in range(60))
+    pages = [("d", n, b"image", words if n == 2 else "") for n in range(1, 7)]
+    rendered = spark.createDataFrame(pages, "document_id string, page_number int, image binary, reference string")
+
+    def call(page, image, context):
+        if page == 3:
+            raise PermissionError("no access")
+        cut = page == 5 or page == 4 and len(context) > 1
+        return json.dumps({"markdown": f"page {page} of {len(context)}" + (" **" if cut else "")}), "end_turn"
+
+    read, ask = extraction.with_context(rendered), lambda pages, n: stored(extraction.extract(pages, call, alone=n == 2))
+    want = sorted(extraction.validated(extraction.in_rounds(read, rendered, ask), rendered).collect())
+    gates, judged = extraction.validated, []
+
+    def counted(results, rendered):
+        judged.append(results.count())
+        return gates(results, rendered)
+
+    monkeypatch.setattr(extraction, "validated", counted)
+    assert sorted(extraction.judged(read, rendered, ask).collect()) == want
+    assert judged == [6, 3] and [(r.page_number, r.status, r.calls) for r in want] == [(1, "ok", 1), (2, "failed", 2), (3, "failed", 1), (4, "ok", 2), (5, "failed", 2), (6, "ok", 1)]
+
+
 def one_file(spark, n=5):
     return spark.createDataFrame([("/x/a.pdf", bytearray(range(1, n + 1)), "t", "a.pdf", "t/a.pdf", "doc", "sha")], "path string, content binary, tag string, name string, relative_path string, document_id string, source_sha256 string")
 
