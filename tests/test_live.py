@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,28 @@ def test_grams_find_what_a_scan_finds(spark, tmp_path):
                 assert sorted(r.chunk_index for r in got.collect()) == want and got.columns == frame.columns, needle
     bits = lambda needle: sum(bin(r.bits & (2**64 - 1)).count("1") for r in viewer.candidates(spark, folder, needle).collect())
     assert bits("needle") == 2 and bits("nowhere") == 0 and bits("xyé") < 120 and viewer.candidates(spark, folder, "xy") is None
+
+
+def test_grams_are_written_where_they_are_found(spark, tmp_path, monkeypatch):
+    """No row a gram is shuffled: a task writes a sorted stretch, and blocks that stretches share are put together."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé😀") for _ in range(rng.randrange(40))) for _ in range(300)]
+    block, place = np.arange(300) // 64, np.arange(300) % 64
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 2):
+            key = (t[k : k + 3], i // 64)
+            want[key] = want.get(key, 0) | 1 << i % 64
+    gram, at, bits = viewer._column_grams(texts, block, place)
+    assert list(zip(gram.to_pylist(), at.tolist())) == sorted(want)
+    assert {(g, b): x & (2**64 - 1) for g, b, x in zip(gram.to_pylist(), at.tolist(), bits.tolist())} == want
+    wide = [chr(0x4E00 + i) + chr(0x1F300 + i % 99) + "x" for i in range(20000)] + ["", "xy"]
+    gram, at, _ = viewer._column_grams(wide, np.arange(20002) * 1000, np.zeros(20002, np.int64))  # too many for one number
+    assert sorted(gram.to_pylist()) == sorted(wide[:20000]) and len(viewer._column_grams([], block[:0], place[:0])[0]) == 0
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_index long, text string").repartition(3)
+    viewer.write_grams(frame, f"file://{tmp_path}/grams", "chunk_index", ["text"])
+    at = next(n for n in os.listdir(tmp_path / "grams") if n.startswith("v-"))
+    plan = viewer.candidates(spark, f"file://{tmp_path}/grams", texts[7][:4])._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan or "EqualTo(gram" in plan  # files' statistics tell which parts to read
+    files = [tmp_path / "grams" / at / "grams" / n for n in os.listdir(tmp_path / "grams" / at / "grams") if n.endswith(".parquet")]
+    assert files and all((x := pq.read_table(f).column("gram").to_pylist()) == sorted(x) for f in files)  # a stretch each
