@@ -1,19 +1,21 @@
-"""Main text of web pages: blocks by structure, then nearest-URL page differencing.
+"""Main text of web pages: blocks by structure, nearest-URL page differencing of every page, and a check of what it finds.
 
 The method. A page becomes blocks (lines). Structure decides first, as menus and adverts can differ from page to page:
 blocks in containers that are furniture by their element or role (menus, footers, asides, forms, ...) go, and outside articles
 also those whose class or id says so (adverts, notices, reader comments, ...). Headings, paragraphs and other elements
 that aren't containers never go by a word, as their ids are often made from their text; inside an ``article`` or ``main``
 element only a ``div`` goes, whose class is one of a few names (``comments``, ``ad``, ``ad-box``, ...). Where a page has such an
-element, its other blocks are the text, whole. Of all other pages every block is open:
+element, its other blocks may be text; of all other pages every open block may. Then each page is differenced:
 pages are ordered by host, path and id; a page's partner is the neighbour on its host whose path agrees longest with its
-own (the next one, if both do). The two pages' lines are aligned by a longest common subsequence, and shared lines are
-deleted from the text as the site's furniture. A copy (a page crawled again, one article under two addresses) tells
+own (the next one, if both do). The two pages' lines are aligned by a longest common subsequence, and shared lines
+may be the site's furniture. A copy (a page crawled again, one article under two addresses) tells
 nothing of furniture: where ``COPY_SHARE`` of the characters of either text are shared, the other neighbour is the
 partner, or else the text stays.
 
-Differencing stays out of articles, because it can't give right results there: a sentence that many articles hold is as
-shared as a menu. With it, 148 of 2,500 pages of sf0.1 lost lines of their articles.
+The check. Outside articles all shared lines go. Inside one, a sentence that many articles hold is as shared as a menu (taken
+unchecked, 148 of 2,500 pages of sf0.1 lost lines of their articles), so there shared lines go by whole containers:
+those whose class has a word of furniture (a mark: neither it nor the sharing is enough alone), if the partner's article
+holds every line of it under such a mark, too.
 
 Scale. Pages move once, as blocks, range-partitioned by sampled splitters of their key; the first and the last page of a
 range are sent to its neighbours as well, so a host of any size is spread over many tasks, which hold three pages each.
@@ -30,6 +32,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -62,7 +65,8 @@ ADVERTS = frozenset("ad ads advert adverts advertisement adsbygoogle".split())
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-DROPPED, OPEN, KEPT = 0, 1, 2
+#: KEPT: in an article; MARKED: there, and in a container with a mark.
+DROPPED, OPEN, KEPT, MARKED = 0, 1, 2, 3
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -83,19 +87,39 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _is_marked(tag: str, attributes: str) -> bool:
+    """Whether a container's class (not its id, which may be made from a heading) has a word of furniture."""
+    return tag in CONTAINERS and any(
+        name.lower() == "class" and any(w.lower() in WORDS for w in _WORD.findall(a or b or c)) for name, a, b, c in _NAMED.findall(attributes)
+    )
+
+
 def page_blocks(source: str) -> list[tuple[str, int]]:
     """The blocks of a page in order, each with DROPPED, OPEN or KEPT."""
+    return [(text, min(kind, KEPT)) for text, kind in marked_blocks(source)[0]]
+
+
+def marked_blocks(source: str) -> tuple[list[tuple[str, int]], list[int]]:
+    """The blocks of a page in order, each with its kind; and where marked containers of articles start and end in them."""
     out: list[tuple[str, int]] = []
+    marks: list[int] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # container, furniture around it, articles around it
-    furniture = articles = at = 0
+    stack: list[tuple[str, int, int, int]] = []  # container, furniture around it, articles around it, first block if marked or -1
+    furniture = articles = marked = at = 0
 
     def close() -> None:
         if held:
             if text := " ".join("".join(held).split()):
-                out.append((text, DROPPED if furniture else KEPT if articles else OPEN))
+                out.append((text, DROPPED if furniture else OPEN if not articles else MARKED if marked else KEPT))
             held.clear()
 
+    def leave(containers: list[tuple[str, int, int, int]]) -> None:
+        nonlocal marked
+        for *_, first in containers:
+            if first >= 0:
+                marked -= 1
+                marks.extend((first, len(out)))
+
     for m in _MARKUP.finditer(source):
         if m.start() > at:
             held.append(html.unescape(source[at : m.start()]))
@@ -112,7 +136,8 @@ def page_blocks(source: str) -> list[tuple[str, int]]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    _, furniture, articles = stack[i]
+                    _, furniture, articles, _ = stack[i]
+                    leave(stack[i:])
                     del stack[i:]
                     break
             continue
@@ -121,13 +146,16 @@ def page_blocks(source: str) -> list[tuple[str, int]]:
             close()
         if bad or tag in BLOCK and tag not in ("p", "li", "hr", "td", "th", "tr", "dt", "dd"):
             if not (m[4] or "").rstrip().endswith("/") or tag in BLOCK:
-                stack.append((tag, furniture, articles))
+                mark = bool(articles and m[4]) and not (bad or furniture) and _is_marked(tag, m[4])
+                stack.append((tag, furniture, articles, len(out) if mark else -1))
+                marked += mark
                 furniture += bad
                 articles += tag in ("article", "main")
     if at < len(source):
         held.append(html.unescape(source[at:]))
     close()
-    return out
+    leave(stack)
+    return out, marks
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
@@ -153,27 +181,35 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def _kind_of_text(blocks: list[tuple[str, int]]) -> int:
-    return KEPT if any(kind == KEPT for _, kind in blocks) else OPEN
+def _least_kind(blocks: list[tuple[str, int]]) -> int:
+    """Blocks of this kind or a higher one may be text."""
+    return KEPT if any(kind >= KEPT for _, kind in blocks) else OPEN
 
 
 def _shared_text(blocks: list[tuple[str, int]], other: list[tuple[str, int]]) -> tuple[set[int], float]:
     """Places of the text's blocks that are shared with another page, and how much of the text's characters they are."""
-    wanted = _kind_of_text(blocks)
-    shared = {i for i in shared_lines([t for t, _ in blocks], [t for t, _ in other]) if blocks[i][1] == wanted}
-    return shared, sum(len(blocks[i][0]) for i in shared) / max(1, sum(len(t) for t, kind in blocks if kind == wanted))
+    least = _least_kind(blocks)
+    shared = {i for i in shared_lines([t for t, _ in blocks], [t for t, _ in other]) if blocks[i][1] >= least}
+    return shared, sum(len(blocks[i][0]) for i in shared) / max(1, sum(len(t) for t, kind in blocks if kind >= least))
+
+
+def _confirmed(blocks: list[tuple[str, int]], partner: list[tuple[str, int]], marks: list[int]) -> set[int]:
+    """Places of an article's marked containers that are shared whole: their lines, aligned with the partner's marked ones."""
+    inside = [i for i, (_, kind) in enumerate(blocks) if kind == MARKED]
+    shared = {inside[k] for k in shared_lines([blocks[i][0] for i in inside], [t for t, kind in partner if kind == MARKED])}
+    own = list(accumulate((kind == MARKED and i not in shared for i, (_, kind) in enumerate(blocks)), initial=0))
+    return {i for lo, hi in zip(marks[::2], marks[1::2], strict=True) if own[lo] == own[hi] for i in range(lo, hi)}
 
 
-def main_text(blocks: list[tuple[str, int]], partners: list[list[tuple[str, int]]]) -> str:
-    """An article's blocks; without an article, the open blocks but for what they share with the first partner that isn't
-    a copy."""
-    wanted, furniture = _kind_of_text(blocks), set()
-    for partner in partners if wanted == OPEN else ():
+def main_text(blocks: list[tuple[str, int]], partners: list[list[tuple[str, int]]], marks: list[int] = ()) -> str:
+    """The blocks that may be text, but for the furniture they share with the first partner that isn't a copy."""
+    least, furniture = _least_kind(blocks), set()
+    for partner in partners:
         shared, share = _shared_text(blocks, partner)
         if not shared or max(share, _shared_text(partner, blocks)[1]) < COPY_SHARE:
-            furniture = shared
+            furniture = shared if least == OPEN else _confirmed(blocks, partner, marks)
             break
-    return "\n".join(t for i, (t, kind) in enumerate(blocks) if kind == wanted and i not in furniture)
+    return "\n".join(t for i, (t, kind) in enumerate(blocks) if kind >= least and i not in furniture)
 
 
 def _key(url: str | None, page: int | None) -> str:
@@ -208,8 +244,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
                 urls, ids = b.column("url").to_pylist(), b.column("id").to_pylist()
-                found = [page_blocks(x or "") for x in b.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array([_key(u, i) for u, i in zip(urls, ids, strict=True)]), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([bytes(k for _, k in x) for x in found], pa.binary())], ["id", "url", "key", "lines", "kinds"])
+                found = [marked_blocks(x or "") for x in b.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array([_key(u, i) for u, i in zip(urls, ids, strict=True)]), pa.array([[t for t, _ in x] for x, _ in found], pa.list_(pa.string())), pa.array([bytes(k for _, k in x) for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["id", "url", "key", "lines", "kinds", "marks"])
 
     def key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +258,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     sample = sorted(r["key"] for r in keys.filter(F.rand(1) < F.lit(SAMPLES_A_RANGE * parts / max(n, 1))).collect())
     splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     ends = sorted((r["range"], r["lo"], r["hi"]) for r in keys.withColumn("range", range_of(F.col("key"), splitters, "string")).groupBy("range").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect())
-    parsed = rows.mapInArrow(parse, f"id {kind}, url string, key string, lines array<string>, kinds binary")
+    parsed = rows.mapInArrow(parse, f"id {kind}, url string, key string, lines array<string>, kinds binary, marks array<int>")
     spread = parsed.withColumn("range", range_of(F.col("key"), splitters, "string"))
     lo, hi, before, after = ([None] * (len(splitters) + 1) for _ in range(4))
     for i, (r, first, last) in enumerate(ends):
@@ -239,18 +275,18 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     to_before = F.when(F.col("key") == look_up(lo, "string"), place(look_up(before, "int"), True))
     to_after = F.when(F.col("key") == look_up(hi, "string"), place(look_up(after, "int"), True))
     places = F.filter(F.array(place(F.col("range"), False), to_before, to_after), lambda p: p.isNotNull() & p["r"].isNotNull())
-    spread = spread.withColumn("p", F.explode(places)).select("id", "url", "key", "lines", "kinds", F.col("p.r").alias("range"), F.col("p.guest").alias("guest"))
+    spread = spread.withColumn("p", F.explode(places)).select("id", "url", "key", "lines", "kinds", "marks", F.col("p.r").alias("range"), F.col("p.guest").alias("guest"))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, out = [id_col, url_col, "text", "n_chars"], []
         prev = now = None
 
         def judge(follower: tuple | None) -> None:
-            if now is None or now[5]:
+            if now is None or now[6]:
                 return
             beside = [(same, other) for other in (follower, prev) if other is not None and (same := _agreement(now[2], other[2])) >= 0]
             beside.sort(key=lambda x: -x[0])  # the follower first, if both agree alike
-            text = main_text(list(zip(now[3], now[4], strict=True)), [list(zip(o[3], o[4], strict=True)) for _, o in beside])
+            text = main_text(list(zip(now[3], now[4], strict=True)), [list(zip(o[3], o[4], strict=True)) for _, o in beside], now[5])
             out.append((now[0], now[1], text, len(text)))
 
         def flush() -> pa.RecordBatch:
@@ -262,7 +298,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         ids = pa.int64()
         for b in batches:
             ids = b.column("id").type
-            for row in zip(*(b.column(c).to_pylist() for c in ("id", "url", "key", "lines", "kinds", "guest")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("id", "url", "key", "lines", "kinds", "marks", "guest")), strict=True):
                 judge(row)
                 prev, now = now, row
                 if len(out) >= 256:

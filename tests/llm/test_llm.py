@@ -264,6 +264,29 @@ def test_pages_against_copies_and_articles(spark):
         assert got[page] == (own * 9).strip() + "\nShare this story"
 
 
+def test_articles_are_differenced(spark):
+    """Inside articles, shared lines go by whole containers with a mark that the neighbour's article holds as well."""
+    page = lambda own, box="", last="": f"<article><h1>Title {own}</h1><p>{f'{own} ' * 40}</p><p>A sentence of many articles</p>{box}{last}</article>"
+    share = '<ul class="share-links"><li>Share this</li><li>Print</li></ul>'
+    menu = lambda own: f'<div class="menu"><p>Soup</p><p>{own}</p></div>'
+    rows = [
+        (1, "http://a/1", page("one", share)),
+        (2, "http://a/2", page("two", f'<div class="no-sidebar"><p>Two again</p>{share}</div>', share.replace("class", "id"))),
+        (3, "http://b/1", page("one", menu("Fish"))),  # not shared whole
+        (4, "http://b/2", page("two", menu("Bread"))),
+        (5, "http://c/1", page("one", share)),
+        (6, "http://c/2", page("two", share.replace(' class="share-links"', ""))),  # no mark there
+        (7, "http://d/1", page("one", share)),  # no neighbour
+        (8, "http://e/1", page("one", share)),  # copies tell nothing
+        (9, "http://e/1?again", page("one", share)),
+        (10, "http://f/1", page("one", '<h2 class="related" id="related">Related work</h2>')),  # no container
+        (11, "http://f/2", page("two", '<h2 class="related" id="related">Related work</h2>')),
+    ]
+    got = {r.page_id: r.text.split("\n")[3:] for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    boxed = ["Share this", "Print"]
+    assert got == {1: [], 2: ["Two again", *boxed], 3: ["Soup", "Fish"], 4: ["Soup", "Bread"], 5: boxed, 6: boxed, 7: boxed, 8: boxed, 9: boxed, 10: ["Related work"], 11: ["Related work"]}
+
+
 def test_pairing_of_pages_by_force(spark):
     """Neighbours, agreements and copies, page by page; ties (two rows of one url and id, equal agreements) included."""
     rng = random.Random(21)
