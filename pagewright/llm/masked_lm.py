@@ -42,7 +42,11 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import PrefixHash, blocks, flat, mixed, parts_for, shared_folder, table, words_of
 
 BUCKETS, INPUTS, WINDOW, WIDTH, CLASSES, INNER, RATE, BATCH, FAN_IN = 1 << 16, 1 << 13, 2, 16, 64, 8, 0.15, 2048, 8
+#: So many rows of the softmax at a time, which stay in a core's cache.
+ROWS = 512
 _SIZES = {"near": (2 * (INPUTS + 1), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "shift": (CLASSES,), "turns": (BUCKETS, INNER), "odds": (BUCKETS,)}
+#: Types that hold a row of ``near`` and a node: numbers of 16 bits are sorted in time that is linear in them.
+_INPUT, _NODE = np.min_scalar_type(2 * (INPUTS + 1)), np.min_scalar_type(BUCKETS - 1)
 #: Greatest size of a logit that goes to ``exp`` as it is.
 _SAFE = 60.0
 PRIOR, RANGE_WORDS, MAX_HOT, SAMPLE, STEPS = 1.0, 1 << 21, 1 << 18, 256, 2048
@@ -75,28 +79,25 @@ def neighbours(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def contexts(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Rows of ``near`` for the words around each word: left ones, then right ones (in the second half of the table);
     ``INPUTS`` beyond the text."""
-    n = len(ids)
-    place = np.arange(n)
     sizes = np.diff(edges)
-    first, last = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
-    inputs = ids % INPUTS
-    out = np.full((n, 2 * WINDOW), INPUTS, np.int64)
+    place = np.arange(len(ids)) + np.repeat(np.arange(1, len(edges)) * WINDOW, sizes)  # with a gap before each text
+    spaced = np.full(len(ids) + len(edges) * WINDOW, INPUTS, _INPUT)
+    spaced[place] = ids % INPUTS
+    out = np.empty((len(ids), 2 * WINDOW), _INPUT)
     for k, step in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-        there = place + step
-        ok = (there >= first) & (there < last)
-        out[ok, k] = inputs[there[ok]]
+        out[:, k] = spaced.take(place + step)
     out[:, WINDOW:] += INPUTS + 1
     return out
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Each id's class, and its way through the class's tree: ``node`` and ``right`` from ``start[id]`` to ``start[id + 1]``."""
+    """Each id's class, and its way through the class's tree: ``turn`` (twice the node, and 1 if it is to the right) from
+    ``start[id]`` to ``start[id + 1]``."""
 
     classes: np.ndarray
     start: np.ndarray
-    node: np.ndarray
-    right: np.ndarray
+    turn: np.ndarray
     odds: np.ndarray
 
     def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,20 +105,22 @@ class Vocabulary:
         n = self.start[ids + 1] - self.start[ids]
         ends = np.cumsum(n)
         at = np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(np.arange(len(ids)), n), self.node[at], self.right[at]
+        return np.repeat(np.arange(len(ids)), n), self.turn[at] >> 1, (self.turn[at] & 1).astype(np.float32)
 
     def levels(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
         """(order, levels, node, right) of all turns of the ids: the rows in ``order``, longest way first, so that the k-th
         turns, which lie from ``levels[k][0]`` to ``levels[k][1]``, are those of its first rows."""
         first = self.start.take(ids)
         n = self.start.take(ids + 1) - first
-        order = np.argsort((len(self.start) - n).astype(np.uint32), kind="stable")
+        order = np.argsort((n.max(initial=0) - n).astype(_NODE), kind="stable")
         first = first.take(order)
         sizes = len(ids) - np.cumsum(np.bincount(n))[:-1]  # rows with more than k turns
         ends = np.cumsum(sizes)
         levels = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
-        at = np.concatenate([first[: hi - lo] + k for k, (lo, hi) in enumerate(levels)] or [first[:0]])
-        return order, levels, self.node.take(at), self.right.take(at)
+        at = np.concatenate([first[: hi - lo] for lo, hi in levels] or [first[:0]])
+        at += np.repeat(np.arange(len(levels)), sizes)
+        turn = self.turn.take(at)
+        return order, levels, turn >> 1, (turn & 1).astype(np.float32)
 
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
@@ -150,7 +153,7 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
         now = above[now]
     ids, node, right = (np.concatenate([x[k] for x in steps] or [np.zeros(0, np.int64)]) for k in range(3))
     sorted_ = np.argsort(ids, kind="stable")
-    return Vocabulary(of, np.searchsorted(ids[sorted_], np.arange(len(counts) + 1)), node[sorted_].astype(np.int32), right[sorted_].astype(np.float32), odds)
+    return Vocabulary(of, np.searchsorted(ids[sorted_], np.arange(len(counts) + 1)), (node[sorted_] << 1 | right[sorted_]).astype(np.int32), odds)
 
 
 def _taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -172,7 +175,35 @@ def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         table[rows] = values
     else:
         item = f"V{table.itemsize * table.shape[1]}"
-        table.view(item)[:, 0][rows] = values.view(item)[:, 0]
+        table.view(item)[:, 0].put(rows, values.view(item)[:, 0])
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scalar product of each row of a with that of b."""
+    return (a * b) @ np.ones(a.shape[1], a.dtype)
+
+
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, key): the places of the keys, those of a key together, where each key's start, and the keys; first
+    come the keys that have one place, as most have."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys.take(order)
+    head = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=head[1:-1])
+    alone = head[:-1] & head[1:]
+    shared = np.flatnonzero(~alone)
+    alone = np.flatnonzero(alone)
+    more = np.flatnonzero(head.take(shared))
+    return order.take(np.concatenate((alone, shared))), np.concatenate((np.arange(len(alone)), more + len(alone))), keys.take(np.concatenate((alone, shared.take(more))))
+
+
+def _row_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each key's rows, in the order of ``_by_key``, in the place of the first rows."""
+    shared = np.flatnonzero(np.diff(starts, append=len(rows)) > 1)
+    if len(shared):  # as pairs of numbers: the same sums, four times as quick
+        alone = shared[0]
+        rows[alone : len(starts)] = np.add.reduceat(rows[alone:].view(np.complex64), starts[alone:] - alone, axis=0).view(np.float32)
+    return rows[: len(starts)]
 
 
 @dataclass
@@ -194,7 +225,17 @@ class Network:
         for k in range(1, 2 * WINDOW):
             total += _taken(near, around[:, k])
         total += self.weights["bias"]
-        return np.tanh(total, out=total)
+        total *= 2
+        with np.errstate(over="ignore"):
+            np.exp(total, out=total)
+        total += 1
+        np.divide(-2, total, out=total)
+        total += 1  # tanh, in half the time of numpy's own
+        return total
+
+    def _is_settled(self) -> bool:
+        """Whether the classes' logits are within what ``exp`` can take, whatever the hidden layer, which is within 1."""
+        return bool((np.abs(self.weights["out"]).sum(0) + np.abs(self.weights["shift"])).max() <= _SAFE)
 
     def log_classes(self, around: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Of the classes that have ids; the others have no share."""
@@ -207,12 +248,14 @@ class Network:
     def log_turns(self, h: np.ndarray, ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
         """The log-probability of each id within its class."""
         order, levels, node, right = vocab.levels(ids)
-        z = np.einsum("ij,ij->i", _repeated(h, order, levels), _taken(self.weights["turns"], node)) + self.weights["odds"].take(node)
-        z = np.where(right > 0, -z, z)
-        told = np.exp(-np.abs(z))
+        z = _products(_repeated(h, order, levels), _taken(self.weights["turns"], node))
+        z += self.weights["odds"].take(node)
+        z *= 1 - 2 * right
+        told = np.abs(z)
+        np.exp(np.negative(told, out=told), out=told)
         told += 1
         np.log(told, out=told)
-        told += np.maximum(z, 0)
+        told += np.maximum(z, 0, out=z)
         sums, out = np.zeros(len(ids)), np.empty(len(ids))
         for lo, hi in levels:
             sums[: hi - lo] -= told[lo:hi]
@@ -224,50 +267,61 @@ class Network:
         h = self.hidden(around)
         z = h @ self.weights["out"]
         z += self.weights["shift"]
-        if z.size and (z.max() > _SAFE or z.min() < -_SAFE):  # beyond what ``exp`` can take
+        if not self._is_settled() and z.size and (z.max() > _SAFE or z.min() < -_SAFE):
             z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(z)), vocab.classes[ids]] - np.log(np.exp(z) @ used.astype(np.float32))
+        own = z.ravel().take(np.arange(0, z.size, CLASSES) + vocab.classes.take(ids))
+        own -= np.log(np.exp(z, out=z) @ used.astype(np.float32))
         return own + self.log_turns(h, ids, vocab)
 
     def train(self, around: np.ndarray, ids: np.ndarray, vocab: Vocabulary, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the sums of squares."""
         w, m = self.weights, len(ids)
         h = self.hidden(around)
-        g = h @ w["out"]
-        g += w["shift"]
-        if g.max() > _SAFE or g.min() < -_SAFE:
-            g -= g.max(1, keepdims=True)
-        np.exp(g, out=g)
-        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g[np.arange(m), vocab.classes[ids]] -= 1
-        g /= m
-        back = g @ w["out"].T
+        back, classes = np.empty((m, WIDTH), np.float32), vocab.classes.take(ids)
+        outer = np.concatenate((h, np.ones((m, 1), np.float32)), axis=1)  # the last number reads the shift
+        weights, grads = np.concatenate((w["out"], w["shift"][None])), np.zeros((WIDTH + 1, CLASSES), np.float32)
+        settled = self._is_settled()
+        for i in range(0, m, ROWS):
+            part, of = outer[i : i + ROWS], classes[i : i + ROWS]
+            g = part @ weights
+            if not settled and (g.max() > _SAFE or g.min() < -_SAFE):
+                g -= g.max(1, keepdims=True)
+            total = np.exp(g, out=g) @ np.ones(CLASSES, np.float32)
+            g.ravel()[np.arange(0, g.size, CLASSES) + of] -= total
+            share = (1 / (total * np.float32(m)))[:, None]  # goes to the narrower factors
+            np.matmul(g, w["out"].T, out=back[i : i + ROWS])
+            back[i : i + ROWS] *= share
+            grads += (part * share).T @ g
         order, levels, node, right = vocab.levels(ids)
         if levels:
-            part, turns = _repeated(h, order, levels), _taken(w["turns"], node)
+            upper = np.ascontiguousarray(h[:, :INNER])
+            turns = _taken(w["turns"], node)
+            t = _products(_repeated(upper, order, levels), turns)
+            t += w["odds"].take(node)
             with np.errstate(over="ignore"):
-                t = (1 / (1 + np.exp(-np.einsum("ij,ij->i", part, turns) - w["odds"].take(node))) - right).astype(np.float32) / np.float32(m)
-            turns *= t[:, None]
+                np.exp(np.negative(t, out=t), out=t)
+            t += 1
+            np.divide(1, t, out=t)
+            t -= right
+            t *= np.float32(1 / m)
+            turns *= np.repeat(t, INNER).reshape(-1, INNER)
             sums, own = np.zeros((m, INNER), np.float32), np.empty((m, INNER), np.float32)
             for lo, hi in levels:
                 sums[: hi - lo] += turns[lo:hi]
             _put(own, order, sums)
             back[:, :INNER] += own
-            part *= t[:, None]
-            placed = np.sort(node.astype(np.int64) << 32 | np.arange(len(node)))
-            of, readers = placed >> 32, placed & 0xFFFFFFFF
-            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            for k, grad in (("turns", np.add.reduceat(_taken(part, readers).view(np.complex64), starts, axis=0).view(np.float32)), ("odds", np.add.reduceat(t.take(readers), starts))):
-                self._step(k, of[starts], grad, seen)
+            readers, starts, nodes = _by_key(node.astype(_NODE))
+            t = t.take(readers)
+            part = _taken(upper, np.concatenate([order[: hi - lo] for lo, hi in levels]).take(readers))
+            part *= np.repeat(t, INNER).reshape(-1, INNER)
+            self._step("turns", nodes, _row_sums(part, starts), seen)
+            self._step("odds", nodes, np.add.reduceat(t, starts), seen)
         back *= 1 - h * h
-        for k, grad in (("out", h.T @ g), ("shift", g.sum(0)), ("bias", back.sum(0))):
+        for k, grad in (("out", grads[:-1]), ("shift", grads[-1]), ("bias", outer[:, -1] @ back)):
             seen[k] += grad * grad
             w[k] -= RATE * grad / np.sqrt(seen[k] + 1e-8)
-        placed = np.sort((around << 32 | np.arange(m)[:, None]).ravel())  # one sort gives the rows and who reads them
-        of = placed >> 32
-        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        readers = _taken(back, placed & 0xFFFFFFFF).view(np.complex64)  # pairs of numbers: the same sums, four times as quick
-        self._step("near", of[starts], np.add.reduceat(readers, starts, axis=0).view(np.float32), seen)
+        readers, starts, rows = _by_key(around.astype(_INPUT, copy=False).ravel())
+        self._step("near", rows, _row_sums(_taken(back, readers // (2 * WINDOW)), starts), seen)
 
     def _step(self, k: str, used: np.ndarray, grad: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """An Adagrad step of the rows ``used``."""
@@ -394,7 +448,7 @@ def _trained(docs: DataFrame, vocab: Vocabulary, text_col: str, often: tuple[np.
             around = contexts(ids, edges)
             for i in range(0, len(masked), BATCH):
                 m = masked[i : i + BATCH]
-                net.train(around[m], ids[m], vocab, seen)
+                net.train(_taken(around, m), ids.take(m), vocab, seen)
             words += len(masked)
             if len(often[0]):
                 beside = neighbours(hashes, edges)
@@ -415,8 +469,8 @@ def log_probabilities(net: Network, vocab: Vocabulary, ids: np.ndarray, edges: n
     out = np.zeros(len(ids))
     around = contexts(ids, edges)
     used = np.bincount(vocab.classes, minlength=CLASSES) > 0
-    for i in range(0, len(ids), 4 * BATCH):
-        out[i : i + 4 * BATCH] = net.log_wanted(around[i : i + 4 * BATCH], ids[i : i + 4 * BATCH], vocab, used)
+    for i in range(0, len(ids), BATCH):
+        out[i : i + BATCH] = net.log_wanted(around[i : i + BATCH], ids[i : i + BATCH], vocab, used)
     return out
 
 

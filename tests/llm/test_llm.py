@@ -720,6 +720,44 @@ def test_ways_by_level_are_the_ways_of_the_rows():
     assert np.array_equal(masked_lm._taken(table, rows), table[rows])
 
 
+def test_a_training_step_by_force():
+    """Adagrad steps in plain float64; sums of rows by key; inputs of 16 bits."""
+    draw = np.random.default_rng(8)
+    keys = draw.zipf(1.5, 900).clip(0, 400).astype(masked_lm._NODE)
+    order, starts, found = masked_lm._by_key(keys)
+    rows = draw.normal(size=(900, 8)).astype(np.float32)
+    want = np.zeros((401, 8))
+    np.add.at(want, keys, rows)
+    assert sorted(found) == sorted(set(keys.tolist())) and (np.diff(starts) > 0).all()
+    assert masked_lm._row_sums(rows[order], starts) == pytest.approx(want[found], abs=1e-4)
+    vocab = masked_lm.vocabulary(draw.zipf(1.3, masked_lm.BUCKETS).clip(0, 10**6))
+    net = masked_lm.Network.fresh(vocab.odds)
+    seen = {k: np.zeros(s, np.float32) for k, s in masked_lm._SIZES.items()}
+    w, squares = ({k: v.astype(np.float64) for k, v in x.items()} for x in (net.weights, seen))
+    for size in (1300, 700, 1):  # more and fewer rows than are taken at a time
+        ids = np.minimum(draw.zipf(1.2, size), 60000)
+        around = masked_lm.contexts(ids, np.array([0, size // 3, size // 3, size]))
+        assert around.dtype.itemsize == 2
+        net.train(around, ids, vocab, seen)
+        h = np.tanh(w["near"][around].sum(1) + w["bias"])
+        g = np.exp(h @ w["out"] + w["shift"])
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(size), vocab.classes[ids]] -= 1
+        row, node, right = vocab.ways(ids)
+        t = 1 / (1 + np.exp(-(h[row, : masked_lm.INNER] * w["turns"][node]).sum(1) - w["odds"][node])) - right
+        back, grads = g @ w["out"].T, {k: np.zeros_like(v) for k, v in w.items()}
+        np.add.at(back[:, : masked_lm.INNER], row, t[:, None] * w["turns"][node])
+        np.add.at(grads["turns"], node, t[:, None] * h[row, : masked_lm.INNER])
+        np.add.at(grads["odds"], node, t)
+        back *= 1 - h * h
+        np.add.at(grads["near"], around, back[:, None])
+        grads |= {"out": h.T @ g, "shift": g.sum(0), "bias": back.sum(0)}
+        for k, grad in grads.items():
+            squares[k] += (grad / size) ** 2
+            w[k] -= masked_lm.RATE * grad / size / np.sqrt(squares[k] + 1e-8)
+            assert np.abs(net.weights[k] - w[k]).max() < 1e-3, k
+
+
 def test_words_of_one_class_are_told_apart_by_context(spark):
     """Words of equal frequency, each after a word of its own: only the trees can tell them apart."""
     rng = random.Random(10)
