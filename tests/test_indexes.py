@@ -1,15 +1,17 @@
 """Indexes that skip what can't matter give the rows of a full search; what replaces them leaves readers theirs."""
 
 import os
+import pathlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import bm25, vector
 from pagewright.operators.retrieve import Retrieval, retrieve
-from pagewright.sources import files, pointers, store
+from pagewright.sources import files, pointers, shared, store
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -158,3 +160,16 @@ def test_a_written_block_is_one_row(spark, tmp_path):
     at = next(n for n in os.listdir(tmp_path / "index") if n.startswith("v-"))
     blocks = spark.read.parquet(f"{folder}/{at}/blocks")
     assert 200 / 2**bm25.BITS <= blocks.count() <= 200 / 2**bm25.BITS + 8 and blocks.agg(F.sum("n")).first()[0] == 200
+
+
+def test_packs_are_written_in_small_row_groups(spark, tmp_path):
+    words = "array_join(transform(sequence(1, 600), i -> abs(xxhash64(id, i)) % 200000), ' ')"
+    chunks = spark.range(4500).coalesce(1).selectExpr("id as chunk_index", f"{words} as text")
+    at = len(shared._named)
+    found = bm25.search(chunks.limit(3).selectExpr("chunk_index as query_id", "text as query"), chunks, 2)
+    assert [(r["query_id"], r["chunk_index"]) for r in found.filter("rank = 1").orderBy("query_id").collect()] == [(0, 0), (1, 1), (2, 2)]
+    bm25.write_index(chunks, str(tmp_path))
+    folders = [*(f.removeprefix("file://") for f in shared._named[at:]), str(tmp_path)]
+    files = [f for x in folders for f in pathlib.Path(x).rglob("*.parquet")]
+    groups = [g.row_group(i).total_byte_size for g in (pq.ParquetFile(f).metadata for f in files) for i in range(g.num_row_groups)]
+    assert sum(groups) > 6 * shared.GROUP and max(groups) < 2.5 * shared.GROUP  # a row of a search's packs has half a group
