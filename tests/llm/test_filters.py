@@ -114,6 +114,31 @@ def test_rules_need_labels(spark):
     assert url_rules.mined(long) == []  # no token tells good from bad, and many frequent ones don't explode
 
 
+@pytest.mark.parametrize("cells", [url_rules.CELLS, 7])
+def test_all_frequent_tokens_of_a_url_take_part(spark, monkeypatch, cells):
+    monkeypatch.setattr(url_rules, "CELLS", cells)
+    rng, urls = random.Random(8), {}
+    while len(urls) < 400:
+        words = [w for w in "abcdefghijk" if rng.random() < 0.8]
+        pair = [w for w in ("x", "y") if rng.random() < 0.5]
+        bad = rng.random() < (0.95 if len(pair) == 2 else 0.1 + 0.05 * ("a" not in words))
+        urls[f"http://h.com/{len(urls)}/" + "/".join(words + pair)] = bad
+    labelled = spark.createDataFrame(list(urls.items()), "url string, bad boolean").repartition(3)
+    tokens = {r["url"]: r["t"] for r in labelled.select("url", url_rules.tokens_of(labelled["url"]).alias("t")).collect()}
+    assert max(map(len, tokens.values())) > url_rules.ITEMS + 4
+    want = slow_rules([(tokens[u], b) for u, b in urls.items()], url_rules.Limits())
+    got = url_rules.mined(labelled)
+    assert {items: (c, n) for items, c, n in got} == {p: (pytest.approx(c), n) for p, (c, n) in want.items()}
+    assert ("p:x", "p:y") in want and max(map(len, want)) > 2
+
+
+def test_tokens_that_come_together_make_no_combinations(spark):
+    words = "/".join(f"w{j}" for j in range(60))
+    rows = [(f"http://h.com/{i}/{words if i % 2 else 'day'}", i % 2 == 1 and i % 6 != 1) for i in range(240)]
+    got = url_rules.mined(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert sorted(got) == sorted(((f"p:w{j}",), 80 / 120, 120) for j in range(60))
+
+
 def test_rules_are_mined_from_the_ends_of_long_urls(spark):
     rows = [(f"http://h.com/{'/'.join(f'u{i}x{j}' for j in range(80))}/{'win' if i % 2 else 'day'}", i % 2 == 1) for i in range(120)]
     got = url_rules.mined(spark.createDataFrame(rows, "url string, bad boolean"))
